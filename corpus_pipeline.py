@@ -1,7 +1,59 @@
-"""Placeholder until the stages are in place."""
-STAGES = []
+"""A training-corpus pipeline: quality, near copies, repeated passages, benchmark leaks, packing.
+
+Each stage takes (spark, docs, sf_dir) and gives a DataFrame that is written as Parquet and
+reread as the next one's ``docs``.  All but the last return the columns of ``docs``.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracelake.llm import decontamination, jaccard, packing, quality, substrings
+from tracelake.llm.common import materialize
+
+#: Documents whose probability of good quality is less are rejected.
+LEAST_QUALITY = 0.3
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    network = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    renamed = docs.columns
+    return quality.score(docs, network).filter(F.col("score") >= LEAST_QUALITY).select(*renamed)
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.keep_one(docs, n=5, threshold=0.8)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    left = substrings.remove(docs, window=20)
+    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else left
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), size=1024, end_id=2)
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("n-gram Jaccard join", ngram_jaccard_join),
+    ("substring dedup", substring_dedup),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("best-fit packing", best_fit_packing),
+]
+
+#: SQL can express neither the classifier nor the packing; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

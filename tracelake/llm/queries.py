@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, token_counts
+from . import chat, decontamination, jaccard, licenses, neighbours, packing, quality, sharding, substrings, token_counts
+
+SHARD_BYTES = 1 << 20
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,9 +25,87 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), token_counts.new_cache(spark), limit=1024)
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(_read(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality.fit(docs, _read(spark, sf_dir, "labels")))
+    return scored.select("doc_id", quality.held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(_read(spark, sf_dir, "documents"))
+    base = F.filter("places", lambda p: p["base"])
+    starts = F.transform(base, lambda p: p["first_word"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        licenses.labels_of(base).alias("base_labels"),
+        licenses.labels_of(F.col("places")).alias("labels"),
+        "score",
+    )
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(_read(spark, sf_dir, "documents"), max_bytes=SHARD_BYTES)
+
+
+OP6_SQL = f"""
+WITH k AS (
+  SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes,
+         CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) AS h
+  FROM documents
+), levels AS (
+  SELECT d.depth, k.h >> (60 - d.depth) AS prefix, sum(k.n_bytes) AS bytes, min(k.h) = max(k.h) AS single
+  FROM k, (SELECT CAST(unnest(range(0, 61)) AS INTEGER) AS depth) d GROUP BY 1, 2
+), fits AS (
+  SELECT * FROM levels WHERE bytes <= {SHARD_BYTES} OR single OR depth = 60
+), first AS (
+  SELECT k.doc_id, k.n_bytes, min(f.depth) AS depth, k.h
+  FROM k JOIN fits f ON f.prefix = k.h >> (60 - f.depth) GROUP BY k.doc_id, k.n_bytes, k.h
+)
+SELECT x.doc_id, x.n_bytes, CAST(x.depth AS INTEGER) AS shard_depth, x.h >> (60 - x.depth) AS shard_prefix,
+       CAST(f.bytes AS BIGINT) AS shard_bytes, f.bytes > {SHARD_BYTES} AS oversize
+FROM first x JOIN fits f ON f.depth = x.depth AND f.prefix = x.h >> (60 - x.depth)
+"""
+
+
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.repair(_read(spark, sf_dir, "conversations"))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removed(_read(spark, sf_dir, "documents"), window=20)
+
+
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(_read(spark, sf_dir, "documents"), n=3, threshold=Fraction(9, 10))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts)}
+    found = (
+        op1_best_fit_packing,
+        op2_token_counts,
+        op3_nearest_neighbours,
+        op4_quality_classifier,
+        op5_license_scans,
+        op6_sharding,
+        op7_benchmark_decontamination,
+        op8_chat_formatting,
+        op9_substring_dedup,
+        op10_ngram_jaccard_join,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_sharding": OP6_SQL}
