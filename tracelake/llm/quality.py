@@ -89,7 +89,7 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def train(texts: list[bytes], labels: np.ndarray, *, prior: float, filters: int = 12, width: int = 5, epochs: int = 8, batch: int = 48, rate: float = 0.01, seed: int = 7) -> Network:
+def train(texts: list[bytes], labels: np.ndarray, *, prior: float, filters: int = 12, width: int = 5, steps: int = 700, batch: int = 48, rate: float = 0.03, seed: int = 7) -> Network:
     """Fit by Adam on the logistic loss; scores are shifted from the sample's to the table's share of ones."""
     net, r = Network.fresh(filters, width, seed), np.random.default_rng(seed)
     if len(set(labels.tolist())) < 2:
@@ -97,13 +97,13 @@ def train(texts: list[bytes], labels: np.ndarray, *, prior: float, filters: int
         return net
     y_all = labels.astype(np.float64)
     state = {k: [np.zeros_like(v, dtype=np.float64), np.zeros_like(v, dtype=np.float64)] for k, v in (("table", net.table), ("bias", net.bias), ("weight", net.weight), ("offset", np.zeros(1)))}
-    t, steps = 0, epochs * -(-len(texts) // batch)
+    epochs, t = -(-steps // -(-len(texts) // batch)), 0
 
     def adam(name: str, value: np.ndarray, g: np.ndarray) -> np.ndarray:
         m, v = state[name]
         m += 0.1 * (g - m)
         v += 0.001 * (g * g - v)
-        now = rate * (1 - t / (steps + 1))
+        now = rate * (1 - t / (epochs * -(-len(texts) // batch) + 1))
         return value - now * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
 
     for _ in range(epochs):

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import shared_dir
+from .common import materialize, shared_dir
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
 
@@ -67,7 +67,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, *, limit
     fresh = misses.mapInPandas(_counter(tokenizer_path), "digest binary, n_tokens long")
     run = uuid.uuid4().hex
     fresh.select("digest", F.lit(tokenizer).alias("tokenizer"), "n_tokens").write.mode("append").parquet(f"{cache_path}/run={run}")
-    counts = open_cache(spark, cache_path, tokenizer)
+    # written once more, so that the join below stands alone and a text that many rows share can be split
+    counts = materialize(open_cache(spark, cache_path, tokenizer), "counts")
     return (
         keyed.select(id_col, F.octet_length("text").cast("long").alias("n_bytes"), "digest")
         .join(counts, "digest", "left")
