@@ -264,7 +264,15 @@ def join(docs: DataFrame, *, n: int = 5, threshold: Fraction | float = 0.8, buck
                 held = pa.array([s.tobytes() for s in sets], pa.binary())
                 yield pa.RecordBatch.from_arrays([c.filter(mine) for c in (part.column(2), part.column(3), part.column(4), part.column(5), held)], names=["node", "root", "blocks", "block", "held"])
 
-    held = rows.join(chosen, "id").select("id", "text", "node", "root", "blocks", "block").mapInArrow(sets_of, "node long, root long, blocks int, block int, held binary")
+    # a bit table of the chosen ids, of bounded size, keeps the texts of all other documents out of the exchange
+    bits = 1 << min(27, max(15, (16 * chosen.count()).bit_length()))
+    place = F.pmod(F.xxhash64("id"), F.lit(bits)) + 1
+    table_of = chosen.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    byte = F.conv(F.hex(F.expr("substring(bits, cast(at div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    likely = rows.withColumns({"bucket": F.bitmap_bucket_number(place), "at": F.bitmap_bit_position(place)}).join(F.broadcast(table_of), "bucket")  # 16 MB at most
+    likely = likely.filter(byte.bitwiseAND(F.expr("shiftleft(1, cast(at % 8 as int))")) != 0).select("id", "text")
+
+    held = likely.join(chosen, "id").select("id", "text", "node", "root", "blocks", "block").mapInArrow(sets_of, "node long, root long, blocks int, block int, held binary")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     blocks = held.select("node", "root", "block", "held", other.alias("other")).select("node", "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "held")
 
@@ -276,7 +284,8 @@ def join(docs: DataFrame, *, n: int = 5, threshold: Fraction | float = 0.8, buck
 
     linked = components(blocks.groupBy("root", "i", "j").applyInArrow(verify, "a long, b long"))
     named = table.join(linked, "node", "left").select("id", "n_shingles", F.coalesce("root", "node").alias("root"))
-    first = named.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min("id").alias("component"))
+    # written, so that the join below stands alone and a component that many rows share can be split
+    first = materialize(named.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min("id").alias("component")), "first")
     return named.join(first, "root", "left").select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("root").isNull() | F.col("id").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id"))
 
 
