@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -149,7 +150,7 @@ def _marks(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def _sender(window: int, buckets: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in gathered(batches):
+        for batch in gathered(batches, most=4 << 20):
             ids = batch.column(0).fill_null(_NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
             order = np.argsort(ids, kind="stable")
             ids, texts = ids[order], batch.column(1).take(pa.array(order))
@@ -215,55 +216,76 @@ def _read_windows(blob: bytes) -> tuple[np.ndarray, ...]:
     return name[row] + distance.astype(np.uint64), np.cumsum(step)[row], mark[row], place[row].astype(np.int64) - distance, wide.view("<u8").ravel()
 
 
-def _judge(table: pa.Table) -> pa.Table:
-    """One bucket: runs of window starts that are not the first of their windows."""
-    found: list[tuple[np.ndarray, ...]] = []
-    for blob in table.column("known").to_pylist():
-        if blob:
-            doc, mark, first, n = _unpack(blob[4:], struct.unpack_from("<I", blob)[0], "<i8", "<u2", "<u4", "<u4")
-            found.append((doc, mark, first.astype(np.int64), n.astype(np.int64)))
-    lots = [_read_windows(b) for b in table.column("windows").to_pylist() if b]
-    if lots:
-        name, doc, mark, start, short = (np.concatenate(c) for c in zip(*lots))
-        del lots
-        whole = mix(name) ^ (short << np.uint64(20))
-        by = np.argsort(whole)
-        same = whole[by][1:] == whole[by][:-1]
-        shared = np.zeros(len(by), bool)
-        shared[1:] |= same
-        shared[:-1] |= same
-        pick = by[shared]
-        if len(pick):
-            pick = pick[np.lexsort((start[pick], doc[pick], whole[pick]))]
-            w = whole[pick]
-            head = np.concatenate(([True], w[1:] != w[:-1]))
-            first = pick[np.maximum.accumulate(np.where(head, np.arange(len(pick)), 0))]
-            later = pick[(doc[pick] != doc[first]) | (start[pick] != start[first])]
-            if len(later):
-                found.append(_runs(doc[later], mark[later], start[later]))
-    if not found:
-        return pa.table({"id": pa.array([], pa.int64()), "mark": pa.array([], pa.int32()), "runs": pa.array([], pa.binary())})
-    doc, mark, first, n = (np.concatenate(c) for c in zip(*found))
-    order = np.lexsort((mark, doc))
-    doc, mark = doc[order], mark[order]
-    runs = np.stack((first[order], n[order]), 1).astype("<u4")
-    new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])))
-    cut = np.flatnonzero(new)
-    raw, ends = runs.tobytes(), [*cut[1:].tolist(), len(doc)]
-    return pa.table({"id": pa.array(doc[cut], pa.int64()), "mark": pa.array(mark[cut].astype(np.int32)), "runs": pa.array([raw[8 * a : 8 * b] for a, b in zip(cut.tolist(), ends)], pa.binary())})
-
-
-def repeated_windows(docs: DataFrame, *, window: int = 20, bucket_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, mark (16 bits of the text's digest), runs: pairs of unsigned 32-bit numbers, first window start and how many."""
+def _group(doc: int, groups: int) -> int:
+    return zlib.crc32(str(doc).encode()) % groups
+
+
+def _judge(groups: int):
+    def judge(table: pa.Table) -> pa.Table:
+        """One bucket: runs of window starts that are not the first of their windows, by group of documents."""
+        found: list[tuple[np.ndarray, ...]] = []
+        for blob in table.column("known").to_pylist():
+            if blob:
+                doc, mark, first, n = _unpack(blob[4:], struct.unpack_from("<I", blob)[0], "<i8", "<u2", "<u4", "<u4")
+                found.append((doc, mark, first.astype(np.int64), n.astype(np.int64)))
+        lots = [_read_windows(b) for b in table.column("windows").to_pylist() if b]
+        if lots:
+            name, doc, mark, start, short = (np.concatenate(c) for c in zip(*lots))
+            del lots
+            whole = mix(name) ^ (short << np.uint64(20))
+            del name, short
+            by = np.argsort(whole)
+            same = whole[by][1:] == whole[by][:-1]
+            shared = np.zeros(len(by), bool)
+            shared[1:] |= same
+            shared[:-1] |= same
+            pick = by[shared]
+            if len(pick):
+                pick = pick[np.lexsort((start[pick], doc[pick], whole[pick]))]
+                w = whole[pick]
+                head = np.concatenate(([True], w[1:] != w[:-1]))
+                first = pick[np.maximum.accumulate(np.where(head, np.arange(len(pick)), 0))]
+                later = pick[(doc[pick] != doc[first]) | (start[pick] != start[first])]
+                if len(later):
+                    found.append(_runs(doc[later], mark[later], start[later]))
+        if not found:
+            return pa.table({"group": pa.array([], pa.int64()), "runs": pa.array([], pa.binary())})
+        doc, mark, first, n = (np.concatenate(c) for c in zip(*found))
+        ids, of = np.unique(doc, return_inverse=True)
+        group = np.array([_group(i, groups) for i in ids.tolist()], np.int64)[of]
+        order = np.lexsort((doc, group))
+        doc, mark, first, n, group = doc[order], mark[order], first[order], n[order], group[order]
+        cut = [*np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))).tolist(), len(group)]
+        lots = [struct.pack("<I", b - a) + _pack(doc[a:b].astype("<i8"), mark[a:b].astype("<u2"), first[a:b].astype("<u4"), n[a:b].astype("<u4")) for a, b in zip(cut, cut[1:])]
+        return pa.table({"group": pa.array(group[cut[:-1]]), "runs": pa.array(lots, pa.binary())})
+
+    return judge
+
+
+def read_runs(blobs: list[bytes]) -> dict[tuple[int, int], list[np.ndarray]]:
+    """By id and mark: (first start, how many) of the runs."""
+    out: dict[tuple[int, int], list[np.ndarray]] = {}
+    for blob in blobs:
+        doc, mark, first, n = _unpack(blob[4:], struct.unpack_from("<I", blob)[0], "<i8", "<u2", "<u4", "<u4")
+        runs = np.stack((first, n), 1).astype(np.int64)
+        cut = [*np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])))).tolist(), len(doc)]
+        for a, b in zip(cut, cut[1:]):
+            out.setdefault((int(doc[a]), int(mark[a])), []).append(runs[a:b])
+    return out
+
+
+def repeated_windows(docs: DataFrame, *, window: int = 20, groups: int = 1, bucket_bytes: int = 10 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """group (of ``groups``, by the id), runs: see ``read_runs``."""
+    if not 2 <= window <= 32:
+        raise ValueError("windows of 2 to 32 words")
     buckets = pieces_of(text_bytes(docs, text_col), bucket_bytes)
     sent = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_sender(window, buckets), "bucket long, windows binary, known binary")
-    return sent.groupBy("bucket").applyInArrow(_judge, "id long, mark int, runs binary")
+    return sent.groupBy("bucket").applyInArrow(_judge(groups), "group long, runs binary")
 
 
-def _covered(n: int, runs: list[bytes], window: int) -> np.ndarray:
+def _covered(n: int, runs: list[np.ndarray], window: int) -> np.ndarray:
     edge = np.zeros(n + 1, np.int64)
-    for r in runs:
-        x = np.frombuffer(r, "<u4").reshape(-1, 2).astype(np.int64)
+    for x in runs:
         np.add.at(edge, x[:, 0], 1)
         np.add.at(edge, x[:, 0] + x[:, 1] - 1 + window, -1)
     return np.cumsum(edge[:-1]) > 0
@@ -271,9 +293,7 @@ def _covered(n: int, runs: list[bytes], window: int) -> np.ndarray:
 
 def _apply(window: int, text_at: int, digest: bool):
     def apply(docs: pa.Table, repeats: pa.Table) -> pa.Table:
-        docs, of = docs.combine_chunks(), {}
-        for i, m, r in zip(*(repeats.column(c).to_pylist() for c in ("id", "mark", "runs"))):
-            of.setdefault((i, m), []).append(r)
+        docs, of = docs.combine_chunks(), read_runs(repeats.column("runs").to_pylist())
         texts = docs.column(text_at)
         n_words, n_removed, kept = [], [], []
         keys = docs.column(1).to_pylist()
@@ -304,17 +324,13 @@ def _apply(window: int, text_at: int, digest: bool):
 
 def _grouped(docs: DataFrame, window: int, group_bytes: int, bucket_bytes: int, id_col: str, text_col: str):
     groups = pieces_of(text_bytes(docs, text_col), group_bytes)
-    repeats = repeated_windows(docs, window=window, bucket_bytes=bucket_bytes, id_col=id_col, text_col=text_col)
-    null = F.lit(_NO_ID)
-
-    def group(c):
-        return F.pmod(F.xxhash64(c), F.lit(groups))
-
-    left = docs.select(group(F.coalesce(F.col(id_col).cast("long"), null)).alias("__group"), F.col(id_col).cast("long").alias("__id"), *docs.columns)
-    return left.groupBy("__group"), repeats.select(group(F.col("id")).alias("__group"), "id", "mark", "runs").groupBy("__group")
+    repeats = repeated_windows(docs, window=window, groups=groups, bucket_bytes=bucket_bytes, id_col=id_col, text_col=text_col)
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).cast("string")
+    left = docs.select((F.crc32(key) % groups).alias("__group"), F.col(id_col).cast("long").alias("__id"), *docs.columns)
+    return left.groupBy("__group"), repeats.withColumnRenamed("group", "__group").groupBy("__group")
 
 
-def removed(docs: DataFrame, *, window: int = 20, group_bytes: int = 6 << 20, bucket_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def removed(docs: DataFrame, *, window: int = 20, group_bytes: int = 6 << 20, bucket_bytes: int = 10 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_words, n_removed, kept_sha256 of each row."""
     kind = docs.schema[id_col].dataType.simpleString()
     a, b = _grouped(docs.select(id_col, text_col), window, group_bytes, bucket_bytes, id_col, text_col)
@@ -322,7 +338,7 @@ def removed(docs: DataFrame, *, window: int = 20, group_bytes: int = 6 << 20, bu
     return out.select(F.col("id").cast(kind).alias(id_col), "n_words", "n_removed", "kept_sha256")
 
 
-def remove(docs: DataFrame, *, window: int = 20, group_bytes: int = 6 << 20, bucket_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove(docs: DataFrame, *, window: int = 20, group_bytes: int = 6 << 20, bucket_bytes: int = 10 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the words that repeated windows cover; what is left of a cut text stands in lines, other texts stay as they are."""
     a, b = _grouped(docs, window, group_bytes, bucket_bytes, id_col, text_col)
     return a.cogroup(b).applyInArrow(_apply(window, 2 + docs.columns.index(text_col), False), docs.schema)
