@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -216,3 +217,18 @@ def gathered(batches: Iterator[pa.RecordBatch], text: str = "text", most: int =
                 held, size = [], 0
     if held:
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()[:1]
+
+
+def pack_columns(*columns: np.ndarray) -> bytes:
+    """Columns of one length; bytes of equal rank side by side, for the compression."""
+    raw = b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns)
+    return zstandard.ZstdCompressor(level=1).compress(raw)
+
+
+def unpack_columns(data: bytes, n: int, *kinds: str) -> list[np.ndarray]:
+    raw, out, at = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8), [], 0
+    for k in kinds:
+        w = np.dtype(k).itemsize
+        out.append(np.ascontiguousarray(raw[at : at + w * n].reshape(w, n).T).view(k).ravel())
+        at += w * n
+    return out

@@ -2,15 +2,19 @@
 
 A document's set is its distinct n-word shingles, in a global order (that of their
 fingerprints).  Equal sets are one node.  Different sets are routed to where they can meet:
-sets of one size class are cut, along the global order, into more parts than two similar
-sets can differ in shingles, so that at least one part with shingles in it is the same in
-both (when a set has too few such parts, its empty parts are routed as well; the bound then
-holds all the same).  Sets that share a part are candidates, and candidates that hang
-together form a cluster.  Within a cluster, blocks of sets are joined two by two: one trie
-holds the sets in global order, and each set walks it, sharing the overlap so far with all
-sets below a branch and leaving subtrees where the lengths that remain can't make it.  Sets
-once linked leave the trie, so that a family of near copies costs about one walk each.  No
-link is lost between different components; links inside one are kept as far as they connect.
+sets of one size class are cut, along the global order, into half as many parts again as two
+similar sets can differ in shingles, so that similar sets share many parts.  Parts are
+counted over all sets and ordered rarest first: a set that shares too few of its parts with
+any other is done, and of the others only so many of the rarest parts are kept that two
+similar sets still have one in common (a prefix filter; parts of passages that many documents
+share come last in this order and are hardly ever kept).  Sets with a kept part in common are
+candidates, and candidates that hang together form a cluster.
+
+Within a cluster, blocks of sets are joined two by two: one trie holds the sets in global
+order, and each set walks it, sharing the overlap so far with all sets below a branch and
+leaving subtrees where the lengths that remain can't make it.  Sets once linked leave the
+trie, so that a family of near copies costs about one walk each.  No link is lost between
+different components; links inside one are kept as far as they connect.
 
 Nulls: a null or wordless text has the empty set and is linked with nothing.  A null id is
 kept and counts in no component's smallest id.  Repeated rows and equal texts are linked
@@ -20,6 +24,7 @@ columns are ignored.  Texts of any length are read whole.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -29,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED_LOWER, gathered, materialize, mix, pieces_of, shingle_sets, slices, text_bytes, words
+from .common import SPACED_LOWER, gathered, materialize, mix, pack_columns, pieces_of, shingle_sets, slices, text_bytes, unpack_columns, words
 
 BLOCK = 512
 
@@ -60,16 +65,18 @@ def _node(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
-def part_keys(sets: list[np.ndarray], classes: Classes) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the sets' parts, and whose they are."""
+def part_keys(sets: list[np.ndarray], classes: Classes) -> tuple[np.ndarray, ...]:
+    """Keys of the sets' parts and the task (a set in a size class) of each; of each task the set, its class and its ``need``:
+    how many keys it has in common with any similar set at least."""
     sizes, tasks = [len(s) for s in sets], []
     cache: dict[int, list] = {}
     for i, n in enumerate(sizes):
         if n not in cache:
-            cache[n] = [(c, d, d + d // 5 + 2) for c, most in classes.of(n) if n for d in [classes.differ(most)] if d]
+            cache[n] = [(c, d, d + d // 2 + 2) for c, most in classes.of(n) if n for d in [classes.differ(most)] if d]
         tasks += [(i, *x) for x in cache[n]]
+    none = np.zeros(0, np.int64)
     if not tasks:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return none.astype(np.uint64), none, none, none, none
     who, cls, differ, m = (np.array(c, np.int64) for c in zip(*tasks))
     base = np.cumsum(m) - m
     flat = np.concatenate([sets[i] for i in who.tolist()])
@@ -84,8 +91,73 @@ def part_keys(sets: list[np.ndarray], classes: Classes) -> tuple[np.ndarray, np.
     number = np.arange(len(task)) - base[task]
     keys = mix(total[at[1:]] - total[at[:-1]] + mix((cls[task] << 40 | number).astype(np.uint64)))
     full = np.add.reduceat((held > 0).astype(np.int64), base)
+    # a set with too few parts in use sends the empty ones too, and has a key in common with a similar set all the same
     send = (held > 0) | (full <= differ)[task]
-    return keys[send], who[task[send]]
+    return keys[send], task[send], who, cls, np.maximum(full - differ, 1)
+
+
+def _entries(blob: bytes) -> tuple[np.ndarray, ...]:
+    """key, node, class, need."""
+    n_tasks, n_keys, size = struct.unpack_from("<III", blob)
+    node, cls, need = unpack_columns(blob[12 : 12 + size], n_tasks, "<i8", "<u1", "<u4")
+    step = unpack_columns(blob[12 + size : -8 * n_keys], n_keys, "<u4")[0]
+    task = np.cumsum(step)
+    return np.frombuffer(blob, "<u8", n_keys, len(blob) - 8 * n_keys), node[task], cls[task], need[task]
+
+
+def _lots(group: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """The columns' rows by group, packed."""
+    order = np.argsort(group, kind="stable")
+    group = group[order]
+    cut = [*np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))).tolist(), len(group)] if len(group) else [0]
+    return group[cut[:-1]], [struct.pack("<I", b - a) + pack_columns(*[c[order[a:b]] for c in columns]) for a, b in zip(cut, cut[1:])]
+
+
+def _unlot(blobs: list[bytes], *kinds: str) -> list[np.ndarray]:
+    lots = [unpack_columns(b[4:], struct.unpack_from("<I", b)[0], *kinds) for b in blobs]
+    return [np.concatenate(c) for c in zip(*lots)] if lots else [np.zeros(0, k) for k in kinds]
+
+
+def count_keys(blobs: list[bytes], groups: int) -> pa.Table:
+    """One bucket of keys: those of two sets or more, with how many have them, by group of nodes."""
+    key, node, cls, need = (np.concatenate(c) for c in zip(*map(_entries, blobs)))
+    order = np.lexsort((node, key))
+    key, node, cls, need = key[order], node[order], cls[order], need[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])  # copies in other batches
+    key, node, cls, need = key[new], node[new], cls[new], need[new]
+    head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    n = np.diff(np.concatenate((head, [len(key)])))
+    df = np.repeat(n, n)
+    many = df > 1
+    which, lots = _lots(node[many] % groups, node[many].astype("<i8"), cls[many].astype("<u1"), need[many].astype("<u4"), key[many].astype("<u8"), df[many].astype("<u4"))
+    return pa.table({"group": pa.array(which, pa.int64()), "lot": pa.array(lots, pa.binary())})
+
+
+def rarest_keys(blobs: list[bytes], buckets: int) -> pa.Table:
+    """One group of nodes: each set's rarest keys, as many as the prefix filter asks for, by bucket of keys."""
+    node, cls, need, key, df = _unlot(blobs, "<i8", "<u1", "<u4", "<u8", "<u4")
+    order = np.lexsort((key, df, cls, node))
+    node, cls, need, key = node[order], cls[order], need[order], key[order]
+    head = np.flatnonzero(np.concatenate(([True], (node[1:] != node[:-1]) | (cls[1:] != cls[:-1])))) if len(node) else np.zeros(0, np.int64)
+    shared = np.diff(np.concatenate((head, [len(node)])))
+    rank = np.arange(len(node)) - np.repeat(head, shared)
+    keep = rank <= np.repeat(shared, shared) - need.astype(np.int64)
+    which, lots = _lots((key[keep] % np.uint64(buckets)).astype(np.int64), key[keep], node[keep])
+    return pa.table({"bucket": pa.array(which, pa.int64()), "lot": pa.array(lots, pa.binary())})
+
+
+def meet(blobs: list[bytes]) -> pa.Table:
+    """One bucket of kept keys: the sets of each key, all beside the one of the smallest number."""
+    key, node = _unlot(blobs, "<u8", "<i8")
+    order = np.argsort(key, kind="stable")
+    key, node = key[order], node[order]
+    if not len(key):
+        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    least = np.repeat(np.minimum.reduceat(node, head), np.diff(np.concatenate((head, [len(key)]))))
+    pairs = np.unique(np.stack((least, node), 1)[least != node], axis=0)
+    return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
 
 class Trie:
@@ -199,7 +271,7 @@ def components(edges: DataFrame) -> DataFrame:
     return links.groupBy("v").agg(F.min("u").alias("root")).withColumnRenamed("v", "node").unionByName(links.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
 
 
-def join(docs: DataFrame, *, n: int = 5, threshold: Fraction | float = 0.8, bucket_bytes: int = 24 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def join(docs: DataFrame, *, n: int = 5, threshold: Fraction | float = 0.8, bucket_bytes: int = 12 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id (the smallest id that links reach, its own included) of each row."""
     t = Fraction(threshold).limit_denominator(1000)
     classes, kind = Classes(t), docs.schema[id_col].dataType.simpleString()
@@ -213,42 +285,36 @@ def join(docs: DataFrame, *, n: int = 5, threshold: Fraction | float = 0.8, buck
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) if len(s) else None for s in sets], pa.int64())], names=["id", "n_shingles", "node"])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in gathered(batches):
+        for batch in gathered(batches, most=4 << 20):
             own: dict[int, np.ndarray] = {}
             for part in slices(batch):
                 for s in shingle_sets(words(part.column(1), SPACED_LOWER), n):
                     if len(s):
                         own.setdefault(_node(s), s)
-            keys, who = part_keys(list(own.values()), classes)
+            keys, task, who, cls, need = part_keys(list(own.values()), classes)
             if not len(keys):
                 continue
-            nodes = np.array(list(own), np.int64)[who]
+            tasks = [np.array(list(own), np.int64)[who].astype("<i8"), cls.astype("<u1"), need.astype("<u4")]
             bucket = (keys % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            bucket, keys, nodes = bucket[order], keys[order], nodes[order]
-            cut = np.searchsorted(bucket, np.arange(buckets + 1))
-            there = np.flatnonzero(np.diff(cut))
-            for i in range(0, len(there), 500):
-                lot = there[i : i + 500].tolist()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(lot, pa.int64()), pa.array([keys[cut[b] : cut[b + 1]].tobytes() for b in lot]), pa.array([nodes[cut[b] : cut[b + 1]].tobytes() for b in lot])], names=["bucket", "keys", "nodes"]
-                )
-
-    def meet(table: pa.Table) -> pa.Table:
-        keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint64)
-        nodes = np.frombuffer(b"".join(table.column("nodes").to_pylist()), np.int64)
-        order = np.argsort(keys)
-        keys, nodes = keys[order], nodes[order]
-        same = keys[1:] == keys[:-1]
-        shared = np.concatenate((same, [False])) | np.concatenate(([False], same))
-        keys, nodes = keys[shared], nodes[shared]
-        head = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-        least = np.repeat(np.minimum.reduceat(nodes, head), np.diff(np.concatenate((head, [len(keys)])))) if len(keys) else nodes
-        pairs = np.unique(np.stack((least, nodes), 1)[least != nodes], axis=0) if len(keys) else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+            order = np.lexsort((task, bucket))
+            keys, task = keys[order], task[order]
+            cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            lot, which = [], np.flatnonzero(np.diff(cut)).tolist()
+            for b in which:
+                mine, own_task = np.unique(task[cut[b] : cut[b + 1]], return_inverse=True)
+                table = pack_columns(*[c[mine] for c in tasks])
+                steps = pack_columns(np.diff(own_task, prepend=0).astype("<u4"))
+                lot.append(struct.pack("<III", len(mine), len(own_task), len(table)) + table + steps + keys[cut[b] : cut[b + 1]].tobytes())
+            for i in range(0, len(lot), 500):
+                yield pa.RecordBatch.from_arrays([pa.array(which[i : i + 500], pa.int64()), pa.array(lot[i : i + 500], pa.binary())], names=["bucket", "lot"])
+
+    def lots(t: pa.Table) -> list[bytes]:
+        return t.column("lot").to_pylist()
 
     table = materialize(rows.mapInArrow(profile, f"id {kind}, n_shingles long, node long"), "sets")
-    met = rows.mapInArrow(route, "bucket long, keys binary, nodes binary").groupBy("bucket").applyInArrow(meet, "a long, b long")
+    counted = rows.mapInArrow(route, "bucket long, lot binary").groupBy("bucket").applyInArrow(lambda x: count_keys(lots(x), buckets), "group long, lot binary")
+    kept = counted.groupBy("group").applyInArrow(lambda x: rarest_keys(lots(x), buckets), "bucket long, lot binary")
+    met = kept.groupBy("bucket").applyInArrow(lambda x: meet(lots(x)), "a long, b long")
     clusters = components(met)
     sizes = clusters.groupBy("root").count().select("root", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     members = clusters.join(sizes, "root").select("node", "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))

@@ -29,11 +29,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED, buffers, gathered, mix, ngrams, pieces_of, powers, spans, text_bytes, words
+from .common import SPACED, gathered, mix, ngrams, pack_columns, pieces_of, powers, spans, text_bytes, unpack_columns, words
 
 _LEVELS = 3
 _FAR = 120
@@ -113,21 +112,6 @@ def anchors(h: np.ndarray, doc: np.ndarray, window: int) -> tuple[np.ndarray, np
     return start, distance, name
 
 
-def _pack(*columns: np.ndarray) -> bytes:
-    """Columns of one length; bytes of equal rank side by side, for the compression."""
-    raw = b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns)
-    return zstandard.ZstdCompressor(level=1).compress(raw)
-
-
-def _unpack(data: bytes, n: int, *kinds: str) -> list[np.ndarray]:
-    raw, out, at = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8), [], 0
-    for k in kinds:
-        w = np.dtype(k).itemsize
-        out.append(np.ascontiguousarray(raw[at : at + w * n].reshape(w, n).T).view(k).ravel())
-        at += w * n
-    return out
-
-
 def _runs(doc: np.ndarray, mark: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Consecutive starts as runs: doc, mark, first start, how many."""
     order = np.lexsort((start, mark, doc))
@@ -173,7 +157,7 @@ def _sender(window: int, buckets: int):
             if repeat.any():
                 d = doc[start[repeat]]
                 runs = _runs(ids[d], marks[d], own[repeat])
-                lot = struct.pack("<I", len(runs[0])) + _pack(runs[0].astype("<i8"), runs[1].astype("<u2"), runs[2].astype("<u4"), runs[3].astype("<u4"))
+                lot = struct.pack("<I", len(runs[0])) + pack_columns(runs[0].astype("<i8"), runs[1].astype("<u2"), runs[2].astype("<u4"), runs[3].astype("<u4"))
                 rows.append((int(mix(print_[:1])[0] % np.uint64(buckets)), b"", lot))
             keep = np.flatnonzero(~repeat)
             start, distance, name, print_, own = start[keep], distance[keep], name[keep], print_[keep], own[keep]
@@ -193,7 +177,7 @@ def _sender(window: int, buckets: int):
                 lo, hi = int(cuts[b]), int(cuts[b + 1])
                 w_lo, w_hi = int(first[lo]), int(first[hi]) if hi < len(first) else len(print_)
                 step = np.diff(ids[d[lo:hi]], prepend=0)
-                body = _pack(step.astype("<i8"), marks[d[lo:hi]].astype("<u2"), place[lo:hi].astype("<u4"), mask[lo:hi])
+                body = pack_columns(step.astype("<i8"), marks[d[lo:hi]].astype("<u2"), place[lo:hi].astype("<u4"), mask[lo:hi])
                 rows.append((b, struct.pack("<II", hi - lo, len(body)) + body + name[first[lo:hi]].astype("<u8").tobytes() + short[w_lo:w_hi].tobytes(), b""))
             for i in range(0, len(rows), 1000):
                 part = list(zip(*rows[i : i + 1000]))
@@ -205,7 +189,7 @@ def _sender(window: int, buckets: int):
 def _read_windows(blob: bytes) -> tuple[np.ndarray, ...]:
     """name, id, mark, start, fingerprint of each window."""
     n, size = struct.unpack_from("<II", blob)
-    step, mark, place, mask = _unpack(blob[8 : 8 + size], n, "<i8", "<u2", "<u4", "<u4")
+    step, mark, place, mask = unpack_columns(blob[8 : 8 + size], n, "<i8", "<u2", "<u4", "<u4")
     name = np.frombuffer(blob, "<u8", n, 8 + size)
     short = np.frombuffer(blob, np.uint8, -1, 8 + size + 8 * n).reshape(-1, 5)
     bits = (mask[:, None] >> np.arange(31, -1, -1).astype("<u4")) & 1  # the farthest start first
@@ -226,7 +210,7 @@ def _judge(groups: int):
         found: list[tuple[np.ndarray, ...]] = []
         for blob in table.column("known").to_pylist():
             if blob:
-                doc, mark, first, n = _unpack(blob[4:], struct.unpack_from("<I", blob)[0], "<i8", "<u2", "<u4", "<u4")
+                doc, mark, first, n = unpack_columns(blob[4:], struct.unpack_from("<I", blob)[0], "<i8", "<u2", "<u4", "<u4")
                 found.append((doc, mark, first.astype(np.int64), n.astype(np.int64)))
         lots = [_read_windows(b) for b in table.column("windows").to_pylist() if b]
         if lots:
@@ -256,7 +240,7 @@ def _judge(groups: int):
         order = np.lexsort((doc, group))
         doc, mark, first, n, group = doc[order], mark[order], first[order], n[order], group[order]
         cut = [*np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))).tolist(), len(group)]
-        lots = [struct.pack("<I", b - a) + _pack(doc[a:b].astype("<i8"), mark[a:b].astype("<u2"), first[a:b].astype("<u4"), n[a:b].astype("<u4")) for a, b in zip(cut, cut[1:])]
+        lots = [struct.pack("<I", b - a) + pack_columns(doc[a:b].astype("<i8"), mark[a:b].astype("<u2"), first[a:b].astype("<u4"), n[a:b].astype("<u4")) for a, b in zip(cut, cut[1:])]
         return pa.table({"group": pa.array(group[cut[:-1]]), "runs": pa.array(lots, pa.binary())})
 
     return judge
@@ -266,7 +250,7 @@ def read_runs(blobs: list[bytes]) -> dict[tuple[int, int], list[np.ndarray]]:
     """By id and mark: (first start, how many) of the runs."""
     out: dict[tuple[int, int], list[np.ndarray]] = {}
     for blob in blobs:
-        doc, mark, first, n = _unpack(blob[4:], struct.unpack_from("<I", blob)[0], "<i8", "<u2", "<u4", "<u4")
+        doc, mark, first, n = unpack_columns(blob[4:], struct.unpack_from("<I", blob)[0], "<i8", "<u2", "<u4", "<u4")
         runs = np.stack((first, n), 1).astype(np.int64)
         cut = [*np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])))).tolist(), len(doc)]
         for a, b in zip(cut, cut[1:]):
