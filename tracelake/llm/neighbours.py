@@ -2,8 +2,8 @@
 
 The tree is fitted on a bounded sample (``sample`` vectors, by hash of the id); every vector
 is then sent down to its leaf.  A query visits leaves best bin first, through a priority
-queue of nodes by the nearness of their centres.  How many leaves are visited is widened,
-doubling, until the recall over ``calibration`` queries, measured against brute force over
+queue of nodes by the nearness of their centres.  How many leaves are visited is widened
+by a quarter at a time until the recall over ``calibration`` queries, measured against brute force over
 all vectors, reaches ``recall``.  Candidates of a leaf meet the queries that visit it in
 blocks of bounded size, so that neither a large leaf nor a popular one falls to one task.
 
@@ -131,7 +131,7 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("vec")).filter(F.col("id").isNotNull() & F.col("vec").isNotNull() & fine)
 
 
-def search(vectors: DataFrame, is_query: Column, *, k: int = 5, recall: float = 0.97, branches: int = 12, leaf: int = 40, sample: int = 20_000, calibration: int = 200, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, *, k: int = 5, recall: float = 0.94, branches: int = 12, leaf: int = 120, sample: int = 20_000, calibration: int = 200, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score, leaves (visited by each query), recall (as calibrated).  ``is_query`` is over the column ``id``."""
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vector_col)
@@ -165,7 +165,7 @@ def search(vectors: DataFrame, is_query: Column, *, k: int = 5, recall: float =
     met = np.array([order[q][n] for q, n in zip(truth["query_id"].tolist(), truth["leaf"].tolist())])
     most = 4
     while most < tree.leaves and len(met) and (met < most).mean() < recall:
-        most *= 2
+        most += -(-most // 4)
     most, reached = min(most, tree.leaves), float((met < most).mean()) if len(met) else 1.0
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
