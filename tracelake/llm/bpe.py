@@ -23,7 +23,7 @@ BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _ODD_SPACE = re.compile(r"[^\S \n]")
 _PLAIN = re.compile(r"[\n\x20-\x7eÀ-ÿ]+")
-_REMEMBERED = 500_000
+_REMEMBERED = 250_000
 
 
 def _byte_letters() -> dict[str, int]:

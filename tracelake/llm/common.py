@@ -48,7 +48,7 @@ def pieces_of(total: int, each: int) -> int:
 
 _R = 0x9E3779B97F4A7C15
 _R_INV = pow(_R, -1, 1 << 64)
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
 _LONG_WORD = 1 << 16
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -217,6 +217,8 @@ def gathered(batches: Iterator[pa.RecordBatch], text: str = "text", most: int =
                 held, size = [], 0
     if held:
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()[:1]
+    held = []
+    pa.default_memory_pool().release_unused()  # workers live on after their task
 
 
 def pack_columns(*columns: np.ndarray) -> bytes:

@@ -285,7 +285,7 @@ def join(docs: DataFrame, *, n: int = 5, threshold: Fraction | float = 0.8, buck
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) if len(s) else None for s in sets], pa.int64())], names=["id", "n_shingles", "node"])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in gathered(batches, most=4 << 20):
+        for batch in gathered(batches, most=3 << 20):
             own: dict[int, np.ndarray] = {}
             for part in slices(batch):
                 for s in shingle_sets(words(part.column(1), SPACED_LOWER), n):

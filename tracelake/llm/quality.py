@@ -164,7 +164,7 @@ def score(docs: DataFrame, network: Network, *, text_col: str = "text") -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text_col, 1 << 20):
+            for part in slices(batch, text_col, 256 << 10):
                 s = network.scores(part.column(part.schema.get_field_index(text_col)))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s, pa.float64())], names=[*part.schema.names, "score"])
 

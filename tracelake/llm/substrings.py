@@ -134,7 +134,7 @@ def _marks(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def _sender(window: int, buckets: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in gathered(batches, most=4 << 20):
+        for batch in gathered(batches, most=2 << 20):
             ids = batch.column(0).fill_null(_NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
             order = np.argsort(ids, kind="stable")
             ids, texts = ids[order], batch.column(1).take(pa.array(order))
@@ -258,7 +258,7 @@ def read_runs(blobs: list[bytes]) -> dict[tuple[int, int], list[np.ndarray]]:
     return out
 
 
-def repeated_windows(docs: DataFrame, *, window: int = 20, groups: int = 1, bucket_bytes: int = 10 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_windows(docs: DataFrame, *, window: int = 20, groups: int = 1, bucket_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """group (of ``groups``, by the id), runs: see ``read_runs``."""
     if not 2 <= window <= 32:
         raise ValueError("windows of 2 to 32 words")
@@ -314,7 +314,7 @@ def _grouped(docs: DataFrame, window: int, group_bytes: int, bucket_bytes: int,
     return left.groupBy("__group"), repeats.withColumnRenamed("group", "__group").groupBy("__group")
 
 
-def removed(docs: DataFrame, *, window: int = 20, group_bytes: int = 6 << 20, bucket_bytes: int = 10 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def removed(docs: DataFrame, *, window: int = 20, group_bytes: int = 4 << 20, bucket_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_words, n_removed, kept_sha256 of each row."""
     kind = docs.schema[id_col].dataType.simpleString()
     a, b = _grouped(docs.select(id_col, text_col), window, group_bytes, bucket_bytes, id_col, text_col)
@@ -322,7 +322,7 @@ def removed(docs: DataFrame, *, window: int = 20, group_bytes: int = 6 << 20, bu
     return out.select(F.col("id").cast(kind).alias(id_col), "n_words", "n_removed", "kept_sha256")
 
 
-def remove(docs: DataFrame, *, window: int = 20, group_bytes: int = 6 << 20, bucket_bytes: int = 10 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove(docs: DataFrame, *, window: int = 20, group_bytes: int = 4 << 20, bucket_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the words that repeated windows cover; what is left of a cut text stands in lines, other texts stay as they are."""
     a, b = _grouped(docs, window, group_bytes, bucket_bytes, id_col, text_col)
     return a.cogroup(b).applyInArrow(_apply(window, 2 + docs.columns.index(text_col), False), docs.schema)
