@@ -67,7 +67,7 @@ def _written_logs(spark: SparkSession, sf: str) -> str:
 
 @query
 def a1_read_session_logs(spark, sf):
-    back = read_session_logs(spark, _written_logs(spark, sf), suffix=".txt", chunk_bytes=1 << 16)
+    back = read_session_logs(spark, _written_logs(spark, sf), suffix=".txt", chunk_bytes=1 << 18)
     session = F.regexp_extract("path", r"session=(s\d+)/", 1)
     return back.groupBy(session.alias("session_id")).agg(F.count("*").alias("n_lines"), F.sum(F.get_json_object("line", "$.uuid").substr(F.lit(2), F.lit(20)).cast("long")).alias("uuid_sum"))
 

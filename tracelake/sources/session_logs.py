@@ -1,7 +1,7 @@
 """JSONL trees as a Spark data source, in batch and as a stream of appended lines.
 
-Rows are (path, off, line): ``off`` is the line's byte offset.  A partition is a byte range of
-one file and holds the lines that begin in it, so a huge file is read by many tasks.  The
+Rows are (path, off, line): ``off`` is the line's byte offset.  A task reads byte ranges,
+each the lines that begin in it: a huge file is read by many tasks, many small files by one.  The
 stream's offset is, for each file, where its last complete line ends and a fingerprint of its
 first bytes: a file that shrank or was replaced is read from the start again.  A line that is
 not finished yet is left for later; in batch mode a last line without a newline counts.
@@ -42,14 +42,36 @@ def list_logs(roots: list[str], suffix: str) -> dict[str, int]:
 
 
 @dataclass
-class Range(InputPartition):
+class Range:
     path: str
     start: int
     end: int
     open_end: bool = True
 
-    def __post_init__(self):
-        super().__init__((self.path, self.start, self.end))
+
+class Ranges(InputPartition):
+    """What one task reads: a range of a large file, or small files together."""
+
+    def __init__(self, parts: list[Range]):
+        super().__init__(None)
+        self.parts = parts
+
+
+def together(ranges: list[Range], most: int) -> list[Ranges]:
+    """Ranges in order, so many to a task as have ``most`` bytes."""
+    out, held = [[]], 0
+    for r in ranges:
+        if held and held + r.end - r.start > most:
+            out.append([])
+            held = 0
+        out[-1].append(r)
+        held += r.end - r.start
+    return [Ranges(x) for x in out]
+
+
+def read_ranges(part: Ranges) -> Iterator[pa.RecordBatch]:
+    for r in part.parts:
+        yield from read_range(r)
 
 
 def read_range(part: Range) -> Iterator[pa.RecordBatch]:
@@ -117,10 +139,10 @@ class BatchReader(DataSourceReader):
 
     def partitions(self):
         found = [Range(p, a, min(a + self.o.chunk, n)) for p, n in list_logs(self.o.roots, self.o.suffix).items() for a in range(0, n, self.o.chunk)]
-        return found or [Range("", 0, 0)]
+        return together(found, self.o.chunk)
 
     def read(self, partition):
-        return read_range(partition) if partition.path else iter(())
+        return read_ranges(partition)
 
 
 def _complete(path: str, start: int, size: int) -> int:
@@ -174,10 +196,10 @@ class TailReader(DataSourceStreamReader):
             before, old, old_of = start.get(path, [0, "", 0])
             begin = before if stop >= before and (not before or _head(path, old_of) == old) else 0
             found += [Range(path, a, min(a + self.o.chunk, stop), open_end=stop > a + self.o.chunk) for a in range(begin, stop, self.o.chunk)]
-        return found or [Range("", 0, 0)]
+        return together(found, self.o.chunk)
 
     def read(self, partition):
-        return read_range(partition) if partition.path else iter(())
+        return read_ranges(partition)
 
     def commit(self, end):
         pass

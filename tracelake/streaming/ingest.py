@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.decompose import BASED, Tables
+from ..operators.decompose import BASED, Tables, stored_under
 from ..operators.drift import observations
 from ..operators.search import build_index, write_index
 from ..sources.session_logs import SCHEMA, tail_session_logs
@@ -98,7 +98,7 @@ class Lake:
         """Bronze, events and the touched sessions of one micro-batch."""
         before = self.bronze.filter(F.col("batch_id") < batch_id)
         self._write(df, "bronze", batch_id)
-        batch = Tables(self.bronze.filter(F.col("batch_id") == batch_id).select("path", "off", "line"))
+        batch = Tables(self.bronze.filter(F.col("batch_id") == batch_id).select("path", "off", "line"), stored_under(f"{self.root}/batch/{batch_id}"))
         history = self.stored("sessions", "session_id string, version string, first_seen_at string, batch_id bigint").filter(F.col("batch_id") < batch_id)
         last = history.filter("version is not null").agg(F.max_by("version", F.struct("first_seen_at", "session_id"))).first()[0]
         events = record_added(batch).unionByName(session_started(batch, before)).unionByName(schema_drifted(batch)).unionByName(version_changed(batch, last)).unionByName(artifact_events(batch))
