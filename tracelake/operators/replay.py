@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..functions.ship import ship
+
 KEYS = ["session_id", "file_path"]
 
 
@@ -70,6 +72,7 @@ def _diff(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[p
 
 def file_diffs(ops: DataFrame) -> DataFrame:
     """A unified diff for each version that changed something."""
+    ship(ops.sparkSession)
     v = file_versions(ops).withColumn("before", F.lag("content").over(Window.partitionBy(*KEYS).orderBy("version")))
     d = v.withColumn("diff", _diff(F.col("file_path"), F.col("before"), F.col("content")))
     return d.filter(F.length("diff") > 0).select(*KEYS, "version", "timestamp", "tool_use_id", "diff")

@@ -18,6 +18,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+from ..functions.ship import ship
+
 SCHEMA = "path string, off bigint, line string"
 _HEAD = 64
 _BLOCK = 1 << 20
@@ -222,6 +224,7 @@ class SessionLogs(DataSource):
 
 def read_session_logs(spark: SparkSession, path: str | list[str], *, suffix: str = ".jsonl", chunk_bytes: int = 64 << 20) -> DataFrame:
     """All lines of all files below ``path``."""
+    ship(spark)
     spark.dataSource.register(SessionLogs)
     paths = path if isinstance(path, str) else ",".join(path)
     return spark.read.format("session_logs").option("path", paths).option("suffix", suffix).option("chunkBytes", chunk_bytes).load()
@@ -229,6 +232,7 @@ def read_session_logs(spark: SparkSession, path: str | list[str], *, suffix: str
 
 def tail_session_logs(spark: SparkSession, path: str, *, suffix: str = ".jsonl", chunk_bytes: int = 64 << 20, max_bytes_per_trigger: int = 0) -> DataFrame:
     """A stream of the lines appended to the files below ``path``."""
+    ship(spark)
     spark.dataSource.register(SessionLogs)
     return spark.readStream.format("session_logs").option("path", path).option("suffix", suffix).option("chunkBytes", chunk_bytes).option("maxBytesPerTrigger", max_bytes_per_trigger).load()
 
