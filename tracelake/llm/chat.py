@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ship import ship
 from .common import materialize, pieces_of, text_bytes
 
 #: States in order; the first is the state before any turn.
@@ -162,6 +163,7 @@ def _repairer(rows: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
 
 def repair(conversations: DataFrame, *, stretch_bytes: int = 16 << 20) -> DataFrame:
     """conv_id, turn, place (order of the source turns), step, role, action, cost, fragment."""
+    ship(conversations.sparkSession)
     kind = conversations.schema["conv_id"].dataType.simpleString()
     rows = conversations.select(
         F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("conv"), F.col("turn").cast("long").alias("turn"), F.lower(F.trim("role")).alias("role"), F.coalesce("text", F.lit("")).alias("text")

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ship import ship
 from .common import ALNUM_LOWER, materialize, mix, ngrams, slices, words
 
 #: A window is twice as long as the longest item of its class and an item half as long as that at least, so a containment
@@ -62,6 +63,7 @@ def _probes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def find(docs: DataFrame, items: DataFrame, *, n: int = 5, threshold: float = 0.8, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """id, item id, item_shingles, shared, containment of each document that holds ``threshold`` of an item's shingles."""
     spark = docs.sparkSession
+    ship(spark)
     id_kind, item_kind = (d.schema[c].dataType.simpleString() for d, c in ((docs, id_col), (items, item_col)))
 
     def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

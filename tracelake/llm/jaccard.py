@@ -34,6 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ship import ship
 from .common import SPACED_LOWER, gathered, materialize, mix, pack_columns, pieces_of, shingle_sets, slices, text_bytes, unpack_columns, words
 
 BLOCK = 512
@@ -273,6 +274,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def join(docs: DataFrame, *, n: int = 5, threshold: Fraction | float = 0.8, bucket_bytes: int = 12 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id (the smallest id that links reach, its own included) of each row."""
+    ship(docs.sparkSession)
     t = Fraction(threshold).limit_denominator(1000)
     classes, kind = Classes(t), docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

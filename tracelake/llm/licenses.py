@@ -23,6 +23,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ship import ship
 from .common import ALNUM_LOWER, buffers, slices, spans
 
 
@@ -147,6 +148,7 @@ PLACES = "array<struct<label:string,phrase:string,first_word:long,words:long,fir
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_words, places (see ``scan_texts``) of each row of ``docs``, and score: 1 for a base phrase, else 1 less the share of edits."""
+    ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     place = pa.struct([("label", pa.string()), ("phrase", pa.string()), ("first_word", pa.int64()), ("words", pa.int64()), ("first_byte", pa.int64()), ("end_byte", pa.int64()), ("edits", pa.int32()), ("base", pa.bool_())])
 

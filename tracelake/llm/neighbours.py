@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ship import ship
 from .common import materialize
 
 CANDIDATES_IN_BLOCK, QUERIES_IN_BLOCK = 4096, 1024
@@ -134,6 +135,7 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 def search(vectors: DataFrame, is_query: Column, *, k: int = 5, recall: float = 0.94, branches: int = 12, leaf: int = 120, sample: int = 20_000, calibration: int = 200, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score, leaves (visited by each query), recall (as calibrated).  ``is_query`` is over the column ``id``."""
     spark = vectors.sparkSession
+    ship(spark)
     rows = usable(vectors, id_col, vector_col)
     seen = rows.orderBy(F.xxhash64("id"), "id").limit(sample).toPandas()
     if not len(seen):

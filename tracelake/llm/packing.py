@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ship import ship
 from .bpe import encoder
 from .common import materialize, pieces_of
 
@@ -98,6 +99,7 @@ def _cutter(tokenizer_path: str, size: int, end_id: int | None, with_ids: bool):
 
 def cut_documents(docs: DataFrame, tokenizer_path: str, *, size: int = 1024, end_id: int | None = None, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, piece, start, length, ids_crc32 (, ids) of each piece; only longer documents are cut, and only the first piece may be short."""
+    ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     found = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(
         _cutter(tokenizer_path, size, end_id, with_ids), f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
@@ -123,6 +125,7 @@ def _packer(size: int, number: int, last: bool):
 
 def pack(pieces: DataFrame, *, size: int = 1024, items_per_partition: int = ITEMS_PER_PARTITION) -> DataFrame:
     """``pieces`` with sequence_id and offset.  ``pieces`` needs ``length``; it is written once, so that items keep their numbers."""
+    ship(pieces.sparkSession)
     names = pieces.columns
     table = materialize(pieces.withColumn("item", F.monotonically_increasing_id()), "pieces")
     items = table.filter(F.col("length") < size).select("item", "length")

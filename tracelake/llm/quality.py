@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ship import ship
 from .common import buffers, slices
 
 CHUNK, STEP = 512, 448
@@ -159,6 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", sample: i
 
 def score(docs: DataFrame, network: Network, *, text_col: str = "text") -> DataFrame:
     """``docs`` with a column ``score``: the probability of label 1."""
+    ship(docs.sparkSession)
     if "score" in docs.columns:
         docs = docs.drop("score")
 

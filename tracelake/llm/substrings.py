@@ -32,6 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ship import ship
 from .common import SPACED, gathered, mix, ngrams, pack_columns, pieces_of, powers, spans, text_bytes, unpack_columns, words
 
 _LEVELS = 3
@@ -262,6 +263,7 @@ def repeated_windows(docs: DataFrame, *, window: int = 20, groups: int = 1, buck
     """group (of ``groups``, by the id), runs: see ``read_runs``."""
     if not 2 <= window <= 32:
         raise ValueError("windows of 2 to 32 words")
+    ship(docs.sparkSession)
     buckets = pieces_of(text_bytes(docs, text_col), bucket_bytes)
     sent = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_sender(window, buckets), "bucket long, windows binary, known binary")
     return sent.groupBy("bucket").applyInArrow(_judge(groups), "group long, runs binary")

@@ -21,6 +21,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ship import ship
 from .bpe import encoder
 from .common import materialize, shared_dir
 
@@ -60,6 +61,7 @@ def _counter(tokenizer_path: str):
 def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, *, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: id, n_bytes, n_tokens, over_limit, cached (its count was stored before)."""
     spark, tokenizer = docs.sparkSession, tokenizer_version(tokenizer_path)
+    ship(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.col(id_col), text.alias("text"), F.unhex(F.substring(F.sha2(text, 256), 1, 32)).alias("digest"))
     stored = open_cache(spark, cache_path, tokenizer)
