@@ -47,7 +47,8 @@ class Tree:
             if len(rows) <= leaf:
                 continue
             own = unit[rows]
-            c = own[r.choice(len(own), min(branches, len(own)), replace=False)]
+            # so many branches as make leaves of the size asked for, if that is fewer
+            c = own[r.choice(len(own), min(branches, max(2, -(-len(own) // leaf))), replace=False)]
             for _ in range(12):
                 near = (own @ c.T).argmax(axis=1)
                 c = np.stack([own[near == k].mean(axis=0) if (near == k).any() else c[k] for k in range(len(c))])
@@ -102,18 +103,25 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 def _best(q: pd.DataFrame, x: pd.DataFrame, k: int) -> pd.DataFrame:
     """Each query's k nearest of x, by exact cosines; ties to the smaller id."""
-    Q, X, ids = _matrix(q["vec"]), _matrix(x["vec"]), x["id"].to_numpy()
-    rough, out = _unit(Q) @ _unit(X).T, []
-    norms = np.sqrt((X * X).sum(axis=1))
-    for i, qid in enumerate(q["id"].tolist()):
-        others = ids != qid
-        s = np.where(others, rough[i], -np.inf)
-        floor = np.partition(s, -k)[-k] - 1e-9 if len(s) > k else -np.inf
-        near = np.flatnonzero(others & (s >= floor))
-        exact = (X[near] * Q[i]).sum(axis=1) / (norms[near] * np.sqrt((Q[i] * Q[i]).sum()))
-        for j in np.lexsort((ids[near], -exact))[:k]:
-            out.append((qid, int(ids[near[j]]), float(exact[j])))
-    return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+    Q, X, qids, ids = _matrix(q["vec"]), _matrix(x["vec"]), q["id"].to_numpy(), x["id"].to_numpy()
+    norms, qnorms = np.sqrt((X * X).sum(axis=1)), np.sqrt((Q * Q).sum(axis=1))
+    out = []
+    for i in range(0, len(Q), 256):
+        rough = (Q[i : i + 256] @ X.T) / (qnorms[i : i + 256, None] * norms)
+        rough[qids[i : i + 256, None] == ids] = -np.inf
+        floor = np.partition(rough, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(rough), -2.0)
+        row, col = np.nonzero(rough >= np.maximum(floor - 1e-9, -2.0)[:, None])
+        row += i
+        # exact and the same wherever a pair stands; a product of matrices is neither
+        exact = np.concatenate([(X[col[j : j + 50_000]] * Q[row[j : j + 50_000]]).sum(axis=1) for j in range(0, len(row), 50_000)] or [np.zeros(0)])
+        exact /= norms[col] * qnorms[row]
+        order = np.lexsort((ids[col], -exact, row))
+        row, col, exact = row[order], col[order], exact[order]
+        head = np.searchsorted(row, row)
+        best = np.arange(len(row)) - head < k
+        out.append(pd.DataFrame({"query_id": qids[row[best]], "vec_id": ids[col[best]], "score": exact[best]}))
+    none = pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+    return (pd.concat(out) if out else none).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
 
 FOUND = "query_id long, vec_id long, score double"
