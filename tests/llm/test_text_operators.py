@@ -156,6 +156,25 @@ def test_licenses(spark, monkeypatch):
     assert licenses.scan(empty(spark)).count() == 0
 
 
+def test_licenses_with_edits_at_the_ends():
+    """An edit before or behind wording that is exact otherwise, in its middle and at an end of the text."""
+    one = {
+        "MIT Licensed": "mit", "Apache Licensed": "apache", "GNU General Public Licenses": "gpl", "Mozilla Public Licenses": "mpl", "xapache license": "apache", "xGNU General Public License": "gpl",
+    }
+    two = {"GNU General Public Licensees": "gpl", "xGNU General Public Licensed": "gpl", "xMozilla Public Licensed": "mpl"}
+    for edits, found in ((1, one), (2, two)):
+        for wording, label in found.items():
+            for before, behind in (("", ""), ("the ", " and more")):
+                got = licenses.scan_texts(pa.array([before + wording + behind, "x"]))[1]
+                assert [(p[0], p[2], p[4], p[5], p[6], p[7]) for p in got[0]] == [(label, len(before.split()), len(before), len(before + wording), edits, False)], wording
+                assert got[1] == []
+    for other in ("emit license", "mit licensees", "xapache licensed", "xxmozilla public licensed"):
+        assert licenses.scan_texts(pa.array([other]))[1] == [[]], other
+    # each place for itself: the exact one beside one with an edit
+    got = licenses.scan_texts(pa.array(["apache license apache licensed xapache license"]))[1][0]
+    assert sorted((p[2], p[6], p[7]) for p in got) == [(0, 0, True), (2, 1, False), (4, 1, False)]
+
+
 def test_sharding(spark):
     found = texts()
     docs = documents(spark, found + ["y" * 9000])

@@ -72,7 +72,7 @@ def _seeds(n: Notice) -> list[tuple[bytes, int]]:
 def _pattern(n: Notice):
     head = regex.escape(n.head.encode() + b" ", special_only=True) if n.head else b""
     tail = regex.escape(n.tail.encode(), special_only=True)
-    return regex.compile(rb"(?be)(?<![^ \n])" + head + rb"(?:" + tail + rb"){e<=%d}(?![^ \n])" % n.edits)
+    return regex.compile(rb"(?be)(?<![^ \n])" + head + rb"(?:" + tail + rb"){e<=%d:[^\n]}(?![^ \n])" % n.edits)
 
 
 def _everywhere(text: bytes, what: bytes) -> Iterator[int]:
@@ -82,15 +82,21 @@ def _everywhere(text: bytes, what: bytes) -> Iterator[int]:
         at = text.find(what, at + 1)
 
 
+def _whole_words(text: bytes, at: int, what: bytes) -> bool:
+    """Whether ``what`` stands at ``at`` with word boundaries on both sides."""
+    return at > 0 and text.startswith(what, at) and text[at - 1] in b" \n" and text[at + len(what)] in b" \n"
+
+
 def _joined(data: np.ndarray, text_at: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words in lower case, each followed by one space, or by a line end where a text ends."""
+    """Words in lower case behind a line end, each followed by one space, or by a line end where a text ends."""
     start, end = spans(data, text_at, ALNUM_LOWER)
     first = np.searchsorted(start, text_at)
     n = end - start
     letters = (ALNUM_LOWER.astype(np.int16) - 1).astype(np.uint8)[data[(ALNUM_LOWER != 0)[data]]]
-    out = np.full(int(n.sum()) + len(n), 32, np.uint8)
-    out[np.arange(len(letters)) + np.repeat(np.arange(len(n)), n)] = letters
-    word_at = np.cumsum(n + 1) - n - 1
+    out = np.full(1 + int(n.sum()) + len(n), 32, np.uint8)
+    out[0] = 10
+    out[1 + np.arange(len(letters)) + np.repeat(np.arange(len(n)), n)] = letters
+    word_at = np.cumsum(n + 1) - n
     last = first[1:][np.diff(first) > 0] - 1
     out[word_at[last] + n[last]] = 10
     return out.tobytes(), word_at, first, start, end
@@ -110,7 +116,7 @@ def scan_texts(texts: pa.Array, fuzzy: tuple[Notice, ...] = FUZZY) -> tuple[np.n
     for n in BASE:
         what = n.phrase.encode()
         for at in _everywhere(text, what):
-            if (at == 0 or text[at - 1] in b" \n") and text[at + len(what)] in b" \n":
+            if _whole_words(text, at, what):
                 put(n, at, at + len(what), 0, True)
     for n in fuzzy:
         exact = n.phrase.encode()
@@ -123,16 +129,17 @@ def scan_texts(texts: pa.Array, fuzzy: tuple[Notice, ...] = FUZZY) -> tuple[np.n
                 if guess in tried:
                     continue
                 tried.add(guess)
-                if text[max(0, guess) : max(0, guess) + len(exact)] == exact:
+                if _whole_words(text, guess, exact):
                     continue  # unchanged wording of a base phrase is already a place; of another notice it is found below
-                lo = max(0, guess - n.edits - 1, text.rfind(b"\n", 0, at) + 1)
+                # from the line end on: the library allows no insertion where its search begins
+                lo = max(guess - n.edits - 1, text.rfind(b"\n", 0, at))
                 hi = text.find(b"\n", at)
                 hi = min(len(text) if hi < 0 else hi, guess + len(exact) + n.edits + 1)
                 for m in pattern.finditer(text, lo, hi):
-                    if (m.start() == 0 or text[m.start() - 1] in b" \n") and text[m.end()] in b" \n":
+                    if text[m.start() - 1] in b" \n" and text[m.end()] in b" \n":
                         found[m.span()] = min(found.get(m.span(), 99), sum(m.fuzzy_counts))
         for at in _everywhere(text, exact):
-            if (at == 0 or text[at - 1] in b" \n") and text[at + len(exact)] in b" \n":
+            if _whole_words(text, at, exact):
                 found[at, at + len(exact)] = 0
         taken: list[tuple[int, int]] = []
         for (lo, hi), edits in sorted(found.items(), key=lambda x: (x[1], x[0])):
