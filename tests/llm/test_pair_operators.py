@@ -151,6 +151,42 @@ def test_jaccard_edges(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {3, 9, 8, None}
 
 
+def brute_links(rows, n, t):
+    """Of each row, how many other rows are similar."""
+    sets = []
+    for _, x in rows:
+        w = SPACED.findall((x or "").translate(LOWER))
+        sets.append(frozenset(zip(*[w[k:] for k in range(n)])) if len(w) >= n else frozenset([tuple(w)] if w else []))
+    out = Counter()
+    for (i, a), (j, b) in itertools.combinations(enumerate(sets), 2):
+        if a and b and rows[i][0] is not None and rows[j][0] is not None and len(a & b) >= t * len(a | b):
+            out.update((i, j))
+    return Counter((x[0], None if x[0] is None else out[i]) for i, x in enumerate(rows))
+
+
+@pytest.mark.parametrize("n,t", [(3, Fraction(9, 10)), (5, Fraction(4, 5))])
+def test_jaccard_counts_every_link(spark, monkeypatch, n, t):
+    """Families over several blocks, exact copies of near copies, repeated rows, and rows without an id."""
+    monkeypatch.setattr(jaccard, "BLOCK", 7)
+    w = sentence(random.Random(6), 200).split()
+    found = chains(3, 60) + texts(4, 60) + [" ".join([*w[: 6 * k], f"d{k}", *w[6 * k + 1 :]]) for k in range(30)]
+    rows = list(enumerate(found)) + [(1000 + i, x) for i, x in enumerate(found[::3])] + list(enumerate(found))[:9] + [(None, found[0]), (None, found[1]), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute_links(rows, n, t)
+    assert max(k[1] or 0 for k in want) > 30
+    assert Counter((r.doc_id, r.n_links) for r in jaccard.join(docs, n=n, threshold=t, bucket_bytes=20_000).collect()) == want
+
+
+def test_links_within_gives_all_pairs():
+    r = random.Random(4)
+    base = r.sample(range(1000), 60)
+    sets = [np.array(sorted(set(base) - set(r.sample(base, 2))), np.uint64) for _ in range(30)] + [np.array([1, 2, 3], np.uint64)]
+    t = Fraction(9, 10)
+    pairs = {(a, b) for a, b in itertools.combinations(range(31), 2) if 10 * len(np.intersect1d(sets[a], sets[b])) >= 9 * len(np.union1d(sets[a], sets[b]))}
+    assert len(pairs) > 100 and sorted(jaccard.links_within(sets, t)) == sorted(pairs)
+    assert sorted(jaccard.links_within(sets, t, 12)) == sorted(p for p in pairs if p[0] < 12 <= p[1])
+
+
 def test_trie_walk():
     r = random.Random(3)
     for _ in range(40):

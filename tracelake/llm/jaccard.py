@@ -10,15 +10,16 @@ similar sets still have one in common (a prefix filter; parts of passages that m
 share come last in this order and are hardly ever kept).  Sets with a kept part in common are
 candidates, and candidates that hang together form a cluster.
 
-Within a cluster, blocks of sets are joined two by two: one trie holds the sets in global
-order, and each set walks it, sharing the overlap so far with all sets below a branch and
-leaving subtrees where the lengths that remain can't make it.  Sets once linked leave the
-trie, so that a family of near copies costs about one walk each.  No link is lost between
-different components; links inside one are kept as far as they connect.
+Within a cluster, blocks of sets are joined two by two: a trie holds sets in global order,
+and each set walks it, sharing the overlap so far with all sets below a branch and leaving
+subtrees where the lengths that remain can't make it.  Every link is found, in one pair of
+blocks, and counted for both of its sets, a set of several rows as so many; of the links
+themselves a pair of blocks gives only which sets they connect, so that the rows of a family
+don't grow with its square.
 
 Nulls: a null or wordless text has the empty set and is linked with nothing.  A null id is
-kept and counts in no component's smallest id.  Repeated rows and equal texts are linked
-(similarity 1).  Fewer than n words are one shingle.  An empty table gives no rows.  Extra
+kept, counts in no component's smallest id and is linked with nothing; its component and
+number of links are null.  Repeated rows and equal texts are linked (similarity 1).  Fewer than n words are one shingle.  An empty table gives no rows.  Extra
 columns are ignored.  Texts of any length are read whole.
 """
 
@@ -164,21 +165,21 @@ def meet(blobs: list[bytes]) -> pa.Table:
 class Trie:
     """Sets of numbers in order; branches hold runs of numbers."""
 
-    __slots__ = ("run", "below", "ids", "live", "short", "long", "up")
+    __slots__ = ("run", "below", "ids", "short", "long")
 
-    def __init__(self, run: np.ndarray, up: Trie | None):
-        self.run, self.up, self.below, self.ids, self.live, self.short, self.long = run, up, {}, [], 0, 1 << 60, 0
+    def __init__(self, run: np.ndarray):
+        self.run, self.below, self.ids, self.short, self.long = run, {}, [], 1 << 60, 0
 
     def _count(self, size: int) -> None:
-        self.live, self.short, self.long = self.live + 1, min(self.short, size), max(self.long, size)
+        self.short, self.long = min(self.short, size), max(self.long, size)
 
-    def add(self, s: np.ndarray, who: int) -> Trie:
+    def add(self, s: np.ndarray, who: int) -> None:
         node, at = self, 0
         self._count(len(s))
         while at < len(s):
             child = node.below.get(int(s[at]))
             if child is None:
-                child = Trie(s[at:], node)
+                child = Trie(s[at:])
                 node.below[int(s[at])] = child
                 child._count(len(s))
                 at, node = len(s), child
@@ -187,24 +188,15 @@ class Trie:
             differ = np.flatnonzero(child.run[:n] != s[at : at + n])
             same = int(differ[0]) if len(differ) else n
             if same < len(child.run):
-                middle = Trie(child.run[:same], node)
+                middle = Trie(child.run[:same])
                 node.below[int(s[at])] = middle
-                child.run, child.up = child.run[same:], middle
+                child.run = child.run[same:]
                 middle.below[int(child.run[0])] = child
-                middle.live, middle.short, middle.long = child.live, child.short, child.long
+                middle.short, middle.long = child.short, child.long
                 child = middle
             child._count(len(s))
             at, node = at + same, child
         node.ids.append(who)
-        return node
-
-    def drop(self, who: int) -> None:
-        """Take one set out, given the node where it ends."""
-        self.ids.remove(who)
-        node: Trie | None = self
-        while node is not None:
-            node.live -= 1
-            node = node.up
 
     def similar(self, s: np.ndarray, universe: int, num: int, den: int) -> list[int]:
         """The sets in the trie whose similarity with s is num / den at least."""
@@ -215,8 +207,6 @@ class Trie:
         todo = [(c, 0, 0) for c in self.below.values()]
         while todo:
             node, over, length = todo.pop()
-            if not node.live:
-                continue
             over, length = over + int(has[node.run + 1].sum()), length + len(node.run)
             left = a - int(upto[int(node.run[-1]) + 1])
             # the best size that a set below can have, and its overlap if all that remains agrees
@@ -229,31 +219,40 @@ class Trie:
         return out
 
 
-def links_within(sets: list[np.ndarray], threshold: Fraction) -> list[tuple[int, int]]:
-    """Links that connect all sets that similar ones connect."""
+def links_within(sets: list[np.ndarray], threshold: Fraction, first: int = 0) -> list[tuple[int, int]]:
+    """All pairs of similar sets; with ``first``, those of one of the first so many sets and one of the others."""
     universe, ranks = np.unique(np.concatenate(sets), return_inverse=True)
     cut = np.cumsum([len(s) for s in sets])[:-1]
-    ranked = [np.asarray(r, np.int64) for r in np.split(ranks.ravel(), cut)]
-    root, out = Trie(np.zeros(0, np.int64), None), []
-    ends = [root.add(s, i) for i, s in enumerate(ranked)]
-    # a node is split under sets that end below it, never above their end: ends stay valid
-    seen = [False] * len(sets)
-    for i in range(len(sets)):
-        if seen[i]:
-            continue
-        seen[i] = True
-        ends[i].drop(i)
-        todo = [i]
-        while todo:
-            j = todo.pop()
-            for k in root.similar(ranked[j], len(universe), threshold.numerator, threshold.denominator):
-                seen[k] = True
-                ends[k].drop(k)
-                out.append((j, k))
-                todo.append(k)
+    root, out = Trie(np.zeros(0, np.int64)), []
+    for i, s in enumerate(np.split(ranks.ravel().astype(np.int64), cut)):
+        if i >= first:
+            out += [(k, i) for k in root.similar(s, len(universe), threshold.numerator, threshold.denominator)]
+        if i < first or not first:
+            root.add(s, i)
     return out
 
 
+def linked_sets(links: list[tuple[int, int]], copies: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sets that have links, the first set that each is connected with, and the rows that its links lead to."""
+    a, b = np.array(links, np.int64).reshape(-1, 2).T
+    up = list(range(len(copies)))
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for i, j in links:
+        i, j = root(i), root(j)
+        up[max(i, j)] = min(i, j)
+    n = np.zeros(len(copies), np.int64)
+    np.add.at(n, a, copies[b])
+    np.add.at(n, b, copies[a])
+    has = np.flatnonzero(n)
+    return has, np.array([root(x) for x in has.tolist()], np.int64), n[has]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node reachable) for the nodes of ``edges`` (a, b), by large-star and small-star rounds."""
     links = materialize(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).filter("u <> v").distinct(), "links")
@@ -273,7 +272,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame, *, n: int = 5, threshold: Fraction | float = 0.8, bucket_bytes: int = 12 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, component_id (the smallest id that links reach, its own included) of each row."""
+    """id, n_shingles, component_id (the smallest id that links reach, its own included), n_links (other rows that are similar) of each row."""
     ship(docs.sparkSession)
     t = Fraction(threshold).limit_denominator(1000)
     classes, kind = Classes(t), docs.schema[id_col].dataType.simpleString()
@@ -321,7 +320,7 @@ def join(docs: DataFrame, *, n: int = 5, threshold: Fraction | float = 0.8, buck
     sizes = clusters.groupBy("root").count().select("root", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     members = clusters.join(sizes, "root").select("node", "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
     # one document for each set; the join reads texts again instead of keeping all sets
-    of_node = table.filter(F.col("node").isNotNull() & F.col("id").isNotNull()).groupBy("node").agg(F.min("id").alias("id"))
+    of_node = materialize(table.filter(F.col("node").isNotNull() & F.col("id").isNotNull()).groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "nodes")
     chosen = materialize(members.join(of_node, "node"), "members")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,7 +329,7 @@ def join(docs: DataFrame, *, n: int = 5, threshold: Fraction | float = 0.8, buck
                 sets = shingle_sets(words(part.column(1), SPACED_LOWER), n)
                 mine = pa.array([len(s) > 0 and _node(s) == x for s, x in zip(sets, part.column(2).to_pylist())])
                 held = pa.array([s.tobytes() for s in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([c.filter(mine) for c in (part.column(2), part.column(3), part.column(4), part.column(5), held)], names=["node", "root", "blocks", "block", "held"])
+                yield pa.RecordBatch.from_arrays([c.filter(mine) for c in (*part.columns[2:], held)], names=["node", "root", "blocks", "block", "copies", "held"])
 
     # a bit table of the chosen ids, of bounded size, keeps the texts of all other documents out of the exchange
     bits = 1 << min(27, max(15, (16 * chosen.count()).bit_length()))
@@ -340,21 +339,31 @@ def join(docs: DataFrame, *, n: int = 5, threshold: Fraction | float = 0.8, buck
     likely = rows.withColumns({"bucket": F.bitmap_bucket_number(place), "at": F.bitmap_bit_position(place)}).join(F.broadcast(table_of), "bucket")  # 16 MB at most
     likely = likely.filter(byte.bitwiseAND(F.expr("shiftleft(1, cast(at % 8 as int))")) != 0).select("id", "text")
 
-    held = likely.join(chosen, "id").select("id", "text", "node", "root", "blocks", "block").mapInArrow(sets_of, "node long, root long, blocks int, block int, held binary")
+    held = likely.join(chosen, "id").select("id", "text", "node", "root", "blocks", "block", "copies").mapInArrow(sets_of, "node long, root long, blocks int, block int, copies long, held binary")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    blocks = held.select("node", "root", "block", "held", other.alias("other")).select("node", "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "held")
+    blocks = held.select("node", "root", "block", "copies", "held", other.alias("other")).select("node", "root", "block", "copies", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "held")
 
     def verify(lot: pa.Table) -> pa.Table:
-        own = dict(zip(lot.column("node").to_pylist(), lot.column("held").to_pylist()))
-        nodes = sorted(own)
-        found = links_within([np.frombuffer(own[x], np.uint64) for x in nodes], t) if len(nodes) > 1 else []
-        return pa.table({"a": pa.array([nodes[i] for i, _ in found], pa.int64()), "b": pa.array([nodes[j] for _, j in found], pa.int64())})
-
-    linked = components(blocks.groupBy("root", "i", "j").applyInArrow(verify, "a long, b long"))
-    named = table.join(linked, "node", "left").select("id", "n_shingles", F.coalesce("root", "node").alias("root"))
-    # written, so that the join below stands alone and a component that many rows share can be split
+        # by block; a pair of two blocks gives the links between them, the pair of a block with itself those within
+        own = {x: (b, x, c, h) for b, x, c, h in zip(*[lot.column(c).to_pylist() for c in ("block", "node", "copies", "held")])}
+        rows = sorted(own.values(), key=lambda x: x[:2])
+        first = sum(x[0] == rows[0][0] for x in rows)
+        two = lot.column("i")[0].as_py() != lot.column("j")[0].as_py()
+        none = len(rows) < 2 or two and first == len(rows)
+        found = [] if none else links_within([np.frombuffer(x[3], np.uint64) for x in rows], t, first if two else 0)
+        nodes = np.array([x[1] for x in rows], np.int64)
+        has, to, n_links = linked_sets(found, np.array([x[2] for x in rows], np.int64))
+        return pa.table({"a": nodes[has], "b": nodes[to], "n": n_links})
+
+    met = materialize(blocks.groupBy("root", "i", "j").applyInArrow(verify, "a long, b long, n long"), "met")
+    linked = components(met).join(met.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n")), "node")
+    # what the rows of a set have besides the rows themselves, for sets of several rows and sets with links; written, so that the joins
+    # below stand alone and a set or a component of many rows can be split
+    extra = of_node.join(linked, "node", "left").filter("copies > 1 or n > 0").select("node", "root", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n"))
+    named = table.join(materialize(extra, "extra"), "node", "left").select("id", "n_shingles", F.coalesce("root", "node").alias("root"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
     first = materialize(named.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min("id").alias("component")), "first")
-    return named.join(first, "root", "left").select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("root").isNull() | F.col("id").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id"))
+    component = F.when(F.col("root").isNull() | F.col("id").isNull(), F.col("id")).otherwise(F.col("component"))
+    return named.join(first, "root", "left").select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.when(F.col("id").isNotNull(), F.col("n")).alias("n_links"))
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", **more) -> DataFrame:
