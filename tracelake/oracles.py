@@ -211,6 +211,7 @@ ORACLES = {
       UNION ALL SELECT 'flavour', 'file-history-snapshot', 'unknown' FROM pg WHERE kind = 'file-history-snapshot') GROUP BY ALL"""),
     "d2_record_type_drift": ev("SELECT * FROM typedrift"),
     "d3_schema_drift_list": ev("SELECT field_name, record_type, version, first_seen_at FROM drift ORDER BY first_seen_at DESC, 1, 2, 3 LIMIT 7"),
+    "d3_schema_drift_list_whole": ev("SELECT field_name, record_type, version, first_seen_at FROM drift"),
     "d4_record_type_drift_list": ev("SELECT type_name, version, last_seen_at FROM typedrift ORDER BY last_seen_at DESC, 1, 2 LIMIT 3"),
     "d5_drift_by_version": ev("SELECT version, record_type, field_name, occurrence_count, 'extra_json' AS promotion_status FROM drift"),
     "d6_version_span": ev("SELECT version, min(timestamp) AS first_seen, max(timestamp) AS last_seen FROM msg GROUP BY 1"),

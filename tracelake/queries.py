@@ -323,6 +323,11 @@ def d3_schema_drift_list(spark, sf):
     return drift.schema_drift_list(logs(spark, sf).schema_drift, 7).select("field_name", "record_type", "version", "first_seen_at")
 
 
+@query
+def d3_schema_drift_list_whole(spark, sf):
+    return drift.schema_drift_list(logs(spark, sf).schema_drift).select("field_name", "record_type", "version", "first_seen_at")
+
+
 @query
 def d4_record_type_drift_list(spark, sf):
     return drift.record_type_drift_list(logs(spark, sf).record_type_drift, type_contains="MYST", limit=3).select("type_name", "version", "last_seen_at")
