@@ -151,6 +151,14 @@ def test_jaccard_edges(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {3, 9, 8, None}
 
 
+def test_keep_one_keeps_one_row(spark):
+    """Rows that repeat an id: one row of each component, and none of another component goes with them."""
+    rows = [(3, "a b c d"), (3, "a b c d"), (5, "a b c d"), (5, "other words here"), (7, "Other words here"), (2, "alone"), (None, "a b c d"), (None, "a b c d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter(map(tuple, jaccard.keep_one(docs, n=3, threshold=0.9).collect()))
+    assert got == Counter({(3, "a b c d"): 1, (5, "other words here"): 1, (2, "alone"): 1, (None, "a b c d"): 2})
+
+
 def brute_links(rows, n, t):
     """Of each row, how many other rows are similar."""
     sets = []

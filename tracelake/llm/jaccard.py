@@ -366,8 +366,12 @@ def join(docs: DataFrame, *, n: int = 5, threshold: Fraction | float = 0.8, buck
     return named.join(first, "root", "left").select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.when(F.col("id").isNotNull(), F.col("n")).alias("n_links"))
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", **more) -> DataFrame:
-    """``docs`` with one document of each component: that of the smallest id."""
-    found = join(docs, id_col=id_col, **more)
-    gone = found.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
+    """``docs`` with one row of each component: one of those of the smallest id.  Rows without an id, which are linked with nothing, stay."""
+    row = "row" + "_" * max(map(len, docs.columns))
+    # written, so that rows keep their numbers; a row is known by its id and number, since rows may repeat an id
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    key = F.when(F.col(id_col).isNotNull(), F.struct(F.col(id_col).alias("id"), F.col(row).alias("row")))
+    found = join(numbered.select(key.alias("key"), text_col), id_col="key", text_col=text_col, **more)
+    gone = found.filter(F.col("key") != F.col("component_id")).select(F.col("key.row").alias(row))
+    return numbered.join(gone, row, "left_anti").select(*docs.columns)
