@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.columns import session_id_from_path, upsert_first, upsert_last
+from .functions.shared import shared_dir
 from .operators import artifacts, assemble, drift, export, listing, replay, search, stats, views
 from .operators.decompose import Tables, dispatch, overflow, stored_under
 from .plans import sqlrun
@@ -49,9 +49,8 @@ def side_logs(spark: SparkSession, sf: str) -> Tables:
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share; a temporary one of our own only where the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder that driver and executors share."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def _written_logs(spark: SparkSession, sf: str) -> str:
