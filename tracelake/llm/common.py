@@ -1,8 +1,10 @@
-"""What the operators share: the shared folder, stable intermediate tables, and words as numbers."""
+"""What the operators share: stable intermediate tables, and words as numbers.
+
+The words of a text are held at once, at about 10 bytes of memory for a byte of the longest text of a task.
+"""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -12,28 +14,28 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
-
+from ..functions.shared import delete, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of our own only where the session names none (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = tempfile.mkdtemp(prefix="spark-shared-")
-    return _OWN[app]
+_WRITTEN: dict[int, tuple[DataFrame, str]] = {}
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    _WRITTEN[id(back)] = (back, path)
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing is read from any more."""
+    for t in tables:
+        _, path = _WRITTEN.pop(id(t))
+        delete(t.sparkSession, path)
 
 
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
@@ -71,11 +73,12 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers whose every output bit depends on every input bit."""
-    x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    with np.errstate(over="ignore"):
+        x = x ^ (x >> np.uint64(30))
+        x = x * np.uint64(0xBF58476D1CE4E5B9)
+        x = x ^ (x >> np.uint64(27))
+        x = x * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
 
 
 def byte_classes(separators: bytes, lower: bool) -> np.ndarray:
@@ -171,12 +174,14 @@ def words(texts: pa.Array, classes: np.ndarray) -> Words:
 
 def ngrams(h: np.ndarray, n: int) -> np.ndarray:
     """The fingerprint of each n consecutive numbers, at its first; len(h) - n + 1 of them."""
-    if len(h) < n:
-        return np.zeros(0, np.uint64)
-    up, down = powers(len(h))
-    total = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(h * up[: len(h)], out=total[1:])
-    return mix((total[n:] - total[:-n]) * down[: len(h) - n + 1] + np.uint64(n))
+    out = np.empty(max(0, len(h) - n + 1), np.uint64)
+    for lo in range(0, len(out), _BLOCK):  # a name doesn't depend on where the numbers stand, so long texts go by blocks
+        own = h[lo : lo + _BLOCK + n - 1]
+        up, down = powers(len(own))
+        total = np.zeros(len(own) + 1, np.uint64)
+        np.cumsum(own * up[: len(own)], out=total[1:])
+        out[lo : lo + _BLOCK] = mix((total[n:] - total[:-n]) * down[: len(own) - n + 1] + np.uint64(n))
+    return out
 
 
 def shingle_sets(w: Words, n: int) -> list[np.ndarray]:

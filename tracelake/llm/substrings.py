@@ -6,17 +6,22 @@ same all over the corpus without a table of names; a gap between two symbols tha
 spans goes on to the next round.  Whether a gap lasts depends only on the symbols beside it,
 so equal substrings have equal interior gaps.  Each window of ``window`` words is known by
 the gap in it that lasts longest, as far as the window's own words decide it, and of these
-by the one with the smallest name: equal windows name equal gaps.  Gaps of one name meet in
-one bucket, where fingerprints of the windows verify which are equal and which is first.
-
-A task sends each different window once, so that a passage that many documents share costs a
-bucket one entry for each task batch.  Nothing else leaves: no text is sent until the end,
-when each document meets the starts of its repeated windows.
-
-Nulls: a null text has no words; a row without an id is ordered behind all ids.  Rows that
+by the one with the smallest name: equal windows name equal gaps.  The gap's name is that of
+the two symbols of the latest round beside it, which lie inside the window; what is left of the
+window on either side is its fringe.  Gaps of one name meet in one bucket: that exchange is the
+round that is global.  Two windows are equal if the symbols about their gaps have one name, the
+gaps stand at one distance and the fringes have one name: the symbols decide the interior, and
+no window is compared as a whole.
+
+A task sends each different window once, and of windows that go on recurring in it only the
+first: a passage that many documents share costs a bucket a few entries for each task.  Nothing
+else leaves: no text is sent until the end, when each document meets its repeated windows.
+
+Nulls: a null text has no words; a row without an id is ordered behind all ids.  Ids of any type
+that can be ordered go by that order (others than whole numbers are numbered first).  Rows that
 share an id are told apart by their texts; of two equal rows neither is earlier.  An empty
-table gives no rows.  Extra columns are ignored (``removed``) or kept (``remove``); texts of
-any length are read whole.
+table gives no rows.  Extra columns are ignored (``removed``) or kept (``remove``), whatever
+their names; texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -25,23 +30,25 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.shared import free_name
 from ..functions.ship import ship
-from .common import SPACED, gathered, mix, ngrams, pack_columns, pieces_of, powers, spans, text_bytes, unpack_columns, words
+from .common import SPACED, gathered, materialize, mix, ngrams, pack_columns, pieces_of, powers, slices, spans, text_bytes, unpack_columns, words
 
 _LEVELS = 3
 _FAR = 120
 _NO_ID = (1 << 63) - 1
 
 
-def _gaps(h: np.ndarray, doc: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each round the gaps that last (gap g is behind word g), their names, and how many words to the left and right decide that."""
+def _gaps(h: np.ndarray, doc: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+    """For each round the gaps that last (gap g is behind word g), their names, how many words to the left and right decide that,
+    and where the symbols on both sides begin and end."""
     n = len(h)
     end = np.flatnonzero(np.concatenate((doc[1:] != doc[:-1], [True])))
     at, names = np.arange(n), h  # each word is a symbol that ends at its own gap
@@ -66,7 +73,7 @@ def _gaps(h: np.ndarray, doc: np.ndarray) -> list[tuple[np.ndarray, np.ndarray,
             # both symbols must be seen whole: up to the gaps on their far sides, and what decides these
             before = np.where(inner > 0, lo[np.maximum(inner - 1, 0)], -_FAR)
             own_lo, own_hi = before, hi[inner + 1]
-        out.append((at[inner], name, np.minimum(at[inner] - own_lo, _FAR).astype(np.int8), np.minimum(own_hi - at[inner], _FAR).astype(np.int8)))
+        out.append((at[inner], name, np.minimum(at[inner] - own_lo, _FAR).astype(np.int8), np.minimum(own_hi - at[inner], _FAR).astype(np.int8), np.where(inner > 0, at[inner - 1] + 1, 0), at[inner + 1] + 1))
         # the symbols of the next round, and what decides their gaps
         kept = np.flatnonzero(stays)
         decide_lo, decide_hi = np.full(len(at), -(1 << 40)), np.full(len(at), 1 << 40)
@@ -77,18 +84,19 @@ def _gaps(h: np.ndarray, doc: np.ndarray) -> list[tuple[np.ndarray, np.ndarray,
     return out
 
 
-def anchors(h: np.ndarray, doc: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each window inside one document: its start, its gap's distance from the start, and the gap's name."""
+def anchors(h: np.ndarray, doc: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each window inside one document: its start, its gap's distance from the start, the gap's name, and its fringe's."""
     n = len(h) - window + 1
     if n < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     rounds = _gaps(h, doc)
     start = np.flatnonzero(doc[:n] == doc[window - 1 :])
     best = np.full(len(start), np.iinfo(np.uint64).max, np.uint64)
     most, low = np.iinfo(np.uint64).max, np.uint64(31)
     todo = np.arange(len(start))
+    before, behind = start.copy(), start.copy()  # where the symbols about the gap begin and end
     for level in range(_LEVELS, 0, -1):
-        gap, name, left, right = rounds[level - 1]
+        gap, name, left, right, begin, end = rounds[level - 1]
         key = np.full(len(h), most, np.uint64)
         key[gap] = (name & ~low) - np.uint64(32) * (name > most - np.uint64(64))
         need_l, need_r = np.full(len(h), 127, np.int8), np.full(len(h), 127, np.int8)
@@ -100,17 +108,28 @@ def anchors(h: np.ndarray, doc: np.ndarray, window: int) -> tuple[np.ndarray, np
             fits = (need_l[where] <= d) & (need_r[where] <= window - 1 - d)
             np.minimum(found, np.where(fits, key[where] | np.uint64(d), most), out=found)
         best[todo] = found
-        todo = todo[found == most]
+        has = found != most
+        at = np.searchsorted(gap, s[has] + (found[has] & low).astype(np.int64))
+        before[todo[has]], behind[todo[has]] = begin[at], end[at]
+        todo = todo[~has]
         if not len(todo):
             break
     distance = (best & low).astype(np.int64)
     name = mix(best & ~low)
-    # a window all in one run or pair has no gap inside: it is known by itself
+    up, down = powers(len(h))
+    total = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * up[: len(h)], out=total[1:])
+
+    def spelled(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        return mix((total[hi] - total[lo]) * down[lo] + (hi - lo).astype(np.uint64))
+
+    # a window all in one run or pair has no gap inside: it is all fringe
     lone = best == most
-    if lone.any():
-        name[lone] = mix(ngrams(h, window)[start[lone]] + np.uint64(1))
-        distance[lone] = 0
-    return start, distance, name
+    distance[lone] = 0
+    last = start + window
+    fringe = mix(spelled(start, before) * np.uint64(3) + spelled(behind, last))
+    name[lone] = mix(fringe[lone])
+    return start, distance, name, fringe
 
 
 def _runs(doc: np.ndarray, mark: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -124,62 +143,107 @@ def _runs(doc: np.ndarray, mark: np.ndarray, start: np.ndarray) -> tuple[np.ndar
     return doc[first], mark[first], start[first], start[last] - start[first] + 1
 
 
-def _mark(text: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(text) & 0xFFFF
-
-
 def _marks(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The CRC-32 of each text."""
     raw = data.tobytes()
-    return np.array([_mark(raw[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())], np.uint16)
+    return np.array([zlib.crc32(raw[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())], np.uint32)
+
+
+@dataclass
+class Recurring:
+    """Windows that a task has met again, with the first place of each that was sent; those met last, at most ``most``.
+
+    Without them a passage that stands all over the corpus would be sent for every batch.  Forgetting one costs an entry more.
+    """
+
+    most: int = 1 << 17
+    cells: int = 1 << 22
+    table: np.ndarray = field(default_factory=lambda: np.zeros(0, [("whole", "u8"), ("name", "u8"), ("fringe", "u8"), ("id", "i8"), ("at", "i8"), ("met", "i8")]))
+    batch: int = 0
+    filled: int = 0
+
+    def __post_init__(self):
+        self.met = np.zeros(self.cells, bool)
+
+    def judge(self, heads: np.ndarray, again: np.ndarray) -> np.ndarray:
+        """Which of a batch's different windows (each at its first place) were sent from an earlier place; ``again``: it recurs in the batch."""
+        self.batch += 1
+        heads["met"] = self.batch
+        have = self.table
+        at = np.minimum(np.searchsorted(have["whole"], heads["whole"]), max(len(have) - 1, 0))
+        known = np.zeros(len(heads), bool)
+        if len(have):
+            known = np.all([have[c][at] == heads[c] for c in ("whole", "name", "fringe")], axis=0)
+        old = have[at[known]]
+        earlier = np.zeros(len(heads), bool)
+        earlier[known] = (old["id"] < heads["id"][known]) | ((old["id"] == heads["id"][known]) & (old["at"] < heads["at"][known]))
+        heads["id"][earlier], heads["at"][earlier] = (have[c][at[earlier]] for c in ("id", "at"))
+        cell = (heads["whole"] % np.uint64(self.cells)).astype(np.int64)
+        keep = known | again | self.met[cell]
+        if self.filled > self.cells // 4:
+            self.met[:], self.filled = False, 0
+        self.met[cell] = True
+        self.filled += len(cell)
+        stay = np.ones(len(have), bool)
+        stay[at[known]] = False
+        table = np.concatenate((have[stay], heads[keep]))
+        if len(table) > self.most:
+            table = table[np.argsort(-table["met"], kind="stable")[: self.most]]
+        self.table = table[np.argsort(table["whole"], kind="stable")]
+        return earlier
 
 
 def _sender(window: int, buckets: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        recurring = Recurring()
         for batch in gathered(batches, most=2 << 20):
-            ids = batch.column(0).fill_null(_NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
             order = np.argsort(ids, kind="stable")
             ids, texts = ids[order], batch.column(1).take(pa.array(order))
             w = words(texts, SPACED)
             doc, marks = w.doc_of(), _marks(w.data, w.text_at)
-            start, distance, name = anchors(w.hash, doc, window)
+            start, distance, name, fringe = anchors(w.hash, doc, window)
             if not len(start):
                 continue
-            print_ = ngrams(w.hash, window)[start]
+            own = start - w.first[doc[start]]
             # of equal windows here, all but the first are repeats for certain and only the first is sent
-            by = np.argsort(print_, kind="stable")
-            same = np.concatenate(([False], print_[by][1:] == print_[by][:-1]))
+            whole, symbols = mix(name + distance.astype(np.uint64)) ^ fringe, name + distance.astype(np.uint64)
+            by = np.argsort(whole, kind="stable")
+            same = np.concatenate(([False], np.all([x[by][1:] == x[by][:-1] for x in (whole, symbols, fringe)], axis=0)))
+            head = np.flatnonzero(~same)
+            of = np.cumsum(~same) - 1
+            first = by[head]
+            found = np.empty(len(head), recurring.table.dtype)
+            found["whole"], found["name"], found["fringe"], found["id"], found["at"] = whole[first], symbols[first], fringe[first], ids[doc[start[first]]], own[first]
+            before = recurring.judge(found, np.diff(np.append(head, len(by))) > 1)
             # rows of one id and start are not earlier than each other: send both
-            head = np.maximum.accumulate(np.where(same, 0, np.arange(len(by))))
-            own = start - w.first[doc[start]]
-            tie = (ids[doc[start[by]]] == ids[doc[start[by[head]]]]) & (own[by] == own[by[head]])
+            tie = (ids[doc[start[by]]] == ids[doc[start[first[of]]]]) & (own[by] == own[first[of]])
             repeat = np.zeros(len(start), bool)
-            repeat[by[same & ~tie]] = True
+            repeat[by[(same & ~tie) | before[of]]] = True
             rows: list[tuple[int, bytes, bytes]] = []
             if repeat.any():
                 d = doc[start[repeat]]
                 runs = _runs(ids[d], marks[d], own[repeat])
-                lot = struct.pack("<I", len(runs[0])) + pack_columns(runs[0].astype("<i8"), runs[1].astype("<u2"), runs[2].astype("<u4"), runs[3].astype("<u4"))
-                rows.append((int(mix(print_[:1])[0] % np.uint64(buckets)), b"", lot))
+                rows.append((int(whole[0] % np.uint64(buckets)), b"", _run_lot(*runs)))
             keep = np.flatnonzero(~repeat)
-            start, distance, name, print_, own = start[keep], distance[keep], name[keep], print_[keep], own[keep]
+            start, distance, name, fringe = start[keep], distance[keep], name[keep], fringe[keep]
             gap = start + distance
             bucket = (name % np.uint64(buckets)).astype(np.int64)
             order = np.lexsort((start, name, gap, bucket))
-            bucket, gap, name, distance, print_ = bucket[order], gap[order], name[order], distance[order], print_[order]
+            bucket, gap, name, distance, fringe = bucket[order], gap[order], name[order], distance[order], fringe[order]
             new = np.ones(len(gap), bool)
             new[1:] = (gap[1:] != gap[:-1]) | (name[1:] != name[:-1])
             first = np.flatnonzero(new)
-            mask = np.bitwise_or.reduceat(np.left_shift(1, distance), first).astype("<u4")
+            mask = np.bitwise_or.reduceat(np.left_shift(1, distance), first).astype("<u4") if len(first) else np.zeros(0, "<u4")
             d = doc[gap[first]]
             place = gap[first] - w.first[d]
-            short = (print_ >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
             cuts = np.searchsorted(bucket[first], np.arange(buckets + 1))
             for b in np.unique(bucket).tolist():
                 lo, hi = int(cuts[b]), int(cuts[b + 1])
-                w_lo, w_hi = int(first[lo]), int(first[hi]) if hi < len(first) else len(print_)
+                w_lo, w_hi = int(first[lo]), int(first[hi]) if hi < len(first) else len(fringe)
                 step = np.diff(ids[d[lo:hi]], prepend=0)
-                body = pack_columns(step.astype("<i8"), marks[d[lo:hi]].astype("<u2"), place[lo:hi].astype("<u4"), mask[lo:hi])
-                rows.append((b, struct.pack("<II", hi - lo, len(body)) + body + name[first[lo:hi]].astype("<u8").tobytes() + short[w_lo:w_hi].tobytes(), b""))
+                body = pack_columns(step.astype("<i8"), marks[d[lo:hi]].astype("<u4"), place[lo:hi].astype("<u4"), mask[lo:hi])
+                rows.append((b, struct.pack("<II", hi - lo, len(body)) + body + name[first[lo:hi]].astype("<u8").tobytes() + fringe[w_lo:w_hi].astype("<u8").tobytes(), b""))
             for i in range(0, len(rows), 1000):
                 part = list(zip(*rows[i : i + 1000]))
                 yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int64()), pa.array(part[1], pa.binary()), pa.array(part[2], pa.binary())], names=["bucket", "windows", "known"])
@@ -187,144 +251,173 @@ def _sender(window: int, buckets: int):
     return send
 
 
+def _run_lot(doc: np.ndarray, mark: np.ndarray, first: np.ndarray, n: np.ndarray) -> bytes:
+    return struct.pack("<I", len(doc)) + pack_columns(doc.astype("<i8"), mark.astype("<u4"), first.astype("<u4"), n.astype("<u4"))
+
+
+def _unrun(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
+    lots = [unpack_columns(b[4:], struct.unpack_from("<I", b)[0], "<i8", "<u4", "<u4", "<u4") for b in blobs if b]
+    doc, mark, first, n = (np.concatenate(c) for c in zip(*lots)) if lots else (np.zeros(0, np.int64),) * 4
+    return doc, mark, first.astype(np.int64), n.astype(np.int64)
+
+
 def _read_windows(blob: bytes) -> tuple[np.ndarray, ...]:
-    """name, id, mark, start, fingerprint of each window."""
+    """Name and distance, fringe, id, mark, start of each window."""
     n, size = struct.unpack_from("<II", blob)
-    step, mark, place, mask = unpack_columns(blob[8 : 8 + size], n, "<i8", "<u2", "<u4", "<u4")
+    step, mark, place, mask = unpack_columns(blob[8 : 8 + size], n, "<i8", "<u4", "<u4", "<u4")
     name = np.frombuffer(blob, "<u8", n, 8 + size)
-    short = np.frombuffer(blob, np.uint8, -1, 8 + size + 8 * n).reshape(-1, 5)
+    fringe = np.frombuffer(blob, "<u8", -1, 8 + size + 8 * n)
     bits = (mask[:, None] >> np.arange(31, -1, -1).astype("<u4")) & 1  # the farthest start first
     row, col = np.nonzero(bits)
-    wide = np.zeros((len(short), 8), np.uint8)
-    wide[:, :5] = short
     distance = 31 - col
-    return name[row] + distance.astype(np.uint64), np.cumsum(step)[row], mark[row], place[row].astype(np.int64) - distance, wide.view("<u8").ravel()
+    return name[row] + distance.astype(np.uint64), fringe, np.cumsum(step)[row], mark[row], place[row].astype(np.int64) - distance
 
 
-def _group(doc: int, groups: int) -> int:
-    return zlib.crc32(str(doc).encode()) % groups
+def _group(doc: np.ndarray, mark: np.ndarray, groups: int) -> np.ndarray:
+    """Of documents; rows without an id are told apart by their texts."""
+    return (mix(np.where(doc == _NO_ID, mark, doc).astype(np.uint64)) % np.uint64(groups)).astype(np.int64)
 
 
 def _judge(groups: int):
     def judge(table: pa.Table) -> pa.Table:
         """One bucket: runs of window starts that are not the first of their windows, by group of documents."""
-        found: list[tuple[np.ndarray, ...]] = []
-        for blob in table.column("known").to_pylist():
-            if blob:
-                doc, mark, first, n = unpack_columns(blob[4:], struct.unpack_from("<I", blob)[0], "<i8", "<u2", "<u4", "<u4")
-                found.append((doc, mark, first.astype(np.int64), n.astype(np.int64)))
+        found = [_unrun(table.column("known").to_pylist())]
         lots = [_read_windows(b) for b in table.column("windows").to_pylist() if b]
         if lots:
-            name, doc, mark, start, short = (np.concatenate(c) for c in zip(*lots))
+            symbols, fringe, doc, mark, start = (np.concatenate(c) for c in zip(*lots))
             del lots
-            whole = mix(name) ^ (short << np.uint64(20))
-            del name, short
+            whole = mix(symbols) ^ fringe
             by = np.argsort(whole)
-            same = whole[by][1:] == whole[by][:-1]
+            one, two = whole[by][1:] == whole[by][:-1], symbols[by][1:] == symbols[by][:-1]
+            if (one & ~two).any():  # different windows that fold into one number
+                by = np.lexsort((fringe, symbols))
+            same = (symbols[by][1:] == symbols[by][:-1]) & (fringe[by][1:] == fringe[by][:-1])
             shared = np.zeros(len(by), bool)
             shared[1:] |= same
             shared[:-1] |= same
             pick = by[shared]
             if len(pick):
-                pick = pick[np.lexsort((start[pick], doc[pick], whole[pick]))]
-                w = whole[pick]
-                head = np.concatenate(([True], w[1:] != w[:-1]))
+                pick = pick[np.lexsort((start[pick], doc[pick], fringe[pick], symbols[pick]))]
+                head = np.ones(len(pick), bool)
+                head[1:] = (symbols[pick][1:] != symbols[pick][:-1]) | (fringe[pick][1:] != fringe[pick][:-1])
                 first = pick[np.maximum.accumulate(np.where(head, np.arange(len(pick)), 0))]
                 later = pick[(doc[pick] != doc[first]) | (start[pick] != start[first])]
                 if len(later):
                     found.append(_runs(doc[later], mark[later], start[later]))
-        if not found:
-            return pa.table({"group": pa.array([], pa.int64()), "runs": pa.array([], pa.binary())})
         doc, mark, first, n = (np.concatenate(c) for c in zip(*found))
-        ids, of = np.unique(doc, return_inverse=True)
-        group = np.array([_group(i, groups) for i in ids.tolist()], np.int64)[of]
+        if not len(doc):
+            return pa.table({"group": pa.array([], pa.int64()), "runs": pa.array([], pa.binary())})
+        group = _group(doc, mark, groups)
         order = np.lexsort((doc, group))
         doc, mark, first, n, group = doc[order], mark[order], first[order], n[order], group[order]
         cut = [*np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))).tolist(), len(group)]
-        lots = [struct.pack("<I", b - a) + pack_columns(doc[a:b].astype("<i8"), mark[a:b].astype("<u2"), first[a:b].astype("<u4"), n[a:b].astype("<u4")) for a, b in zip(cut, cut[1:])]
-        return pa.table({"group": pa.array(group[cut[:-1]]), "runs": pa.array(lots, pa.binary())})
+        return pa.table({"group": pa.array(group[cut[:-1]]), "runs": pa.array([_run_lot(doc[a:b], mark[a:b], first[a:b], n[a:b]) for a, b in zip(cut, cut[1:])], pa.binary())})
 
     return judge
 
 
-def read_runs(blobs: list[bytes]) -> dict[tuple[int, int], list[np.ndarray]]:
-    """By id and mark: (first start, how many) of the runs."""
-    out: dict[tuple[int, int], list[np.ndarray]] = {}
-    for blob in blobs:
-        doc, mark, first, n = unpack_columns(blob[4:], struct.unpack_from("<I", blob)[0], "<i8", "<u2", "<u4", "<u4")
-        runs = np.stack((first, n), 1).astype(np.int64)
-        cut = [*np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])))).tolist(), len(doc)]
-        for a, b in zip(cut, cut[1:]):
-            out.setdefault((int(doc[a]), int(mark[a])), []).append(runs[a:b])
-    return out
-
-
-def repeated_windows(docs: DataFrame, *, window: int = 20, groups: int = 1, bucket_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """group (of ``groups``, by the id), runs: see ``read_runs``."""
+def _by_document(table: pa.Table) -> pa.Table:
+    """One group of documents: each with all its runs, joined where they touch."""
+    doc, mark, first, n = _unrun(table.column("runs").to_pylist())
+    order = np.lexsort((first, mark, doc))
+    doc, mark, first, n = doc[order], mark[order], first[order], n[order]
+    cut = [*np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])))).tolist(), len(doc)] if len(doc) else [0]
+    runs = []
+    for a, b in zip(cut, cut[1:]):
+        lo, hi = first[a:b], np.maximum.accumulate(first[a:b] + n[a:b])
+        new = np.concatenate(([True], lo[1:] > hi[:-1]))
+        last = np.append(np.flatnonzero(new)[1:], b - a) - 1
+        runs.append(np.stack((lo[new], hi[last] - lo[new]), 1).astype("<i8").tobytes())
+    return pa.table({"n": pa.array(doc[cut[:-1]].astype(np.int64)), "mark": pa.array(mark[cut[:-1]].astype(np.int64)), "runs": pa.array(runs, pa.binary())})
+
+
+def _numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str, str, str]:
+    """``docs`` with numbers in the order of its ids, the texts' marks, and names for both and for the runs."""
+    number, mark, runs = (free_name(docs.columns, x) for x in ("number", "mark", "runs"))
+    kind = docs.schema[id_col].dataType.typeName()
+    if kind in ("byte", "short", "integer", "long"):
+        docs = docs.withColumn(number, F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)))
+    else:
+        # sorted, so that numbers that grow from partition to partition grow with the ids
+        ids = docs.select(F.col(id_col)).filter(F.col(id_col).isNotNull()).distinct().orderBy(id_col)
+        ids = materialize(ids.withColumn(number, F.monotonically_increasing_id()), "ids")
+        docs = docs.join(ids, id_col, "left").select(*docs.columns, F.coalesce(number, F.lit(_NO_ID)).alias(number))
+    return docs.withColumn(mark, F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))), number, mark, runs
+
+
+def repeated_windows(docs: DataFrame, number: str, text_col: str, *, window: int, group_bytes: int, bucket_bytes: int) -> DataFrame:
+    """n (as ``number``), mark (of the text), runs (first start, how many; 64-bit numbers) of each document with repeated windows."""
     if not 2 <= window <= 32:
         raise ValueError("windows of 2 to 32 words")
     ship(docs.sparkSession)
-    buckets = pieces_of(text_bytes(docs, text_col), bucket_bytes)
-    sent = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_sender(window, buckets), "bucket long, windows binary, known binary")
-    return sent.groupBy("bucket").applyInArrow(_judge(groups), "group long, runs binary")
+    size = text_bytes(docs, text_col)
+    buckets = pieces_of(size, bucket_bytes)
+    sent = docs.select(F.col(number).alias("id"), F.col(text_col).alias("text")).mapInArrow(_sender(window, buckets), "bucket long, windows binary, known binary")
+    # as many partitions as the data asks for
+    found = sent.repartition(pieces_of(buckets, 2), "bucket").groupBy("bucket").applyInArrow(_judge(pieces_of(size, group_bytes)), "group long, runs binary")
+    return found.groupBy("group").applyInArrow(_by_document, "n long, mark long, runs binary")
 
 
-def _covered(n: int, runs: list[np.ndarray], window: int) -> np.ndarray:
+def _covered(n: int, runs: np.ndarray, window: int) -> np.ndarray:
     edge = np.zeros(n + 1, np.int64)
-    for x in runs:
-        np.add.at(edge, x[:, 0], 1)
-        np.add.at(edge, x[:, 0] + x[:, 1] - 1 + window, -1)
+    np.add.at(edge, runs[:, 0], 1)
+    np.add.at(edge, runs[:, 0] + runs[:, 1] - 1 + window, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
-def _apply(window: int, text_at: int, digest: bool):
-    def apply(docs: pa.Table, repeats: pa.Table) -> pa.Table:
-        docs, of = docs.combine_chunks(), read_runs(repeats.column("runs").to_pylist())
-        texts = docs.column(text_at)
-        n_words, n_removed, kept = [], [], []
-        keys = docs.column(1).to_pylist()
-        for key, text in zip(keys, texts.to_pylist()):
-            raw = (text or "").encode()
-            runs = of.get((_NO_ID if key is None else key, _mark(raw)), []) if of else []
-            if digest:
-                own = raw.split()
-                gone = _covered(len(own), runs, window) if runs else None
-                n_words.append(len(own))
-                n_removed.append(0 if gone is None else int(gone.sum()))
-                left = own if gone is None else [x for x, g in zip(own, gone.tolist()) if not g]
-                kept.append(hashlib.sha256(b" ".join(left)).hexdigest())
-                continue
-            if not runs:
-                kept.append(text)
-                continue
-            start, end = spans(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), SPACED)
-            stay = np.concatenate(([False], ~_covered(len(start), runs, window), [False]))
-            lo, hi = np.flatnonzero(stay[1:] & ~stay[:-1]), np.flatnonzero(stay[:-1] & ~stay[1:]) - 1
-            kept.append("\n".join(raw[start[a] : end[b]].decode() for a, b in zip(lo.tolist(), hi.tolist())))
-        if digest:
-            return pa.table({"id": docs.column(1), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_sha256": pa.array(kept, pa.string())})
-        return docs.set_column(text_at, docs.schema.names[text_at], pa.array(kept, texts.type)).select(docs.schema.names[2:])
+def _digest(text: bytes, runs: np.ndarray | None, window: int) -> tuple[int, int, str]:
+    own = text.split()
+    gone = None if runs is None else _covered(len(own), runs, window)
+    left = own if gone is None else [x for x, g in zip(own, gone.tolist()) if not g]
+    return len(own), len(own) - len(left), hashlib.sha256(b" ".join(left)).hexdigest()
+
 
-    return apply
+def _cut(text: str | None, runs: np.ndarray | None, window: int) -> str | None:
+    if runs is None or text is None:
+        return text
+    raw = text.encode()
+    start, end = spans(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), SPACED)
+    stay = np.concatenate(([False], ~_covered(len(start), runs, window), [False]))
+    lo, hi = np.flatnonzero(stay[1:] & ~stay[:-1]), np.flatnonzero(stay[:-1] & ~stay[1:]) - 1
+    return "\n".join(raw[start[a] : end[b]].decode() for a, b in zip(lo.tolist(), hi.tolist()))
 
 
-def _grouped(docs: DataFrame, window: int, group_bytes: int, bucket_bytes: int, id_col: str, text_col: str):
-    groups = pieces_of(text_bytes(docs, text_col), group_bytes)
-    repeats = repeated_windows(docs, window=window, groups=groups, bucket_bytes=bucket_bytes, id_col=id_col, text_col=text_col)
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).cast("string")
-    left = docs.select((F.crc32(key) % groups).alias("__group"), F.col(id_col).cast("long").alias("__id"), *docs.columns)
-    return left.groupBy("__group"), repeats.withColumnRenamed("group", "__group").groupBy("__group")
+def _met(docs: DataFrame, window: int, group_bytes: int, bucket_bytes: int, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    """``docs`` with a column of each row's runs (null if it has none), and its name.  Spark may split the rows of one id."""
+    docs, number, mark, runs = _numbered(docs, id_col, text_col)
+    found = repeated_windows(docs, number, text_col, window=window, group_bytes=group_bytes, bucket_bytes=bucket_bytes)
+    met = docs.join(found.select(F.col("n").alias(number), F.col("mark").alias(mark), F.col("runs").alias(runs)), [number, mark], "left")
+    return met.select(*[c for c in docs.columns if c not in (number, mark)], runs), runs
+
+
+def _pairs(part: pa.RecordBatch, text_at: int) -> Iterator[tuple[str | None, np.ndarray | None]]:
+    for text, runs in zip(part.column(text_at).to_pylist(), part.column(part.num_columns - 1).to_pylist()):
+        yield text, None if runs is None else np.frombuffer(runs, "<i8").reshape(-1, 2)
 
 
 def removed(docs: DataFrame, *, window: int = 20, group_bytes: int = 4 << 20, bucket_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_words, n_removed, kept_sha256 of each row."""
+    met, _ = _met(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), window, group_bytes, bucket_bytes, "id", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                n_words, n_removed, kept = zip(*[_digest((t or "").encode(), r, window) for t, r in _pairs(part, 1)])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept)], names=["id", "n_words", "n_removed", "kept_sha256"])
+
     kind = docs.schema[id_col].dataType.simpleString()
-    a, b = _grouped(docs.select(id_col, text_col), window, group_bytes, bucket_bytes, id_col, text_col)
-    out = a.cogroup(b).applyInArrow(_apply(window, 3, True), "id long, n_words long, n_removed long, kept_sha256 string")
-    return out.select(F.col("id").cast(kind).alias(id_col), "n_words", "n_removed", "kept_sha256")
+    return met.mapInArrow(run, f"id {kind}, n_words long, n_removed long, kept_sha256 string").withColumnRenamed("id", id_col)
 
 
 def remove(docs: DataFrame, *, window: int = 20, group_bytes: int = 4 << 20, bucket_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the words that repeated windows cover; what is left of a cut text stands in lines, other texts stay as they are."""
-    a, b = _grouped(docs, window, group_bytes, bucket_bytes, id_col, text_col)
-    return a.cogroup(b).applyInArrow(_apply(window, 2 + docs.columns.index(text_col), False), docs.schema)
+    met, _ = _met(docs, window, group_bytes, bucket_bytes, id_col, text_col)
+    text_at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text_col):
+                cut = pa.array([_cut(t, r, window) for t, r in _pairs(part, text_at)], part.column(text_at).type)
+                yield pa.RecordBatch.from_arrays([cut if i == text_at else c for i, c in enumerate(part.columns[:-1])], names=part.schema.names[:-1])
+
+    return met.mapInArrow(run, docs.schema)

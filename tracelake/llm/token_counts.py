@@ -21,9 +21,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import shared_dir
 from ..functions.ship import ship
 from .bpe import encoder
-from .common import materialize, shared_dir
+from .common import discard, materialize
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
 
