@@ -7,20 +7,25 @@ similar sets can differ in shingles, so that similar sets share many parts.  Par
 counted over all sets and ordered rarest first: a set that shares too few of its parts with
 any other is done, and of the others only so many of the rarest parts are kept that two
 similar sets still have one in common (a prefix filter; parts of passages that many documents
-share come last in this order and are hardly ever kept).  Sets with a kept part in common are
-candidates, and candidates that hang together form a cluster.
-
-Within a cluster, blocks of sets are joined two by two: a trie holds sets in global order,
-and each set walks it, sharing the overlap so far with all sets below a branch and leaving
-subtrees where the lengths that remain can't make it.  Every link is found, in one pair of
-blocks, and counted for both of its sets, a set of several rows as so many; of the links
-themselves a pair of blocks gives only which sets they connect, so that the rows of a family
-don't grow with its square.
+share come last in this order and are hardly ever kept).  A part that several sets of one batch
+hold is shared for certain: it comes after all that are counted, and its entries go straight to
+the sets, so that no task gathers all that hold a common part.
+
+The most common of its kept parts is a set's home.  Sets of one home meet there; where a kept
+part joins sets of different homes, those of the later home visit the earlier one.  So two sets
+meet once if they have a kept part in common, and a set goes nowhere else.  A home of many sets
+is cut into blocks of a bounded number of shingles that are joined two by two: a trie holds
+sets in global order, and each set walks it, sharing the overlap so far with all sets below a
+branch and leaving subtrees where the lengths that remain can't make it.  Every link is found,
+in one pair of blocks, and counted for both of its sets, a set of several rows as so many; of
+the links themselves a pair of blocks gives only which sets they connect, so that the rows of a
+family don't grow with its square.
 
 Nulls: a null or wordless text has the empty set and is linked with nothing.  A null id is
 kept, counts in no component's smallest id and is linked with nothing; its component and
-number of links are null.  Repeated rows and equal texts are linked (similarity 1).  Fewer than n words are one shingle.  An empty table gives no rows.  Extra
-columns are ignored.  Texts of any length are read whole.
+number of links are null.  Repeated rows and equal texts are linked (similarity 1).  Fewer than
+n words are one shingle.  An empty table gives no rows.  Extra columns are ignored.  Texts of
+any length are read whole.
 """
 
 from __future__ import annotations
@@ -35,10 +40,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.shared import free_name
 from ..functions.ship import ship
-from .common import SPACED_LOWER, gathered, materialize, mix, pack_columns, pieces_of, shingle_sets, slices, text_bytes, unpack_columns, words
+from .common import SPACED_LOWER, discard, gathered, materialize, mix, pack_columns, pieces_of, shingle_sets, slices, text_bytes, unpack_columns, words
 
-BLOCK = 512
+#: A block holds so many sets at most, and so many shingles (or one set).
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+#: A part that so many different sets of one batch hold is shared for certain.
+COMMON = 4
+_COMMON_DF = (1 << 32) - 1
 
 
 class Classes:
@@ -120,46 +130,51 @@ def _unlot(blobs: list[bytes], *kinds: str) -> list[np.ndarray]:
     return [np.concatenate(c) for c in zip(*lots)] if lots else [np.zeros(0, k) for k in kinds]
 
 
-def count_keys(blobs: list[bytes], groups: int) -> pa.Table:
-    """One bucket of keys: those of two sets or more, with how many have them, by group of nodes."""
-    key, node, cls, need = (np.concatenate(c) for c in zip(*map(_entries, blobs)))
+def count_keys(cold: list[bytes], common: list[bytes], moved: list[bytes], group: int, groups: int) -> pa.Table:
+    """One bucket of keys: those of two sets or more, with how many have them, by group of nodes; ``moved`` entries pass on."""
+    key, node, cls, need = (np.concatenate(c) for c in zip(*map(_entries, cold))) if cold else (np.zeros(0, k) for k in ("<u8", "<i8", "<u1", "<u4"))
     order = np.lexsort((node, key))
     key, node, cls, need = key[order], node[order], cls[order], need[order]
     new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])  # copies in other batches
+    new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])  # copies in other tasks
     key, node, cls, need = key[new], node[new], cls[new], need[new]
-    head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
     n = np.diff(np.concatenate((head, [len(key)])))
     df = np.repeat(n, n)
+    df[np.isin(key, np.frombuffer(b"".join(common), "<u8"))] = _COMMON_DF
     many = df > 1
     which, lots = _lots(node[many] % groups, node[many].astype("<i8"), cls[many].astype("<u1"), need[many].astype("<u4"), key[many].astype("<u8"), df[many].astype("<u4"))
+    if moved:
+        node, cls, need, key = _unlot(moved, "<i8", "<u1", "<u4", "<u8")
+        own = pack_columns(node, cls, need, key, np.full(len(key), _COMMON_DF, "<u4"))
+        which, lots = np.append(which, group), [*lots, struct.pack("<I", len(key)) + own]
     return pa.table({"group": pa.array(which, pa.int64()), "lot": pa.array(lots, pa.binary())})
 
 
-def rarest_keys(blobs: list[bytes], buckets: int) -> pa.Table:
-    """One group of nodes: each set's rarest keys, as many as the prefix filter asks for, by bucket of keys."""
+def rarest_keys(blobs: list[bytes]) -> pa.Table:
+    """One group of nodes: each set's rarest keys, as many as the prefix filter asks for; its home is the most common of these.
+    ``lead`` is true once for each set and class."""
     node, cls, need, key, df = _unlot(blobs, "<i8", "<u1", "<u4", "<u8", "<u4")
     order = np.lexsort((key, df, cls, node))
-    node, cls, need, key = node[order], cls[order], need[order], key[order]
-    head = np.flatnonzero(np.concatenate(([True], (node[1:] != node[:-1]) | (cls[1:] != cls[:-1])))) if len(node) else np.zeros(0, np.int64)
+    node, cls, need, key, df = node[order], cls[order], need[order], key[order], df[order]
+
+    def heads(*columns: np.ndarray) -> np.ndarray:
+        new = np.ones(len(columns[0]), bool)
+        new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+        return new
+
+    once = heads(node, cls, key)  # a node of several tasks
+    node, cls, need, key, df = node[once], cls[once], need[once], key[once], df[once]
+    head = np.flatnonzero(heads(node, cls)) if len(node) else np.zeros(0, np.int64)
     shared = np.diff(np.concatenate((head, [len(node)])))
     rank = np.arange(len(node)) - np.repeat(head, shared)
     keep = rank <= np.repeat(shared, shared) - need.astype(np.int64)
-    which, lots = _lots((key[keep] % np.uint64(buckets)).astype(np.int64), key[keep], node[keep])
-    return pa.table({"bucket": pa.array(which, pa.int64()), "lot": pa.array(lots, pa.binary())})
-
-
-def meet(blobs: list[bytes]) -> pa.Table:
-    """One bucket of kept keys: the sets of each key, all beside the one of the smallest number."""
-    key, node = _unlot(blobs, "<u8", "<i8")
-    order = np.argsort(key, kind="stable")
-    key, node = key[order], node[order]
-    if not len(key):
-        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-    head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    least = np.repeat(np.minimum.reduceat(node, head), np.diff(np.concatenate((head, [len(key)]))))
-    pairs = np.unique(np.stack((least, node), 1)[least != node], axis=0)
-    return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+    node, cls, key, df = node[keep], cls[keep], key[keep], df[keep]
+    lead, equal = heads(node, cls), np.flatnonzero(heads(node, cls, df))
+    task = np.cumsum(lead) - 1
+    home = np.zeros(len(node) and int(task[-1]) + 1, np.int64)
+    home[task[equal]] = equal  # of the runs of one count the last stays
+    return pa.table({"key": key.view("<i8"), "node": node, "cls": cls.astype(np.int32), "home": key[home[task]].view("<i8"), "lead": lead})
 
 
 class Trie:
@@ -254,17 +269,22 @@ def linked_sets(links: list[tuple[int, int]], copies: np.ndarray) -> tuple[np.nd
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root (the smallest node reachable) for the nodes of ``edges`` (a, b), by large-star and small-star rounds."""
+    """node, root (the smallest node reachable) for the nodes of ``edges`` (a, b), by large-star and small-star rounds.
+
+    The least neighbours are written before they are joined, so that Spark can split the rows of a node that many are linked with.
+    """
     links = materialize(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).filter("u <> v").distinct(), "links")
     before = None
     while True:
         both = links.unionByName(links.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        least = both.groupBy("v").agg(F.least(F.min("u"), F.first("v")).alias("m"))
-        large = both.join(least, "v").filter("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
-        small = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(small, "v").select(F.explode(F.array(F.struct(F.col("u").alias("v"), F.col("m").alias("u")), F.struct("v", F.col("m").alias("u")))).alias("e")).select("e.*").filter("u <> v").distinct()
-        links = materialize(small, "links")
-        now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        least = materialize(both.groupBy("v").agg(F.least(F.min("u"), F.first("v")).alias("m")), "least")
+        large = materialize(both.join(least, "v").filter("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct(), "large")
+        small = materialize(large.groupBy("v").agg(F.min("u").alias("m")), "small")
+        pairs = F.explode(F.array(F.struct(F.col("u").alias("v"), F.col("m").alias("u")), F.struct("v", F.col("m").alias("u"))))
+        now_links = materialize(large.join(small, "v").select(pairs.alias("e")).select("e.*").filter("u <> v").distinct(), "links")
+        now = tuple(now_links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        discard(links, least, large, small)
+        links = now_links
         if now == before:
             break
         before = now
@@ -278,6 +298,7 @@ def join(docs: DataFrame, *, n: int = 5, threshold: Fraction | float = 0.8, buck
     classes, kind = Classes(t), docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     buckets = pieces_of(text_bytes(docs, text_col), bucket_bytes)
+    to_meet = "bucket long, cold binary, common binary, moved binary"
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -286,42 +307,69 @@ def join(docs: DataFrame, *, n: int = 5, threshold: Fraction | float = 0.8, buck
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) if len(s) else None for s in sets], pa.int64())], names=["id", "n_shingles", "node"])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
         for batch in gathered(batches, most=3 << 20):
             own: dict[int, np.ndarray] = {}
             for part in slices(batch):
                 for s in shingle_sets(words(part.column(1), SPACED_LOWER), n):
-                    if len(s):
-                        own.setdefault(_node(s), s)
+                    if len(s) and (x := _node(s)) not in done:
+                        done.add(x)
+                        own[x] = s
             keys, task, who, cls, need = part_keys(list(own.values()), classes)
             if not len(keys):
                 continue
             tasks = [np.array(list(own), np.int64)[who].astype("<i8"), cls.astype("<u1"), need.astype("<u4")]
+            each, of, held = np.unique(keys, return_inverse=True, return_counts=True)
+            common, shared = each[held >= COMMON], (held >= COMMON)[of]
+            out: dict[int, list] = {}
+            for b in np.unique(home := (common % np.uint64(buckets)).astype(np.int64)).tolist():
+                out.setdefault(b, [None] * 3)[1] = common[home == b].astype("<u8").tobytes()
+            at = task[shared]
+            for g, lot in zip(*_lots(tasks[0][at] % buckets, *[c[at] for c in tasks], keys[shared].astype("<u8"))):
+                out.setdefault(int(g), [None] * 3)[2] = lot
+            keys, task = keys[~shared], task[~shared]
             bucket = (keys % np.uint64(buckets)).astype(np.int64)
             order = np.lexsort((task, bucket))
             keys, task = keys[order], task[order]
             cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            lot, which = [], np.flatnonzero(np.diff(cut)).tolist()
-            for b in which:
+            for b in np.flatnonzero(np.diff(cut)).tolist():
                 mine, own_task = np.unique(task[cut[b] : cut[b + 1]], return_inverse=True)
                 table = pack_columns(*[c[mine] for c in tasks])
                 steps = pack_columns(np.diff(own_task, prepend=0).astype("<u4"))
-                lot.append(struct.pack("<III", len(mine), len(own_task), len(table)) + table + steps + keys[cut[b] : cut[b + 1]].tobytes())
-            for i in range(0, len(lot), 500):
-                yield pa.RecordBatch.from_arrays([pa.array(which[i : i + 500], pa.int64()), pa.array(lot[i : i + 500], pa.binary())], names=["bucket", "lot"])
+                out.setdefault(b, [None] * 3)[0] = struct.pack("<III", len(mine), len(own_task), len(table)) + table + steps + keys[cut[b] : cut[b + 1]].tobytes()
+            lots = list(out.items())
+            for i in range(0, len(lots), 500):
+                part = lots[i : i + 500]
+                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in part], pa.int64()), *[pa.array([x[k] for _, x in part], pa.binary()) for k in range(3)]], names=["bucket", "cold", "common", "moved"])
 
-    def lots(t: pa.Table) -> list[bytes]:
-        return t.column("lot").to_pylist()
+    def count(lot: pa.Table) -> pa.Table:
+        cold, common, moved = ([x for x in lot.column(c).to_pylist() if x is not None] for c in ("cold", "common", "moved"))
+        return count_keys(cold, common, moved, lot.column("bucket")[0].as_py(), buckets)
 
     table = materialize(rows.mapInArrow(profile, f"id {kind}, n_shingles long, node long"), "sets")
-    counted = rows.mapInArrow(route, "bucket long, lot binary").groupBy("bucket").applyInArrow(lambda x: count_keys(lots(x), buckets), "group long, lot binary")
-    kept = counted.groupBy("group").applyInArrow(lambda x: rarest_keys(lots(x), buckets), "bucket long, lot binary")
-    met = kept.groupBy("bucket").applyInArrow(lambda x: meet(lots(x)), "a long, b long")
-    clusters = components(met)
-    sizes = clusters.groupBy("root").count().select("root", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    members = clusters.join(sizes, "root").select("node", "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    sent = rows.mapInArrow(route, to_meet).repartition(pieces_of(buckets, 2), "bucket")  # as many partitions as the data asks for
+    counted = sent.groupBy("bucket").applyInArrow(count, "group long, lot binary")
+    kept = counted.groupBy("group").applyInArrow(lambda x: rarest_keys(x.column("lot").to_pylist()), "key long, node long, cls int, home long, lead boolean")
+    kept = materialize(kept, "kept")
+    # parts that join sets of different homes: the sets of the later homes visit the earlier ones
+    several = materialize(kept.groupBy("key").agg(F.min("home").alias("lo"), F.max("home").alias("hi")).filter("lo < hi").select("key"), "several")
+    meeting = materialize(kept.join(several, "key", "left_semi").select("key", "node", "cls", "home"), "meeting")
+    others = materialize(meeting.select("key", F.col("home").alias("other")).distinct(), "others")
+    visits = meeting.join(others, "key").filter("other < home").select("node", "cls", F.col("other").alias("home")).distinct()
+    placed = kept.filter("lead").select("node", "cls", "home", F.lit(False).alias("visits")).unionByName(visits.withColumn("visits", F.lit(True)))
+    placed = materialize(placed, "placed")
+    room = F.greatest(F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_SHINGLES) / F.element_at(F.array(*[F.lit(float(x)) for x in classes.hi]), F.col("cls") + 1))), F.lit(1))
+    sizes = placed.groupBy("home", "cls").agg(F.count_if(~F.col("visits")).alias("own"), F.count_if("visits").alias("more")).filter("own + more > 1")
+    sizes = sizes.withColumn("room", room).select("home", "cls", F.ceil(F.col("own") / F.col("room")).cast("int").alias("own"), F.ceil(F.col("more") / F.col("room")).cast("int").alias("more"))
+    sizes = materialize(sizes, "sizes")
+    at = F.when(F.col("visits"), F.col("own") + F.pmod(F.xxhash64("node"), F.col("more"))).otherwise(F.pmod(F.xxhash64("node"), F.col("own"))).cast("int")
+    # a set meets its own block and all others of its home; a visitor meets the home's own alone
+    last = F.when(F.col("visits"), F.col("own")).otherwise(F.col("own") + F.col("more")) - 1
+    members = materialize(placed.join(sizes, ["home", "cls"]).select("node", "cls", "home", at.alias("block"), last.alias("last")), "members")
     # one document for each set; the join reads texts again instead of keeping all sets
     of_node = materialize(table.filter(F.col("node").isNotNull() & F.col("id").isNotNull()).groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "nodes")
-    chosen = materialize(members.join(of_node, "node"), "members")
+    chosen = materialize(members.select("node").distinct().join(of_node, "node"), "chosen")
+    discard(kept, several, meeting, others, placed, sizes)
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -329,7 +377,7 @@ def join(docs: DataFrame, *, n: int = 5, threshold: Fraction | float = 0.8, buck
                 sets = shingle_sets(words(part.column(1), SPACED_LOWER), n)
                 mine = pa.array([len(s) > 0 and _node(s) == x for s, x in zip(sets, part.column(2).to_pylist())])
                 held = pa.array([s.tobytes() for s in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([c.filter(mine) for c in (*part.columns[2:], held)], names=["node", "root", "blocks", "block", "copies", "held"])
+                yield pa.RecordBatch.from_arrays([c.filter(mine) for c in (*part.columns[2:], held)], names=["node", "copies", "held"])
 
     # a bit table of the chosen ids, of bounded size, keeps the texts of all other documents out of the exchange
     bits = 1 << min(27, max(15, (16 * chosen.count()).bit_length()))
@@ -339,23 +387,26 @@ def join(docs: DataFrame, *, n: int = 5, threshold: Fraction | float = 0.8, buck
     likely = rows.withColumns({"bucket": F.bitmap_bucket_number(place), "at": F.bitmap_bit_position(place)}).join(F.broadcast(table_of), "bucket")  # 16 MB at most
     likely = likely.filter(byte.bitwiseAND(F.expr("shiftleft(1, cast(at % 8 as int))")) != 0).select("id", "text")
 
-    held = likely.join(chosen, "id").select("id", "text", "node", "root", "blocks", "block", "copies").mapInArrow(sets_of, "node long, root long, blocks int, block int, copies long, held binary")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    blocks = held.select("node", "root", "block", "copies", "held", other.alias("other")).select("node", "root", "block", "copies", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "held")
+    held = likely.join(chosen, "id").select("id", "text", "node", "copies").mapInArrow(sets_of, "node long, copies long, held binary")
+    other = F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other")
+    blocks = held.join(members, "node").select("node", "cls", "home", "block", "copies", "held", other).select("node", "cls", "home", "block", "copies", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "held")
 
     def verify(lot: pa.Table) -> pa.Table:
         # by block; a pair of two blocks gives the links between them, the pair of a block with itself those within
         own = {x: (b, x, c, h) for b, x, c, h in zip(*[lot.column(c).to_pylist() for c in ("block", "node", "copies", "held")])}
         rows = sorted(own.values(), key=lambda x: x[:2])
         first = sum(x[0] == rows[0][0] for x in rows)
-        two = lot.column("i")[0].as_py() != lot.column("j")[0].as_py()
+        cls, two = lot.column("cls")[0].as_py(), lot.column("i")[0].as_py() != lot.column("j")[0].as_py()
         none = len(rows) < 2 or two and first == len(rows)
         found = [] if none else links_within([np.frombuffer(x[3], np.uint64) for x in rows], t, first if two else 0)
+        # two sets that meet in two classes count in that of the larger one
+        found = [(a, b) for a, b in found if classes.of(max(len(rows[a][3]), len(rows[b][3])) // 8)[0][0] == cls]
         nodes = np.array([x[1] for x in rows], np.int64)
         has, to, n_links = linked_sets(found, np.array([x[2] for x in rows], np.int64))
         return pa.table({"a": nodes[has], "b": nodes[to], "n": n_links})
 
-    met = materialize(blocks.groupBy("root", "i", "j").applyInArrow(verify, "a long, b long, n long"), "met")
+    met = materialize(blocks.groupBy("home", "cls", "i", "j").applyInArrow(verify, "a long, b long, n long"), "met")
+    discard(members, chosen)
     linked = components(met).join(met.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n")), "node")
     # what the rows of a set have besides the rows themselves, for sets of several rows and sets with links; written, so that the joins
     # below stand alone and a set or a component of many rows can be split
@@ -367,11 +418,11 @@ def join(docs: DataFrame, *, n: int = 5, threshold: Fraction | float = 0.8, buck
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
-    """``docs`` with one row of each component: one of those of the smallest id.  Rows without an id, which are linked with nothing, stay."""
-    row = "row" + "_" * max(map(len, docs.columns))
-    # written, so that rows keep their numbers; a row is known by its id and number, since rows may repeat an id
+    """``docs`` with one row of each component: one of those of the smallest id; rows without an id come behind all ids."""
+    row = free_name(docs.columns, "row")
+    # written, so that rows keep their numbers; a row is known by its id and number, since rows may repeat an id or have none
     numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    key = F.when(F.col(id_col).isNotNull(), F.struct(F.col(id_col).alias("id"), F.col(row).alias("row")))
-    found = join(numbered.select(key.alias("key"), text_col), id_col="key", text_col=text_col, **more)
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(row).alias("row"))
+    found = join(numbered.select(key.alias("key"), F.col(text_col).alias("text")), id_col="key", text_col="text", **more)
     gone = found.filter(F.col("key") != F.col("component_id")).select(F.col("key.row").alias(row))
     return numbered.join(gone, row, "left_anti").select(*docs.columns)
