@@ -4,9 +4,12 @@ Documents become pieces of at most ``size`` tokens.  Full pieces are sequences b
 themselves; the rest are spread over partitions, and each packs its own by best-fit
 decreasing.  Dual feasible functions give a lower bound on the partition's number of
 sequences.  A partition that meets it is certified and gives up only its emptiest
-sequence (what rounding up to whole sequences wastes); one with a gap gives up as many
-of its emptiest sequences as could close it.  The documents given up are spread anew
-over fewer partitions and packed again, until one partition of bounded size is left.
+sequence (what rounding up to whole sequences wastes); one with a gap gives up four of its
+emptiest sequences for each that it is above the bound, and half of its sequences at most:
+the emptiest half holds half of the tokens at most, so what is packed again halves with each
+round.  The documents given up are spread anew over fewer partitions and packed again, until
+one partition of bounded size is left.  Each piece is returned with its partition's bound, its
+gap (sequences above the bound) and whether that is certified to be the fewest.
 
 Nulls: a null text is empty and becomes one piece that holds the end id alone.  Repeated
 rows are packed each by themselves.  Ties go by length, then by arrival.  An empty table
@@ -29,14 +32,17 @@ from .common import materialize, pieces_of
 
 #: Items that one task packs; the memory of a task is bounded by it.
 ITEMS_PER_PARTITION = 200_000
-_MOST_OPENED = 256
 
 
 def lower_bound(lengths: np.ndarray, size: int) -> int:
     """The largest bound of the dual feasible functions of Martello-Toth and Fekete-Schepers."""
-    if not len(lengths):
+    return lower_bound_of(*np.unique(lengths, return_counts=True), size)
+
+
+def lower_bound_of(x: np.ndarray, n: np.ndarray, size: int) -> int:
+    """The same for ``n`` items of each length ``x``."""
+    if not len(x):
         return 0
-    x, n = np.unique(lengths, return_counts=True)
     best = -(-int((x * n).sum()) // size)
     for cut in np.unique(np.concatenate(([0], x[x <= size // 2]))).tolist():
         # f(x) = 1 above size - cut, 0 below cut, x / size between
@@ -112,13 +118,14 @@ def _packer(size: int, number: int, last: bool):
         items = items.sort_values(["length", "item"], ascending=[False, True], kind="stable", ignore_index=True)
         lengths = items["length"].to_numpy()
         bins, offsets, free = best_fit_decreasing(lengths, size)
-        gap = len(free) - lower_bound(lengths, size)
+        bound = lower_bound(lengths, size)
+        gap = len(free) - bound
         given = np.zeros(len(free), bool)
         if not last:
-            emptiest = np.argsort(-free, kind="stable")[: min(1 + 4 * gap, _MOST_OPENED)]
+            emptiest = np.argsort(-free, kind="stable")[: min(1 + 4 * gap, len(free) // 2)]
             given[emptiest[free[emptiest] > 0]] = True
         part = int(items["part"].iloc[0])
-        return pd.DataFrame({"item": items["item"], "length": lengths, "sequence_id": (number << 56) + (part << 28) + bins, "offset": offsets, "given": given[bins], "gap": gap})
+        return pd.DataFrame({"item": items["item"], "length": lengths, "sequence_id": (number << 56) + (part << 28) + bins, "offset": offsets, "given": given[bins], "bound": bound, "gap": gap})
 
     return pack
 
@@ -135,25 +142,30 @@ def pack(pieces: DataFrame, *, size: int = 1024, items_per_partition: int = ITEM
         placed = materialize(
             items.withColumn("part", F.pmod(F.xxhash64("item", F.lit(number)), F.lit(parts)))
             .groupBy("part")
-            .applyInPandas(_packer(size, number, parts == 1), "item long, length long, sequence_id long, offset long, given boolean, gap long"),
+            .applyInPandas(_packer(size, number, parts == 1), "item long, length long, sequence_id long, offset long, given boolean, bound long, gap long"),
             "packed",
         )
         done.append(placed.filter(~F.col("given")))
         items, number = placed.filter("given").select("item", "length"), number + 1
-        left, before = items.count(), left
-        if left > before // 2:  # nothing is gained by exchanging most of the items once more
-            done[-1] = placed
-            break
-    kept = [d.select("item", "sequence_id", "offset") for d in done]
-    kept.append(table.filter(F.col("length") == size).select("item", (-1 - F.col("item")).alias("sequence_id"), F.lit(0).cast("long").alias("offset")))
+        left = items.count()
+    kept = [d.select("item", "sequence_id", "offset", "bound", "gap") for d in done]
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    kept.append(table.filter(F.col("length") == size).select("item", (-1 - F.col("item")).alias("sequence_id"), none.alias("offset"), one.alias("bound"), none.alias("gap")))
     found = kept[0]
     for d in kept[1:]:
         found = found.unionByName(d)
-    return table.join(found, "item").select(*names, "sequence_id", "offset")
+    return table.join(found, "item").select(*names, "sequence_id", "offset", "bound", "gap", (F.col("gap") == 0).alias("certified"))
+
+
+def certificate(packed: DataFrame, *, size: int = 1024) -> DataFrame:
+    """One row for the whole of what is packed: sequences, bound (the fewest that any packing can have), gap."""
+    lengths = packed.groupBy("length").count().orderBy("length").collect()  # ``size`` rows at most
+    bound = lower_bound_of(np.array([r["length"] for r in lengths], np.int64), np.array([r["count"] for r in lengths], np.int64), size)
+    return packed.agg(F.count_distinct("sequence_id").alias("sequences")).select("sequences", F.lit(bound).cast("long").alias("bound"), (F.col("sequences") - bound).cast("long").alias("gap"))
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, *, size: int = 1024, end_id: int | None = 2, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Cut and pack: id, piece, start, length, ids_crc32 (, ids), sequence_id, offset."""
+    """Cut and pack: id, piece, start, length, ids_crc32 (, ids), sequence_id, offset, bound, gap, certified."""
     return pack(cut_documents(docs, tokenizer_path, size=size, end_id=end_id, with_ids=with_ids, id_col=id_col, text_col=text_col), size=size)
 
 
