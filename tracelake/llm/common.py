@@ -38,6 +38,21 @@ def discard(*tables: DataFrame) -> None:
         delete(t.sparkSession, path)
 
 
+def bit_table(values: DataFrame, column: str, most: int = 27) -> tuple[DataFrame, int]:
+    """A bit table of 64-bit numbers for ``may_hold``: 2**most bits (16 MB) at most."""
+    bits = 1 << min(most, max(15, (16 * values.count()).bit_length()))
+    place = F.pmod(F.col(column), F.lit(bits)) + 1
+    return values.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")), bits
+
+
+def may_hold(rows: DataFrame, column: str, table: DataFrame, bits: int) -> DataFrame:
+    """The rows whose number is in the table, and a few more."""
+    place = F.pmod(F.col(column), F.lit(bits)) + 1
+    byte = F.conv(F.hex(F.expr("substring(bits, cast(at div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    met = rows.withColumns({"bucket": F.bitmap_bucket_number(place), "at": F.bitmap_bit_position(place)}).join(F.broadcast(table), "bucket")
+    return met.filter(byte.bitwiseAND(F.expr("shiftleft(1, cast(at % 8 as int))")) != 0).select(*rows.columns)
+
+
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
 

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from ..functions.shared import free_name
 from ..functions.ship import ship
-from .common import SPACED_LOWER, discard, gathered, materialize, mix, pack_columns, pieces_of, shingle_sets, slices, text_bytes, unpack_columns, words
+from .common import SPACED_LOWER, bit_table, discard, gathered, materialize, may_hold, mix, pack_columns, pieces_of, shingle_sets, slices, text_bytes, unpack_columns, words
 
 #: A block holds so many sets at most, and so many shingles (or one set).
 BLOCK, BLOCK_SHINGLES = 512, 1 << 20
@@ -380,12 +380,8 @@ def join(docs: DataFrame, *, n: int = 5, threshold: Fraction | float = 0.8, buck
                 yield pa.RecordBatch.from_arrays([c.filter(mine) for c in (*part.columns[2:], held)], names=["node", "copies", "held"])
 
     # a bit table of the chosen ids, of bounded size, keeps the texts of all other documents out of the exchange
-    bits = 1 << min(27, max(15, (16 * chosen.count()).bit_length()))
-    place = F.pmod(F.xxhash64("id"), F.lit(bits)) + 1
-    table_of = chosen.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
-    byte = F.conv(F.hex(F.expr("substring(bits, cast(at div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    likely = rows.withColumns({"bucket": F.bitmap_bucket_number(place), "at": F.bitmap_bit_position(place)}).join(F.broadcast(table_of), "bucket")  # 16 MB at most
-    likely = likely.filter(byte.bitwiseAND(F.expr("shiftleft(1, cast(at % 8 as int))")) != 0).select("id", "text")
+    h = F.xxhash64("id").alias("h")
+    likely = may_hold(rows.select("id", "text", h), "h", *bit_table(chosen.select(h), "h")).drop("h")
 
     held = likely.join(chosen, "id").select("id", "text", "node", "copies").mapInArrow(sets_of, "node long, copies long, held binary")
     other = F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other")

@@ -2,7 +2,8 @@
 
 Each text's digest is joined with the stored counts of this tokenizer version; only
 distinct texts that miss are encoded, and their counts are appended to the cache.  The
-normalisation is the one that can never change a count: a null text is the empty text.
+normalisation is the one that can never change a count: a null text is the empty text.  A bit
+table of the missing digests, of bounded size, keeps texts that hit out of the exchange.
 
 Nulls: a null text counts as empty (0 tokens); a null id is kept.  Repeated rows and
 equal texts are encoded once and each row gets its own result row.  An empty table gives
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from ..functions.shared import shared_dir
 from ..functions.ship import ship
 from .bpe import encoder
-from .common import discard, materialize
+from .common import bit_table, discard, materialize, may_hold
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
 
@@ -64,19 +65,21 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, *, limit
     spark, tokenizer = docs.sparkSession, tokenizer_version(tokenizer_path)
     ship(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(F.col(id_col), text.alias("text"), F.unhex(F.substring(F.sha2(text, 256), 1, 32)).alias("digest"))
+    keyed = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.unhex(F.substring(F.sha2(text, 256), 1, 32)).alias("digest"))
+    rows = materialize(keyed.select("id", F.octet_length("text").cast("long").alias("n_bytes"), "digest"), "digests")
     stored = open_cache(spark, cache_path, tokenizer)
-    misses = keyed.select("digest", "text").join(stored, "digest", "left_anti").groupBy("digest").agg(F.first("text").alias("text"))
-    fresh = misses.mapInPandas(_counter(tokenizer_path), "digest binary, n_tokens long")
-    run = uuid.uuid4().hex
-    fresh.select("digest", F.lit(tokenizer).alias("tokenizer"), "n_tokens").write.mode("append").parquet(f"{cache_path}/run={run}")
+    missing = materialize(rows.select("digest").distinct().join(stored, "digest", "left_anti").select("digest", F.xxhash64("digest").alias("h")), "missing")
+    if not missing.isEmpty():
+        likely = may_hold(keyed.select("digest", "text", F.xxhash64("digest").alias("h")), "h", *bit_table(missing, "h"))
+        texts = likely.groupBy("digest").agg(F.first("text").alias("text")).join(missing, "digest", "left_semi")
+        fresh = texts.select("digest", "text").mapInPandas(_counter(tokenizer_path), "digest binary, n_tokens long")
+        run = uuid.uuid4().hex
+        fresh.select("digest", F.lit(tokenizer).alias("tokenizer"), "n_tokens").write.mode("append").parquet(f"{cache_path}/run={run}")
     # written once more, so that the join below stands alone and a text that many rows share can be split
-    counts = materialize(open_cache(spark, cache_path, tokenizer), "counts")
-    return (
-        keyed.select(id_col, F.octet_length("text").cast("long").alias("n_bytes"), "digest")
-        .join(counts, "digest", "left")
-        .select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
-    )
+    new = F.col("h").isNull().alias("cached")
+    counts = materialize(open_cache(spark, cache_path, tokenizer).join(missing, "digest", "left").select("digest", "n_tokens", new), "counts")
+    discard(missing)
+    return rows.join(counts, "digest", "left").select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "cached")
 
 
 def new_cache(spark: SparkSession) -> str:
