@@ -1,10 +1,15 @@
 """Approximate nearest neighbours by a hierarchical k-means tree.
 
-The tree is fitted on a bounded sample (``sample`` vectors, by hash of the id); every vector
-is then sent down to its leaf.  A query visits leaves best bin first, through a priority
-queue of nodes by the nearness of their centres.  How many leaves are visited is widened
-by a quarter at a time until the recall over ``calibration`` queries, measured against brute force over
-all vectors, reaches ``recall``.  Candidates of a leaf meet the queries that visit it in
+The top of the tree is fitted on a bounded sample (``sample`` vectors, by hash of the id) and
+every vector is sent down to its leaf.  Leaves that hold more than twice ``leaf`` vectors are
+split in further Spark rounds, each by a small tree of its own that is fitted on a bounded
+sample of it, until no leaf is larger (or all its vectors are equal): the size of leaves stays
+the same and the depth grows with the logarithm of the data.  A query visits leaves best bin
+first: it goes through the top, and through each small tree that it opens, by a priority queue
+of nodes by the nearness of their centres; of all that it has met the best ``most`` stay, and
+those that are split are opened in the next round.  How many leaves are visited is widened by a
+quarter at a time until the recall over ``calibration`` queries, measured against brute force
+over all vectors, reaches ``recall``.  Candidates of a leaf meet the queries that visit it in
 blocks of bounded size, so that neither a large leaf nor a popular one falls to one task.
 
 Nulls: vectors that are null, zero, of another dimension than the sample's most frequent
@@ -16,6 +21,7 @@ each by themselves, except for the query of that id.  An empty table gives no ro
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,9 +32,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ship import ship
-from .common import materialize
+from .common import discard, materialize
 
 CANDIDATES_IN_BLOCK, QUERIES_IN_BLOCK = 4096, 1024
+#: A leaf is split by a tree of its own, fitted on about so many of its vectors.
+SPLIT_SAMPLE = 4096
 
 
 @dataclass
@@ -79,17 +87,17 @@ class Tree:
             todo += [(int(c), rows[near == k]) for k, c in enumerate(self.children[node]) if (near == k).any()]
         return out
 
-    def visits(self, q: np.ndarray, most: int) -> list[int]:
-        """The first ``most`` leaves, best bin first."""
+    def visits(self, q: np.ndarray, most: int) -> list[tuple[int, float]]:
+        """The first ``most`` leaves, best bin first, and how near their centres are."""
         out, queue = [], [(0.0, 0)]
         while queue and len(out) < most:
-            _, node = heapq.heappop(queue)
+            far, node = heapq.heappop(queue)
             below = self.children[node]
             if len(below):
                 for c, near in zip(below.tolist(), (self.centres[below] @ q).tolist()):
                     heapq.heappush(queue, (-near, c))
             else:
-                out.append(node)
+                out.append((node, -far))
         return out
 
 
@@ -140,29 +148,123 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("vec")).filter(F.col("id").isNotNull() & F.col("vec").isNotNull() & fine)
 
 
+INDEX = "id long, vec array<double>, cell string, done boolean"
+RESULT = "query_id long, rank int, vec_id long, score double, leaves int, of_leaves long, recall double"
+
+
+@dataclass
+class Index:
+    """``vectors``: id, vec, cell (the leaf's name); ``top``; ``trees``: cell, tree of each leaf that was split; how many leaves."""
+
+    vectors: DataFrame
+    top: Tree
+    trees: DataFrame
+    leaves: int
+
+
+def build_index(rows: DataFrame, top: Tree, branches: int, leaf: int) -> Index:
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast(top)  # at most 2 * sample nodes
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            cells = shared.value.leaf_of(_unit(_matrix(b["vec"]))) if len(b) else []
+            yield b.assign(cell=[str(x) for x in cells], done=False)
+
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("id", ignore_index=True)
+        tree = Tree.fit(_unit(_matrix(rows["vec"])), branches, leaf)
+        return pd.DataFrame({"cell": rows["cell"].iloc[:1], "tree": [pickle.dumps(tree)]})
+
+    def descend(rows: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
+        tree = pickle.loads(trees["tree"].iloc[0]) if len(trees) else None
+        if tree is None or tree.leaves == 1:  # equal vectors
+            return rows[["id", "vec", "cell"]].assign(done=True)
+        own = tree.leaf_of(_unit(_matrix(rows["vec"])))
+        return rows[["id", "vec"]].assign(cell=[f"{c}.{x}" for c, x in zip(rows["cell"], own.tolist())], done=False)
+
+    index = materialize(rows.mapInPandas(place, INDEX), "index")
+    trees, number = spark.createDataFrame([], "cell string, tree binary"), 0
+    while True:
+        large = materialize(index.filter("not done").groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > 2 * leaf), "large")
+        if large.isEmpty():
+            break
+        number += 1
+        opened = index.join(large, "cell")
+        sampled = opened.filter(F.pmod(F.xxhash64("id", F.lit(number)), F.col("n")) < SPLIT_SAMPLE)
+        new = materialize(sampled.groupBy("cell").applyInPandas(fit, "cell string, tree binary"), "trees")
+        blocks = F.ceil(F.col("n") / CANDIDATES_IN_BLOCK).cast("int")
+        for_blocks = new.join(large, "cell").select("cell", "tree", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+        moved = opened.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).groupBy("cell", "block").cogroup(for_blocks.groupBy("cell", "block")).applyInPandas(descend, INDEX)
+        split = materialize(index.join(large, "cell", "left_anti").select(*index.columns).unionByName(moved), "index")
+        discard(index, large)
+        index, trees = split, trees.unionByName(new)
+    return Index(index, top, trees, index.select("cell").distinct().count())
+
+
+def visit(index: Index, queries: DataFrame, most: int) -> DataFrame:
+    """id, cell, near, place (from 0) of the first ``most`` leaves that each query visits."""
+    top = queries.sparkSession.sparkContext.broadcast(index.top)
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for i in range(0, len(b), 200):
+                part = b.iloc[i : i + 200]
+                found = [top.value.visits(u, most) for u in _unit(_matrix(part["vec"]))]
+                n = [len(x) for x in found]
+                flat = [y for x in found for y in x]
+                yield pd.DataFrame({"id": np.repeat(part["id"].to_numpy(), n), "cell": [str(c) for c, _ in flat], "near": [x for _, x in flat]})
+
+    def deeper(asked: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(asked) and len(trees):
+            tree, cell = pickle.loads(trees["tree"].iloc[0]), trees["cell"].iloc[0]
+            for q, u in zip(asked["id"].tolist(), _unit(_matrix(asked["vec"]))):
+                out += [(q, f"{cell}.{c}", near) for c, near in tree.visits(u, most)]
+        return pd.DataFrame(out, columns=["id", "cell", "near"]).astype({"id": "int64", "near": "float64"})
+
+    def best(met: DataFrame) -> DataFrame:
+        rows = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("near")).alias("far"), "cell"))), 1, most)
+        return met.groupBy("id").agg(rows.alias("b")).select("id", F.posexplode("b").alias("place", "b")).select("id", "b.cell", (-F.col("b.far")).alias("near"), "place")
+
+    met = materialize(best(queries.select("id", "vec").mapInPandas(first, "id long, cell string, near double")), "met")
+    # a leaf of one value keeps its name when its tree could not split it
+    trees = index.trees.join(index.vectors.filter("done").select("cell").distinct(), "cell", "left_anti") if index.leaves > 1 else index.trees
+    cells = trees.select("cell")
+    while True:
+        inner = materialize(met.join(cells, "cell", "left_semi").select("id", "cell"), "inner")
+        if inner.isEmpty():
+            return met
+        blocks = inner.groupBy("cell").agg(F.ceil(F.count("*") / QUERIES_IN_BLOCK).cast("int").alias("blocks"))
+        asked = inner.join(materialize(blocks, "blocks"), "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        asked = asked.join(queries.select("id", "vec"), "id").select("id", "vec", "cell", "block")
+        for_blocks = trees.join(blocks, "cell").select("cell", "tree", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        found = asked.groupBy("cell", "block").cogroup(for_blocks.groupBy("cell", "block")).applyInPandas(deeper, "id long, cell string, near double")
+        now = materialize(best(met.join(cells, "cell", "left_anti").select("id", "cell", "near").unionByName(found)), "met")
+        discard(met, inner)
+        met = now
+
+
 def search(vectors: DataFrame, is_query: Column, *, k: int = 5, recall: float = 0.94, branches: int = 12, leaf: int = 120, sample: int = 20_000, calibration: int = 200, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score, leaves (visited by each query), recall (as calibrated).  ``is_query`` is over the column ``id``."""
+    """query_id, rank, vec_id, score, leaves (visited by each query), of_leaves (that there are), recall (as calibrated).
+    ``is_query`` is over the column ``id``."""
     spark = vectors.sparkSession
     ship(spark)
     rows = usable(vectors, id_col, vector_col)
     seen = rows.orderBy(F.xxhash64("id"), "id").limit(sample).toPandas()
     if not len(seen):
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, leaves int, recall double")
+        return spark.createDataFrame([], RESULT)
     dim = Counter(map(len, seen["vec"])).most_common(1)[0][0]
-    tree = Tree.fit(_unit(_matrix(seen["vec"][seen["vec"].map(len) == dim])), branches, leaf)
-    shared = spark.sparkContext.broadcast(tree)  # at most 2 * sample nodes
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.assign(leaf=shared.value.leaf_of(_unit(_matrix(b["vec"]))) if len(b) else pd.Series([], dtype="int64"))
-
-    index = materialize(rows.filter(F.size("vec") == dim).mapInPandas(place, "id long, vec array<double>, leaf long"), "index")
-    queries = index.filter(is_query)
+    top = Tree.fit(_unit(_matrix(seen["vec"][seen["vec"].map(len) == dim])), branches, leaf)
+    index = build_index(rows.filter(F.size("vec") == dim), top, branches, leaf)
+    # a query of an id that repeats is the vector that sorts first
+    queries = materialize(index.vectors.filter(is_query).groupBy("id").agg(F.min("vec").alias("vec")), "queries")
 
     # brute force over all vectors for a bounded number of queries, and in which of its visits each true neighbour is met
-    trial = queries.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(calibration).select("id", "vec").toPandas()
+    chosen = queries.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(calibration)
+    trial = chosen.toPandas()
     if not len(trial):
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, leaves int, recall double")
+        return spark.createDataFrame([], RESULT)
     all_trial = spark.sparkContext.broadcast(trial)
 
     def brute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -170,32 +272,30 @@ def search(vectors: DataFrame, is_query: Column, *, k: int = 5, recall: float =
             for i in range(0, len(b), CANDIDATES_IN_BLOCK):
                 yield _best(all_trial.value, b.iloc[i : i + CANDIDATES_IN_BLOCK], k)
 
-    truth = _nearest(index.select("id", "vec").mapInPandas(brute, FOUND), k).join(index.select(F.col("id").alias("vec_id"), "leaf"), "vec_id").select("query_id", "leaf").toPandas()
-    order = {q: {n: i for i, n in enumerate(tree.visits(u, tree.leaves))} for q, u in zip(trial["id"].tolist(), _unit(_matrix(trial["vec"])))}
-    met = np.array([order[q][n] for q, n in zip(truth["query_id"].tolist(), truth["leaf"].tolist())])
+    truth = _nearest(index.vectors.select("id", "vec").mapInPandas(brute, FOUND), k).join(index.vectors.select(F.col("id").alias("vec_id"), "cell"), "vec_id")
+    truth = materialize(truth.select(F.col("query_id").alias("id"), "cell"), "truth")
+    chosen = spark.createDataFrame(trial, queries.schema)
+    reach = 64
+    while True:
+        met = truth.join(visit(index, chosen, reach), ["id", "cell"], "left").select(F.coalesce("place", F.lit(1 << 30)).alias("place")).toPandas()["place"].to_numpy()  # k a trial query
+        if not len(met) or reach >= index.leaves or (met < reach).mean() >= recall:
+            break
+        reach *= 4
     most = 4
-    while most < tree.leaves and len(met) and (met < most).mean() < recall:
+    while most < min(reach, index.leaves) and len(met) and (met < most).mean() < recall:
         most += -(-most // 4)
-    most, reached = min(most, tree.leaves), float((met < most).mean()) if len(met) else 1.0
+    most, reached = min(most, index.leaves), float((met < most).mean()) if len(met) else 1.0
 
-    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for i in range(0, len(b), 200):
-                part = b.iloc[i : i + 200]
-                found = [shared.value.visits(u, most) for u in _unit(_matrix(part["vec"]))]
-                n = [len(x) for x in found]
-                yield pd.DataFrame({"id": np.repeat(part["id"].to_numpy(), n), "leaf": np.concatenate(found)})
-
-    probes = materialize(queries.select("id", "vec").mapInPandas(visit, "id long, leaf long"), "probes")
-    # one row for each leaf, of which there are at most as many as the sample has vectors
-    held = {r["leaf"]: -(-r["count"] // CANDIDATES_IN_BLOCK) for r in index.groupBy("leaf").count().collect()}
-    asked = {r["leaf"]: -(-r["count"] // QUERIES_IN_BLOCK) for r in probes.groupBy("leaf").count().collect()}
-    blocks = spark.createDataFrame([(n, held[n], asked[n]) for n in asked if n in held] or [(-1, 1, 1)], "leaf long, held int, asked int")
-    xs = index.join(F.broadcast(blocks), "leaf").select(
-        "leaf", F.pmod(F.xxhash64("id"), F.col("held")).alias("hold"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("asked").cast("bigint") - 1)).alias("ask"), "id", "vec"
-    )
-    qs = probes.join(F.broadcast(blocks), "leaf").select("leaf", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("held").cast("bigint") - 1)).alias("hold"), F.pmod(F.xxhash64("id"), F.col("asked")).alias("ask"), "id")
-    qs = qs.join(queries.select(F.col("id").alias("own"), F.col("vec").alias("asked_vec")).dropDuplicates(["own"]), F.col("id") == F.col("own")).select("leaf", "hold", "ask", "id", F.col("asked_vec").alias("vec"))
-    by = ["leaf", "hold", "ask"]
-    found = qs.groupBy(*by).cogroup(xs.groupBy(*by)).applyInPandas(lambda q, x: _best(q, x, k), FOUND)
-    return _nearest(found, k).select("*", F.lit(most).alias("leaves"), F.lit(reached).alias("recall"))
+    probes = visit(index, queries, most)
+    held = index.vectors.groupBy("cell").agg(F.ceil(F.count("*") / CANDIDATES_IN_BLOCK).cast("int").alias("held"))
+    asked = probes.groupBy("cell").agg(F.ceil(F.count("*") / QUERIES_IN_BLOCK).cast("int").alias("asked"))
+    blocks = materialize(held.join(asked, "cell"), "blocks")
+
+    def upto(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    xs = index.vectors.join(blocks, "cell").select("cell", F.pmod(F.xxhash64("id"), F.col("held")).cast("int").alias("hold"), upto("asked").alias("ask"), "id", "vec")
+    qs = probes.join(blocks, "cell").select("cell", upto("held").alias("hold"), F.pmod(F.xxhash64("id"), F.col("asked")).cast("int").alias("ask"), "id").join(queries, "id")
+    by = ["cell", "hold", "ask"]
+    found = qs.select(*by, "id", "vec").groupBy(*by).cogroup(xs.groupBy(*by)).applyInPandas(lambda q, x: _best(q, x, k), FOUND)
+    return _nearest(found, k).select("*", F.lit(most).alias("leaves"), F.lit(index.leaves).cast("long").alias("of_leaves"), F.lit(reached).alias("recall"))
