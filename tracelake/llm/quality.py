@@ -2,14 +2,16 @@
 
 Learned filters run over all bytes of a document.  Their rectified outputs are max-pooled in
 overlapping chunks that cover the whole document; the mean and the largest over the chunks
-are combined into one probability.  Training uses a bounded sample of labelled rows
-(``sample`` per class, by hash of the id, of documents of ``most_bytes`` bytes at most);
-scoring covers every byte of every document.
+are combined into one probability.  A long document goes through in windows of chunks with the
+sum and the maximum so far, so that memory doesn't grow with it.  Training uses a bounded sample
+of labelled rows (``sample`` per class, by hash of the id), and of a row over ``excerpt`` bytes
+pieces spread evenly over the whole of it; scoring covers every byte of every document.
 
 Nulls: a null text is empty and gets the score of no evidence (the bias alone); rows with a
-null label or id are not learned from.  Repeated labels of an id count once, by the lowest.
-Equal texts get equal scores.  An empty table gives no rows; without labels of both classes
-every score is 0.5.  Extra columns are ignored.
+null label or id are not learned from, and a null id is not held out.  Repeated labels of an id
+count once, by the lowest.  Equal texts get equal scores.  An empty table gives no rows; without
+labels of both classes every score is 0.5.  Extra columns are kept; the score's own name must be
+free.
 """
 
 from __future__ import annotations
@@ -21,11 +23,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
+from ..functions.shared import free_name
 from ..functions.ship import ship
 from .common import buffers, slices
 
 CHUNK, STEP = 512, 448
+#: Chunks of a document that are looked at together.
+WINDOW = 512
 
 
 @dataclass
@@ -71,6 +77,20 @@ class Network:
         both = np.stack((lo, hi), 1).ravel()
         return np.maximum(np.maximum.reduceat(r, both, axis=0)[::2] + self.bias, 0)
 
+    def long_features(self, data: np.ndarray) -> np.ndarray:
+        """The features of one text, by windows of its chunks."""
+        pad, n = self.table.shape[0] - 1, len(data)
+        chunks = max(1, -(-(n - (CHUNK - STEP)) // STEP))
+        total, most = np.zeros(len(self.bias), np.float64), np.zeros(len(self.bias), np.float32)
+        for k in range(0, chunks, WINDOW):
+            begin, last = k * STEP, min(chunks, k + WINDOW) - 1
+            own = data[begin : min(n, last * STEP + CHUNK + pad)]
+            lo = np.arange(last - k + 1) * STEP
+            pooled = self.pooled(np.concatenate((own, np.zeros(pad, np.uint8))), lo, np.minimum(lo + CHUNK, n - begin))
+            total += pooled.sum(axis=0)
+            most = np.maximum(most, pooled.max(axis=0))
+        return np.concatenate((total / chunks, most)).astype(np.float32)
+
     @staticmethod
     def combined(pooled: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
@@ -83,13 +103,48 @@ class Network:
             return np.zeros(0)
         if not self.known:
             return np.full(len(at) - 1, 0.5)
-        padded, lo, hi, doc = self.layout(data, at)
-        features, _ = self.combined(self.pooled(padded, lo, hi), doc)
-        features[np.diff(at) == 0] = 0
+        n = np.diff(at)
+        features = np.zeros((len(n), 2 * len(self.bias)), np.float32)
+        long = n > WINDOW * STEP
+        for i in np.flatnonzero(long).tolist():
+            features[i] = self.long_features(data[at[i] : at[i + 1]])
+        if not long.all():
+            short = np.concatenate(([0], np.cumsum(n[~long])))
+            padded, lo, hi, doc = self.layout(data[np.repeat(~long, n)] if long.any() else data, short)
+            features[~long], _ = self.combined(self.pooled(padded, lo, hi), doc)
+        features[n == 0] = 0
         z = features.astype(np.float64) @ self.weight.astype(np.float64) + self.offset + self.shift
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
+def gradients(net: Network, texts: list[bytes], y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """The mean logistic loss over some texts, and its gradient by each of the network's parameters."""
+    filters, width = len(net.bias), net.table.shape[0]
+    data, at = buffers(pa.array(texts, pa.binary()))
+    padded, lo, hi, doc = net.layout(data, at)
+    pooled = net.pooled(padded, lo, hi)
+    features, first = net.combined(pooled, doc)
+    z = np.clip(features @ net.weight + net.offset, -60, 60)
+    loss = float(np.mean(np.log1p(np.exp(-np.abs(z))) + np.maximum(z, 0) - y * z))
+    err = (1 / (1 + np.exp(-z)) - y) / len(y)
+    # to the pooled outputs: the mean's share for each chunk, the maximum's for the largest, which chunks that overlap may share
+    largest = pooled == features[doc][:, filters:]
+    ties = np.add.reduceat(largest, first, axis=0, dtype=np.int64)
+    g_mean, g_max = err[:, None] * net.weight[:filters], err[:, None] * net.weight[filters:]
+    n = np.diff(np.concatenate((first, [len(doc)])))
+    g = (g_mean / n[:, None])[doc] + (g_max / ties)[doc] * largest
+    g *= pooled > 0
+    responses, g_table = net.responses(padded), np.zeros_like(net.table, dtype=np.float64)
+    c, f = np.nonzero(g)
+    where = np.empty(len(c), np.int64)
+    for chunk in np.unique(c):
+        own = c == chunk
+        where[own] = lo[chunk] + responses[lo[chunk] : hi[chunk], :].argmax(axis=0)[f[own]]
+    for j in range(width):
+        np.add.at(g_table[j], (padded[where + j], f), g[c, f])
+    return loss, {"table": g_table, "bias": g.sum(axis=0), "weight": features.T @ err, "offset": np.array([err.sum()])}
+
+
 def train(texts: list[bytes], labels: np.ndarray, *, prior: float, filters: int = 12, width: int = 5, steps: int = 700, batch: int = 48, rate: float = 0.03, seed: int = 7) -> Network:
     """Fit by Adam on the logistic loss; scores are shifted from the sample's to the table's share of ones."""
     net, r = Network.fresh(filters, width, seed), np.random.default_rng(seed)
@@ -109,32 +164,12 @@ def train(texts: list[bytes], labels: np.ndarray, *, prior: float, filters: int
 
     for _ in range(epochs):
         order = r.permutation(len(texts))
-        for lo_ in range(0, len(order), batch):
-            pick, t = order[lo_ : lo_ + batch], t + 1
-            data, at = buffers(pa.array([texts[i] for i in pick], pa.binary()))
-            padded, lo, hi, doc = net.layout(data, at)
-            pooled = net.pooled(padded, lo, hi)
-            features, first = net.combined(pooled, doc)
-            z = features @ net.weight + net.offset
-            err = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y_all[pick]) / len(pick)
-            g_weight, g_offset = features.T @ err, err.sum()
-            # to the pooled outputs: the mean's share for each chunk, the maximum's for the largest
-            g_mean, g_max = err[:, None] * net.weight[:filters], err[:, None] * net.weight[filters:]
-            n = np.diff(np.concatenate((first, [len(doc)])))
-            g = (g_mean / n[:, None])[doc] + g_max[doc] * (pooled == features[doc][:, filters:])
-            g *= pooled > 0
-            responses, g_table = net.responses(padded), np.zeros_like(net.table, dtype=np.float64)
-            c, f = np.nonzero(g)
-            where = np.empty(len(c), np.int64)
-            for chunk in np.unique(c):
-                own = c == chunk
-                where[own] = lo[chunk] + responses[lo[chunk] : hi[chunk], :].argmax(axis=0)[f[own]]
-            for j in range(width):
-                np.add.at(g_table[j], (padded[where + j], f), g[c, f])
-            net.table = adam("table", net.table, g_table).astype(np.float32)
-            net.bias = adam("bias", net.bias, g.sum(axis=0)).astype(np.float32)
-            net.weight = adam("weight", net.weight, g_weight).astype(np.float32)
-            net.offset = float(adam("offset", np.array([net.offset]), np.array([g_offset]))[0])
+        for lo in range(0, len(order), batch):
+            pick, t = order[lo : lo + batch], t + 1
+            _, g = gradients(net, [texts[i] for i in pick], y_all[pick])
+            for name in ("table", "bias", "weight"):
+                setattr(net, name, adam(name, getattr(net, name), g[name]).astype(np.float32))
+            net.offset = float(adam("offset", np.array([net.offset]), g["offset"])[0])
     share = float(np.clip(y_all.mean(), 1e-3, 1 - 1e-3))
     prior = float(np.clip(prior, 1e-3, 1 - 1e-3))
     net.shift = float(np.log(prior / (1 - prior)) - np.log(share / (1 - share)))
@@ -142,33 +177,40 @@ def train(texts: list[bytes], labels: np.ndarray, *, prior: float, filters: int
 
 
 def held_out(id_col: str = "doc_id"):
-    return F.crc32(F.col(id_col).cast("string")) % 5 == 0
+    """Whether a row's label is kept from training; false for a row without an id."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
+
+
+def excerpt_of(text, most: int):
+    """The whole text, or of a longer one 64 pieces spread evenly from its beginning to its end."""
+    piece = most // 64
+    at = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: (i * (F.length(text) - piece) / 63).cast("int") + 1)
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.array_join(F.transform(at, lambda x: F.substr(text, x, F.lit(piece))), "\n"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", sample: int = 1000, most_bytes: int = 256 << 10, id_col: str = "doc_id", text_col: str = "text", **more) -> Network:
+def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", sample: int = 1000, excerpt: int = 256 << 10, id_col: str = "doc_id", text_col: str = "text", **more) -> Network:
     """Train on at most ``sample`` labelled, not held-out documents of each class."""
     known = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.min(label).alias("y"))
     counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}  # one row for each class
-    texts = docs.select(F.col(id_col), F.col(text_col).alias("text")).filter((F.octet_length("text") <= most_bytes) & F.col("text").isNotNull())
+    texts = docs.select(F.col(id_col), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
     rows = []
     for y in (0, 1):
         ids = known.filter(F.col("y") == y).orderBy(F.xxhash64(id_col), id_col).limit(sample)
-        rows += [(bytes(x["b"]), y) for x in texts.join(F.broadcast(ids), id_col).orderBy(F.xxhash64(id_col), "text").limit(sample).select(F.encode("text", "UTF-8").alias("b")).collect()]
+        rows += [(bytes(x["b"]), y) for x in texts.join(F.broadcast(ids), id_col).orderBy(F.xxhash64(id_col), "text").limit(sample).select(F.encode(excerpt_of(F.col("text"), excerpt), "UTF-8").alias("b")).collect()]
     total = counts.get(0, 0) + counts.get(1, 0)
     return train([b for b, _ in rows], np.array([y for _, y in rows]), prior=counts.get(1, 0) / max(total, 1), **more)
 
 
-def score(docs: DataFrame, network: Network, *, text_col: str = "text") -> DataFrame:
-    """``docs`` with a column ``score``: the probability of label 1."""
+def score(docs: DataFrame, network: Network, *, into: str = "score", text_col: str = "text") -> DataFrame:
+    """``docs`` with a new column ``into``: the probability of label 1."""
     ship(docs.sparkSession)
-    if "score" in docs.columns:
-        docs = docs.drop("score")
+    if free_name(docs.columns, into) != into:
+        raise ValueError(f"there is a column {into!r} already; name another one with into")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text_col, 256 << 10):
                 s = network.scores(part.column(part.schema.get_field_index(text_col)))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s, pa.float64())], names=[*part.schema.names, "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s, pa.float64())], names=[*part.schema.names, into])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, score double")
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(into, DoubleType())]))
