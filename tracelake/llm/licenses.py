@@ -55,9 +55,25 @@ FUZZY = (
     Notice("mit", "mit", "license", 1),
     Notice("mit", "", "permission is hereby granted free of charge to any person", 4),
     Notice("bsd", "", "redistribution and use in source and binary forms", 3),
+    Notice("bsd", "bsd", "license", 1),
     Notice("mpl", "", "mozilla public license", 2),
     Notice("cc-by", "", "creative commons attribution", 2),
+    Notice("cc-by", "cc by", "license", 1),
+    Notice("cc0", "cc0", "public domain dedication", 2),
     Notice("unlicense", "", "free and unencumbered software released into the public domain", 4),
+    Notice("lgpl", "", "gnu lesser general public license", 2),
+    Notice("agpl", "", "gnu affero general public license", 2),
+    Notice("isc", "", "permission to use copy modify and or distribute this software for any purpose", 4),
+    Notice("isc", "isc", "license", 1),
+    Notice("zlib", "", "this software is provided as is without any express or implied warranty", 4),
+    Notice("epl", "", "eclipse public license", 2),
+    Notice("boost", "", "boost software license", 2),
+    Notice("gfdl", "", "gnu free documentation license", 2),
+    # the machine-readable line names a license by its identifier, which stays exact
+    *(
+        Notice(label, "", f"spdx license identifier {name}", 0)
+        for label, name in (("apache", "apache 2 0"), ("mit", "mit"), ("bsd", "bsd"), ("gpl", "gpl"), ("lgpl", "lgpl"), ("agpl", "agpl"), ("mpl", "mpl"), ("isc", "isc"), ("zlib", "zlib"), ("epl", "epl"), ("cc-by", "cc by"), ("cc0", "cc0"))
+    ),
 )
 
 
@@ -72,6 +88,8 @@ def _seeds(n: Notice) -> list[tuple[bytes, int]]:
 def _pattern(n: Notice):
     head = regex.escape(n.head.encode() + b" ", special_only=True) if n.head else b""
     tail = regex.escape(n.tail.encode(), special_only=True)
+    if not n.edits:
+        return regex.compile(rb"(?<![^ \n])" + head + tail + rb"(?![^ \n])")
     return regex.compile(rb"(?be)(?<![^ \n])" + head + rb"(?:" + tail + rb"){e<=%d:[^\n]}(?![^ \n])" % n.edits)
 
 
