@@ -4,13 +4,14 @@ Test items are partitioned by their number of shingles.  For each partition the
 are cut into overlapping windows a little longer than its items, so that an item inside a
 long document nearly fills one window: containment then bounds Jaccard similarity from
 below, and enough independent MinHash values (one to a band) find it all but surely.
-Documents meet items through the MinHash values only: a bit table of fixed size, made from
-the items, keeps values that no item has from ever leaving a task.  Candidates are verified
+Documents meet items through the MinHash values only: a bit table made from the items, of
+16 bits a value and 64 MB at most, keeps values that no item has from ever leaving a task.  Candidates are verified
 by exact containment: shingles that items may have are sent as text and counted.
 
 Words are runs of letters and digits, A-Z in lower case; a shingle is ``n`` words, or all of
-a shorter item's words.  Nulls: null or wordless texts match nothing; null ids take no part.
-Equal items are matched each by itself, repeated rows of an id count as one document.  Empty
+a shorter item's words.  Nulls: null or wordless texts match nothing; ``find`` names no document
+without an id, ``decontaminate`` judges each row by its text, whatever its id is.  Items without
+an id take no part.  Equal items are matched each by itself, repeated rows of an id count as one document.  Empty
 tables give no rows.  Extra columns are ignored; texts of any length are searched whole.
 """
 
@@ -23,13 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.shared import free_name
 from ..functions.ship import ship
 from .common import ALNUM_LOWER, materialize, mix, ngrams, slices, words
 
 #: A window is twice as long as the longest item of its class and an item half as long as that at least, so a containment
 #: of 0.8 means a similarity of 0.19 or more with some window: one of 64 values agrees but for 1 in 700,000.
 PERMUTATIONS = 64
-_BITS = 24
+_MOST_BITS = 29
 _SALT = mix(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -55,9 +57,16 @@ def _text_of(w, i: int, n: int) -> str:
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def _probes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    mask = np.uint64((1 << _BITS) - 1)
-    return (x & mask).astype(np.int64), ((x >> np.uint64(_BITS)) & mask).astype(np.int64)
+def _maybe(table: np.ndarray, bits: int, x: np.ndarray) -> np.ndarray:
+    """Whether both bits of each number are set."""
+
+    def has(at: np.ndarray) -> np.ndarray:
+        at = (at & np.uint64((1 << bits) - 1)).astype(np.int64)
+        return (table[at >> 3] >> (at & 7)) & 1 != 0
+
+    found = has(x)
+    found[found] = has(x[found] >> np.uint64(32))
+    return found
 
 
 def find(docs: DataFrame, items: DataFrame, *, n: int = 5, threshold: float = 0.8, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -90,27 +99,24 @@ def find(docs: DataFrame, items: DataFrame, *, n: int = 5, threshold: float = 0.
         .mapInArrow(of_items, f"item {item_kind}, size int, item_shingles long, kind int, keys array<long>, shingles array<string>, grams array<long>"),
         "items",
     )
-    # what leaves the executors is bounded: places in tables of 2**_BITS bits, and one row for each size class
-    def places(column: str) -> np.ndarray:
-        table = np.zeros(1 << _BITS, bool)
+    # what leaves the executors is bounded: bit tables of 2**_MOST_BITS bits at most, and one row for each size class
+    def places(column: str) -> tuple[np.ndarray, int]:
         x = profile.select(F.explode(column).alias("x"))
-        for shift in (0, _BITS):
-            bits = x.select(F.shiftrightunsigned("x", shift).bitwiseAND((1 << _BITS) - 1).cast("int").alias("x")).distinct().toPandas()["x"]
-            table[bits.to_numpy(dtype=np.int64)] = True
-        return np.packbits(table)
+        bits = min(_MOST_BITS, max(15, (16 * x.count()).bit_length()))
+        both = F.explode(F.array("x", F.shiftrightunsigned("x", 32))).alias("x")
+        place = F.col("x").bitwiseAND((1 << bits) - 1) + 1
+        parts = x.select(both).groupBy(F.bitmap_bucket_number(place).alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+        table = np.zeros(1 << bits - 3, np.uint8)
+        for r in parts.toLocalIterator():  # pieces of 4 KB
+            table[(r["n"] - 1) * 4096 : r["n"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+        return table, bits
 
     kinds = {r["kind"]: r["most"] for r in profile.filter(F.col("size") == n).groupBy("kind").agg(F.max("item_shingles").alias("most")).collect()}
     short = [r["size"] for r in profile.filter(F.col("size") < n).select("size").distinct().collect()]
     shared = spark.sparkContext.broadcast((places("keys"), places("grams"), kinds, short))
 
     def of_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key_bits, gram_bits = (np.unpackbits(x).astype(bool) for x in shared.value[:2])
-
-        def maybe(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
-            one, two = _probes(x)
-            found = bits[one]
-            found[found] = bits[two[found]]
-            return found
+        keys_of, grams_of = shared.value[:2]
 
         for batch in batches:
             for part in slices(batch):
@@ -134,14 +140,14 @@ def find(docs: DataFrame, items: DataFrame, *, n: int = 5, threshold: float = 0.
                             hi = np.minimum(lo + width, first[of + 1])
                             values = np.minimum.reduceat(np.concatenate((hashed, hashed[-1:])), np.stack((lo, hi), 1).ravel())[::2]
                             keys = _named(values, band, kind)
-                            hit = np.flatnonzero(maybe(key_bits, keys))
+                            hit = np.flatnonzero(_maybe(*keys_of, keys))
                             out_doc.append(of[hit])
                             out_key.append(keys[hit])
                 for size in sorted({n, *shared.value[3]}):
                     if len(w.hash) < size:
                         continue
                     grams, doc = ngrams(w.hash, size), w.doc_of()
-                    hit = maybe(gram_bits, grams) & (doc[: len(grams)] == doc[size - 1 :])
+                    hit = _maybe(*grams_of, grams) & (doc[: len(grams)] == doc[size - 1 :])
                     for i in np.flatnonzero(hit).tolist():
                         out_text.append((int(doc[i]), _text_of(w, i, size)))
                 at = np.concatenate(out_doc) if out_doc else np.zeros(0, np.int64)
@@ -165,7 +171,10 @@ def find(docs: DataFrame, items: DataFrame, *, n: int = 5, threshold: float = 0.
     return held.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "item_shingles", "shared", (F.col("shared") / F.col("item_shingles")).alias("containment"))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, **more) -> DataFrame:
-    """``docs`` without the documents in which an item is found."""
-    key = more.get("id_col", "doc_id")
-    return docs.join(find(docs, items, **more).select(key).distinct(), key, "left_anti").select(*docs.columns)
+def decontaminate(docs: DataFrame, items: DataFrame, *, text_col: str = "text", **more) -> DataFrame:
+    """``docs`` without the rows in whose text an item is found."""
+    key = free_name(docs.columns, "digest")
+    digest = F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).alias(key)
+    found = find(docs.select(digest.alias("digest"), F.col(text_col).alias("text")), items.withColumnRenamed(text_col, "text"), id_col="digest", **more)
+    leaks = materialize(found.select(F.col("digest").alias(key)).distinct(), "leaks")
+    return docs.withColumn(key, digest).join(leaks, key, "left_anti").select(*docs.columns)
