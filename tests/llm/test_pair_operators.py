@@ -325,6 +325,9 @@ def test_decontamination(spark):
     left = decontamination.decontaminate(docs, bench)
     assert left.columns == docs.columns and {x.doc_id for x in left.collect()} == set(range(len(found))) - {d for d, _ in want}
     assert decontamination.find(empty(spark), bench).count() == 0
+    # each row is judged by its text: no id, an id that repeats, and columns with names that are used inside
+    odd = spark.createDataFrame([(None, items[7], 1), (1, items[7], 2), (1, "a clean text", 3), (None, "clean too", 4), (2, None, 5)], "doc_id long, text string, Digest int")
+    assert sorted(x.Digest for x in decontamination.decontaminate(odd, bench).collect()) == [3, 4, 5]
     assert decontamination.find(docs, bench.limit(0)).count() == 0
 
 
@@ -352,11 +355,33 @@ def test_neighbours(spark):
         s[q] = -9
         hits += len({g.vec_id for g in own} & set(np.lexsort((np.arange(3000), -s))[:5].tolist()))
     assert hits / 300 >= 0.9 and len(got) == 300
+    # the data clusters, so a query needs few of the leaves, and no leaf but that of equal vectors is large
+    assert got[0].leaves <= 0.35 * got[0].of_leaves and got[0].recall >= 0.94
     few = neighbours.search(vectors.filter("vec_id in (0, 1, 2)"), F.col("id") % 50 == 0, k=5).collect()
     assert len(few) == 2
     assert neighbours.search(vectors.limit(0), F.col("id") % 50 == 0).count() == 0
 
 
+def test_leaves_are_split_in_rounds(spark):
+    """A top fitted on a small sample: its leaves are split again until all are small; equal vectors stay together."""
+    r = np.random.default_rng(2)
+    x = r.normal(size=(2500, 8))
+    x[:400] = x[0]
+    rows = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    top = neighbours.Tree.fit(neighbours._unit(x[::50]), 3, 20)
+    index = neighbours.build_index(rows, top, 3, 20)
+    sizes = {c.cell: c["count"] for c in index.vectors.groupBy("cell").count().collect()}
+    assert sum(sizes.values()) == 2500 and len(sizes) == index.leaves and sorted(sizes.values())[-2] <= 40 and max(sizes.values()) >= 400
+    assert max(c.count(".") for c in sizes) >= 1
+    queries = rows.filter("id % 500 = 499")
+    # all leaves are reached in the end, and the best first
+    met = neighbours.visit(index, queries, 10_000)
+    assert met.groupBy("id").count().filter(f"count <> {len(sizes)}").count() == 0
+    few = {(m.id, m.cell) for m in neighbours.visit(index, queries, 5).collect()}
+    own = {(v.id, v.cell) for v in index.vectors.filter("id % 500 = 499").collect()}
+    assert len(few) == 25 and len(few & own) >= 4
+
+
 # ---------------------------------------------------------------- chat
 
 
@@ -393,6 +418,11 @@ def test_chat_repair_is_cheapest():
         assert min(m[0, s] + chat.ENDS[s][0] for s in range(1, 4)) == cheapest(roles)
 
 
+def test_costs_decide_between_merging_and_inserting():
+    assert chat.links()[2, 2] == (chat.MERGE, (), True)
+    assert chat.links(merge=5, insert=2)[2, 2] == (2, (3,), False) and chat.links(merge=5, insert=2)[3, 3] == (2, (2,), False)
+
+
 def test_chat_over_partitions(spark):
     r = random.Random(5)
     rows = []
@@ -409,7 +439,9 @@ def test_chat_over_partitions(spark):
     by = defaultdict(list)
     for c, t, role, text, _ in sorted(rows, key=lambda x: (x[0], x[1])):
         by[c].append((role.strip().lower() if role else None, text or ""))
-    text = {x.conv_id: x.text for x in chat.render(got).collect()}
+    text = defaultdict(str)
+    for x in chat.render(got).orderBy("part").collect():
+        text[x.conv_id] += x.text
     for c, turns in by.items():
         want = chat.repair_turns([a for a, _ in turns], [b for _, b in turns])
         own = sorted(out[c], key=lambda x: (x.place, x.step))
@@ -419,3 +451,7 @@ def test_chat_over_partitions(spark):
     assert chat.repair(df.limit(0)).count() == 0
     nulls = spark.createDataFrame([(None, None, None, None)], df.schema.simpleString()[7:-1].replace(":", " ").replace(",action string", "").replace("bigint", "long"))
     assert [(x.conv_id, x.role) for x in chat.repair(nulls).orderBy("step").collect()] == [(None, "user"), (None, "assistant")]
+    # no id and an empty one are two conversations
+    both = spark.createDataFrame([(None, 1, "user", "a"), ("", 1, "user", "b"), ("=", 1, "user", "c")], "conv_id string, turn long, role string, text string")
+    shown = {x.conv_id: (x.turns, x.inserted, x.merged, x.cost, x.text) for x in chat.render(chat.repair(both)).collect()}
+    assert shown == {c: (2, 1, 0, 2, f"<|user|>\n{t}<|end|>\n<|assistant|>\n<|end|>\n") for c, t in ((None, "a"), ("", "b"), ("=", "c"))}

@@ -63,6 +63,17 @@ def test_stages(spark, folder, tmp_path):
     assert corpus_pipeline.run(spark, sf).count() == seen["best-fit packing"]
 
 
+def test_columns_with_names_used_inside(spark, folder):
+    """A table with a score of its own, in any case, keeps it through all stages."""
+    sf, found, _ = folder
+    docs = spark.createDataFrame([(i, t, i * 0.5, 1, 2) for i, t in enumerate(found)], "doc_id long, text string, Score double, row int, h int")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf)
+        assert docs.columns == ["doc_id", "text", "Score", "row", "h"]
+    rows = docs.collect()
+    assert rows and all((r.Score, r.row, r.h) == (r.doc_id * 0.5, 1, 2) for r in rows)
+
+
 def test_every_operator_has_one_query():
     names = list(queries.queries())
     assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))

@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tracelake.llm import licenses, packing, quality, queries, sharding, token_counts
@@ -62,7 +63,8 @@ def test_token_counts_and_cache(spark, plain, tmp_path):
     assert stored == len({t or "" for t in found})
     # a second run encodes nothing new, another version everything
     again = token_counts.count_tokens(docs, BPE, cache).collect()
-    assert sorted(map(tuple, again)) == sorted(map(tuple, got))
+    assert sorted(tuple(r)[:4] for r in again) == sorted(tuple(r)[:4] for r in got)
+    assert not any(r.cached for r in got) and all(r.cached for r in again)
     assert spark.read.schema(token_counts.CACHE_SCHEMA).parquet(cache).count() == stored
     assert token_counts.count_tokens(empty(spark), BPE, str(tmp_path / "none")).count() == 0
 
@@ -106,7 +108,14 @@ def test_exchange_between_partitions(spark):
     for x in got:
         used[x.sequence_id] += x.length
     assert max(used.values()) <= 1024
-    assert len(used) <= packing.lower_bound(np.array(lengths), 1024) * 1.01 + 1
+    bound = packing.lower_bound(np.array(lengths), 1024)
+    assert len(used) <= bound * 1.01 + 1
+    assert all(x.certified == (x.gap == 0) and x.bound >= 1 for x in got)
+    whole = packing.certificate(packing.pack(pieces, items_per_partition=300)).first()
+    assert (whole.bound, whole.gap) == (bound, whole.sequences - bound) and whole.gap >= 0
+    # sizes that leave gaps everywhere: rounds end, and no piece is lost
+    hard = spark.createDataFrame([(i, 400 + i % 7) for i in range(2000)], "doc_id long, length long")
+    assert packing.pack(hard, items_per_partition=100).select("sequence_id").distinct().count() == 1000
 
 
 def test_bound_is_a_bound():
@@ -156,6 +165,35 @@ def test_licenses(spark, monkeypatch):
     assert licenses.scan(empty(spark)).count() == 0
 
 
+def test_fuzzy_notices_equal_a_search_without_seeds():
+    """Seeds leave nothing out: each notice's pattern tried over every whole text."""
+    r = random.Random(11)
+    for _ in range(150):
+        parts = []
+        for _ in range(4):
+            n = r.choice([x for x in licenses.FUZZY if x.edits])
+            w = list(n.phrase)
+            for _ in range(r.randint(0, n.edits + 1)):
+                i = r.randrange(len(w))
+                w[i : i + r.choice([0, 1])] = r.choice(["", "q", "e"])
+            parts += [sentence(r, 3), "".join(w)]
+        text = " ".join(parts)
+        found = {(p[0], p[1]) for p in licenses.scan_texts(pa.array([text]))[1][0]}
+        data, text_at = licenses.buffers(pa.array([text]))
+        plain = licenses._joined(data, text_at)[0]
+        for n in licenses.FUZZY:
+            hit = any(plain[m.start() - 1] in b" \n" and plain[m.end()] in b" \n" for m in licenses._pattern(n).finditer(plain, 0, len(plain), overlapped=True))
+            assert hit == ((n.label, n.phrase) in found), (n, text)
+
+
+def test_places_in_the_result(spark, monkeypatch):
+    docs = documents(spark, ["Under the Apache Licence, SPDX-License-Identifier: Apache-2.0", "GNU Lesser General Publik License"])
+    monkeypatch.setattr(queries, "_read", lambda *a: docs)
+    got = {r.doc_id: r for r in queries.op5_license_scans(spark, "").collect()}
+    assert [(p.label, p.edits, p.first_word, p.base) for p in got[0].places] == [("apache", 1, 2, False), ("apache", 0, 4, False)]
+    assert got[1].labels == "lgpl" and got[1].places[0].edits == 1 and got[1].n_base == 0
+
+
 def test_licenses_with_edits_at_the_ends():
     """An edit before or behind wording that is exact otherwise, in its middle and at an end of the text."""
     one = {
@@ -217,15 +255,81 @@ def test_quality(spark):
     docs = documents(spark, found + [None, "", "q" * 200_000])
     labels = spark.createDataFrame([*((i, v, 0) for i, v in enumerate(y)), (400, None, 0), (None, 1, 0), (3, y[3], 1)], "doc_id long, quality int, toxic int")
     net = quality.fit(docs, labels, steps=300)
-    got = {r.doc_id: r.score for r in quality.score(docs, net).collect()}
+    got = {r.doc_id: r.good for r in quality.score(docs, net, into="good").collect()}
     assert len(got) == 403 and all(0 <= s <= 1 for s in got.values()) and got[400] == got[401]
     out = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 0]
     assert np.mean([(got[i] >= 0.3) == bool(y[i]) for i in out]) > 0.9
     again = quality.fit(docs, labels, steps=300)
     assert np.array_equal(net.table, again.table)
-    assert quality.score(empty(spark), net).count() == 0
+    assert quality.score(empty(spark), net, into="good").count() == 0
     none = quality.fit(docs, labels.limit(0))
-    assert {r.score for r in quality.score(docs.limit(3), none).collect()} == {0.5}
+    assert {r.good for r in quality.score(docs.limit(3), none, into="good").collect()} == {0.5}
+
+
+def test_score_names_and_null_ids(spark):
+    found, y = labelled(4, 60)
+    net = quality.train([t.encode() for t in found], np.array(y), prior=0.5, steps=30)
+    docs = spark.createDataFrame([(None, found[0], 5.0), (1, found[1], 6.0)], "doc_id long, text string, Score double")
+    with pytest.raises(ValueError):
+        quality.score(docs, net)
+    assert {(r.doc_id, r.Score) for r in quality.score(docs, net, into="other").collect()} == {(None, 5.0), (1, 6.0)}
+    assert [r[0] for r in docs.filter("doc_id is null").select(quality.held_out()).collect()] == [False]
+
+
+def plain_score(net, text):
+    """The network in plain loops."""
+    pad, n = net.table.shape[0] - 1, len(text)
+    padded, sums, best = text + bytes(pad), [], []
+    for lo in range(0, max(1, n - (quality.CHUNK - quality.STEP)), quality.STEP):
+        pooled = []
+        for f in range(len(net.bias)):
+            r = [sum(float(net.table[j, padded[i + j], f]) for j in range(pad + 1)) for i in range(lo, min(lo + quality.CHUNK, max(n, 1)))]
+            pooled.append(max(max(r) + float(net.bias[f]), 0))
+        sums.append(pooled)
+    best = [max(c) for c in zip(*sums)]
+    z = sum(float(w) * x for w, x in zip(net.weight, [*(sum(c) / len(sums) for c in zip(*sums)), *best])) + net.offset + net.shift
+    return 1 / (1 + np.exp(-z))
+
+
+def test_network_equals_plain_loops_and_its_gradient(monkeypatch):
+    r, texts_ = np.random.default_rng(1), [b"abc", b"x" * 511, bytes(range(97, 123)) * 30, "é\n&&& ".encode() * 150]
+    net = quality.Network.fresh(3, 4, 5)
+    net.bias, net.offset, net.shift = r.normal(0, 0.2, 3).astype(np.float32), 0.3, -0.1
+    want = [plain_score(net, t) for t in texts_]
+    assert np.allclose(net.scores(pa.array(texts_, pa.binary())), want, atol=1e-5)
+    monkeypatch.setattr(quality, "WINDOW", 1)  # every text by windows of its chunks
+    assert np.allclose(net.scores(pa.array(texts_, pa.binary())), want, atol=1e-5)
+    monkeypatch.undo()
+    y = np.array([1.0, 0.0, 1.0, 0.0])
+    net.table, net.bias, net.weight = (x.astype(np.float64) for x in (net.table, net.bias, net.weight))
+    _, g = quality.gradients(net, texts_, y)
+    for name in ("table", "bias", "weight"):
+        value = getattr(net, name)
+        for at in [np.unravel_index(i, value.shape) for i in np.argsort(-np.abs(g[name]).ravel())[:5]]:
+            losses = []
+            for step in (1e-6, -2e-6):
+                value[at] += step
+                losses.append(quality.gradients(net, texts_, y)[0])
+            value[at] += 1e-6
+            assert abs((losses[0] - losses[1]) / 2e-6 - g[name][at]) < 1e-4, name
+
+
+def test_excerpts_cover_the_whole_text(spark):
+    text = "".join(chr(97 + i // 4000) for i in range(100_000))
+    got = spark.createDataFrame([(text,), ("short",), (None,)], "text string").select(quality.excerpt_of(F.col("text"), 6400).alias("e")).collect()
+    assert got[1].e == "short" and got[2].e is None and set(got[0].e) - {"\n"} == set(text) and got[0].e[0] == "a" and got[0].e[-1] == text[-1] and len(got[0].e) <= 6464
+
+
+def test_long_text_in_little_memory():
+    import tracemalloc
+
+    net = quality.Network.fresh(12, 5, 7)
+    data = pa.array([b"some words & more " * 600_000], pa.binary())
+    tracemalloc.start()
+    net.scores(data)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100 << 20  # of 11 MB
 
 
 def test_every_byte_counts():

@@ -9,8 +9,10 @@ small matrix, and stretches multiply (min, +): a conversation of any length is c
 partitioning, its stretches' matrices give each the states at its ends, and all stretches
 are then repaired side by side.
 
+Between two turns of one role the cheaper of joining them and inserting an empty turn is taken.
+
 Nulls: a null text is empty; a null or unknown role always counts as changed.  Rows without
-a conversation id form a conversation of their own.  Turns go by turn (nulls first), role,
+a conversation id form a conversation of their own, apart from one whose id is an empty text.  Turns go by turn (nulls first), role,
 text; ties between equal rows don't matter.  Repeated rows are turns like others.  Ties
 between repairs go to the state named first.  An empty table gives no rows.  Extra columns
 are ignored.
@@ -31,19 +33,27 @@ STATES = ("", "system", "user", "assistant")
 MERGE, INSERT, RELABEL = 1, 2, 3
 _NO = 10**9
 _START, _SYSTEM, _USER, _ASSISTANT = range(4)
-#: What going from an open state to a turn of a role takes: cost, empty roles inserted before, whether it joins the open turn.
-LINKS: dict[tuple[int, int], tuple[int, tuple[int, ...], bool]] = {
-    (_START, _SYSTEM): (0, (), False),
-    (_START, _USER): (0, (), False),
-    (_START, _ASSISTANT): (INSERT, (_USER,), False),
-    (_SYSTEM, _SYSTEM): (MERGE, (), True),
-    (_SYSTEM, _USER): (0, (), False),
-    (_SYSTEM, _ASSISTANT): (INSERT, (_USER,), False),
-    (_USER, _USER): (MERGE, (), True),
-    (_USER, _ASSISTANT): (0, (), False),
-    (_ASSISTANT, _USER): (0, (), False),
-    (_ASSISTANT, _ASSISTANT): (MERGE, (), True),
-}
+Link = tuple[int, tuple[int, ...], bool]
+
+
+def links(merge: int = MERGE, insert: int = INSERT) -> dict[tuple[int, int], Link]:
+    """What going from an open state to a turn of a role takes at least: cost, empty roles inserted before, whether it joins the open turn."""
+    choices: dict[tuple[int, int], list[Link]] = {
+        (_START, _SYSTEM): [(0, (), False)],
+        (_START, _USER): [(0, (), False)],
+        (_START, _ASSISTANT): [(insert, (_USER,), False)],
+        (_SYSTEM, _SYSTEM): [(merge, (), True)],
+        (_SYSTEM, _USER): [(0, (), False)],
+        (_SYSTEM, _ASSISTANT): [(insert, (_USER,), False)],
+        (_USER, _USER): [(merge, (), True), (insert, (_ASSISTANT,), False)],
+        (_USER, _ASSISTANT): [(0, (), False)],
+        (_ASSISTANT, _USER): [(0, (), False)],
+        (_ASSISTANT, _ASSISTANT): [(merge, (), True), (insert, (_USER,), False)],
+    }
+    return {k: min(v, key=lambda x: x[0]) for k, v in choices.items()}
+
+
+LINKS = links()
 #: What ending in a state takes.
 ENDS = {_START: (0, ()), _SYSTEM: (2 * INSERT, (_USER, _ASSISTANT)), _USER: (INSERT, (_ASSISTANT,)), _ASSISTANT: (0, ())}
 
@@ -166,7 +176,7 @@ def repair(conversations: DataFrame, *, stretch_bytes: int = 16 << 20) -> DataFr
     ship(conversations.sparkSession)
     kind = conversations.schema["conv_id"].dataType.simpleString()
     rows = conversations.select(
-        F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("conv"), F.col("turn").cast("long").alias("turn"), F.lower(F.trim("role")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
+        F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("")).alias("conv"), F.col("turn").cast("long").alias("turn"), F.lower(F.trim("role")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     )
     n = pieces_of(text_bytes(conversations), stretch_bytes)
     order = ["conv", "turn", "role", "text"]
@@ -177,11 +187,26 @@ def repair(conversations: DataFrame, *, stretch_bytes: int = 16 << 20) -> DataFr
     shared = edges.groupBy("conv").count().filter("count > 1").select("conv")
     states = edges.join(shared, "conv", "left_semi").groupBy("conv").applyInPandas(_states, "conv string, seg int, enter int, leave int, last boolean")
     out = table.groupBy("seg").cogroup(states.groupBy("seg")).applyInPandas(_repairer, "conv string, turn long, step int, role string, action string, cost long, fragment string, place long")
-    key = F.when(F.col("conv") != "", F.col("conv")).cast(kind)
+    key = F.when(F.col("conv") != "", F.substring("conv", 2, 1 << 30)).cast(kind)
     return out.select(key.alias("conv_id"), "turn", "place", "step", "role", "action", "cost", "fragment")
 
 
 def render(repaired: DataFrame) -> DataFrame:
-    """conv_id and the rendered text; for conversations that fit in one row."""
+    """conv_id, part, turns (of the repaired sequence), inserted, relabelled, merged, cost, text: each conversation's rendered text.
+
+    A conversation that runs over several stretches has a part for each, in order; none is larger than a stretch.
+    """
+    part = F.shiftright("place", 40).cast("int").alias("part")
     parts = F.array_sort(F.collect_list(F.struct("place", "step", "fragment")))
-    return repaired.groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda p: p["fragment"]), "").alias("text"))
+
+    def of(*actions: str):
+        return F.count_if(F.col("action").isin(*actions))
+
+    return repaired.groupBy("conv_id", part).agg(
+        of("keep", "relabel+keep", "insert").alias("turns"),
+        of("insert").alias("inserted"),
+        of("relabel+keep", "relabel+merge").alias("relabelled"),
+        of("merge", "relabel+merge").alias("merged"),
+        F.sum("cost").alias("cost"),
+        F.array_join(F.transform(parts, lambda p: p["fragment"]), "").alias("text"),
+    )

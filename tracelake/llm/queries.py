@@ -22,7 +22,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), token_counts.new_cache(spark), limit=1024)
+    """The whole table, against a cache in which what was counted when there were only its English documents is stored."""
+    docs, tokenizer, cache = _read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), token_counts.new_cache(spark)
+    token_counts.count_tokens(docs.filter("lang = 'en'"), tokenizer, cache, limit=1024)
+    return token_counts.count_tokens(docs, tokenizer, cache, limit=1024)
 
 
 def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +51,7 @@ def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
         licenses.labels_of(base).alias("base_labels"),
         licenses.labels_of(F.col("places")).alias("labels"),
         "score",
+        "places",
     )
 
 
@@ -80,7 +84,7 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.repair(_read(spark, sf_dir, "conversations"))
+    return chat.render(chat.repair(_read(spark, sf_dir, "conversations")))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

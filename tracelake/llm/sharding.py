@@ -2,7 +2,7 @@
 
 A directory is indexed by the first bits of a key's hash.  Only buckets over the byte limit
 split on another bit; the directory's cells of all others keep pointing to the shorter
-prefix.  Eight bits are looked at in a round, and only rows of buckets that are still too
+prefix.  Six bits are looked at in a round, and only rows of buckets that are still too
 large go into the next one, so that the rounds grow with the logarithm of the data.
 
 Nulls: a null text has 0 bytes; null keys hash alike and stay together.  Rows of one key
