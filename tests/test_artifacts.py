@@ -3,11 +3,13 @@
 import json
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from tracelake.operators import artifacts, replay
 from tracelake.operators.listing import glob_regex
 
-HERE = "git commit -m \"$(cat <<'EOF'\nmy commit msg\nEOF\n)\""
+HERE = "git commit -m \"$(cat <<'EOF'\nsow the rye\nEOF\n)\""
 
 
 @pytest.fixture
@@ -21,14 +23,14 @@ def bash(spark):
 
 
 def test_git(bash):
-    got = {(r.tool_use_id, r.operation_type): (r.commit_message, r.branch) for r in artifacts.git_operations(*bash('git add file.rs && git commit -m "msg"', HERE, 'git commit -m "fix: the bug"', "git push origin feature-branch", "git checkout -b new-branch", "echo git add")).collect()}
+    got = {(r.tool_use_id, r.operation_type): (r.commit_message, r.branch) for r in artifacts.git_operations(*bash('git add field.txt && git commit -m "plough"', HERE, 'git commit -m "mend a fence"', "git push origin south-meadow", "git checkout -b north-meadow", "echo git add")).collect()}
     assert got == {
         ("t0", "add"): (None, None),
-        ("t0", "commit"): ("msg", None),
-        ("t1", "commit"): ("my commit msg", None),
-        ("t2", "commit"): ("fix: the bug", None),
-        ("t3", "push"): (None, "feature-branch"),
-        ("t4", "checkout"): (None, "new-branch"),
+        ("t0", "commit"): ("plough", None),
+        ("t1", "commit"): ("sow the rye", None),
+        ("t2", "commit"): ("mend a fence", None),
+        ("t3", "push"): (None, "south-meadow"),
+        ("t4", "checkout"): (None, "north-meadow"),
     }
 
 
@@ -61,6 +63,56 @@ def test_replay(spark):
     assert len(diffs) == 3 and "-v1 v1" in diffs[1] and "+v2 v2" in diffs[1] and diffs[1].startswith("--- a//a")
 
 
+def test_nothing_to_write_or_to_replace(spark):
+    """A write without a content, and an edit without its new or old text, change nothing and count for nothing."""
+    ops = spark.createDataFrame(
+        [
+            ("s", "/a", "write", "1", "t1", "hello x", None),
+            ("s", "/a", "edit", "2", "t2", None, "hello "),
+            ("s", "/a", "edit", "3", "t3", "y", None),
+            ("s", "/a", "write", "4", "t4", None, None),
+            ("s", "/a", "edit", "5", "t5", "z", "x"),
+            ("s", "/b", "write", "1", "t6", None, None),
+            ("s", "/c", "write", "1", "t7", "", None),
+        ],
+        OPS,
+    )
+    assert {r.file_path: (r.content, r.applied) for r in replay.reconstruct(ops).collect()} == {"/a": ("hello z", 2), "/b": (None, 0), "/c": ("", 1)}
+    assert [(r.file_path, r.tool_use_id, r.content) for r in replay.file_versions(ops).orderBy("file_path", "version").collect()] == [("/a", "t1", "hello x"), ("/a", "t5", "hello z"), ("/c", "t7", "")]
+
+
+def applied(diff, before):
+    """What a unified diff makes of ``before``."""
+    import re
+
+    old, out, at = replay._LINE.findall(before), [], 0
+    lines = replay._LINE.findall(diff)[2:]
+    for k, line in enumerate(lines):
+        bare = k + 1 < len(lines) and lines[k + 1].startswith("\\ No newline")
+        text = line[1:].rstrip("\r\n") if bare else line[1:]
+        if m := re.match(r"@@ -(\d+)(?:,(\d+))? ", line):
+            start = int(m[1]) - (m[2] != "0")
+            out += old[at:start]
+            at = start
+        elif line[0] == " " or line[0] == "-":
+            assert old[at] == text
+            at += 1
+            out += [text] * (line[0] == " ")
+        elif line[0] == "+":
+            out.append(text)
+    return "".join(out + old[at:])
+
+
+@given(st.lists(st.sampled_from(["a\n", "b\n", "c\r\n", "d\x0c\n", "e\u2028f\n", "\n", "g\x85\n"])), st.lists(st.sampled_from(["a\n", "b\n", "c\r\n", "d\x0c\n", "e\u2028f\n", "\n", "g\x85\n"])), st.sampled_from(["", "end", "a"]), st.sampled_from(["", "end", "a"]))
+@settings(max_examples=300, deadline=None)
+def test_a_diff_leads_from_one_text_to_the_other(a, b, end_a, end_b):
+    before, after = "".join(a) + end_a, "".join(b) + end_b
+    diff = replay.unified("f", before, after)
+    assert (diff == "") == (before == after)
+    if diff:
+        assert diff.startswith("--- a/f") and applied(diff, before) == after
+
+
 def test_glob():
     import re
 

@@ -1,4 +1,4 @@
-"""Records, tables and drift, on hand-made lines."""
+"""Records, tables and drift, on lines made here."""
 
 import json
 
@@ -7,97 +7,110 @@ import pytest
 from tracelake.operators.decompose import Tables, quarantine
 from tracelake.operators.drift import drift_fields, version_diff, version_history
 
-BASE = {"timestamp": "2026-02-20T01:00:00Z", "sessionId": "s1", "version": "2.1.49", "cwd": "/tmp", "isSidechain": False, "userType": "external", "gitBranch": "main"}
+COMMON = {"timestamp": "2031-07-05T08:00:00Z", "sessionId": "s1", "version": "7.3", "cwd": "/work/orchard", "isSidechain": False, "userType": "external", "gitBranch": "trunk"}
 
 
-def user(uuid, content="hello", **more):
-    return BASE | {"type": "user", "uuid": uuid, "message": {"role": "user", "content": content}} | more
+def user(uuid, content="good morning", **more):
+    return COMMON | {"type": "user", "uuid": uuid, "message": {"role": "user", "content": content}} | more
 
 
 def assistant(uuid, content, usage=None, **more):
-    return BASE | {"type": "assistant", "uuid": uuid, "message": {"id": "m", "role": "assistant", "model": "model-x", "content": content, "stop_reason": "end_turn", "usage": usage or {"input_tokens": 10, "output_tokens": 5}}} | more
+    message = {"id": f"reply-{uuid}", "role": "assistant", "model": "oak", "content": content, "stop_reason": "end_turn", "usage": usage or {"input_tokens": 21, "output_tokens": 8}}
+    return COMMON | {"type": "assistant", "uuid": uuid, "message": message} | more
+
+
+def bronze_of(spark, lines, path="/logs/orchard/s1.jsonl"):
+    rows = [(path, i * 10, x if isinstance(x, str) else json.dumps(x)) for i, x in enumerate(lines)]
+    return spark.createDataFrame(rows, "path string, off long, line string")
 
 
 @pytest.fixture
 def tables(spark):
-    def make(*lines, path="/logs/p/s1.jsonl"):
-        rows = [(path, i * 10, x if isinstance(x, str) else json.dumps(x)) for i, x in enumerate(lines)]
-        return Tables(spark.createDataFrame(rows, "path string, off long, line string"))
+    return lambda *lines: Tables(bronze_of(spark, lines))
+
 
-    return make
+def test_rejected_lines_say_why_and_where(spark):
+    lines = [user("p1"), "[1, 2", user("p2"), " ", json.dumps({"uuid": "p3"}), {"type": "summary", "summary": "apples"}, user("p4", isSidechain="often"), "nonsense"]
+    t = Tables(bronze_of(spark, lines).unionByName(bronze_of(spark, ["{]"], "/logs/orchard/s2.jsonl")))
+    assert quarantine(t.bronze)[0].count() == 2
+    got = {(r.path[-8:-6], r.off): (r.line_number, r.error, r.preview) for r in t.rejected.collect()}
+    assert {k: v[0] for k, v in got.items()} == {("s1", 10): 1, ("s1", 40): 4, ("s1", 50): 5, ("s1", 60): 6, ("s1", 70): 7, ("s2", 0): 0}
+    assert got["s1", 10][1].startswith("malformed line: Expecting ',' delimiter") and got["s1", 70][1].startswith("malformed line: Expecting value") and got["s2", 0][2] == "{]"
+    assert [got["s1", o][1] for o in (40, 50, 60)] == ["missing type", "missing field leafUuid", "field isSidechain is not BOOLEAN"]
 
 
-def test_malformed_line_between_good_ones(tables):
-    t = tables(user("u1"), '{"type": "user", "this is broken json', user("u2"), "", '{"uuid": "x"}', {"type": "user", "uuid": "y"})
-    good, bad = quarantine(t.bronze)
-    assert good.count() == 2
-    assert {(r.off, r.error) for r in bad.collect()} == {(10, "malformed line"), (40, "missing type"), (50, "missing field timestamp")}
+def test_lines_told_twice_count_once(tables):
+    reply = assistant("q2", [{"type": "text", "text": "pears are ripe"}])
+    t = tables(user("q1"), reply, user("q1"), reply)
+    assert (t.messages.count(), t.message_content.count(), t.token_usage.first().input_tokens) == (2, 2, 21)
 
 
-def test_same_record_twice_is_one_message(tables):
-    t = tables(user("u1"), user("u1"), assistant("a1", [{"type": "text", "text": "hi"}]), assistant("a1", [{"type": "text", "text": "hi"}]))
-    assert t.messages.count() == 2
-    assert t.message_content.count() == 2
-    assert t.token_usage.first().input_tokens == 10
+def test_fields_nobody_modelled(tables):
+    odd = 'ripe"ness\\level'
+    t = tables(user("r1", **{odd: {"a\"b": 1}, "basket": [1, "two"]}))
+    drift = {d.field_name: (d.record_type, d.version, d.sample_value) for d in t.schema_drift.collect()}
+    assert drift["basket"] == ("user", "7.3", '[1,"two"]') and set(drift) == {odd, "basket"}
+    assert json.loads(t.messages.first().extra_json) == {odd: {'a"b': 1}, "basket": [1, "two"]}
 
 
-def test_unknown_field_becomes_drift_and_extra_json(tables):
-    t = tables(user("u1", brandNewField="surprise"))
-    d = t.schema_drift.first()
-    assert (d.field_name, d.record_type, d.version, d.sample_value) == ("brandNewField", "user", "2.1.49", '"surprise"')
-    assert json.loads(t.messages.first().extra_json) == {"brandNewField": "surprise"}
+def test_odd_keys_stay_json_in_every_table(tables):
+    key = 'we"ird\\key'
+    reply = assistant("k1", [], usage={"input_tokens": 1, "output_tokens": 2, key: 3})
+    hook = {"type": "attachment", "uuid": "k2", "timestamp": "t", "sessionId": "s1", "attachment": {"type": "hook_success", "hookName": "prune", key: "x", "toolUseID": "u9"}}
+    event = COMMON | {"type": "system", "uuid": "k3", "subtype": "frost", key: True}
+    t = tables(reply, hook, event)
+    assert json.loads(t.token_usage.first().extra_json) == {key: 3}
+    assert json.loads(t.attachments.first().body_json)[key] == "x" and t.hook_executions.first().hook_name == "prune"
+    assert json.loads(t.system_events.first().extra_json) == {key: True}
 
 
-def test_unversioned_attachment_of_unknown_subtype(tables):
-    line = {"type": "attachment", "uuid": "att1", "sessionId": "s1", "timestamp": "2026-05-09T10:00:00.000Z", "cwd": "/tmp/test", "agentId": "extra", "attachment": {"type": "fictional_subtype", "value": 1}}
-    t = tables(line, line | {"uuid": "att2"})
-    r = t.record_type_drift.collect()
-    assert [(x.type_name, x.version, x.occurrence_count) for x in r] == [("attachment.fictional_subtype", None, 2)]
-    assert t.schema_drift.first().field_name == "agentId"
+def test_attachment_without_a_version(tables):
+    line = {"type": "attachment", "uuid": "w1", "sessionId": "s1", "timestamp": "2031-07-06T08:00:00.000Z", "cwd": "/work", "season": "autumn", "attachment": {"type": "weather_note", "sky": "grey"}}
+    t = tables(line, line | {"uuid": "w2"}, line | {"uuid": "w2"})
+    assert [(x.type_name, x.version, x.occurrence_count) for x in t.record_type_drift.collect()] == [("attachment.weather_note", None, 3)]
+    assert [x.field_name for x in t.schema_drift.collect()] == ["season"] and t.attachments.count() == 2
 
 
-def test_plan_content_only_as_text(tables):
-    t = tables(user("u1", planContent="# plan"), user("u2", planContent={"a": 1}), user("u3", planContent=3))
-    got = {r.uuid: (r.plan_content, r.extra_json) for r in t.messages.collect()}
-    assert got["u1"] == ("# plan", None)
-    assert got["u2"] == (None, '{"planContent":{"a":1}}')
-    assert got["u3"] == (None, '{"planContent":3}')
-    assert [r.text_content for r in t.plan_blocks.collect()] == ["# plan"]
+@pytest.mark.parametrize("plan,kept,rest", [("1. prune", "1. prune", None), ({"steps": 2}, None, '{"planContent":{"steps":2}}'), (7, None, '{"planContent":7}'), (None, None, '{"planContent":null}')])
+def test_a_plan_is_text(tables, plan, kept, rest):
+    t = tables(user("n1", planContent=plan))
+    m = t.messages.first()
+    assert (m.plan_content, m.extra_json) == (kept, rest)
+    assert [r.text_content for r in t.plan_blocks.collect()] == [kept] * (kept is not None)
 
 
-def test_result_joined_whatever_the_order(tables):
-    use = assistant("a1", [{"type": "tool_use", "id": "t1", "name": "Read", "input": {"file_path": "/x"}}])
-    result = user("u1", [{"type": "tool_result", "tool_use_id": "t1", "content": "done", "is_error": True}])
-    for lines in ((use, result), (result, use)):
-        r = tables(*lines).tool_executions.first()
-        assert (r.tool_name, r.result_content, r.is_error) == ("Read", "done", True)
+@pytest.mark.parametrize("turned", [False, True])
+def test_results_meet_their_calls(tables, turned):
+    call = assistant("c1", [{"type": "tool_use", "id": "u1", "name": "Read", "input": {"file_path": "/barn"}}])
+    lines = [call, user("c2", [{"type": "tool_result", "tool_use_id": "u1", "content": "hay", "is_error": True}])]
+    r = tables(*(lines[::-1] if turned else lines)).tool_executions.first()
+    assert (r.tool_name, r.result_content, r.is_error) == ("Read", "hay", True)
 
 
-def test_text_that_looks_like_an_array(tables):
-    b = tables(user("u1", "[not json")).message_content.first()
-    assert (b.block_type, b.text_content, b.block_index) == ("text", "[not json", 0)
+def test_text_that_only_looks_like_blocks(tables):
+    b = tables(user("x1", '[{"type": "text"')).message_content.first()
+    assert (b.block_type, b.text_content, b.block_index) == ("text", '[{"type": "text"', 0)
 
 
-def test_message_overflow_wins_over_record_overflow(tables):
-    line = assistant("a1", [], both=1, only=2)
-    line["message"]["both"] = 3
-    assert json.loads(tables(line).assistant_extra.first().extra_json) == {"both": 3, "only": 2}
+def test_a_message_field_hides_the_record_field(tables):
+    line = assistant("y1", [], shade="deep", sun="low")
+    line["message"]["shade"] = "none"
+    assert json.loads(tables(line).assistant_extra.first().extra_json) == {"shade": "none", "sun": "low"}
 
 
-def test_versions(tables):
+def test_versions_one_after_another(tables):
     lines = []
-    for i, v in enumerate(("1.0", "1.2", "1.1")):
-        at = {"version": v, "sessionId": f"s{v}", "timestamp": f"2026-01-0{i + 1}T00:00:00Z"}
-        lines += [user(f"u{v}", **at, **{f"new{i}": 1, "always": 1})]
+    for day, (v, own) in enumerate({"7.1": "seed", "7.9": "leaf", "7.5": "fruit"}.items(), 1):
+        at = {"version": v, "sessionId": f"s{v}", "timestamp": f"2031-07-0{day}T00:00:00Z"}
+        lines.append(user(f"v{v}", **at, **{own: 1, "root": 1}))
     t = tables(*lines)
-    h = {r.version: r for r in version_history(t.sessions, t.schema_drift).collect()}
-    assert {v: (r.session_count, r.new_fields_count) for v, r in h.items()} == {"1.0": (1, 2), "1.2": (1, 1), "1.1": (1, 1)}
-    d = {r.version: (sorted(r.new_fields), sorted(r.disappeared_fields)) for r in version_diff(t.sessions, t.schema_drift).collect()}
-    assert d["1.2"] == (["new1:user"], ["new0:user"])
-    assert d["1.1"] == (["new2:user"], ["new1:user"])
+    h = {r.version: (r.session_count, r.new_fields_count) for r in version_history(t.sessions, t.schema_drift).collect()}
+    assert h == {"7.1": (1, 2), "7.9": (1, 1), "7.5": (1, 1)}
+    d = {r.version: (r.previous_version, sorted(r.new_fields), sorted(r.disappeared_fields)) for r in version_diff(t.sessions, t.schema_drift).collect()}
+    assert (d["7.9"], d["7.5"]) == (("7.1", ["leaf:user"], ["seed:user"]), ("7.9", ["fruit:user"], ["leaf:user"]))
 
 
-def test_promotion_status(spark):
-    rows = [("is_compact_summary", "user"), ("unknown_exotic_field", "user"), ("some_field", "file-history-snapshot")]
-    d = spark.createDataFrame([(f, r, "1", 1, "a", "b", "x") for f, r in rows], "field_name string, record_type string, version string, occurrence_count long, first_seen_at string, last_seen_at string, sample_value string")
-    assert {r.field_name: r.promotion_status for r in drift_fields(d).collect()} == {"is_compact_summary": "promoted", "unknown_exotic_field": "extra_json", "some_field": "unhandled"}
+def test_what_became_of_a_field(spark):
+    rows = [("plan_content", "user", "promoted"), ("weather", "assistant", "extra_json"), ("weather", "queue-operation", "unhandled"), ("weather", "attachment", "unhandled")]
+    d = spark.createDataFrame([(f, r, "1", 1, "a", "b", "x") for f, r, _ in rows], "field_name string, record_type string, version string, occurrence_count long, first_seen_at string, last_seen_at string, sample_value string")
+    assert {(r.field_name, r.record_type, r.promotion_status) for r in drift_fields(d).collect()} == set(rows)

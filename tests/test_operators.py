@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from tracelake.operators import assemble, export, listing, search, stats, views
 from tracelake.operators.decompose import Tables
@@ -17,20 +18,20 @@ def t(spark):
         return [{"type": "text", "text": f"doing {i}"}, {"type": "tool_use", "id": f"t{i}", "name": name, "input": arg}]
 
     lines = [
-        user("u0", "please ZebraFlux explicitly"),
-        assistant("a1", call(1, "Write", file_path="/f.py", content="one"), timestamp="2026-02-20T01:00:30Z"),
-        assistant("a2", call(2, "Bash", command='git commit -m "msg"'), timestamp="2026-02-20T01:02:00Z"),
-        user("u3", [{"type": "tool_result", "tool_use_id": "t2", "content": "boom", "is_error": True}], timestamp="2026-02-20T01:02:01Z", parentUuid="a2"),
-        assistant("a4", [{"type": "thinking", "thinking": "hm"}], timestamp="2026-02-20T01:05:00Z", parentUuid="a2"),
-        user("u5", "summary", isCompactSummary=True, timestamp="2026-02-20T01:06:00Z"),
-        {"type": "attachment", "uuid": "att", "sessionId": "s1", "timestamp": "2026-02-20T01:00:00Z", "attachment": {"type": "skill_listing", "content": "the ZebraFlux explicitly skill"}},
+        user("u0", "please HeronCreek upstream"),
+        assistant("a1", call(1, "Write", file_path="/f.py", content="one"), timestamp="2031-07-05T08:00:30Z"),
+        assistant("a2", call(2, "Bash", command='git commit -m "msg"'), timestamp="2031-07-05T08:02:00Z"),
+        user("u3", [{"type": "tool_result", "tool_use_id": "t2", "content": "boom", "is_error": True}], timestamp="2031-07-05T08:02:01Z", parentUuid="a2"),
+        assistant("a4", [{"type": "thinking", "thinking": "hm"}], timestamp="2031-07-05T08:05:00Z", parentUuid="a2"),
+        user("u5", "summary", isCompactSummary=True, timestamp="2031-07-05T08:06:00Z"),
+        {"type": "attachment", "uuid": "att", "sessionId": "s1", "timestamp": "2031-07-05T08:00:00Z", "attachment": {"type": "skill_listing", "content": "the HeronCreek upstream skill"}},
     ]
     return Tables(spark.createDataFrame([("/l/s1.jsonl", i, json.dumps(x)) for i, x in enumerate(lines)], "path string, off long, line string"))
 
 
 def test_views(t):
     c = views.session_cost(t.sessions, t.messages, t.token_usage, t.file_operations, t.git_operations).first()
-    assert (c.message_count, c.input_tokens, c.file_ops, c.git_ops) == (5, 30, 1, 1)
+    assert (c.message_count, c.input_tokens, c.file_ops, c.git_ops) == (5, 63, 1, 1)
     near = views.git_commit_context(t.git_operations, t.messages, t.message_content, t.sessions).collect()
     assert sorted(r.assistant_reasoning for r in near) == ["doing 1", "doing 2"]
     assert [r.assistant_reasoning for r in views.git_commit_context(t.git_operations, t.messages, t.message_content, t.sessions, window_s=60).collect()] == ["doing 2"]
@@ -43,7 +44,7 @@ def test_fanout_in_closed_form(t):
     ops = t.file_operations.unionByName(t.file_operations)
     git = t.git_operations.unionByName(t.git_operations).unionByName(t.git_operations)
     p = views.project_summary(t.sessions, t.messages, t.token_usage, ops, git, compat="fanout").first()
-    assert p.total_tokens == 45 * 2 * 3
+    assert p.total_tokens == 87 * 2 * 3
 
 
 def test_tree_and_conversation(t):
@@ -59,15 +60,43 @@ def test_stats(t):
 
 
 def test_search_union(t):
-    hits = search.search_all(t.messages, t.searchable, t.attachments, "zebraflux EXPLICITLY", 10).collect()
+    keys, query = ["message_uuid", "block_index"], "heroncreek UPSTREAM"
+    index = search.build_index(t.searchable.filter("text_content is not null"), keys, "text_content")
+    texts = search.attachment_docs(t.attachments)
+    hits = search.search_all(index, t.messages, t.searchable, search.build_index(texts, ["attachment_uuid", "part"], "text_content"), texts, query, 10).collect()
     assert {r.source for r in hits} == {"message", "attachment"}
-    assert all(">>>ZebraFlux explicitly<<<" in r.snippet for r in hits)
-    assert search.search_messages(t.messages, t.searchable, "explicitly zebraflux").count() == 0
-    op = search.search_file_ops(t.file_operations, "one").first()
+    assert all(">>>HeronCreek upstream<<<" in r.snippet for r in hits)
+    assert search.search_messages(index, t.messages, t.searchable, "upstream heroncreek").count() == 0
+    ops = search.build_index(search.file_op_docs(t.file_operations), ["tool_use_id", "field"], "text_content")
+    op = search.search_file_ops(ops, t.file_operations, "one").first()
     assert (op.file_path, op.snippet) == ("/f.py", "<b>one</b>")
 
 
+def test_snippets_keep_the_source(spark):
+    text = "One, two -- (three) FOUR: Crème\nbrûlée!  Five; e\u0301clair six."
+    rows = spark.createDataFrame([(text,)], "text string")
+
+    def cut(first, words, around):
+        return rows.select(search.snippet(F.col("text"), F.lit(first), words, around=around)).first()[0]
+
+    assert cut(4, 2, 6) == "...three) FOUR: >>>Crème\nbrûlée<<<!  Five; e\u0301clair..."
+    assert cut(0, 1, 30) == ">>>One<<<" + text[3:]
+    assert cut(8, 1, 2) == "...>>>six<<<." and cut(7, 1, 1) == "...>>>e\u0301clair<<<..."
+
+
+def test_stored_index_and_a_second_run(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"the the tale of number {i}" if i % 3 else None) for i in range(60)], "id int, text string")
+    at, query = str(tmp_path / "index"), "the tale"
+    search.write_index(search.build_index(docs.filter("id < 40"), ["id"], "text"), at, part_tokens=20)
+    for _ in range(2):  # a run that is written again replaces itself
+        search.write_index(search.build_index(docs.filter("id >= 40"), ["id"], "text"), at, run=1)
+    stored, whole = search.read_index(spark, at, ["id"], query), search.build_index(docs, ["id"], "text")
+    assert stored.docs.count() == 60 and stored.postings.select("term").distinct().count() < whole.postings.select("term").distinct().count()
+    assert sorted(map(tuple, search.ranked(stored, query).collect())) == sorted(map(tuple, search.ranked(whole, query).collect()))
+
+
 def test_phrase_repeats_and_marks(spark):
+    assert search.query_terms("Ḟůłl ŠẼA e\u0301") == ["fułl", "sea", "e"] and len(search.PLAIN) > 200
     docs = spark.createDataFrame([(1, "Crème brûlée creme brulee"), (2, "brulee creme"), (3, None), (4, " ".join(["x"] * 70 + ["creme", "brulee"]))], "id int, text string")
     m = search.phrase_matches(search.build_index(docs, ["id"], "text"), "crème BRÛLÉE")
     assert {r.id: (r.tf, r.first) for r in m.collect()} == {1: (2, 0), 4: (1, 70)}
@@ -81,6 +110,25 @@ def test_sql_is_read_only(spark, t):
     for bad in ("CREATE TABLE z AS SELECT 1", "INSERT INTO messages SELECT * FROM messages", "DROP VIEW messages", "SET a=b", "DELETE FROM messages", "EXPLAIN DROP VIEW messages"):
         with pytest.raises(sqlrun.NotReadOnly):
             sqlrun.sql_readonly(spark, bad)
+    reads = [
+        "WITH a AS (SELECT type, count(*) AS n FROM messages GROUP BY type HAVING n > 0) SELECT * FROM a JOIN a b USING (type) ORDER BY 1 LIMIT 3",
+        "SELECT uuid FROM messages WHERE uuid IN (SELECT uuid FROM messages) AND EXISTS (SELECT 1 FROM sessions) UNION SELECT 'x' EXCEPT SELECT 'y'",
+        "SELECT type, row_number() OVER (PARTITION BY type ORDER BY uuid) AS n, (SELECT max(timestamp) FROM messages) AS last FROM messages LATERAL VIEW explode(array(1, 2)) e AS x",
+        "SELECT * FROM VALUES (1, 2), (3, 4) AS v(a, b)", "SELECT * FROM range(3)", "EXPLAIN WITH a AS (SELECT 1) SELECT * FROM a", "SELECT DISTINCT type FROM messages OFFSET 1", "SELECT 1;",
+    ]
+    for good in reads:
+        sqlrun.sql_readonly(spark, good).collect()
+    refused = [
+        "ALTER TABLE t RENAME TO u", "ALTER TABLE t ADD COLUMNS (a int)", "ALTER TABLE t SET TBLPROPERTIES ('a' = 'b')", "COMMENT ON TABLE t IS 'x'", "SHOW TABLES", "DESCRIBE messages", "CACHE TABLE messages", "USE x", "TRUNCATE TABLE t",
+        "MERGE INTO messages t USING messages s ON t.uuid = s.uuid WHEN MATCHED THEN DELETE", "SELECT reflect('java.lang.System', 'currentTimeMillis')", "SELECT 1 WHERE (SELECT java_method('java.lang.System', 'nanoTime')) > '0'",
+        "WITH a AS (SELECT try_reflect('java.lang.System', 'exit', 1) AS x) SELECT * FROM a", "EXPLAIN ALTER TABLE t RENAME TO u", "FROM messages INSERT INTO t SELECT *", "ADD JAR x", "EXECUTE IMMEDIATE 'DROP VIEW messages'", "CALL x()",
+    ]
+    for bad in refused:
+        with pytest.raises(Exception):
+            sqlrun._check(spark, bad)
+    for empty in ("", " ; "):
+        with pytest.raises(Exception):
+            sqlrun.sql_readonly(spark, empty)
     with pytest.raises(Exception):
         sqlrun.sql_readonly(spark, "SELECT 1; SELECT 2")
     assert sqlrun.run_canned(spark, "recent-sessions", {"limit": "1"}).count() == 1
@@ -92,9 +140,9 @@ def test_sql_is_read_only(spark, t):
 
 def test_exports(t, tmp_path, spark):
     md = export.export_markdown(t.sessions, t.messages, t.message_content, t.token_usage).first().markdown
-    assert md.startswith("# Session: s1\n**Project:** /tmp\n**Date:** 2026-02-20T01:00:00Z\n") and "### Tool Use: Bash\n**Input:** `" in md
+    assert md.startswith("# Session: s1\n**Project:** /work/orchard\n**Date:** 2031-07-05T08:00:00Z\n") and "### Tool Use: Bash\n**Input:** `" in md
     row = {r.uuid: r for r in export.export_csv(t.messages, t.message_content, t.token_usage).collect()}
-    assert (row["a4"].content_preview, row["u3"].content_preview, row["a1"].input_tokens) == ("hm", "", 10)
+    assert (row["a4"].content_preview, row["u3"].content_preview, row["a1"].input_tokens) == ("hm", "", 21)
     docs = export.export_json(t.sessions, t.messages, t.message_content, t.token_usage)
     export.write_json(docs, str(tmp_path / "json"))
     back = spark.read.json(str(tmp_path / "json")).first()

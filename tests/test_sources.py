@@ -4,8 +4,9 @@ import json
 
 import pytest
 
+from tracelake.operators.decompose import Tables
 from tracelake.operators.search import phrase_matches, read_index
-from tracelake.sources.session_logs import read_session_logs, reingest, write_bronze
+from tracelake.sources.session_logs import _by_spark, read_session_logs, reingest, write_bronze
 from tracelake.streaming.ingest import Lake
 
 from .test_decompose import assistant, user
@@ -53,27 +54,114 @@ def test_tail_append_partial_line_and_restart(spark, tmp_path):
 def test_stream_equals_batch_and_index_refresh(spark, tmp_path):
     logs, lake = tmp_path / "logs", Lake(spark, str(tmp_path / "lake"))
     logs.mkdir()
-    write = {"type": "tool_use", "id": "t1", "name": "Write", "input": {"file_path": "/f", "content": "zebra flux"}}
-    (logs / "s1.jsonl").write_text(text(user("u1", "tell me of ZebraFlux explicitly"), assistant("a1", [write], version="2.2")))
+    write = {"type": "tool_use", "id": "t1", "name": "Write", "input": {"file_path": "/f", "content": "reed bed"}}
+    (logs / "s1.jsonl").write_text(text(user("u1", "tell me of HeronCreek upstream"), assistant("a1", [write], version="2.2")))
     lake.follow(str(logs), once=True, max_bytes_per_trigger=300).awaitTermination()
     batch = sorted(map(tuple, read_session_logs(spark, str(logs)).collect()))
     assert sorted((r.path, r.off, r.line) for r in lake.bronze.collect()) == batch
     assert {"file:written", "record:added", "session:started", "version:changed"} <= {r.type for r in lake.events.collect()}
     assert lake.refresh_index() and not lake.refresh_index()
-    idx = read_index(spark, f"{lake.root}/index", ["message_uuid", "block_index"], "zebraflux explicitly")
-    assert [r.message_uuid for r in phrase_matches(idx, "zebraflux explicitly").collect()] == ["u1"]
+    idx = read_index(spark, f"{lake.root}/index", ["message_uuid", "block_index"], "heroncreek upstream")
+    assert [r.message_uuid for r in phrase_matches(idx, "heroncreek upstream").collect()] == ["u1"]
 
 
-def test_reingest_replaces_one_file(spark, tmp_path):
+def test_three_batches_equal_one(spark, tmp_path):
+    """A result one batch after its call, a call delivered again, and lines that come in three batches."""
+    logs, lake = tmp_path / "logs", Lake(spark, str(tmp_path / "lake"))
+    logs.mkdir()
+    write = {"type": "tool_use", "id": "t1", "name": "Write", "input": {"file_path": "/barn", "content": "hay"}}
+    commit = {"type": "tool_use", "id": "t2", "name": "Bash", "input": {"command": 'git commit -m "stack hay"'}}
+    steps = [
+        [("s1", user("u1", "first reeds")), ("s1", assistant("a1", [write, commit]))],
+        [("s1", user("u2", [{"type": "tool_result", "tool_use_id": "t1", "content": "stacked", "is_error": True}])), ("s2", user("u3", "second reeds", sessionId="s2", version="8.0", timestamp="2031-07-06T00:00:00Z"))],
+        [("s3", assistant("a1", [write, commit])), ("s2", user("u4", "third reeds", sessionId="s2", version="8.0"))],
+    ]
+    for step in steps:
+        for name, line in step:
+            with (logs / f"{name}.jsonl").open("a") as f:
+                f.write(text(line))
+        lake.follow(str(logs), once=True).awaitTermination()
+        lake.refresh_index()
+    stream, batch = lake.tables(), Tables(read_session_logs(spark, str(logs)))
+    for name in ("sessions", "messages", "message_content", "token_usage", "tool_executions", "file_operations", "git_operations", "files", "schema_drift", "projects"):
+        a, b = getattr(stream, name), getattr(batch, name)
+        assert sorted(map(str, a.select(b.columns).collect())) == sorted(map(str, b.collect())), name
+    done = {r.tool_use_id: (r.result_content, r.is_error) for r in stream.tool_executions.collect()}
+    assert done["t1"] == ("stacked", True)
+    events = [(r.batch_id, r.type) for r in lake.events.collect()]
+    # what is delivered again is not announced again; each file starts once
+    assert sorted(e for e in events if e[1] in ("file:written", "git:commit")) == [(0, "file:written"), (0, "git:commit")]
+    assert sorted(e for e in events if e[1] == "session:started") == [(0, "session:started"), (1, "session:started"), (2, "session:started")]
+    keys = ["message_uuid", "block_index"]
+    idx = read_index(spark, f"{lake.root}/index", keys, "reeds")
+    assert {r.message_uuid for r in phrase_matches(idx, "reeds").collect()} == {"u1", "u3", "u4"} and idx.docs.count() == batch.searchable.filter("text_content is not null").count()
+
+
+def test_unchanged_files_are_not_opened(tmp_path, monkeypatch):
+    from tracelake.sources import session_logs
+
+    for n in "ab":
+        (tmp_path / f"{n}.jsonl").write_text(f"line of {n}\n" * 20)
+    r = session_logs.TailReader({"path": str(tmp_path)})
+    first = r.latestOffset()
+    opened = []
+    for name in ("_head", "_complete"):
+        monkeypatch.setattr(session_logs, name, lambda path, *a, f=getattr(session_logs, name): opened.append(path[-7]) or f(path, *a))
+    assert r.latestOffset() == first and not any(p.parts for p in r.partitions(first, first)) and not opened
+    with (tmp_path / "b.jsonl").open("a") as f:
+        f.write("more\n")
+    second = r.latestOffset()
+    assert set(opened) == {"b"}
+    opened.clear()
+    got = [x.as_py() for p in r.partitions(first, second) for b in r.read(p) for x in b.column(2)]
+    assert got == ["more"] and not opened
+
+
+def test_stores_that_only_spark_opens(spark, tmp_path):
+    (tmp_path / "deep").mkdir()
+    body = "".join(f"line {i} é\r\n" for i in range(200)) + "\n  \nlast"
+    (tmp_path / "deep" / "a.jsonl").write_text(body)
+    (tmp_path / "b.txt").write_text("other\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        got = sorted((r.off, r.line) for r in _by_spark(spark, [str(tmp_path)], ".jsonl").collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [x for _, x in got] == [f"line {i} é" for i in range(200)] + ["last"] and len({o for o, _ in got}) == 201
+
+
+def test_paths_with_commas_and_files_that_cannot_be_opened(spark, tmp_path, monkeypatch):
+    from tracelake.sources import session_logs
+
+    at = tmp_path / "a,b"
+    at.mkdir()
+    (at / "x.jsonl").write_text(text(user("u1")) + "[1\n")
+    assert read_session_logs(spark, str(at)).count() == 2 and read_session_logs(spark, [str(at), str(at)]).count() == 2
+    gone = [x for b in session_logs.read_range(session_logs.Range(str(at / "none.jsonl"), 0, 10)) for x in b.to_pylist()]
+    assert gone == [{"path": str(at / "none.jsonl"), "off": -1, "line": None}]
+    bronze = read_session_logs(spark, str(at)).unionByName(spark.createDataFrame([(str(at / "none.jsonl"), -1, None)], session_logs.SCHEMA))
+    listed = spark.createDataFrame([(str(at / f"{n}.jsonl"),) for n in ("x", "none", "old")], "path string")
+    t = Tables(bronze)
+    report = session_logs.sync_report(listed, bronze, t.rejected, spark.createDataFrame([], "path string"))
+    assert {r.path.rsplit("/", 1)[1]: (r.state, r.records, r.warnings) for r in report.collect()} == {"x.jsonl": ("synced", 1, 1), "none.jsonl": ("errored", 0, 0), "old.jsonl": ("skipped", 0, 0)}
+    assert tuple(session_logs.sync_totals(report).first()) == (3, 1, 1, 1, 1, 1, 0)
+
+
+def test_reingest_replaces_one_file(spark, tmp_path, monkeypatch):
+    from tracelake.sources import session_logs
+
+    monkeypatch.setattr(session_logs, "BUCKETS", 2)  # files share parts
     logs, at = tmp_path / "logs", str(tmp_path / "bronze")
     logs.mkdir()
-    for s in "ab":
+    for s in "abcd":
         (logs / f"{s}.jsonl").write_text(text(user(s)))
     write_bronze(read_session_logs(spark, str(logs)), at)
-    (logs / "a.jsonl").write_text(text(user("a"), user("a2")))
-    reingest(spark, [str(logs / "a.jsonl")], at)
-    reingest(spark, [str(logs / "a.jsonl")], at)
-    assert spark.read.parquet(at).count() == 3
+    (logs / "a.jsonl").write_text(text(user("other"), user("a2")))
+    (logs / "b.jsonl").write_text(text(user("not read")))
+    for _ in range(2):
+        reingest(spark, [str(logs / "a.jsonl")], at)
+    got = sorted((r.path[-7], json.loads(r.line)["uuid"]) for r in spark.read.parquet(at).collect())
+    assert got == [("a", "a2"), ("a", "other"), ("b", "b"), ("c", "c"), ("d", "d")]
 
 
 def test_empty_tree(spark, tmp_path):

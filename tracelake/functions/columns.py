@@ -46,6 +46,12 @@ def upsert_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
 
 
+def beside(df: DataFrame, figures: DataFrame) -> DataFrame:
+    """``df`` with the one row of figures of an aggregate over a whole table at each row."""
+    one = figures.groupBy().agg(*[F.first(c).alias(c) for c in figures.columns])  # one row, whatever is given
+    return df.crossJoin(F.broadcast(one))
+
+
 def newest(df: DataFrame, limit: int | None, *order) -> DataFrame:
     """Sorted, and cut if there is a limit."""
     df = df.orderBy(*order)

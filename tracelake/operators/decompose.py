@@ -10,10 +10,13 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.columns import json_type, session_id_from_path, upsert_first, upsert_last
+from ..functions.ship import ship
 
 # The record types, their fields, and what a line of each type must have.
 LINE = (
@@ -65,20 +68,51 @@ MESSAGE = "id string, role string, model string, stop_reason string, content str
 BLOCKS = "array<struct<type:string,text:string,thinking:string,signature:string,id:string,name:string,input:string,tool_use_id:string,content:string,is_error:boolean>>"
 
 
+@F.pandas_udf(StringType())
+def _json_error(lines: pd.Series) -> pd.Series:
+    """What a JSON parser says against each line."""
+    import json
+
+    def say(line: str | None) -> str | None:
+        try:
+            json.loads(line)
+        except (ValueError, TypeError, RecursionError) as e:
+            return str(e)
+        return "not JSON in Spark's sense"
+
+    return lines.map(say)
+
+
+def numbered(rejected: DataFrame, bronze: DataFrame, chunk: int = 64 << 20) -> DataFrame:
+    """``rejected`` with ``line_number``: how many lines of its file stand before it.  Files are counted by chunks of bytes."""
+    part = F.floor(F.col("off") / chunk)
+    lines = bronze.join(rejected.select("path").distinct(), "path", "left_semi").select("path", "off", part.alias("part")).distinct()
+    before = Window.partitionBy("path").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = lines.groupBy("path", "part").agg(F.count("*").alias("n")).select("path", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    own = lines.withColumn("own", F.row_number().over(Window.partitionBy("path", "part").orderBy("off")) - 1)
+    at = own.join(counts, ["path", "part"]).select("path", "off", (F.col("own") + F.col("before")).cast("long").alias("line_number"))
+    return rejected.join(at, ["path", "off"], "left")
+
+
 def parse(bronze: DataFrame) -> DataFrame:
     """Each line with its fields, its type and ``error``: null if the line is a good record."""
+    ship(bronze.sparkSession)
     r = F.from_json("line", LINE + ", _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
     df = bronze.filter(F.length(F.trim("line")) > 0).withColumn("r", r).select(*bronze.columns, "r.*")
     missing = F.lit(None).cast("string")
     for kind, fields in REQUIRED.items():
         first = F.coalesce(*[F.when(F.col(f).isNull(), F.lit(f"missing field {f}")) for f in fields])
         missing = F.when(F.col("type") == kind, first).otherwise(missing)
-    error = F.when(F.col("_corrupt").isNotNull(), F.lit("malformed line")).when(F.col("type").isNull(), F.lit("missing type")).otherwise(missing)
+    kinds = {"isSidechain": "BOOLEAN", "isMeta": "BOOLEAN", "durationMs": "BIGINT", "hookCount": "BIGINT"}
+    v = F.try_parse_json("line")
+    wrong = F.coalesce(*[F.when(~json_type(v, f"$.{f}").isin(k, "VOID"), F.lit(f"field {f} is not {k}")) for f, k in kinds.items()], F.lit("a field is of another kind"))
+    # only lines that are no JSON go through Python, for its parser's message
+    error = F.when(F.col("_corrupt").isNotNull() & v.isNull(), F.concat(F.lit("malformed line: "), _json_error("line"))).when(F.col("_corrupt").isNotNull(), wrong).when(F.col("type").isNull(), F.lit("missing type")).otherwise(missing)
     return df.withColumn("error", error).drop("_corrupt")
 
 
 def quarantine(bronze: DataFrame, preview: int = 500) -> tuple[DataFrame, DataFrame]:
-    """The good records, and (path, off, error, preview) of the lines that are not."""
+    """The good records, and (path, off, error, preview) of the lines that are not: the parser's own message, or the field that is missing or wrong."""
     parsed = parse(bronze)
     bad = parsed.filter(F.col("error").isNotNull()).select("path", "off", "error", F.substring("line", 1, preview).alias("preview"))
     return parsed.filter(F.col("error").isNull()).drop("error"), bad
@@ -98,10 +132,16 @@ def overflow(df: DataFrame, json: Column, known: Column | list[str]) -> DataFram
     return df.withColumn("__p", F.explode(pairs)).select(*df.columns, F.col("__p.key").alias("field"), F.to_json(F.col("__p.value")).alias("value")).filter(~F.array_contains(keys, F.col("field")))
 
 
+def quoted(text: Column) -> Column:
+    """Text as a JSON string."""
+    j = F.to_json(F.array(text))
+    return F.substring(j, F.lit(2), F.length(j) - 2)
+
+
 def as_object(df: DataFrame, keys: list[str]) -> DataFrame:
     """Fields and values put together as one JSON object in ``extra_json``, fields in order."""
     parts = F.array_sort(F.collect_list(F.struct("field", "value")))
-    text = F.concat(F.lit("{"), F.array_join(F.transform(parts, lambda p: F.concat(F.lit('"'), p["field"], F.lit('":'), p["value"])), ","), F.lit("}"))
+    text = F.concat(F.lit("{"), F.array_join(F.transform(parts, lambda p: F.concat(quoted(p["field"]), F.lit(":"), p["value"])), ","), F.lit("}"))
     return df.groupBy(*keys).agg(text.alias("extra_json"))
 
 
@@ -134,16 +174,17 @@ class Tables:
     parsed once and every table is one job; without it they are plans.
     """
 
-    bronze: DataFrame
+    bronze: DataFrame | None
     keep: Callable[[str, DataFrame], DataFrame] | None = None
+    parsed: DataFrame | None = None  # records that were parsed before, instead of bronze
 
     @table
     def records(self) -> DataFrame:
-        return quarantine(self.bronze)[0]
+        return quarantine(self.bronze)[0] if self.parsed is None else self.parsed
 
     @table
     def rejected(self) -> DataFrame:
-        return quarantine(self.bronze)[1]
+        return numbered(quarantine(self.bronze)[1], self.bronze)
 
     def of(self, *types: str) -> DataFrame:
         return self.records.filter(F.col("type").isin(*types))

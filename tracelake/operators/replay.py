@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..functions.columns import beside
 from ..functions.ship import ship
 
 KEYS = ["session_id", "file_path"]
@@ -16,13 +17,13 @@ KEYS = ["session_id", "file_path"]
 
 def _apply(content: Column, op: Column) -> Column:
     """A write replaces all; an edit replaces every place of its old text, once there is a content."""
-    edited = F.when(op["operation_type"] == "edit", F.replace(content, F.coalesce(op["old_content"], F.lit("")), F.coalesce(op["content"], F.lit(""))))
-    return F.when(op["operation_type"] == "write", F.coalesce(op["content"], F.lit(""))).otherwise(F.when(content.isNotNull(), F.coalesce(edited, content)))
+    return F.when(op["operation_type"] == "write", op["content"]).otherwise(F.when(content.isNotNull(), F.replace(content, op["old_content"], op["content"])))
 
 
 def _mutations(ops: DataFrame, cutoffs: DataFrame | None) -> DataFrame:
-    """Writes and edits in order; ``cutoffs`` (session_id, file_path, until) leaves those up to then."""
-    m = ops.filter(F.col("operation_type").isin("write", "edit"))
+    """Writes and edits in order; ``cutoffs`` (session_id, file_path, until) leaves those up to then.
+    A write without a content, or an edit that lacks its old or new text, changes nothing."""
+    m = ops.filter(F.col("operation_type").isin("write", "edit") & F.col("content").isNotNull() & ((F.col("operation_type") == "write") | F.col("old_content").isNotNull()))
     if cutoffs is not None:
         m = m.join(cutoffs, KEYS, "left").filter(F.col("until").isNull() | (F.col("timestamp") <= F.col("until"))).drop("until")
     return m.select(*KEYS, "timestamp", "tool_use_id", "operation_type", "content", "old_content")
@@ -30,8 +31,8 @@ def _mutations(ops: DataFrame, cutoffs: DataFrame | None) -> DataFrame:
 
 def cutoffs_at(ops: DataFrame, messages: DataFrame, uuid: str) -> DataFrame:
     """For all files the timestamp of one message; an unknown message gives no cutoff."""
-    at = messages.filter(F.col("uuid") == uuid).agg(F.min("timestamp").alias("until"))  # one row
-    return ops.select(*KEYS).distinct().join(F.broadcast(at))
+    at = messages.filter(F.col("uuid") == uuid).agg(F.min("timestamp").alias("until"))
+    return beside(ops.select(*KEYS).distinct(), at)
 
 
 def reconstruct(ops: DataFrame, cutoffs: DataFrame | None = None) -> DataFrame:
@@ -47,27 +48,38 @@ def reconstruct(ops: DataFrame, cutoffs: DataFrame | None = None) -> DataFrame:
 
 
 def file_versions(ops: DataFrame) -> DataFrame:
-    """The content after each write and edit: session, path, version, timestamp, tool_use_id, content."""
-    steps = F.array_sort(F.collect_list(F.struct("timestamp", "tool_use_id", "operation_type", "content", "old_content")))
-    kind = "array<struct<timestamp:string,tool_use_id:string,content:string>>"
+    """The content after each write and edit: session, path, version, timestamp, tool_use_id, content.
+
+    A write begins a stretch that needs nothing before it: stretches are replayed each by itself."""
+    steps = F.array_sort(F.collect_list(F.struct("version", "timestamp", "tool_use_id", "operation_type", "content", "old_content")))
+    kind = "array<struct<version:bigint,timestamp:string,tool_use_id:string,content:string>>"
 
     def add(done: Column, op: Column) -> Column:
-        return F.concat(done, F.array(F.struct(op["timestamp"].alias("timestamp"), op["tool_use_id"].alias("tool_use_id"), _apply(F.try_element_at(done, F.lit(-1))["content"], op).alias("content"))))
+        now = _apply(F.try_element_at(done, F.lit(-1))["content"], op).alias("content")
+        return F.concat(done, F.array(F.struct(op["version"].alias("version"), op["timestamp"].alias("timestamp"), op["tool_use_id"].alias("tool_use_id"), now)))
 
-    done = _mutations(ops, None).groupBy(*KEYS).agg(F.aggregate(steps, F.array().cast(kind), add).alias("v"))
-    return done.select(*KEYS, F.posexplode("v").alias("version", "v")).select(*KEYS, F.col("version").cast("long").alias("version"), "v.timestamp", "v.tool_use_id", "v.content").filter(F.col("content").isNotNull())
+    order = Window.partitionBy(*KEYS).orderBy("timestamp", "tool_use_id")
+    m = _mutations(ops, None).withColumn("version", (F.row_number().over(order) - 1).cast("long")).withColumn("stretch", F.count_if(F.col("operation_type") == "write").over(order))
+    done = m.filter("stretch > 0").groupBy(*KEYS, "stretch").agg(F.aggregate(steps, F.array().cast(kind), add).alias("v"))
+    return done.select(*KEYS, F.explode("v").alias("v")).select(*KEYS, "v.version", "v.timestamp", "v.tool_use_id", "v.content")
 
 
-@F.pandas_udf(StringType())
-def _diff(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+_LINE = re.compile(r"[^\r\n]*(?:\r\n|\n|\r)|[^\r\n]+")
+
+
+def unified(path: str, before: str, after: str) -> str:
+    """A unified diff of lines with their ends; a last line without one is marked."""
     import difflib
 
-    for path, before, after in parts:
-        out = []
-        for p, a, b in zip(path, before, after):
-            lines = difflib.unified_diff((a or "").splitlines(), (b or "").splitlines(), f"a/{p}", f"b/{p}", lineterm="", n=3)
-            out.append("\n".join(lines))
-        yield pd.Series(out, dtype="object")
+    out = []
+    for line in difflib.unified_diff(_LINE.findall(before), _LINE.findall(after), f"a/{path}", f"b/{path}", n=3):
+        out.append(line if line[-1] in "\r\n" else f"{line}\n\\ No newline at end of file\n")
+    return "".join(out)
+
+
+@F.pandas_udf(StringType())
+def _diff(path: pd.Series, before: pd.Series, after: pd.Series) -> pd.Series:
+    return pd.Series([unified(p, a or "", b or "") for p, a, b in zip(path, before, after)], dtype="object")
 
 
 def file_diffs(ops: DataFrame) -> DataFrame:

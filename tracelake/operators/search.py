@@ -1,22 +1,39 @@
 """Full-text search: a postings table, phrase matching and BM25 over DataFrames.
 
-The index is a table of (term, key, positions, tf, doc_len).  A query reads only its own
-terms' postings, so the table is best written clustered by term (``write_index``).
+The index is a table of (term, key, positions, tf, doc_len), stored by parts of terms
+(``write_index``): a query opens the parts of its own terms alone (``read_index``).
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import beside
+from ..functions.shared import delete
+
 K1, B = 1.2, 0.75
-# Accented Latin letters and the plain letters they count as.
-MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+def _plain_letters() -> tuple[str, str]:
+    """Latin letters with marks beside the letters they count as, then the marks themselves, which count as nothing; by Unicode's decomposition."""
+    marked, plain = "", ""
+    for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]):
+        first, *rest = unicodedata.normalize("NFD", c)
+        if rest and c == c.lower() and all(map(unicodedata.combining, rest)):
+            marked, plain = marked + c, plain + first
+    return marked + "".join(map(chr, range(0x300, 0x370))), plain
+
+
+MARKED, PLAIN = _plain_letters()
 WORD = r"[\p{L}\p{N}]+"
+#: The same words in a text whose marks are still there.
+MARKED_WORD = r"[\p{L}\p{N}](?:[\x{300}-\x{36F}]*[\p{L}\p{N}])*"
 
 
 def tokenize(text: Column) -> Column:
@@ -26,7 +43,7 @@ def tokenize(text: Column) -> Column:
 
 def query_terms(query: str) -> list[str]:
     """The same for a query, on the driver."""
-    return re.findall(r"[^\W_]+", query.lower().translate(str.maketrans(MARKED, PLAIN)))
+    return re.findall(r"[^\W_]+", query.lower().translate(str.maketrans(MARKED[: len(PLAIN)], PLAIN, MARKED[len(PLAIN) :])))
 
 
 @dataclass
@@ -38,38 +55,69 @@ class Index:
     keys: list[str]
 
 
+def _index(rows: DataFrame, keys: list[str]) -> Index:
+    """``rows``: key, doc_len, term, positions; a document without words has one of no term."""
+    postings = rows.filter(F.col("term").isNotNull()).withColumn("tf", F.size("positions").cast("long"))
+    first = F.col("term").isNull() | (F.try_element_at("positions", F.lit(1)) == 0)  # one row of each document
+    return Index(postings, rows.filter(first).select(*keys, "doc_len"), keys)
+
+
+def _rows(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
+    # dealt by document first: its words are then gathered where they are, and only texts and postings are exchanged
+    tokens = docs.select(*keys, F.col(text).alias("text")).repartition(*keys).select(*keys, tokenize(F.coalesce("text", F.lit(""))).alias("tokens"))
+    places = tokens.select(*keys, F.size("tokens").cast("long").alias("doc_len"), F.posexplode_outer("tokens").alias("pos", "term"))
+    return places.groupBy(*keys, "doc_len", "term").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+
+
 def build_index(docs: DataFrame, keys: list[str], text: str) -> Index:
     """Postings of all documents; a document without words has none, but counts among the documents."""
-    tokens = docs.select(*keys, tokenize(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
-    lengths = tokens.select(*keys, F.size("tokens").cast("long").alias("doc_len"))
-    # a document's own words are gathered inside its row: the only exchange is the one that clusters by term, if it is written
-    place = F.transform("tokens", lambda t, i: F.struct(t.alias("term"), i.alias("pos")))
-    terms = F.array_distinct("tokens")
-    one = F.transform(terms, lambda t: F.struct(t.alias("term"), F.transform(F.filter(place, lambda p: p["term"] == t), lambda p: p["pos"]).alias("positions")))
-    short = tokens.filter(F.size("tokens") <= 64).select(*keys, F.size("tokens").cast("long").alias("doc_len"), F.explode(one).alias("e")).select(*keys, "doc_len", "e.term", "e.positions")
-    long = (
-        tokens.filter(F.size("tokens") > 64)
-        .select(*keys, F.size("tokens").cast("long").alias("doc_len"), F.posexplode("tokens").alias("pos", "term"))
-        .groupBy(*keys, "doc_len", "term")
-        .agg(F.array_sort(F.collect_list("pos")).alias("positions"))
-    )
-    postings = short.unionByName(long).withColumn("tf", F.size("positions").cast("long"))
-    return Index(postings, lengths, keys)
-
-
-def write_index(index: Index, path: str, buckets: int = 64) -> None:
-    """The postings by a hash of the term, so that a query reads the parts of its own terms."""
-    part = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
-    index.postings.withColumn("part", part).repartition(buckets, "part").sortWithinPartitions("term").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
-    index.docs.write.mode("overwrite").parquet(f"{path}/docs")
-
-
-def read_index(spark, path: str, keys: list[str], query: str | None = None, buckets: int = 64) -> Index:
+    return _index(_rows(docs, keys, text), keys)
+
+
+def write_index(index: Index, path: str, *, run: int = 0, part_tokens: int = 4_000_000) -> None:
+    """Store an index, or add a ``run`` of other documents to one (the same run again replaces itself).
+
+    The texts are tokenised once.  Terms go to so many parts as the first run's size asks for; rows are ranged by part, term and key,
+    so that a term of very many documents is shared by several tasks and files.
+    """
+    spark, keys = index.postings.sparkSession, index.keys
+
+    def put(df: DataFrame, name: str, *by: str) -> None:
+        df.withColumn("index_run", F.lit(run)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("index_run", *by).parquet(f"{path}/{name}")
+
+    raw = f"{path}/raw-{run}"
+    lengths = index.docs.withColumns({"term": F.lit(None).cast("string"), "positions": F.array().cast("array<int>")})
+    index.postings.select(*keys, "doc_len", "term", "positions").unionByName(lengths.filter("doc_len = 0")).write.mode("overwrite").parquet(raw)
+    stored = _index(spark.read.parquet(raw), keys)
+    n, total = stored.docs.agg(F.count("*"), F.coalesce(F.sum("doc_len"), F.lit(0))).first()
+    pieces = max(1, -(-total // part_tokens))
+    known = _stats(spark, path)
+    parts = known[0]["parts"] if known else min(pieces, 4096)
+    part = F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int")
+    put(stored.postings.withColumn("term_part", part).repartitionByRange(pieces, "term_part", "term", *keys).sortWithinPartitions("term_part", "term", *keys), "postings", "term_part")
+    put(stored.docs, "docs")
+    put(spark.range(1).select(F.lit(n).cast("long").alias("n_docs"), F.lit(total).cast("long").alias("n_tokens"), F.lit(parts).alias("parts")), "stats")
+    delete(spark, raw)
+
+
+def _stats(spark, path: str) -> list:
+    """One row a run."""
+    try:
+        return spark.read.parquet(f"{path}/stats").collect()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+
+
+def read_index(spark, path: str, keys: list[str], query: str | None = None) -> Index:
+    """A stored index; with ``query`` of its postings only the parts of the query's terms."""
     postings = spark.read.parquet(f"{path}/postings")
     if query is not None:
-        own = spark.createDataFrame([(t,) for t in set(query_terms(query)) or {""}], "term string").select(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).collect()  # one row a query term
-        postings = postings.filter(F.col("part").isin(sorted({r[0] for r in own})))
-    return Index(postings.drop("part"), spark.read.parquet(f"{path}/docs"), keys)
+        parts = _stats(spark, path)[0]["parts"]
+        own = spark.createDataFrame([(t,) for t in set(query_terms(query)) or {""}], "term string").select(F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int")).collect()  # one row a query term
+        postings = postings.filter(F.col("term_part").isin(sorted({r[0] for r in own})))
+    return Index(postings.drop("term_part", "index_run"), spark.read.parquet(f"{path}/docs").drop("index_run"), keys)
 
 
 def phrase_matches(index: Index, query: str) -> DataFrame:
@@ -95,12 +143,11 @@ def phrase_matches(index: Index, query: str) -> DataFrame:
 def ranked(index: Index, query: str) -> DataFrame:
     """phrase_matches with ``score``: BM25, best first and negated (smaller is better)."""
     m = phrase_matches(index, query)
-    stats = index.docs.agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avg_len"))
-    df = m.agg(F.count("*").alias("df"))
+    stats = F.count("*").alias("n_docs"), F.avg("doc_len").alias("avg_len")
+    stats, df = index.docs.agg(*stats), m.agg(F.count("*").alias("df"))
     idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     gain = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
-    # two rows of figures, one each
-    return m.join(F.broadcast(stats)).join(F.broadcast(df)).withColumn("score", -idf * gain).drop("n_docs", "avg_len", "df")
+    return beside(beside(m, stats), df).withColumn("score", -idf * gain).drop("n_docs", "avg_len", "df")
 
 
 def phrase_search(index: Index, query: str, limit: int | None = 20, offset: int = 0) -> DataFrame:
@@ -111,24 +158,31 @@ def phrase_search(index: Index, query: str, limit: int | None = 20, offset: int
 
 
 def snippet(text: Column, first: Column, words: int, pre: str = ">>>", post: str = "<<<", around: int = 30) -> Column:
-    """The words around a phrase that begins at word ``first``, the phrase in marks, ``...`` where text is left out."""
-    spans = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    """The source text about a phrase that begins at word ``first``, the phrase in marks, ``...`` where text is left out."""
+    # the text is what stands between its words and the words by turns
+    spans, gaps = F.regexp_extract_all(text, F.lit(MARKED_WORD), F.lit(0)), F.split(text, MARKED_WORD, -1)
     lo = F.greatest(first - F.lit((around - words) // 2), F.lit(0))
     hi = F.least(lo + around, F.size(spans))
-    before, hit, after = F.slice(spans, lo + 1, first - lo), F.slice(spans, first + 1, words), F.slice(spans, first + words + 1, F.greatest(hi - first - words, F.lit(0)))
-    body = F.concat_ws(" ", F.array_join(before, " "), F.concat(F.lit(pre), F.array_join(hit, " "), F.lit(post)), F.array_join(after, " "))
-    return F.concat(F.when(lo > 0, "...").otherwise(""), F.trim(body), F.when(hi < F.size(spans), "...").otherwise(""))
+    last = first + words - 1
+
+    def piece(i: Column) -> Column:
+        word = F.concat(F.when(i == first, pre).otherwise(""), spans[i], F.when(i == last, post).otherwise(""))
+        return F.concat(word, F.when(i < hi - 1, gaps[i + 1]).otherwise(""))
+
+    body = F.array_join(F.transform(F.sequence(lo, hi - 1), piece), "")
+    before, after = F.when(lo > 0, "...").otherwise(gaps[0]), F.when(hi < F.size(spans), "...").otherwise(gaps[F.size(spans)])
+    return F.concat(before, body, after)
 
 
 def _shown(top: DataFrame, docs: DataFrame, keys: list[str], text: str, query: str, pre: str = ">>>", post: str = "<<<", around: int = 30) -> DataFrame:
     return top.join(docs, keys).withColumn("snippet", snippet(F.coalesce(F.col(text), F.lit("")), F.col("first"), len(query_terms(query)), pre, post, around)).drop("first", text)
 
 
-def search_messages(messages: DataFrame, searchable: DataFrame, query: str, limit: int | None = 20, offset: int = 0, only: str | None = None) -> DataFrame:
-    """Blocks with the phrase; statistics are those of all blocks, whatever ``only`` (a block type) leaves."""
-    keys = ["message_uuid", "block_index"]
+def search_messages(index: Index, messages: DataFrame, searchable: DataFrame, query: str, limit: int | None = 20, offset: int = 0, only: str | None = None) -> DataFrame:
+    """Blocks with the phrase, by the index of ``searchable``; statistics are those of all blocks, whatever ``only`` (a block type) leaves."""
+    keys = index.keys
     docs = searchable.filter(F.col("text_content").isNotNull()).select(*keys, "block_type", "text_content")
-    hits = ranked(build_index(docs, keys, "text_content"), query)
+    hits = ranked(index, query)
     if only is not None:
         hits = hits.join(docs.filter(F.col("block_type") == only).select(*keys), keys, "left_semi")
     hits = hits.orderBy(F.round("score", 9), *keys)
@@ -140,8 +194,8 @@ def search_messages(messages: DataFrame, searchable: DataFrame, query: str, limi
     return _shown(hits, docs, keys, "text_content", query).join(m, "message_uuid").withColumn("source", F.lit("message"))
 
 
-def search_plans(messages: DataFrame, searchable: DataFrame, query: str, limit: int | None = 20, offset: int = 0) -> DataFrame:
-    return search_messages(messages, searchable, query, limit, offset, only="plan_content")
+def search_plans(index: Index, messages: DataFrame, searchable: DataFrame, query: str, limit: int | None = 20, offset: int = 0) -> DataFrame:
+    return search_messages(index, messages, searchable, query, limit, offset, only="plan_content")
 
 
 def attachment_docs(attachments: DataFrame) -> DataFrame:
@@ -155,33 +209,36 @@ def attachment_docs(attachments: DataFrame) -> DataFrame:
     return out.filter(F.length("text_content") > 0).drop("body_json")
 
 
-def search_attachments(attachments: DataFrame, query: str, limit: int | None = 20, offset: int = 0) -> DataFrame:
-    docs, keys = attachment_docs(attachments), ["attachment_uuid", "part"]
-    top = phrase_search(build_index(docs, keys, "text_content"), query, limit, offset)
-    return _shown(top, docs, keys, "text_content", query).withColumn("source", F.lit("attachment"))
+def search_attachments(index: Index, docs: DataFrame, query: str, limit: int | None = 20, offset: int = 0) -> DataFrame:
+    """``docs`` are ``attachment_docs``, ``index`` is theirs."""
+    top = phrase_search(index, query, limit, offset)
+    return _shown(top, docs, index.keys, "text_content", query).withColumn("source", F.lit("attachment"))
 
 
-def search_all(messages: DataFrame, searchable: DataFrame, attachments: DataFrame, query: str, limit: int = 20, offset: int = 0) -> DataFrame:
+def search_all(index: Index, messages: DataFrame, searchable: DataFrame, attachment_index: Index, attachment_texts: DataFrame, query: str, limit: int = 20, offset: int = 0) -> DataFrame:
     """The best of both corpora by their own scores; each gives limit + offset."""
-    a = search_messages(messages, searchable, query, limit + offset).select("source", F.col("message_uuid").alias("id"), F.col("block_index").cast("long").alias("part"), "session_id", "timestamp", "snippet", "score")
-    b = search_attachments(attachments, query, limit + offset).select("source", F.col("attachment_uuid").alias("id"), F.col("part").cast("long").alias("part"), "session_id", "timestamp", "snippet", "score")
+    a = search_messages(index, messages, searchable, query, limit + offset).select("source", F.col("message_uuid").alias("id"), F.col("block_index").cast("long").alias("part"), "session_id", "timestamp", "snippet", "score")
+    b = search_attachments(attachment_index, attachment_texts, query, limit + offset).select("source", F.col("attachment_uuid").alias("id"), F.col("part").cast("long").alias("part"), "session_id", "timestamp", "snippet", "score")
     out = a.unionByName(b).orderBy(F.round("score", 9), "source", "id", "part")
     return (out.offset(offset) if offset else out).limit(limit)
 
 
-def search_file_ops(ops: DataFrame, query: str, limit: int | None = 20, offset: int = 0) -> DataFrame:
-    """Operations with the phrase in content, old content or command; a phrase never crosses them."""
+def file_op_docs(ops: DataFrame) -> DataFrame:
+    """tool_use_id, field, text_content: each of an operation's texts by itself, so that no phrase crosses them."""
     parts = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("text_content")) for c in ("content", "old_content", "command")]))
-    docs = ops.select("tool_use_id", parts.alias("p")).select("tool_use_id", "p.field", "p.text_content").filter(F.col("text_content").isNotNull())
-    idx = build_index(docs, ["tool_use_id", "field"], "text_content")
-    hits = phrase_matches(idx, query).groupBy("tool_use_id").agg(F.sum("tf").alias("tf"), F.min_by(F.struct("field", "first"), "field").alias("at"))
-    lengths = idx.docs.groupBy("tool_use_id").agg(F.sum("doc_len").alias("doc_len"))
+    return ops.select("tool_use_id", parts.alias("p")).select("tool_use_id", "p.field", "p.text_content").filter(F.col("text_content").isNotNull())
+
+
+def search_file_ops(index: Index, ops: DataFrame, query: str, limit: int | None = 20, offset: int = 0) -> DataFrame:
+    """Operations with the phrase in content, old content or command; ``index`` is that of ``file_op_docs``."""
+    hits = phrase_matches(index, query).groupBy("tool_use_id").agg(F.sum("tf").alias("tf"), F.min_by(F.struct("field", "first"), "field").alias("at"))
+    lengths = index.docs.groupBy("tool_use_id").agg(F.sum("doc_len").alias("doc_len"))
     stats = lengths.agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avg_len"))
     df = hits.agg(F.count("*").alias("df"))
     idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     gain = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
-    out = hits.join(lengths, "tool_use_id").join(F.broadcast(stats)).join(F.broadcast(df)).withColumn("score", -idf * gain).orderBy(F.round("score", 9), "tool_use_id")
+    out = beside(beside(hits.join(lengths, "tool_use_id"), stats), df).withColumn("score", -idf * gain).orderBy(F.round("score", 9), "tool_use_id")
     out = out.offset(offset) if offset else out
     out = (out if limit is None else out.limit(limit)).select("tool_use_id", "tf", "doc_len", "score", "at.field", "at.first")
-    shown = out.join(docs, ["tool_use_id", "field"]).withColumn("snippet", snippet(F.col("text_content"), F.col("first"), len(query_terms(query)), "<b>", "</b>", 32)).drop("text_content", "first")
+    shown = out.join(file_op_docs(ops), ["tool_use_id", "field"]).withColumn("snippet", snippet(F.col("text_content"), F.col("first"), len(query_terms(query)), "<b>", "</b>", 32)).drop("text_content", "first")
     return shown.join(ops.select("tool_use_id", "session_id", "file_path", "operation_type", "timestamp"), "tool_use_id")

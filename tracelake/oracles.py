@@ -90,7 +90,7 @@ pg AS (
   SELECT page_id AS p, url, 'a' || page_id AS uuid, strftime(to_timestamp(1767225600 + page_id * 60) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S.%gZ') AS iso,
          's' || (page_id % 150) AS sid, '/Projects/p' || (page_id % 10) AS cwd, CASE WHEN page_id % 5 > 0 THEN '1.0.' || (page_id % 5) END AS ver,
          CASE WHEN page_id % 8 = 3 THEN ['system', 'summary', 'queue-operation', 'progress', 'file-history-snapshot', 'broken'][CAST(page_id // 8 % 6 AS INT) + 1] ELSE 'attachment' END AS kind,
-         ['hook_success', 'hook_permission_decision', 'mcp_instructions_delta', 'skill_listing', 'edited_text_file', 'nested_memory', 'fictional_subtype'][CAST(page_id % 7 AS INT) + 1] AS inner_type
+         ['hook_success', 'hook_permission_decision', 'mcp_instructions_delta', 'skill_listing', 'edited_text_file', 'nested_memory', 'mood_ring'][CAST(page_id % 7 AS INT) + 1] AS inner_type
   FROM pages),
 att AS (SELECT * FROM pg WHERE kind = 'attachment'),
 psess AS (SELECT sid AS session_id, arg_min(cwd, p) AS project_path FROM pg WHERE kind IN ('attachment', 'system', 'progress') GROUP BY 1),
@@ -108,7 +108,7 @@ adocs AS (
 marks AS (SELECT page_id AS id, '/Projects/p' || (page_id % 10) AS project_path, url AS label, 'e' || (page_id * 2) AS assistant_uuid, 'tag' || (page_id % 3) AS tag FROM pages)
 """
 
-TOKENS = r"regexp_extract_all(translate(lower({0}), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[\p{{L}}\p{{N}}]+')"
+TOKENS = r"regexp_extract_all(strip_accents(lower({0})), '[\p{{L}}\p{{N}}]+')"
 
 
 def ev(sql: str) -> str:
@@ -164,11 +164,11 @@ TOK_SUM = """count(*) AS message_count, coalesce(sum(input_tokens), 0)::BIGINT A
 ORACLES = {
     "a1_read_session_logs": ev("SELECT sid AS session_id, count(*) AS n_lines, sum(i)::BIGINT AS uuid_sum FROM ev GROUP BY 1"),
     "a2_session_id_from_path": "SELECT page_id, 's' || page_id AS session_id FROM pages",
-    "a3_quarantine": pg("""SELECT p AS off, 'malformed line' AS error, '{"type": "user", "this is broken ' || p AS preview FROM pg WHERE kind = 'broken'"""),
+    "a3_quarantine": pg("""SELECT p AS off, (row_number() OVER (PARTITION BY p % 150 ORDER BY p) - 1)::BIGINT AS line_number, 'malformed line: Unterminated string starting at: line 1 column 18 (char 17)' AS error, '{"type": "user", "this is broken ' || p AS preview FROM pg QUALIFY kind = 'broken'"""),
     "a4_incremental_read": ev("SELECT sid AS session_id, count(*) AS n_lines FROM ev GROUP BY 1"),
-    "a5_sync_report": pg("""SELECT '/logs/pages/s' || (p % 150) || '.jsonl' AS path, count(*) FILTER (kind <> 'broken') AS records, count(*) FILTER (kind = 'broken') AS warnings,
-      sum(CASE WHEN kind IN ('system', 'queue-operation', 'progress', 'file-history-snapshot') THEN 1 WHEN kind = 'attachment' THEN (p % 11 = 0)::INT + (inner_type = 'mcp_instructions_delta')::INT ELSE 0 END)::BIGINT AS overflow_fields FROM pg GROUP BY 1"""),
-    "a6_reingest": ev("SELECT path, count(*) AS n_lines FROM ev GROUP BY 1"),
+    "a5_sync_report": ev("""SELECT sid AS session_id, 'synced' AS state, count(*) AS records, 0::BIGINT AS warnings, coalesce(any_value(o.n), 0)::BIGINT AS overflow_fields FROM ev
+      LEFT JOIN (SELECT sid, count(*) AS n FROM obs JOIN ev USING (i) GROUP BY 1) o USING (sid) GROUP BY 1 UNION ALL SELECT 'second run', 'skipped', 0, 0, 0"""),
+    "a6_reingest": ev("SELECT sid AS session_id, CASE WHEN u % 10 = 3 THEN count(*) ELSE count(*) FILTER (asst) END AS n_lines FROM ev GROUP BY sid, u HAVING n_lines > 0"),
     "a7_upsert": "SELECT user_id, min(event_id) AS first_id, arg_min(event_type, event_id) AS first_type, max(event_id) AS last_id, arg_max(event_type, event_id) AS last_type FROM events GROUP BY 1",
     "a8_export_json": ev("""SELECT s.session_id, s.project_path, m.n AS n_messages, m.b AS n_blocks, m.first_uuid FROM sess s JOIN
       (SELECT session_id, count(*) AS n, sum(CASE WHEN type = 'assistant' THEN 2 ELSE 1 END)::BIGINT AS b, arg_min(uuid, (timestamp, uuid)) AS first_uuid FROM msg GROUP BY 1) m USING (session_id)"""),
@@ -188,7 +188,7 @@ ORACLES = {
     "b11_system_events": pg("""SELECT uuid, sid AS session_id, iso AS timestamp, 'turn_duration' AS subtype, p AS duration_ms,
       '{' || CASE WHEN p % 2 = 0 THEN '"hookCount":2,' ELSE '' END || '"retryInMs":' || p || '}' AS extra_json FROM pg WHERE kind = 'system'"""),
     "b12_summaries": pg("SELECT DISTINCT sid AS session_id, 'summary of page ' || p AS summary, 'e' || p AS leaf_uuid FROM pg WHERE kind = 'summary'"),
-    "b13_attachments": pg("SELECT uuid, sid AS session_id, iso AS timestamp, ver AS version, inner_type, CASE WHEN inner_type = 'fictional_subtype' THEN inner_type END AS body_type, CASE WHEN inner_type = 'edited_text_file' THEN 'snippet of page ' || p END AS snippet FROM att"),
+    "b13_attachments": pg("SELECT uuid, sid AS session_id, iso AS timestamp, ver AS version, inner_type, CASE WHEN inner_type = 'mood_ring' THEN inner_type END AS body_type, CASE WHEN inner_type = 'edited_text_file' THEN 'snippet of page ' || p END AS snippet FROM att"),
     "b14_hook_executions": pg("SELECT * EXCLUDE (p) FROM hooks"),
     "b15_plan_blocks": ev("SELECT uuid AS message_uuid, (-1)::BIGINT AS block_index, 'plan_content' AS block_type, plan_content AS text_content FROM msg WHERE plan_content IS NOT NULL"),
     "b16_drop_noise": pg("SELECT kind AS type, count(*) AS n_records, 0::BIGINT AS n_messages FROM pg WHERE kind IN ('progress', 'queue-operation', 'file-history-snapshot') GROUP BY 1"),
@@ -210,8 +210,14 @@ ORACLES = {
       UNION ALL SELECT 'priority', 'queue-operation', 'unknown' FROM pg WHERE kind = 'queue-operation'
       UNION ALL SELECT 'flavour', 'file-history-snapshot', 'unknown' FROM pg WHERE kind = 'file-history-snapshot') GROUP BY ALL"""),
     "d2_record_type_drift": ev("SELECT * FROM typedrift"),
-    "d3_schema_drift_list": ev("SELECT field_name, record_type, version, first_seen_at FROM drift ORDER BY first_seen_at DESC, 1, 2, 3 LIMIT 7"),
-    "d3_schema_drift_list_whole": ev("SELECT field_name, record_type, version, first_seen_at FROM drift"),
+    "d3_schema_drift_list": ev("SELECT field_name, record_type, version, first_seen_at FROM drift"),
+    "d3_schema_drift_list_whole": pg("""SELECT field_name, record_type, version, min(iso) AS first_seen_at FROM (
+      SELECT 'oddField' AS field_name, 'attachment' AS record_type, ver AS version, iso FROM att WHERE p % 11 = 0
+      UNION ALL SELECT 'removedNames', 'attachment.mcp_instructions_delta', ver, iso FROM att WHERE inner_type = 'mcp_instructions_delta'
+      UNION ALL SELECT 'retryInMs', 'system', '1.0.' || (p % 5), iso FROM pg WHERE kind = 'system'
+      UNION ALL SELECT 'pct', 'progress', '1.0.' || (p % 5), iso FROM pg WHERE kind = 'progress'
+      UNION ALL SELECT 'priority', 'queue-operation', 'unknown', iso FROM pg WHERE kind = 'queue-operation'
+      UNION ALL SELECT 'flavour', 'file-history-snapshot', 'unknown', NULL FROM pg WHERE kind = 'file-history-snapshot') GROUP BY ALL"""),
     "d4_record_type_drift_list": ev("SELECT type_name, version, last_seen_at FROM typedrift ORDER BY last_seen_at DESC, 1, 2 LIMIT 3"),
     "d5_drift_by_version": ev("SELECT version, record_type, field_name, occurrence_count, 'extra_json' AS promotion_status FROM drift"),
     "d6_version_span": ev("SELECT version, min(timestamp) AS first_seen, max(timestamp) AS last_seen FROM msg GROUP BY 1"),
@@ -261,7 +267,7 @@ ORACLES = {
     "g6_tool_errors": ev("SELECT tool_name, is_error, result_content AS error_content, message_uuid, t.session_id, project_path, t.timestamp FROM tool t JOIN live ON uuid = message_uuid JOIN sess s ON s.session_id = t.session_id WHERE is_error"),
     "g7_session_cost": ev("SELECT session_id, project_path, first_seen_at, message_count, input_tokens::BIGINT AS input_tokens, output_tokens::BIGINT AS output_tokens, cache_read_tokens::BIGINT AS cache_read_tokens, file_ops, git_ops FROM per"),
     "h1_assembled_messages": ev("SELECT uuid, b.n AS n_blocks, b.s AS blocks, input_tokens FROM msg JOIN (SELECT message_uuid, count(*) AS n, string_agg(block_type || '/' || coalesce(text_content, tool_name), '|' ORDER BY block_index) AS s FROM blocks GROUP BY 1) b ON b.message_uuid = uuid LEFT JOIN usage u ON u.message_uuid = uuid"),
-    "h2_conversation": ev("SELECT session_id, position, uuid, parent_uuid, type, (CASE WHEN type = 'assistant' OR i % 10 = 3 THEN 1 ELSE 0 END)::BIGINT AS n_blocks FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY timestamp, uuid) AS position FROM msg) WHERE position BETWEEN 3 AND 7"),
+    "h2_conversation": ev("SELECT session_id, position, uuid, parent_uuid, type, (CASE WHEN type = 'assistant' OR i % 10 = 3 THEN 1 ELSE 0 END)::BIGINT AS n_blocks FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY timestamp, uuid) AS position FROM msg)"),
     "h3_session_tree": ev("SELECT m.uuid, session_id, parent_uuid, type, timestamp, is_sidechain, coalesce(n, 0) AS child_count FROM msg m LEFT JOIN (SELECT parent_uuid AS uuid, count(*) AS n FROM msg WHERE parent_uuid IS NOT NULL GROUP BY 1) c USING (uuid)"),
     "h4_session_artifacts": ev("SELECT t.session_id, coalesce(f.n, 0) AS n_files, coalesce(g.n, 0) AS n_git_operations, t.n AS n_tool_runs, t.first_run FROM (SELECT session_id, count(*) AS n, arg_min(tool_use_id, (timestamp, tool_use_id)) AS first_run FROM tool GROUP BY 1) t LEFT JOIN (SELECT session_id, count(*) AS n FROM files GROUP BY 1) f USING (session_id) LEFT JOIN (SELECT session_id, count(*) AS n FROM git GROUP BY 1) g USING (session_id)"),
     "h5_session_timeline": ev("SELECT session_id, timestamp, event_type, name, message_uuid, tool_use_id, position FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY timestamp, event_type, tool_use_id, name) AS position FROM line) WHERE position <= 20"),
@@ -270,16 +276,35 @@ ORACLES = {
     "i3_attachment_docs": pg("SELECT attachment_uuid, part::BIGINT AS part, inner_type, text_content FROM adocs"),
     "i4_phrase_search": f"WITH {_phrase('SELECT doc_id AS key, text FROM documents', ['of', 'the'])} SELECT key AS doc_id, tf, round(score, 6) AS score FROM hits ORDER BY round(hits.score, 9), key LIMIT 20",
     "i5_search_messages": f"WITH {EV}, {_phrase('SELECT (message_uuid, block_index) AS key, text_content AS text FROM blocks WHERE text_content IS NOT NULL UNION ALL SELECT (uuid, -1), plan_content FROM msg WHERE plan_content IS NOT NULL', ['did', 'purchase'])} SELECT m.uuid AS message_uuid, m.session_id, m.type AS message_type, 'text' AS block_type, '>>>did purchase<<< ' || m.i AS snippet, round(score, 6) AS score FROM hits JOIN msg m ON m.uuid = key[1] ORDER BY round(hits.score, 9), m.uuid LIMIT 15",
-    "i6_search_attachments": f"WITH {PG}, {_phrase('SELECT (attachment_uuid, part, inner_type, text_content) AS key, text_content AS text FROM adocs', ['of', 'page'])} SELECT key[1] AS attachment_uuid, key[3] AS inner_type, 'attachment' AS source, replace(array_to_string(regexp_extract_all(key[4], '[\\p{{L}}\\p{{N}}]+'), ' '), 'of page', '>>>of page<<<') AS snippet, round(score, 6) AS score FROM hits ORDER BY round(hits.score, 9), key[1], key[2] LIMIT 15",
+    "i6_search_attachments": f"WITH {PG}, {_phrase('SELECT (attachment_uuid, part, inner_type, text_content) AS key, text_content AS text FROM adocs', ['of', 'page'])} SELECT key[1] AS attachment_uuid, key[3] AS inner_type, 'attachment' AS source, replace(key[4], 'of page', '>>>of page<<<') AS snippet, round(score, 6) AS score FROM hits ORDER BY round(hits.score, 9), key[1], key[2] LIMIT 15",
     "i7_search_all": f"WITH {PG}, {_phrase('SELECT (attachment_uuid, part) AS key, text_content AS text FROM adocs', ['page'])} SELECT 'attachment' AS source, key[1] AS id, round(score, 6) AS score FROM hits ORDER BY round(hits.score, 9), key[1], key[2] LIMIT 10",
     "i8_search_plans": f"WITH {EV}, {_phrase('SELECT (message_uuid, block_index) AS key, text_content AS text FROM blocks WHERE text_content IS NOT NULL UNION ALL SELECT (uuid, -1), plan_content FROM msg WHERE plan_content IS NOT NULL', ['plan', 'click'])} SELECT key[1] AS message_uuid, 'plan_content' AS block_type, round(score, 6) AS score FROM hits ORDER BY round(hits.score, 9), key LIMIT 10",
     "j1_reconstruct": rec(FOLD.format("")),
     "j2_cutoff": rec(FOLD.format("AND timestamp <= (SELECT iso FROM ev WHERE i = 500)")),
+    "j3_file_versions": rec("""
+muts AS (SELECT *, row_number() OVER w AS n, count(*) FILTER (operation_type = 'write') OVER w AS g FROM fop WHERE operation_type IN ('write', 'edit') WINDOW w AS (PARTITION BY session_id, file_path ORDER BY timestamp, tool_use_id)),
+fold AS (
+  SELECT session_id, file_path, n, timestamp, tool_use_id, content FROM muts WHERE operation_type = 'write'
+  UNION ALL SELECT m.session_id, m.file_path, m.n, m.timestamp, m.tool_use_id, replace(f.content, m.old_content, m.content)
+  FROM fold f JOIN muts m ON m.session_id = f.session_id AND m.file_path = f.file_path AND m.n = f.n + 1 AND m.operation_type = 'edit')
+SELECT session_id, file_path, (n - 1)::BIGINT AS version, timestamp, tool_use_id, content FROM fold"""),
+    "i9_search_file_ops": f"WITH {EV}, fdocs AS (SELECT tool_use_id, 'content' AS field, content AS text FROM fop UNION ALL SELECT tool_use_id, 'old_content', old_content FROM fop UNION ALL SELECT tool_use_id, 'command', command FROM fop), {_phrase('SELECT (tool_use_id, field) AS key, text FROM fdocs WHERE text IS NOT NULL', ['src', 'f7'])}, " """
+ol AS (SELECT key[1] AS tool_use_id, sum(len(t)) AS dl FROM tok GROUP BY 1), os AS (SELECT count(*) AS n, avg(dl) AS a FROM ol),
+oh AS (SELECT key[1] AS tool_use_id, sum(tf) AS tf, min(key[2]) AS field FROM hits GROUP BY 1)
+SELECT tool_use_id, field, replace(command, 'src/f7', '<b>src/f7</b>') AS snippet, round(sc, 6) AS score FROM (
+  SELECT *, -greatest(ln((n - (SELECT count(*) FROM oh) + 0.5) / ((SELECT count(*) FROM oh) + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a)) AS sc FROM oh JOIN ol USING (tool_use_id), os)
+JOIN fop USING (tool_use_id) ORDER BY round(sc, 9), tool_use_id LIMIT 10""",
+    "i10_snippet": f"WITH {_phrase('SELECT (doc_id, text) AS key, text FROM documents', ['of', 'the'])}, " r"""
+w AS (SELECT key[1] AS doc_id, first, regexp_extract_all(key[2], '[\p{L}\p{N}]+') AS spans, regexp_split_to_array(key[2], '[\p{L}\p{N}]+') AS gaps, greatest(first - 2, 0) AS lo FROM hits),
+x AS (SELECT *, least(lo + 6, len(spans)) AS hi FROM w)
+SELECT doc_id, CASE WHEN lo > 0 THEN '...' ELSE gaps[1] END
+  || array_to_string([CASE WHEN i = first THEN '>>>' ELSE '' END || spans[CAST(i + 1 AS BIGINT)] || CASE WHEN i = first + 1 THEN '<<<' ELSE '' END || CASE WHEN i < hi - 1 THEN gaps[CAST(i + 2 AS BIGINT)] ELSE '' END FOR i IN range(CAST(lo AS BIGINT), CAST(hi AS BIGINT))], '')
+  || CASE WHEN hi < len(spans) THEN '...' ELSE gaps[len(spans) + 1] END AS snippet FROM x""",
     "k1_sql_readonly": ev("SELECT model, sum(input_tokens)::BIGINT AS input_tokens FROM msg JOIN usage ON message_uuid = uuid WHERE session_id <> 's1' GROUP BY 1"),
     "k2_run_canned": ev("SELECT tool_name, count(*) AS invocations, count(*) FILTER (is_error) AS errors FROM tool WHERE session_id = 's3' GROUP BY 1"),
     "l2_ingest_batch": ev("SELECT session_id, count(*) AS message_count FROM msg GROUP BY 1"),
     "l3_record_added": ev("SELECT 'record:added' AS type, max(sid) AS session_id, path, CAST(NULL AS VARCHAR) AS detail, count(*) AS n FROM ev GROUP BY path"),
-    "l4_session_started": ev("SELECT 'session:started' AS type, max(sid) AS session_id, path FROM ev GROUP BY path HAVING min(i) >= 100"),
+    "l4_session_started": ev("SELECT 'session:started' AS type, max(sid) AS session_id, path FROM ev WHERE u % 10 >= 5 GROUP BY path"),
     "l5_schema_drift_event": ev("SELECT 'schema:drift' AS type, path, count(*) AS n FROM obs JOIN ev USING (i) GROUP BY path"),
     "l6_version_changed": ev("SELECT 'version:changed' AS type, session_id, b || '->' || version AS detail FROM (SELECT *, coalesce(lag(version) OVER (ORDER BY first_seen_at, session_id), '1.0.9') AS b FROM sess) WHERE version <> b"),
     "l7_artifact_events": ev("SELECT CASE operation_type WHEN 'write' THEN 'file:written' ELSE 'file:edited' END AS type, session_id, count(*) AS n FROM fop WHERE operation_type IN ('write', 'edit') GROUP BY 1, 2 UNION ALL SELECT 'git:commit', session_id, count(*) FROM git WHERE operation_type = 'commit' GROUP BY 2"),

@@ -89,7 +89,7 @@ def render_pages(pages: DataFrame) -> DataFrame:
         _json(type=F.lit("skill_listing"), content=_s("skills of page ", p, " at ", url)),
         _json(type=F.lit("edited_text_file"), filename=_s("/src/f", p % 20, ".py"), snippet=_s("snippet of page ", p)),
         _json(type=F.lit("nested_memory"), path=F.lit("/m"), content=F.struct(F.lit("/m").alias("path"), F.lit("User").alias("type"), _s("memory of page ", p).alias("content"))),
-        _json(type=F.lit("fictional_subtype"), value=p),
+        _json(type=F.lit("mood_ring"), value=p),
     ]
     body = F.element_at(F.array(*bodies), (p % 7 + 1).cast("int"))
     attachment = _json(type=F.lit("attachment"), **base, entrypoint=F.lit("cli"), attachment=F.parse_json(body), oddField=F.when(p % 11 == 0, p))

@@ -24,21 +24,37 @@ def register(tables, spark: SparkSession, names: list[str] = SILVER) -> None:
         getattr(tables, n).createOrReplaceTempView(n)
 
 
+#: The nodes that a query's parsed plan may have, and functions that run code of their own.
+QUERY_NODES = set(
+    """Project Filter UnresolvedHaving Join LateralJoin Aggregate Sort GlobalLimit LocalLimit Offset Distinct SubqueryAlias UnresolvedRelation
+    UnresolvedInlineTable ResolvedInlineTable LocalRelation OneRowRelation Union Except Intersect UnresolvedWith WithWindowDefinition Window Generate
+    Pivot Unpivot UnresolvedSubqueryColumnAliases UnresolvedTableValuedFunction UnresolvedTVFAliases UnresolvedHint Sample NameParameterizedQuery PosParameterizedQuery""".split()
+)
+REFUSED_FUNCTIONS = {"reflect", "java_method", "try_reflect"}
+
+
+def _all(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
 def _check(spark: SparkSession, text: str) -> None:
-    """Decided on the parsed plan: what Spark's parser takes for a command, a write or more than one statement is refused."""
+    """Decided on the plan of Spark's parser: one query, of nodes that only read, in its subqueries and WITH parts too."""
     plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
+    if plan.getClass().getSimpleName() == "ExplainCommand":
+        plan = plan.logicalPlan()
     todo = [plan]
     while todo:
         p = todo.pop()
         name = p.getClass().getSimpleName()
-        if name == "ExplainCommand":
-            todo.append(p.logicalPlan())
-            continue
-        bad = re.search(r"Command|Insert|Create|Drop|Delete|Update|Merge|Alter|Truncate|Replace|Append|Overwrite|SetCatalog|UseNamespace|Cache|Refresh|Analyze|Load|Repair", name)
-        if bad and name not in ("ReplaceData", "UnresolvedSubqueryColumnAliases"):
+        if name not in QUERY_NODES:
             raise NotReadOnly(f"only queries are allowed, not {name}")
-        children = p.children()
-        todo += [children.apply(i) for i in range(children.size())]
+        todo += _all(p.children()) + _all(p.subqueries()) + [x for x in _all(p.innerChildren()) if hasattr(x, "subqueries")]
+        parts = _all(p.expressions())
+        while parts:
+            e = parts.pop()
+            if e.getClass().getSimpleName() == "UnresolvedFunction" and e.nameParts().last().lower() in REFUSED_FUNCTIONS:
+                raise NotReadOnly(f"the function {e.nameParts().last()} is not allowed")
+            parts += _all(e.children())
 
 
 def sql_readonly(spark: SparkSession, text: str, args: dict | list | None = None) -> DataFrame:

@@ -3,19 +3,24 @@
 Rows are (path, off, line): ``off`` is the line's byte offset.  A task reads byte ranges,
 each the lines that begin in it: a huge file is read by many tasks, many small files by one.  The
 stream's offset is, for each file, where its last complete line ends and a fingerprint of its
-first bytes: a file that shrank or was replaced is read from the start again.  A line that is
-not finished yet is left for later; in batch mode a last line without a newline counts.
+first bytes: a file that shrank or was replaced is read from the start again; files whose size
+and time are what they were are not opened.  A line that is not finished yet is left for later;
+in batch mode a last line without a newline counts.  A file that can't be opened gives one row
+of offset -1 without a line, and the others are read.  Trees in stores that only Spark opens
+are read by its own text source in batch mode, with offsets that keep the order of lines.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from ..functions.ship import ship
@@ -29,8 +34,8 @@ def _open(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
-def list_logs(roots: list[str], suffix: str) -> dict[str, int]:
-    """Files below the roots and their sizes; links are not followed."""
+def _listed(roots: list[str], suffix: str) -> dict[str, tuple[int, int]]:
+    """Files below the roots, their sizes and times; links are not followed."""
     out = {}
     for root in roots:
         system, at = _open(root)
@@ -39,10 +44,15 @@ def list_logs(roots: list[str], suffix: str) -> dict[str, int]:
         prefix = root[: len(root) - len(at)] if root.endswith(at) else ""
         for f in found:
             if f.type == fs.FileType.File and f.path.endswith(suffix):
-                out[prefix + f.path] = f.size
+                out[prefix + f.path] = (f.size, f.mtime_ns or 0)
     return dict(sorted(out.items()))
 
 
+def list_logs(roots: list[str], suffix: str = ".jsonl") -> dict[str, int]:
+    """Files below the roots and their sizes."""
+    return {p: size for p, (size, _) in _listed(roots, suffix).items()}
+
+
 @dataclass
 class Range:
     path: str
@@ -79,7 +89,12 @@ def read_ranges(part: Ranges) -> Iterator[pa.RecordBatch]:
 def read_range(part: Range) -> Iterator[pa.RecordBatch]:
     """The lines that begin in the range; up to the file's end if ``open_end``, else to ``end`` alone."""
     system, at = _open(part.path)
-    with system.open_input_file(at) as f:
+    try:
+        opened = system.open_input_file(at)
+    except OSError:
+        yield pa.RecordBatch.from_arrays([pa.array([part.path]), pa.array([-1], pa.int64()), pa.array([None], pa.string())], names=["path", "off", "line"])
+        return
+    with opened as f:
         size = f.size()
         pos, rest = part.start, b""
         if pos:
@@ -129,7 +144,7 @@ def _batch(path: str, offs: list[int], lines: list[bytes]) -> pa.RecordBatch:
 
 class _Options:
     def __init__(self, options):
-        self.roots = [p for p in options.get("path", "").split(",") if p]
+        self.roots = json.loads(options["roots"]) if "roots" in options else [options["path"]]
         self.suffix = options.get("suffix", ".jsonl")
         self.chunk = int(options.get("chunkBytes", 64 << 20))
         self.most = int(options.get("maxBytesPerTrigger", 0))
@@ -177,8 +192,12 @@ class TailReader(DataSourceStreamReader):
 
     def latestOffset(self):
         out, left = {}, self.o.most or None
-        for path, size in list_logs(self.o.roots, self.o.suffix).items():
-            end, head, head_of = self.known.get(path, (0, "", 0))
+        for path, (size, time) in _listed(self.o.roots, self.o.suffix).items():
+            known = self.known.get(path)
+            if known and known[3:] == [size, time]:
+                out[path] = known  # nothing was appended: the file is not opened
+                continue
+            end, head, head_of = known[:3] if known else (0, "", 0)
             same = size >= end and (not end or _head(path, head_of) == head)
             start = end if same else 0
             stop = size if left is None else min(size, start + left)
@@ -188,15 +207,20 @@ class TailReader(DataSourceStreamReader):
             if left is not None:
                 left = max(0, left - (done - start))
             if done:
-                out[path] = [done, _head(path, min(_HEAD, done)), min(_HEAD, done)]
-        self.known = {k: tuple(v) for k, v in out.items()}
+                seen = [size, time] if stop == size or done == size else [-1, 0]
+                out[path] = [done, _head(path, min(_HEAD, done)), min(_HEAD, done), *seen]
+        self.known = out
         return out
 
     def partitions(self, start, end):
         found = []
-        for path, (stop, head, head_of) in end.items():
-            before, old, old_of = start.get(path, [0, "", 0])
-            begin = before if stop >= before and (not before or _head(path, old_of) == old) else 0
+        for path, (stop, head, head_of, *_) in end.items():
+            before, old, old_of = start.get(path, [0, "", 0])[:3]
+            if [before, old, old_of] == [stop, head, head_of]:
+                continue
+            # the heads tell, and only of a file that was shorter than a head the file itself
+            same = not before or stop >= before and (old == head if old_of == head_of else _head(path, old_of) == old)
+            begin = before if same else 0
             found += [Range(path, a, min(a + self.o.chunk, stop), open_end=stop > a + self.o.chunk) for a in range(begin, stop, self.o.chunk)]
         return together(found, self.o.chunk)
 
@@ -222,12 +246,23 @@ class SessionLogs(DataSource):
         return TailReader(self.options)
 
 
+def _by_spark(spark: SparkSession, paths: list[str], suffix: str) -> DataFrame:
+    """The same lines by Spark's own reader.  An offset is where the line's block begins and how many bytes of lines stand before it there."""
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").option("lineSep", "\n").text(paths)
+    raw = raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.regexp_replace("value", "\r+$", "").alias("line"), F.octet_length("value").alias("size"), F.monotonically_increasing_id().alias("n"))
+    before = Window.partitionBy("path", "block").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    off = (F.col("block") + F.coalesce(F.sum(F.col("size") + 1).over(before), F.lit(0))).cast("long")
+    return raw.select("path", off.alias("off"), "line").filter(F.length(F.trim("line")) > 0)
+
+
 def read_session_logs(spark: SparkSession, path: str | list[str], *, suffix: str = ".jsonl", chunk_bytes: int = 64 << 20) -> DataFrame:
     """All lines of all files below ``path``."""
+    paths = [path] if isinstance(path, str) else list(path)
+    if any("://" in p and not p.startswith("file:") for p in paths):
+        return _by_spark(spark, paths, suffix)
     ship(spark)
     spark.dataSource.register(SessionLogs)
-    paths = path if isinstance(path, str) else ",".join(path)
-    return spark.read.format("session_logs").option("path", paths).option("suffix", suffix).option("chunkBytes", chunk_bytes).load()
+    return spark.read.format("session_logs").option("roots", json.dumps(paths)).option("suffix", suffix).option("chunkBytes", chunk_bytes).load()
 
 
 def tail_session_logs(spark: SparkSession, path: str, *, suffix: str = ".jsonl", chunk_bytes: int = 64 << 20, max_bytes_per_trigger: int = 0) -> DataFrame:
@@ -237,27 +272,39 @@ def tail_session_logs(spark: SparkSession, path: str, *, suffix: str = ".jsonl",
     return spark.readStream.format("session_logs").option("path", path).option("suffix", suffix).option("chunkBytes", chunk_bytes).option("maxBytesPerTrigger", max_bytes_per_trigger).load()
 
 
-def sync_report(bronze: DataFrame, rejected: DataFrame, observations: DataFrame) -> DataFrame:
-    """For each file: records, warnings, overflow fields."""
-    from pyspark.sql import functions as F
-
-    lines = bronze.groupBy("path").agg(F.count("*").alias("lines"))
+def sync_report(listed: DataFrame, bronze: DataFrame, rejected: DataFrame, observations: DataFrame) -> DataFrame:
+    """For each file of ``listed`` (path): its state (synced, skipped: nothing new, errored: can't be opened), records, warnings, overflow fields."""
+    lines = bronze.groupBy("path").agg(F.count_if(F.col("off") >= 0).alias("lines"), F.count_if(F.col("off") < 0).alias("unopened"))
     bad = rejected.groupBy("path").agg(F.count("*").alias("warnings"))
     drift = observations.groupBy("path").agg(F.count("*").alias("overflow_fields"))
-    out = lines.join(bad, "path", "left").join(drift, "path", "left")
-    zero = F.lit(0).cast("long")
-    out = out.withColumn("warnings", F.coalesce("warnings", zero)).withColumn("overflow_fields", F.coalesce("overflow_fields", zero))
-    return out.select("path", (F.col("lines") - F.col("warnings")).alias("records"), "warnings", "overflow_fields")
+    out = listed.select("path").join(lines, "path", "left").join(bad, "path", "left").join(drift, "path", "left").fillna(0, ["lines", "unopened", "warnings", "overflow_fields"])
+    state = F.when(F.col("unopened") > 0, "errored").when(F.col("lines") > 0, "synced").otherwise("skipped")
+    return out.select("path", state.alias("state"), (F.col("lines") - F.col("warnings")).alias("records"), "warnings", "overflow_fields")
 
 
-def reingest(spark: SparkSession, files: list[str], bronze_path: str, *, suffix: str = ".jsonl") -> None:
-    """Read the chosen files anew and replace their part of the stored bronze table (partitioned by path_hash)."""
-    write_bronze(read_session_logs(spark, files, suffix=suffix), bronze_path)
+def sync_totals(report: DataFrame) -> DataFrame:
+    """One row: files discovered, synced, skipped and errored, and the sums of what they gave."""
+    files = [F.count("*").alias("files_discovered"), *[F.count_if(F.col("state") == s).alias(f"files_{s}") for s in ("synced", "skipped", "errored")]]
+    return report.agg(*files, *[F.coalesce(F.sum(c), F.lit(0)).alias(f"total_{c}") for c in ("records", "warnings", "overflow_fields")])
+
+
+#: Parts of the stored bronze table, whatever the number of files.
+BUCKETS = 256
+
+
+def _bucketed(bronze: DataFrame) -> DataFrame:
+    return bronze.withColumn("bucket", F.pmod(F.xxhash64("path"), F.lit(BUCKETS)).cast("int"))
 
 
 def write_bronze(bronze: DataFrame, path: str) -> None:
-    """One partition for each file; writing a file again replaces its partition alone."""
-    from pyspark.sql import functions as F
+    """Store lines in parts by a hash of their file; parts that ``bronze`` has no file of stay as they are."""
+    _bucketed(bronze).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
 
-    keyed = bronze.withColumn("path_hash", F.hex(F.xxhash64("path")))
-    keyed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("path_hash").parquet(path)
+def reingest(spark: SparkSession, files: list[str], bronze_path: str, *, suffix: str = ".jsonl") -> None:
+    """Read the chosen files anew and replace their lines, and no others, in the stored bronze table."""
+    chosen = spark.createDataFrame([(f,) for f in files], "path string")  # as many rows as files are named
+    parts = [r[0] for r in _bucketed(chosen).select("bucket").distinct().collect()]
+    stored = spark.read.parquet(bronze_path).filter(F.col("bucket").isin(parts)).drop("bucket")
+    # the new parts are written beside the old ones and take their places when all are done
+    write_bronze(stored.join(chosen, "path", "left_anti").unionByName(read_session_logs(spark, files, suffix=suffix).filter("off >= 0")), bronze_path)

@@ -8,9 +8,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.decompose import BASED, Tables, stored_under
+from ..operators.decompose import BASED, LINE, Tables, quarantine, stored_under
 from ..operators.drift import observations
-from ..operators.search import build_index, write_index
+from ..operators.search import build_index, read_index, write_index
 from ..sources.session_logs import SCHEMA, tail_session_logs
 
 EVENT = "batch_id bigint, type string, session_id string, path string, detail string, n bigint"
@@ -44,11 +44,15 @@ def schema_drifted(batch: Tables) -> DataFrame:
 def version_changed(batch: Tables, last: str | None = None) -> DataFrame:
     """Sessions whose version is not that of the session that arrived before, starting from the ``last`` known one.
 
-    Sessions of a batch are ordered by their first record's time; one row a session goes through the window.
+    Sessions are ordered by their first record's time, a minute at a time; the first of a minute meets the last of the minutes before,
+    of which one row each goes through the window.
     """
     s = batch.of(*BASED, "attachment").filter(F.col("version").isNotNull()).groupBy("sessionId").agg(F.min_by(F.struct("timestamp", "version"), F.struct("path", "off")).alias("f")).select("sessionId", "f.*")
-    before = F.coalesce(F.lag("version").over(Window.orderBy("timestamp", "sessionId")), F.lit(last))
-    rows = s.withColumn("before", before).filter(~F.col("version").eqNullSafe(F.col("before")))
+    s = s.withColumn("minute", F.substring("timestamp", 1, 16))
+    minutes = s.groupBy("minute").agg(F.max_by("version", F.struct("timestamp", "sessionId")).alias("latest"))
+    minutes = minutes.select("minute", F.lag("latest").over(Window.orderBy("minute")).alias("carried"))
+    within = F.lag("version").over(Window.partitionBy("minute").orderBy("timestamp", "sessionId"))
+    rows = s.withColumn("within", within).join(minutes, "minute").withColumn("before", F.coalesce("within", "carried", F.lit(last))).filter(~F.col("version").eqNullSafe(F.col("before")))
     return _event(rows, "version:changed", F.col("sessionId"), detail=F.concat_ws("->", "before", "version"))
 
 
@@ -57,7 +61,7 @@ def artifact_events(batch: Tables, stored_files: DataFrame | None = None, stored
     ops = batch.file_operations.filter(F.col("operation_type").isin("write", "edit"))
     git = batch.git_operations.filter(F.col("operation_type") == "commit")
     if stored_files is not None:
-        ops = ops.join(stored_files.select("tool_use_id"), "tool_use_id", "left_anti")
+        ops = ops.join(stored_files.select("tool_use_id", "operation_type"), ["tool_use_id", "operation_type"], "left_anti")
     if stored_git is not None:
         git = git.join(stored_git.select("tool_use_id", "operation_type"), ["tool_use_id", "operation_type"], "left_anti")
     written = _event(ops.filter("operation_type = 'write'"), "file:written", F.col("session_id"), F.col("file_path"), F.col("tool_use_id"))
@@ -67,7 +71,11 @@ def artifact_events(batch: Tables, stored_files: DataFrame | None = None, stored
 
 @dataclass
 class Lake:
-    """Where a stream keeps its tables: bronze and events by batch, so that a batch that is run again replaces itself."""
+    """Where a stream keeps its tables, each by batch, so that a batch that is run again replaces itself.
+
+    A batch is parsed once: its records, rejected lines, new files, artifact keys and sessions are appended, and later batches read
+    no older lines, only the keys.  ``tables`` puts all records together, so a result finds a call of any batch.
+    """
 
     spark: SparkSession
     root: str
@@ -91,29 +99,43 @@ class Lake:
     def events(self) -> DataFrame:
         return self.stored("events", "type string, session_id string, path string, detail string, n bigint, batch_id bigint")
 
-    def tables(self) -> Tables:
-        return Tables(self.bronze.select("path", "off", "line"))
+    @property
+    def records(self) -> DataFrame:
+        return self.stored("records", f"{SCHEMA}, {LINE}, batch_id bigint")
+
+    def tables(self, keep=None) -> Tables:
+        return Tables(self.bronze.select("path", "off", "line"), keep, self.records.drop("batch_id"))
 
     def ingest_batch(self, df: DataFrame, batch_id: int) -> None:
-        """Bronze, events and the touched sessions of one micro-batch."""
-        before = self.bronze.filter(F.col("batch_id") < batch_id)
+        """Bronze, records, events and keys of one micro-batch."""
         self._write(df, "bronze", batch_id)
-        batch = Tables(self.bronze.filter(F.col("batch_id") == batch_id).select("path", "off", "line"), stored_under(f"{self.root}/batch/{batch_id}"))
-        history = self.stored("sessions", "session_id string, version string, first_seen_at string, batch_id bigint").filter(F.col("batch_id") < batch_id)
-        last = history.filter("version is not null").agg(F.max_by("version", F.struct("first_seen_at", "session_id"))).first()[0]
-        events = record_added(batch).unionByName(session_started(batch, before)).unionByName(schema_drifted(batch)).unionByName(version_changed(batch, last)).unionByName(artifact_events(batch))
+        good, _ = quarantine(self.bronze.filter(F.col("batch_id") == batch_id).select("path", "off", "line"))
+        self._write(good, "records", batch_id)
+        batch = Tables(None, stored_under(f"{self.root}/batch/{batch_id}"), self.records.filter(F.col("batch_id") == batch_id).drop("batch_id"))
+        before = F.col("batch_id") < batch_id
+        files = self.stored("files", "path string, batch_id bigint").filter(before)
+        keys = self.stored("artifact_keys", "tool_use_id string, operation_type string, batch_id bigint").filter(before)
+        sessions = self.stored("sessions", "session_id string, version string, first_seen_at string, batch_id bigint").filter(before)
+        last = sessions.filter("version is not null").agg(F.max_by("version", F.struct("first_seen_at", "session_id"))).first()[0]
+        events = record_added(batch).unionByName(session_started(batch, files)).unionByName(schema_drifted(batch)).unionByName(version_changed(batch, last)).unionByName(artifact_events(batch, keys, keys))
         self._write(events, "events", batch_id)
+        self._write(batch.records.select("path").distinct().join(files, "path", "left_anti"), "files", batch_id)
+        mined = batch.file_operations.select("tool_use_id", "operation_type").unionByName(batch.git_operations.select("tool_use_id", "operation_type"))
+        self._write(mined.distinct(), "artifact_keys", batch_id)
         self._write(batch.sessions.select("session_id", "version", "first_seen_at"), "sessions", batch_id)
 
     def refresh_index(self, path: str | None = None) -> bool:
-        """Rebuild the search index if data came since it was last built."""
-        seen = self.bronze.agg(F.max("batch_id")).first()[0]
-        at = path or f"{self.root}/index"
+        """Add what came since the last refresh to the search index; documents that it has stay as they are."""
+        seen = self.records.agg(F.max("batch_id")).first()[0]
+        at, keys = path or f"{self.root}/index", ["message_uuid", "block_index"]
         done = self.stored("index_state", "built bigint").agg(F.max("built")).first()[0]
         if seen is None or seen == done:
             return False
-        docs = self.tables().searchable.filter(F.col("text_content").isNotNull())
-        write_index(build_index(docs, ["message_uuid", "block_index"], "text_content"), at)
+        new = self.records.filter(F.col("batch_id") > (-1 if done is None else done)).drop("batch_id")
+        docs = Tables(None, None, new).searchable.filter(F.col("text_content").isNotNull()).select(*keys, "text_content")
+        if done is not None:
+            docs = docs.join(read_index(self.spark, at, keys).docs.select(*keys), keys, "left_anti")
+        write_index(build_index(docs, keys, "text_content"), at, run=seen)
         self.spark.range(1).select(F.lit(seen).cast("bigint").alias("built")).write.mode("overwrite").parquet(f"{self.root}/index_state")
         return True
 
