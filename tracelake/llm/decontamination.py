@@ -5,7 +5,7 @@ are cut into overlapping windows a little longer than its items, so that an item
 long document nearly fills one window: containment then bounds Jaccard similarity from
 below, and enough independent MinHash values (one to a band) find it all but surely.
 Documents meet items through the MinHash values only: a bit table made from the items, of
-16 bits a value and 64 MB at most, keeps values that no item has from ever leaving a task.  Candidates are verified
+64 bits a value or more and 64 MB at most, keeps values that no item has from ever leaving a task.  Candidates are verified
 by exact containment: shingles that items may have are sent as text and counted.
 
 Words are runs of letters and digits, A-Z in lower case; a shingle is ``n`` words, or all of
@@ -31,7 +31,7 @@ from .common import ALNUM_LOWER, materialize, mix, ngrams, slices, words
 #: A window is twice as long as the longest item of its class and an item half as long as that at least, so a containment
 #: of 0.8 means a similarity of 0.19 or more with some window: one of 64 values agrees but for 1 in 700,000.
 PERMUTATIONS = 64
-_MOST_BITS = 29
+_LEAST_BITS, _MOST_BITS = 24, 29
 _SALT = mix(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -102,7 +102,7 @@ def find(docs: DataFrame, items: DataFrame, *, n: int = 5, threshold: float = 0.
     # what leaves the executors is bounded: bit tables of 2**_MOST_BITS bits at most, and one row for each size class
     def places(column: str) -> tuple[np.ndarray, int]:
         x = profile.select(F.explode(column).alias("x"))
-        bits = min(_MOST_BITS, max(15, (16 * x.count()).bit_length()))
+        bits = min(_MOST_BITS, max(_LEAST_BITS, (64 * x.count()).bit_length()))
         both = F.explode(F.array("x", F.shiftrightunsigned("x", 32))).alias("x")
         place = F.col("x").bitwiseAND((1 << bits) - 1) + 1
         parts = x.select(both).groupBy(F.bitmap_bucket_number(place).alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
