@@ -83,6 +83,22 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontamination.find(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP7_SQL = f"""
+WITH i AS (SELECT item_id, {_ALNUM} AS w FROM benchmark WHERE item_id IS NOT NULL),
+ig AS (SELECT DISTINCT item_id, least(5, len(w)) AS n, array_to_string(w[k:k + least(5, len(w)) - 1], ' ') AS g
+       FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM i WHERE len(w) > 0)),
+d AS (SELECT doc_id, {_ALNUM} AS w FROM documents WHERE doc_id IS NOT NULL),
+dg AS (SELECT DISTINCT doc_id, n, array_to_string(w[k:k + n - 1], ' ') AS g
+       FROM (SELECT doc_id, w, n, unnest(range(1, CAST(len(w) - n + 2 AS BIGINT))) AS k FROM d, (SELECT DISTINCT n FROM ig) WHERE len(w) >= n)),
+found AS (SELECT doc_id, item_id, count(*) AS shared FROM dg JOIN ig USING (n, g) GROUP BY 1, 2)
+SELECT doc_id, item_id, item_shingles, shared, shared / item_shingles AS containment
+FROM found JOIN (SELECT item_id, count(*) AS item_shingles FROM ig GROUP BY 1) USING (item_id) WHERE shared >= 0.8 * item_shingles
+"""
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render(chat.repair(_read(spark, sf_dir, "conversations")))
 
@@ -91,10 +107,34 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removed(_read(spark, sf_dir, "documents"), window=20)
 
 
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, k, md5(array_to_string(w[k:k + 19], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS k FROM d WHERE len(w) >= 20)),
+later AS (SELECT doc_id, k FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, k) AS n FROM win) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(k, k + 20)) AS k FROM later),
+word AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS k FROM d),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY k) AS t FROM word ANTI JOIN gone USING (doc_id, k) GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(kept.n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(_read(spark, sf_dir, "documents"), n=3, threshold=Fraction(9, 10))
 
 
+OP10_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, md5(array_to_string(w[k:k + 2], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS k FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT a, b FROM both_ways UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON l.a = r.b)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(r.least, d.doc_id)) AS component_id, coalesce(l.n, 0) AS n_links
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS least FROM reach GROUP BY 1) r USING (doc_id) LEFT JOIN (SELECT a AS doc_id, count(*) AS n FROM both_ways GROUP BY 1) l USING (doc_id)
+"""
+
+
 def queries() -> dict:
     found = (
         op1_best_fit_packing,
@@ -112,4 +152,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_sharding": OP6_SQL}
+    return {"op6_sharding": OP6_SQL, "op7_benchmark_decontamination": OP7_SQL, "op9_substring_dedup": OP9_SQL, "op10_ngram_jaccard_join": OP10_SQL}
