@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..functions.shared import free_name
 from ..functions.ship import ship
-from .common import ALNUM_LOWER, materialize, mix, ngrams, slices, words
+from .common import ALNUM_LOWER, materialize, mix, ngrams, released, slices, words
 
 #: A window is twice as long as the longest item of its class and an item half as long as that at least, so a containment
 #: of 0.8 means a similarity of 0.19 or more with some window: one of 64 values agrees but for 1 in 700,000.
@@ -160,7 +160,7 @@ def find(docs: DataFrame, items: DataFrame, *, n: int = 5, threshold: float = 0.
                     names=["doc", "key", "shingle"],
                 )
 
-    hits = materialize(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).filter(F.col("doc").isNotNull()).mapInArrow(of_docs, f"doc {id_kind}, key long, shingle string"), "hits")
+    hits = materialize(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).filter(F.col("doc").isNotNull()).mapInArrow(released(of_docs), f"doc {id_kind}, key long, shingle string"), "hits")
     bands = profile.filter(F.col("size") == n).select("item", F.explode("keys").alias("key"))
     found = hits.filter(F.col("key").isNotNull()).select("doc", "key").join(bands, "key").select("doc", "item").distinct()
     shingles = profile.select("item", "size", "item_shingles", F.explode("shingles").alias("shingle"))

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from ..functions.shared import free_name
 from ..functions.ship import ship
-from .common import SPACED_LOWER, bit_table, discard, gathered, materialize, may_hold, mix, pack_columns, pieces_of, shingle_sets, slices, text_bytes, unpack_columns, words
+from .common import SPACED_LOWER, bit_table, discard, gathered, materialize, may_hold, mix, pack_columns, pieces_of, released, released_group, shingle_sets, slices, text_bytes, unpack_columns, words
 
 #: A block holds so many sets at most, and so many shingles (or one set).
 BLOCK, BLOCK_SHINGLES = 512, 1 << 20
@@ -346,10 +346,10 @@ def join(docs: DataFrame, *, n: int = 5, threshold: Fraction | float = 0.8, buck
         cold, common, moved = ([x for x in lot.column(c).to_pylist() if x is not None] for c in ("cold", "common", "moved"))
         return count_keys(cold, common, moved, lot.column("bucket")[0].as_py(), buckets)
 
-    table = materialize(rows.mapInArrow(profile, f"id {kind}, n_shingles long, node long"), "sets")
-    sent = rows.mapInArrow(route, to_meet).repartition(pieces_of(buckets, 2), "bucket")  # as many partitions as the data asks for
-    counted = sent.groupBy("bucket").applyInArrow(count, "group long, lot binary")
-    kept = counted.groupBy("group").applyInArrow(lambda x: rarest_keys(x.column("lot").to_pylist()), "key long, node long, cls int, home long, lead boolean")
+    table = materialize(rows.mapInArrow(released(profile), f"id {kind}, n_shingles long, node long"), "sets")
+    sent = rows.mapInArrow(released(route), to_meet).repartition(pieces_of(buckets, 2), "bucket")  # as many partitions as the data asks for
+    counted = sent.groupBy("bucket").applyInArrow(released_group(count), "group long, lot binary")
+    kept = counted.groupBy("group").applyInArrow(released_group(lambda x: rarest_keys(x.column("lot").to_pylist())), "key long, node long, cls int, home long, lead boolean")
     kept = materialize(kept, "kept")
     # parts that join sets of different homes: the sets of the later homes visit the earlier ones
     several = materialize(kept.groupBy("key").agg(F.min("home").alias("lo"), F.max("home").alias("hi")).filter("lo < hi").select("key"), "several")
@@ -383,7 +383,7 @@ def join(docs: DataFrame, *, n: int = 5, threshold: Fraction | float = 0.8, buck
     h = F.xxhash64("id").alias("h")
     likely = may_hold(rows.select("id", "text", h), "h", *bit_table(chosen.select(h), "h")).drop("h")
 
-    held = likely.join(chosen, "id").select("id", "text", "node", "copies").mapInArrow(sets_of, "node long, copies long, held binary")
+    held = likely.join(chosen, "id").select("id", "text", "node", "copies").mapInArrow(released(sets_of), "node long, copies long, held binary")
     other = F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other")
     blocks = held.join(members, "node").select("node", "cls", "home", "block", "copies", "held", other).select("node", "cls", "home", "block", "copies", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "held")
 

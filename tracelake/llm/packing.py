@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ship import ship
 from .bpe import encoder
-from .common import materialize, pieces_of
+from .common import materialize, pieces_of, released, released_group
 
 #: Items that one task packs; the memory of a task is bounded by it.
 ITEMS_PER_PARTITION = 200_000
@@ -108,7 +108,7 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, *, size: int = 1024, end
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     found = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(
-        _cutter(tokenizer_path, size, end_id, with_ids), f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
+        released(_cutter(tokenizer_path, size, end_id, with_ids)), f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
     )
     return found.withColumnRenamed("id", id_col)
 
@@ -142,7 +142,7 @@ def pack(pieces: DataFrame, *, size: int = 1024, items_per_partition: int = ITEM
         placed = materialize(
             items.withColumn("part", F.pmod(F.xxhash64("item", F.lit(number)), F.lit(parts)))
             .groupBy("part")
-            .applyInPandas(_packer(size, number, parts == 1), "item long, length long, sequence_id long, offset long, given boolean, bound long, gap long"),
+            .applyInPandas(released_group(_packer(size, number, parts == 1)), "item long, length long, sequence_id long, offset long, given boolean, bound long, gap long"),
             "packed",
         )
         done.append(placed.filter(~F.col("given")))

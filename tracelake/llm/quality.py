@@ -27,7 +27,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.shared import free_name
 from ..functions.ship import ship
-from .common import buffers, slices
+from .common import buffers, released, slices
 
 CHUNK, STEP = 512, 448
 #: Chunks of a document that are looked at together.
@@ -213,4 +213,4 @@ def score(docs: DataFrame, network: Network, *, into: str = "score", text_col: s
                 s = network.scores(part.column(part.schema.get_field_index(text_col)))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s, pa.float64())], names=[*part.schema.names, into])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(into, DoubleType())]))
+    return docs.mapInArrow(released(run), StructType([*docs.schema.fields, StructField(into, DoubleType())]))

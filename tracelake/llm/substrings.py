@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from ..functions.shared import free_name
 from ..functions.ship import ship
-from .common import SPACED, gathered, materialize, mix, ngrams, pack_columns, pieces_of, powers, slices, spans, text_bytes, unpack_columns, words
+from .common import SPACED, gathered, materialize, mix, ngrams, pack_columns, pieces_of, powers, released, released_group, slices, spans, text_bytes, unpack_columns, words
 
 _LEVELS = 3
 _FAR = 120
@@ -278,6 +278,11 @@ def _group(doc: np.ndarray, mark: np.ndarray, groups: int) -> np.ndarray:
     return (mix(np.where(doc == _NO_ID, mark, doc).astype(np.uint64)) % np.uint64(groups)).astype(np.int64)
 
 
+def _repeats(x: np.ndarray) -> np.ndarray:
+    """Which numbers equal the one before them, from the second on."""
+    return x[1:] == x[:-1]
+
+
 def _judge(groups: int):
     def judge(table: pa.Table) -> pa.Table:
         """One bucket: runs of window starts that are not the first of their windows, by group of documents."""
@@ -288,10 +293,12 @@ def _judge(groups: int):
             del lots
             whole = mix(symbols) ^ fringe
             by = np.argsort(whole)
-            one, two = whole[by][1:] == whole[by][:-1], symbols[by][1:] == symbols[by][:-1]
+            one, two = _repeats(whole[by]), _repeats(symbols[by])
             if (one & ~two).any():  # different windows that fold into one number
                 by = np.lexsort((fringe, symbols))
-            same = (symbols[by][1:] == symbols[by][:-1]) & (fringe[by][1:] == fringe[by][:-1])
+                two = _repeats(symbols[by])
+            same = two & _repeats(fringe[by])
+            del whole, one, two
             shared = np.zeros(len(by), bool)
             shared[1:] |= same
             shared[:-1] |= same
@@ -352,10 +359,10 @@ def repeated_windows(docs: DataFrame, number: str, text_col: str, *, window: int
     ship(docs.sparkSession)
     size = text_bytes(docs, text_col)
     buckets = pieces_of(size, bucket_bytes)
-    sent = docs.select(F.col(number).alias("id"), F.col(text_col).alias("text")).mapInArrow(_sender(window, buckets), "bucket long, windows binary, known binary")
+    sent = docs.select(F.col(number).alias("id"), F.col(text_col).alias("text")).mapInArrow(released(_sender(window, buckets)), "bucket long, windows binary, known binary")
     # as many partitions as the data asks for
-    found = sent.repartition(pieces_of(buckets, 2), "bucket").groupBy("bucket").applyInArrow(_judge(pieces_of(size, group_bytes)), "group long, runs binary")
-    return found.groupBy("group").applyInArrow(_by_document, "n long, mark long, runs binary")
+    found = sent.repartition(pieces_of(buckets, 2), "bucket").groupBy("bucket").applyInArrow(released_group(_judge(pieces_of(size, group_bytes))), "group long, runs binary")
+    return found.groupBy("group").applyInArrow(released_group(_by_document), "n long, mark long, runs binary")
 
 
 def _covered(n: int, runs: np.ndarray, window: int) -> np.ndarray:
@@ -406,7 +413,7 @@ def removed(docs: DataFrame, *, window: int = 20, group_bytes: int = 4 << 20, bu
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept)], names=["id", "n_words", "n_removed", "kept_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return met.mapInArrow(run, f"id {kind}, n_words long, n_removed long, kept_sha256 string").withColumnRenamed("id", id_col)
+    return met.mapInArrow(released(run), f"id {kind}, n_words long, n_removed long, kept_sha256 string").withColumnRenamed("id", id_col)
 
 
 def remove(docs: DataFrame, *, window: int = 20, group_bytes: int = 4 << 20, bucket_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -420,4 +427,4 @@ def remove(docs: DataFrame, *, window: int = 20, group_bytes: int = 4 << 20, buc
                 cut = pa.array([_cut(t, r, window) for t, r in _pairs(part, text_at)], part.column(text_at).type)
                 yield pa.RecordBatch.from_arrays([cut if i == text_at else c for i, c in enumerate(part.columns[:-1])], names=part.schema.names[:-1])
 
-    return met.mapInArrow(run, docs.schema)
+    return met.mapInArrow(released(run), docs.schema)
