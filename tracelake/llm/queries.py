@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, jaccard, licenses, neighbours, packing, quality, sharding, substrings, token_counts
+from . import chat, decontamination, jaccard, licenses, merkle, neighbours, packing, quality, sharding, substrings, token_counts
 
 SHARD_BYTES = 1 << 20
 
@@ -135,6 +135,55 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS least
 """
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tampering: where 5 divides the CRC-32 of the id, A-Z of the text are offered in lower case."""
+    text, fields = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), ("doc_id", "source", "lang", "n_chars", "text")
+    offered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, merkle.leaf([text if f == "text" else F.col(f) for f in fields]))
+    found = merkle.manifest(_read(spark, sf_dir, "documents"), id_col="doc_id", group_col="source", fields=fields, offered=offered)
+    return found.proofs.drop("path")
+
+
+def _leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen({x}) || ':' || {x}, '-')" for x in ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text)) + ")"
+
+
+OP13_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(':' || source, '') AS g, {_leaf_sql("text")} AS leaf, {_leaf_sql(_LOWER.replace("coalesce(text, '')", "text"))} AS folded,
+         flatten([[(ascii(c) >> k) & 1 for k in range(8)] for c in string_split(CAST(doc_id AS VARCHAR), '')]) AS bits
+  FROM documents
+), leaves AS (
+  SELECT doc_id, g, leaf, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n,
+         CASE WHEN xor(list_reduce(list_prepend(4294967295::BIGINT, bits), lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295) % 5 = 0 THEN folded ELSE leaf END AS offered
+  FROM d
+), node AS (
+  SELECT 0 AS k, g, pos, n, leaf AS h FROM leaves
+  UNION ALL SELECT k + 1, g, pos // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY pos)) FROM node WHERE n > 1 GROUP BY k, g, pos // 16, n
+), top AS (
+  SELECT 0 AS k, g, h, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n FROM node WHERE n = 1
+), above AS (
+  SELECT k, pos, n, h FROM top
+  UNION ALL SELECT k + 1, pos // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY pos)) FROM above WHERE n > 1 GROUP BY k, pos // 16, n
+), levels AS (SELECT DISTINCT g, k FROM node WHERE n > 1),
+steps AS (
+  SELECT doc_id, leaf, l.k, coalesce(string_agg(o.h, '' ORDER BY o.pos) FILTER (o.pos < p), '') AS a, coalesce(string_agg(o.h, '' ORDER BY o.pos) FILTER (o.pos > p), '') AS b
+  FROM (SELECT doc_id, leaf, g, k, pos // CAST(pow(16, k) AS BIGINT) AS p FROM leaves JOIN levels USING (g)) l JOIN node o ON o.g = l.g AND o.k = l.k AND o.pos // 16 = p // 16 GROUP BY ALL
+), higher AS (
+  SELECT g, l.k, coalesce(string_agg(o.h, '' ORDER BY o.pos) FILTER (o.pos < p), '') AS a, coalesce(string_agg(o.h, '' ORDER BY o.pos) FILTER (o.pos > p), '') AS b
+  FROM (SELECT g, x.k, pos // CAST(pow(16, x.k) AS BIGINT) AS p FROM top, (SELECT DISTINCT k FROM above WHERE n > 1) x) l JOIN above o ON o.k = l.k AND o.pos // 16 = p // 16 GROUP BY ALL
+), path AS (SELECT doc_id, leaf, list(a || '|' || b ORDER BY k) AS s FROM steps GROUP BY 1, 2),
+path_up AS (SELECT g, list(a || '|' || b ORDER BY k) AS s FROM higher GROUP BY 1),
+whole AS (
+  SELECT doc_id, leaf, top.h AS subroot, (SELECT h FROM above WHERE n = 1) AS root, offered, list_concat(coalesce(path.s, []), coalesce(path_up.s, [])) AS s
+  FROM leaves JOIN top USING (g) LEFT JOIN path USING (doc_id, leaf) LEFT JOIN path_up USING (g)
+)
+SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(s, ''), '|', '')) AS proof_sha256,
+       list_reduce(list_prepend(offered, s), lambda h, x: sha256(split_part(x, '|', 1) || h || split_part(x, '|', 2))) AS folded_root,
+       list_reduce(list_prepend(offered, s), lambda h, x: sha256(split_part(x, '|', 1) || h || split_part(x, '|', 2))) = root AS verified
+FROM whole
+"""
+
+
 def queries() -> dict:
     found = (
         op1_best_fit_packing,
@@ -147,9 +196,10 @@ def queries() -> dict:
         op8_chat_formatting,
         op9_substring_dedup,
         op10_ngram_jaccard_join,
+        op13_merkle_manifest,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_sharding": OP6_SQL, "op7_benchmark_decontamination": OP7_SQL, "op9_substring_dedup": OP9_SQL, "op10_ngram_jaccard_join": OP10_SQL}
+    return {"op6_sharding": OP6_SQL, "op7_benchmark_decontamination": OP7_SQL, "op9_substring_dedup": OP9_SQL, "op10_ngram_jaccard_join": OP10_SQL, "op13_merkle_manifest": OP13_SQL}
