@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tracelake.llm import chat, decontamination, jaccard, neighbours, substrings
 from tracelake.llm.common import SPACED as SPACES
+from tracelake.llm.common import SPACED_LOWER
 from tracelake.llm.common import ngrams, words
 
 from .data import ALNUM, LOWER, SPACED, documents, empty, sentence, texts
@@ -30,6 +31,35 @@ def test_words_are_the_same_wherever_they_stand():
     assert len(set(b.hash.tolist())) == 3
     h = np.arange(50, dtype=np.uint64)
     assert ngrams(np.concatenate((h[5:30], h[:40])), 20)[25 + 5] == ngrams(h, 20)[5]
+    mixed = [" ".join(random.Random(i).choices(["a", "bc", "x" * 31, "y" * 32, "z" * 33, "w" * 300], k=5000)) for i in range(3)]
+    named = {}
+    for t in mixed:
+        for w, h in zip(t.split(), words(pa.array([t]), SPACES).hash.tolist()):
+            assert named.setdefault(w, h) == h
+    assert len(set(named.values())) == 6
+
+
+def twins(n):
+    """Two words of n letters whose sums modulo 2**64 are equal for n >= 1024, whatever the base: Thue-Morse and its complement."""
+    word = "".join("ab"[i.bit_count() % 2] for i in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [32, 33, 512, 1024, 2048, 4096])
+def test_twins_have_names_of_their_own(spark, n):
+    import pyarrow as pa
+
+    a, b = twins(n)
+    assert len(set(words(pa.array([f"{a} {b} {a.upper()}"]), SPACES).hash.tolist())) == 3
+    lower = words(pa.array([f"{a} {a.upper()} {b}"]), SPACED_LOWER).hash.tolist()
+    assert lower[0] == lower[1] != lower[2]
+    found = [f"x {a} y", f"x {b} y", f"{sentence(random.Random(1), 10)} {a} {sentence(random.Random(2), 10)}", f"{sentence(random.Random(1), 10)} {b} {sentence(random.Random(2), 10)}"]
+    docs = documents(spark, found)
+    assert {r.doc_id: (r.component_id, r.n_links) for r in jaccard.join(docs, n=3, threshold=0.3).collect() if r.doc_id < 2} == {0: (0, 0), 1: (1, 0)}
+    assert sum(r.n_removed for r in substrings.removed(docs, window=20).collect()) == 0
+    assert jaccard.keep_one(docs.limit(2), n=3, threshold=0.3).count() == 2
+    items = spark.createDataFrame([(1, f"x {b} y")], "item_id long, text string")
+    assert [r.doc_id for r in decontamination.find(docs, items).collect()] == [1]
 
 
 # ---------------------------------------------------------------- substring dedup

@@ -95,7 +95,8 @@ def released_group(run: Callable) -> Callable:
 _R = 0x9E3779B97F4A7C15
 _R_INV = pow(_R, -1, 1 << 64)
 _BLOCK = 1 << 18
-_LONG_WORD = 1 << 16
+#: Longer words have a name by ``xxhash``: sums modulo 2**64 of two words of 1,024 letters may be equal whatever the base.
+_LONG_WORD = 32
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -188,25 +189,25 @@ def spans(data: np.ndarray, text_at: np.ndarray, classes: np.ndarray) -> tuple[n
 
 
 def hash_words(data: np.ndarray, start: np.ndarray, end: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """A polynomial fingerprint of each word, the same wherever the word stands."""
+    """A fingerprint of each word, the same wherever the word stands: a polynomial of short ones, ``xxh3_64`` of long ones."""
     out = np.empty(len(start), np.uint64)
-    values = classes.astype(np.uint64)
-    i = 0
-    while i < len(start):
-        if end[i] - start[i] > _LONG_WORD:
-            out[i] = xxhash.xxh3_64_intdigest(values[data[start[i] : end[i]]].tobytes())
-            i += 1
-            continue
-        j = max(i + 1, int(np.searchsorted(end, start[i] + _BLOCK, side="right")))
-        if (end[i:j] - start[i:j]).max() > _LONG_WORD:
-            j = i + int(np.argmax(end[i:j] - start[i:j] > _LONG_WORD))
-        lo, hi = int(start[i]), int(end[j - 1])
+    values, table = classes.astype(np.uint64), (classes - 1).astype(np.uint8).tobytes()
+    long = end - start > _LONG_WORD
+    short = np.flatnonzero(~long)
+    ends, i = end[short], 0
+    while i < len(short):
+        lo = int(start[short[i]])
+        j = max(i + 1, int(np.searchsorted(ends, lo + _BLOCK, side="right")))
+        own = short[i:j]
+        hi = int(ends[j - 1])
         up, down = powers(hi - lo)
         total = np.zeros(hi - lo + 1, np.uint64)
         np.cumsum(values[data[lo:hi]] * up[: hi - lo], out=total[1:])
-        s, e = start[i:j] - lo, end[i:j] - lo
-        out[i:j] = (total[e] - total[s]) * down[s] + (e - s).astype(np.uint64)
+        s, e = start[own] - lo, end[own] - lo
+        out[own] = (total[e] - total[s]) * down[s] + (e - s).astype(np.uint64)
         i = j
+    for k in np.flatnonzero(long).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(data[start[k] : end[k]].tobytes().translate(table))
     return mix(out)
 
 

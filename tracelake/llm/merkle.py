@@ -6,7 +6,7 @@ spread each parent's children into ``fanout`` columns, and the columns put toget
 the parent; the same columns without a child's own are its siblings.  So a level is one grouping,
 and the siblings of a whole level need no join of nodes with nodes.
 
-Rows get their places in a group by ranges: rows are dealt by (group, id, leaf), numbered where they
+Rows get their places in a group by ranges: rows are dealt by (group, id, leaf, what is offered), numbered where they
 are, and each part of a group starts where the parts before it end.  A group of any share of the rows
 is spread over many tasks.  Going down again, what proves a parent is shared by its children: a table
 of paths has a row for each parent, and only in the last step a row for each leaf.
@@ -133,7 +133,7 @@ def manifest(docs: DataFrame, *, id_col: str = "doc_id", group_col: str = "sourc
     # names in order, the null one first
     key = F.when(group.isNull(), F.lit("")).otherwise(F.concat(F.lit(":"), group))
     leaves = materialize(docs.select(F.col(id_col).alias("id"), key.alias("g"), own.alias("h"), (F.lit(None).cast("string") if offered is None else offered).alias("offered")), "leaves")
-    nodes = placed(leaves, ["id", "h"])
+    nodes = placed(leaves, ["id", "h", "offered"])
     discard(leaves)
     lower = tree(nodes, fanout)
     tops = placed(lower.tops.select(F.lit("").alias("g"), F.col("g").alias("name"), F.col("top").alias("h")), ["name"])

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from fractions import Fraction
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, jaccard, licenses, merkle, neighbours, packing, quality, sharding, substrings, token_counts
+from ..functions.shared import shared_dir
+from . import chat, decontamination, jaccard, lexical, licenses, merkle, neighbours, packing, quality, sharding, substrings, token_counts, token_files
 
 SHARD_BYTES = 1 << 20
 
@@ -135,6 +137,31 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS least
 """
 
 
+def op11_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/token-ids-{uuid.uuid4().hex}"
+    token_files.write(_read(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return token_files.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), k=10)
+
+
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP12_SQL = f"""
+WITH d AS (SELECT doc_id, {_TERMS} AS w FROM documents WHERE text IS NOT NULL),
+stats AS (SELECT count(*) AS docs, CAST(sum(len(w)) AS BIGINT) AS terms FROM d WHERE len(w) > 0),
+i AS (SELECT item_id, t, count(*) AS times FROM (SELECT item_id, unnest({_TERMS}) AS t FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL) GROUP BY 1, 2),
+tf AS (SELECT doc_id, n, t, count(*) AS tf FROM (SELECT doc_id, CAST(len(w) AS BIGINT) AS n, unnest(w) AS t FROM d) SEMI JOIN i USING (t) GROUP BY 1, 2, 3),
+df AS (SELECT t, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, stats GROUP BY t, docs),
+gain AS (SELECT doc_id, t, w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms))) AS g FROM tf JOIN df USING (t), stats),
+s AS (SELECT item_id, doc_id, CAST(sum(times * g) AS BIGINT) AS score FROM i JOIN gain USING (t) GROUP BY 1, 2 HAVING sum(times * g) > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10
+"""
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tampering: where 5 divides the CRC-32 of the id, A-Z of the text are offered in lower case."""
     text, fields = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), ("doc_id", "source", "lang", "n_chars", "text")
@@ -196,10 +223,12 @@ def queries() -> dict:
         op8_chat_formatting,
         op9_substring_dedup,
         op10_ngram_jaccard_join,
+        op11_token_id_files,
+        op12_lexical_search,
         op13_merkle_manifest,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_sharding": OP6_SQL, "op7_benchmark_decontamination": OP7_SQL, "op9_substring_dedup": OP9_SQL, "op10_ngram_jaccard_join": OP10_SQL, "op13_merkle_manifest": OP13_SQL}
+    return {"op6_sharding": OP6_SQL, "op7_benchmark_decontamination": OP7_SQL, "op9_substring_dedup": OP9_SQL, "op10_ngram_jaccard_join": OP10_SQL, "op12_lexical_search": OP12_SQL, "op13_merkle_manifest": OP13_SQL}
