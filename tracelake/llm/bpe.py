@@ -85,6 +85,9 @@ class Encoder:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.whole.encode_batch(texts, add_special_tokens=False)]
 
     def _ids(self, chunks: list[str]) -> list[bytes]:
+        if self.fast is not None and _PLAIN.fullmatch(whole := "".join(chunks)) and not any(s in whole for s in self.special):
+            encode = self.fast._core_bpe.encode_ordinary  # without the wrapper's retry of lone surrogates, which plain text lacks
+            return [array("I", encode(c)).tobytes() for c in chunks]
         out: list[bytes | None] = []
         slow = []
         for c in chunks:
