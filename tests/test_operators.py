@@ -138,6 +138,44 @@ def test_sql_is_read_only(spark, t):
     assert sqlrun.parameters("SELECT ':no', a::int, :yes -- :neither") == ["yes"]
 
 
+def test_sql_reads_registered_views_alone(spark, t, tmp_path):
+    sqlrun.register(t, spark, ["messages", "sessions"])
+    (tmp_path / "secret.txt").write_text("secret")
+    spark.range(3).createOrReplaceTempView("not_registered")
+    spark.udf.register("own_function", lambda x: x)
+    relations = [f"text.`{tmp_path}/secret.txt`", f"IDENTIFIER('text.`{tmp_path}/secret.txt`')", "not_registered", "default.messages", "global_temp.messages", "read_files('/')", "sql_keywords()", "python_worker_logs()"]
+    calls = ["IDENTIFIER('reflect')('java.lang.System', 'getProperty', 'user.name')", "system.builtin.reflect('java.lang.System', 'nanoTime')", "java_method('java.lang.System', 'nanoTime')", "own_function(1)", "input_file_name()", "current_user()", "raise_error('x')", "xpath('<a/>', 'a')"]
+    queries = [f"SELECT * FROM {r}" for r in relations] + [f"SELECT {c} AS x" for c in calls]
+    for q in queries:
+        for form in ("{}", "WITH a AS ({}) SELECT * FROM a", "SELECT (SELECT count(*) FROM ({}) AS b) AS n FROM messages", "SELECT * FROM messages, LATERAL ({}) AS l", "SELECT 1 WHERE EXISTS ({})", "EXPLAIN {}"):
+            with pytest.raises(sqlrun.NotReadOnly):
+                sqlrun.sql_readonly(spark, form.format(q))
+    # a name of a WITH part is that part's own only where it is in reach
+    with pytest.raises(Exception):
+        sqlrun.sql_readonly(spark, "SELECT * FROM (WITH not_registered AS (SELECT 1) SELECT * FROM not_registered) JOIN not_registered")
+    good = [
+        "WITH RECURSIVE r(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM r WHERE n < 5) SELECT max(n) FROM r",
+        "SELECT left(uuid, 1), to_char(5, '9'), to_json(try_parse_json('1')), date_trunc('day', now()), percentile_approx(1, 0.5), count(*) FILTER (WHERE type = 'user') FROM Messages GROUP BY ALL",
+        "SELECT transform(array(1, 2), x -> x + 1), (SELECT max(s.version) FROM sessions s WHERE s.session_id = m.session_id) FROM MESSAGES m, LATERAL (SELECT 1)",
+        "SELECT type, version, count(*) FROM messages GROUP BY CUBE (type, version)",
+        "SELECT * FROM messages PIVOT (count(uuid) FOR type IN ('user', 'assistant'))", "SELECT /*+ REPARTITION(2) */ DISTINCT * EXCEPT (uuid) FROM messages TABLESAMPLE (50 PERCENT)", "SELECT stack(2, 1, 2), CASE WHEN true THEN 'a' END || 'b'",
+    ]
+    for q in good:
+        sqlrun.sql_readonly(spark, q).collect()
+
+
+def test_a_slow_query_is_stopped(spark, t):
+    import time
+
+    sqlrun.register(t, spark, ["messages"])
+    assert sqlrun.sql_readonly(spark, "SELECT count(*) AS n FROM messages", seconds=60).first().n > 0
+    began = time.time()
+    with pytest.raises(sqlrun.TooSlow):
+        sqlrun.sql_readonly(spark, "SELECT sum(sqrt(a.id * b.id)) AS s FROM range(3000000) a JOIN range(3000000) b ON a.id + b.id > 0", seconds=1)
+    assert time.time() - began < 15
+    assert sqlrun.sql_readonly(spark, "SELECT count(*) AS n FROM messages", seconds=60).first().n > 0
+
+
 def test_exports(t, tmp_path, spark):
     md = export.export_markdown(t.sessions, t.messages, t.message_content, t.token_usage).first().markdown
     assert md.startswith("# Session: s1\n**Project:** /work/orchard\n**Date:** 2031-07-05T08:00:00Z\n") and "### Tool Use: Bash\n**Input:** `" in md

@@ -190,3 +190,193 @@ def test_bytes_per_trigger(tmp_path):
         at.append(now[str(f)][0])
         before = now
     assert at == [8, 11, 62, 62] and got == ["aa", "bbbb", "cc", "d" * 50]
+
+
+# ---------------------------------------------------------------- versions of a lake
+
+
+def five_batches():
+    """Sessions that go on, results after their calls, agents, drift, attachments, summaries, unknown types."""
+    out, n = [], 0
+    for b in range(5):
+        step = []
+        for s in ("s1", "s2", f"s{b + 3}"):
+            n += 1
+            own = {"sessionId": s, "timestamp": f"2031-07-0{b + 1}T0{n % 10}:00:00Z", "version": f"{b}.0", "agentId": f"g{n % 3}", "cwd": f"/work/{s[:2]}", "odd": n}
+            call = {"type": "tool_use", "id": f"t{n}", "name": "Write", "input": {"file_path": f"/barn/{n % 4}", "content": f"hay {n}"}}
+            result = {"type": "tool_result", "tool_use_id": f"t{n - 3}", "content": f"stacked {n}", "is_error": n % 2 == 0}
+            step.append((s, user(f"u{n}", [{"type": "text", "text": f"reeds {n}"}, result], **own)))
+            step.append((s, assistant(f"a{n}", [call], **own)))
+        step.append(("s1", {"type": "summary", "summary": f"so far {b}", "leafUuid": f"a{n}"}))
+        step.append(("s1", {"type": "mystery", "sessionId": "s1", "version": "9", "timestamp": f"2031-07-0{b + 1}T00:00:00Z"}))
+        step.append(("s2", {"type": "attachment", "uuid": f"x{b}", "timestamp": f"2031-07-0{b + 1}T00:00:00Z", "sessionId": "s2", "attachment": {"type": "hook_success", "hookEvent": "e", "toolUseID": f"t{n}", "exitCode": b}}))
+        out.append(step)
+    return out
+
+
+TABLES = "sessions projects agents messages message_content token_usage tool_executions system_events summaries attachments hook_executions file_operations git_operations files schema_drift record_type_drift plan_blocks".split()
+
+
+def same_tables(a, b, names=TABLES):
+    for name in names:
+        x, y = getattr(a, name), getattr(b, name)
+        assert sorted(map(str, x.select(y.columns).collect())) == sorted(map(str, y.collect())), name
+
+
+def lines_of(spark, step, offsets):
+    """A batch as the tail gives it; ``offsets`` go on over batches."""
+    rows = []
+    for s, r in step:
+        line = json.dumps(r)
+        rows.append((f"/logs/{s}.jsonl", offsets.get(s, 0), line))
+        offsets[s] = offsets.get(s, 0) + len(line) + 1
+    return rows, spark.createDataFrame(rows, "path string, off bigint, line string")
+
+
+def test_a_stream_of_batches_equals_one_batch(spark, tmp_path, monkeypatch):
+    from tracelake.functions import store
+
+    monkeypatch.setattr(store, "FAN", 2)  # runs merge all the time
+    lake, offsets, rows = Lake(spark, str(tmp_path), buckets=4), {}, []
+    opened = []
+    for i, step in enumerate(five_batches()):
+        own, df = lines_of(spark, step, offsets)
+        rows += own
+        lake.ingest_batch(df, i)
+        state = lake.store.state()
+        opened.append(sum(map(len, state.runs.values())))
+    batch = Tables(spark.createDataFrame(rows, "path string, off bigint, line string"))
+    stored = lake.tables()
+    assert type(stored).__name__ == "Stored" and not lake.store.state().notes["shared"]
+    same_tables(stored, batch)
+    assert sorted(map(str, lake.records.collect())) == sorted(map(str, batch.records.collect()))
+    # no line is decoded when a table is read, and runs do not pile up
+    assert "from_json" not in stored.messages._jdf.queryExecution().toString() and max(opened) <= 15
+    assert not list(tmp_path.glob("work/*")) and len(list(tmp_path.glob("versions/*.json"))) == 2
+    live = {(int(b), v) for b, v in lake.store.state().buckets.items()}
+    there = {(int(p.name[7:]), int(p.parent.name[5:])) for p in tmp_path.glob("silver/messages/made=*/bucket=*")}
+    assert live <= there and len(there) <= 2 * len(live)
+    lake.ingest_batch(df, 4)  # what is committed is not done again
+    same_tables(lake.tables(), batch, ["messages", "schema_drift"])
+
+
+def test_a_batch_shows_whole_or_not_at_all(spark, tmp_path, monkeypatch):
+    """A batch that stops after each of its writes in turn."""
+    from tracelake.functions import store
+
+    steps, offsets = five_batches()[:2], {}
+    lake = Lake(spark, str(tmp_path), buckets=2)
+    old, df = lines_of(spark, steps[0], offsets)
+    new, more = lines_of(spark, steps[1], offsets)
+    lake.ingest_batch(df, 0)
+
+    def seen():
+        t = lake.tables()
+        return [sorted(map(str, x.collect())) for x in (lake.bronze, lake.events, t.messages, t.sessions, t.schema_drift)]
+
+    before, write, left = seen(), store.Store.write, [0]
+
+    def stops(self, df, path, *by):
+        write(self, df, path, *by)
+        left[0] -= 1
+        if left[0] == 0:
+            raise RuntimeError("lost")
+
+    monkeypatch.setattr(store.Store, "write", stops)
+    for n in (1, 2, 3, 9, 19, 24):
+        left[0] = n
+        with pytest.raises(RuntimeError):
+            lake.ingest_batch(more, 1)
+        left[0] = 0
+        assert seen() == before, n
+    commit = store.Store.commit
+    monkeypatch.setattr(store.Store, "commit", lambda self, state: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        lake.ingest_batch(more, 1)
+    monkeypatch.setattr(store.Store, "commit", commit)
+    assert seen() == before
+    lake.ingest_batch(more, 1)
+    same_tables(lake.tables(), Tables(spark.createDataFrame(old + new, "path string, off bigint, line string")), ["messages", "tool_executions", "schema_drift", "agents"])
+    assert sorted(r.batch_id for r in lake.events.select("batch_id").distinct().collect()) == [0, 1]
+
+
+def test_a_session_under_another_name(spark, tmp_path):
+    """Records that stand in two sessions are settled together."""
+    lake, offsets, rows = Lake(spark, str(tmp_path), buckets=64), {}, []
+    copied = user("u1", "the same")
+    for i, step in enumerate([[("b", copied | {"sessionId": "sb"})], [("a", copied | {"sessionId": "sa"}), ("a", user("u2", "more", sessionId="sa"))]]):
+        own, df = lines_of(spark, step, offsets)
+        rows += own
+        lake.ingest_batch(df, i)
+    assert lake.store.state().notes["shared"]
+    same_tables(lake.tables(), Tables(spark.createDataFrame(rows, "path string, off bigint, line string")), ["messages", "message_content", "sessions", "schema_drift"])
+
+
+def test_keys_open_what_may_hold_them(spark, tmp_path, monkeypatch):
+    from tracelake.functions import store
+
+    monkeypatch.setattr(store, "FAN", 3)
+    keys, state = store.Keys(store.Store(spark, str(tmp_path)), parts=4), store.State()
+
+    def some(lo, hi):
+        return spark.range(lo, hi).selectExpr("'k' as kind", "concat('key', id) as key", "cast(id % 7 as int) as home")
+
+    for i in range(10):
+        keys.add(state, some(1000 * i, 1000 * i + 1000), i)
+    assert len(state.runs["keys"]) <= 5 and sum(len(list(tmp_path.glob(f"runs/keys/{r}"))) for r, _ in state.runs["keys"]) == len(state.runs["keys"])
+    new = some(50_000, 50_200)
+    assert sum(map(len, keys.opened(state, new).values())) <= 2 and keys.seen(state, new).count() == 0
+    met = keys.seen(state, some(9_990, 10_010))
+    assert sorted((r.key, r.home) for r in met.collect()) == sorted((f"key{i}", i % 7) for i in range(9_990, 10_000))
+
+
+def test_two_writers_of_a_version(spark, tmp_path):
+    from tracelake.functions.store import Conflict, Store
+
+    store = Store(spark, str(tmp_path))
+    state = store.state()
+    store.commit(state)
+    with pytest.raises(Conflict):
+        store.commit(state)
+    assert store.state().number == 1
+
+
+def test_segments_of_an_index(spark, tmp_path, monkeypatch):
+    """Many refreshes leave few segments; documents read anew count once; a refresh that stops is done again."""
+    from tracelake.operators import search
+
+    monkeypatch.setattr(search, "FAN", 3)
+    at, texts = str(tmp_path / "index"), {}
+
+    def put(n, docs, dead=()):
+        df = spark.createDataFrame([(k, v) for k, v in docs.items()], "id string, text string")
+        search.write_index(search.build_index(df, ["id"], "text"), at, run=n, part_tokens=30, dead=spark.createDataFrame([(k,) for k in dead], "id string") if dead else None)
+        texts.update(docs)
+
+    def same(query):
+        whole = search.build_index(spark.createDataFrame(list(texts.items()), "id string, text string"), ["id"], "text")
+        a, b = (sorted((r.id, r.tf, round(r.score, 9)) for r in search.ranked(i, query).collect()) for i in (search.read_index(spark, at, ["id"], query), whole))
+        assert a == b and a
+
+    for n in range(10):
+        again = f"d{3 * n - 4}" if n > 3 else None  # read anew with another text
+        put(n, {f"d{3 * n + i}": f"the tale {n} of the reeds {'x ' * (n + i)}" for i in range(3)} | ({again: f"the other tale of {n}"} if again else {}), [again] if again else ())
+        if n in (1, 5, 9):
+            same("the tale")
+        if n in (5, 9):
+            same("other")
+    segments = search.index_notes(spark, at)["segments"]
+    assert len(segments) <= 4 and max(x["parts"] for x in segments) > min(x["parts"] for x in segments)
+    put(9, {f"d{27 + i}": f"the tale {i} again" for i in range(3)} | {"d23": texts["d23"]}, ["d23"])  # the last run again, with other texts
+    same("the tale")
+    # documents are written, the version is not: nothing is seen, and the refresh can be done again
+    commit, held = search.Store.commit, dict(texts)
+    monkeypatch.setattr(search.Store, "commit", lambda self, state: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        put(10, {"e1": "the tale of e"})
+    monkeypatch.setattr(search.Store, "commit", commit)
+    texts.clear()
+    texts.update(held)
+    same("the tale")
+    put(11, {"e1": "the tale of e"})
+    same("the tale")

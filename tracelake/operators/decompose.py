@@ -145,6 +145,40 @@ def as_object(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(text.alias("extra_json"))
 
 
+# Projects and agents are of several sessions: their parts can be merged, as those of any shares of the records.
+PROJECT_PARTS = "project_path string, first_seen_at string, last_seen_at string"
+AGENT_PARTS = "agent_id string, first struct<path:string,off:bigint,session_id:string,timestamp:string>, last_seen_at string"
+
+
+def project_parts(records: DataFrame) -> DataFrame:
+    seen = records.filter(F.col("type").isin(*BASED, "attachment") & (F.length("cwd") > 0))
+    return merge_projects(seen.select(F.col("cwd").alias("project_path"), F.col("timestamp").alias("first_seen_at"), F.col("timestamp").alias("last_seen_at")))
+
+
+def merge_projects(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("project_path").agg(F.min("first_seen_at").alias("first_seen_at"), F.max("last_seen_at").alias("last_seen_at"))
+
+
+def projects_of(parts: DataFrame, sessions: DataFrame) -> DataFrame:
+    held = sessions.groupBy("project_path").agg(F.count("*").alias("session_count"))
+    return parts.join(held, "project_path", "left").select(
+        "project_path", F.element_at(F.split("project_path", "/"), -1).alias("display_name"), "first_seen_at", "last_seen_at", F.coalesce("session_count", F.lit(0)).cast("long").alias("session_count")
+    )
+
+
+def agent_parts(records: DataFrame) -> DataFrame:
+    r = records.filter(F.col("type").isin("user", "assistant", "system") & F.col("agentId").isNotNull())
+    return merge_agents(r.select(F.col("agentId").alias("agent_id"), F.struct("path", "off", F.col("sessionId").alias("session_id"), "timestamp").alias("first"), F.col("timestamp").alias("last_seen_at")))
+
+
+def merge_agents(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("agent_id").agg(F.min_by("first", F.struct("first.path", "first.off")).alias("first"), F.max("last_seen_at").alias("last_seen_at"))
+
+
+def agents_of(parts: DataFrame) -> DataFrame:
+    return parts.select("agent_id", "first.session_id", F.col("first.timestamp").alias("first_seen_at"), "last_seen_at")
+
+
 def table(build: Callable) -> cached_property:
     """A table of ``Tables``: stored by its ``keep``, if it has one."""
 
@@ -204,22 +238,11 @@ class Tables:
 
     @table
     def projects(self) -> DataFrame:
-        seen = (
-            self.of(*BASED, "attachment").filter(F.length("cwd") > 0).groupBy(F.col("cwd").alias("project_path")).agg(F.min("timestamp").alias("first_seen_at"), F.max("timestamp").alias("last_seen_at"))
-        )
-        held = self.sessions.groupBy("project_path").agg(F.count("*").alias("session_count"))
-        return seen.join(held, "project_path", "left").select(
-            "project_path", F.element_at(F.split("project_path", "/"), -1).alias("display_name"), "first_seen_at", "last_seen_at", F.coalesce("session_count", F.lit(0)).cast("long").alias("session_count")
-        )
+        return projects_of(project_parts(self.records), self.sessions)
 
     @table
     def agents(self) -> DataFrame:
-        r = self.of("user", "assistant", "system").filter(F.col("agentId").isNotNull())
-        return (
-            r.groupBy(F.col("agentId").alias("agent_id"))
-            .agg(F.min_by(F.struct("sessionId", "timestamp"), F.struct("path", "off")).alias("f"), F.max("timestamp").alias("last_seen_at"))
-            .select("agent_id", F.col("f.sessionId").alias("session_id"), F.col("f.timestamp").alias("first_seen_at"), "last_seen_at")
-        )
+        return agents_of(agent_parts(self.records))
 
     @cached_property
     def spoken(self) -> DataFrame:

@@ -41,27 +41,60 @@ def observations(records: DataFrame) -> DataFrame:
     return overflow(rows.filter(F.col("j").isNotNull()), F.col("j"), F.col("k")).drop("j", "k")
 
 
-def schema_drift(records: DataFrame) -> DataFrame:
-    o = observations(records)
+# ``..._parts`` are aggregates that can be merged: those of all records are the merged ones of any shares of them.
+DRIFT_PARTS = "field string, record_type string, version string, occurrence_count bigint, first_seen_at string, last_seen_at string, sample struct<path:string,off:bigint,value:string>"
+TYPE_PARTS = "type_name string, version string, occurrence_count bigint, first_seen_at string, last_seen_at string, sample struct<path:string,off:bigint,value:string>"
+
+
+def _sample(value: str):
+    """A value with the place that decides which is shown."""
+    return F.struct("path", "off", cut(F.col(value), SAMPLE, "...").alias("value")).alias("sample")
+
+
+def drift_parts(records: DataFrame) -> DataFrame:
+    one = observations(records).select("field", "record_type", "version", F.lit(1).cast("long").alias("occurrence_count"), F.col("timestamp").alias("first_seen_at"), F.col("timestamp").alias("last_seen_at"), _sample("value"))
+    return merge_drift(one)
+
+
+def _merged(parts: DataFrame, keys: list[str], sample) -> DataFrame:
+    place = F.struct("sample.path", "sample.off")
+    return parts.groupBy(*keys).agg(F.sum("occurrence_count").alias("occurrence_count"), F.min("first_seen_at").alias("first_seen_at"), F.max("last_seen_at").alias("last_seen_at"), sample("sample", place).alias("sample"))
+
+
+def merge_drift(parts: DataFrame) -> DataFrame:
+    """The first record's value is the sample."""
+    return _merged(parts, ["field", "record_type", "version"], F.min_by)
+
+
+def drift_of(parts: DataFrame) -> DataFrame:
+    """The drift table of merged parts."""
     v = F.col("version")
     context = F.when(v.isNull(), F.concat(F.lit("overflow capture from "), "record_type", F.lit(" record (no version)"))).otherwise(F.concat(F.lit("overflow capture from "), "record_type", F.lit(" record v"), v))
-    return (
-        o.groupBy("field", "record_type", "version")
-        .agg(F.count("*").alias("occurrence_count"), F.min("timestamp").alias("first_seen_at"), F.max("timestamp").alias("last_seen_at"), F.min_by(cut(F.col("value"), SAMPLE, "..."), F.struct("path", "off")).alias("sample_value"))
-        .withColumnRenamed("field", "field_name")
-        .withColumn("source_context", context)
-    )
+    return parts.select(F.col("field").alias("field_name"), "record_type", "version", "occurrence_count", "first_seen_at", "last_seen_at", F.col("sample.value").alias("sample_value"), context.alias("source_context"))
 
 
-def record_type_drift(records: DataFrame) -> DataFrame:
+def schema_drift(records: DataFrame) -> DataFrame:
+    return drift_of(drift_parts(records))
+
+
+def type_parts(records: DataFrame) -> DataFrame:
     inner = F.get_json_object("attachment", "$.type")
     unknown = records.filter(~F.col("type").isin(*REQUIRED)).select(F.col("type").alias("type_name"), "version", "timestamp", F.col("line").alias("raw"), "path", "off")
     sub = records.filter((F.col("type") == "attachment") & ~F.coalesce(inner.isin(*SUBTYPE_KEYS), F.lit(False))).select(F.concat(F.lit("attachment."), F.coalesce(inner, F.lit("unknown"))).alias("type_name"), "version", "timestamp", F.col("attachment").alias("raw"), "path", "off")
-    return (
-        unknown.unionByName(sub)
-        .groupBy("type_name", "version")
-        .agg(F.count("*").alias("occurrence_count"), F.min("timestamp").alias("first_seen_at"), F.max("timestamp").alias("last_seen_at"), F.max_by(cut(F.col("raw"), SAMPLE, "..."), F.struct("path", "off")).alias("sample_value"))
-    )
+    return merge_types(unknown.unionByName(sub).select("type_name", "version", F.lit(1).cast("long").alias("occurrence_count"), F.col("timestamp").alias("first_seen_at"), F.col("timestamp").alias("last_seen_at"), _sample("raw")))
+
+
+def merge_types(parts: DataFrame) -> DataFrame:
+    """The last record is the sample."""
+    return _merged(parts, ["type_name", "version"], F.max_by)
+
+
+def types_of(parts: DataFrame) -> DataFrame:
+    return parts.select("type_name", "version", "occurrence_count", "first_seen_at", "last_seen_at", F.col("sample.value").alias("sample_value"))
+
+
+def record_type_drift(records: DataFrame) -> DataFrame:
+    return types_of(type_parts(records))
 
 
 def schema_drift_list(drift: DataFrame, limit: int | None = None) -> DataFrame:

@@ -1,7 +1,9 @@
 """Full-text search: a postings table, phrase matching and BM25 over DataFrames.
 
-The index is a table of (term, key, positions, tf, doc_len), stored by parts of terms
-(``write_index``): a query opens the parts of its own terms alone (``read_index``).
+The index is a table of (term, key, positions, tf, doc_len).  Stored (``write_index``) it consists of segments that never change: a segment
+lies in parts by term, so many as its size asks for, and a version of the index's manifest lists the live ones, so that a segment is seen whole or not at
+all.  Each write adds one; of ``FAN`` segments of a size one of the next size is made, so that n writes leave O(log n).  Documents that were read anew
+are told to be dead in the segments before.  A query opens the parts of its own terms alone (``read_index``).
 """
 
 from __future__ import annotations
@@ -10,12 +12,11 @@ import re
 import unicodedata
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import beside
-from ..functions.shared import delete
+from ..functions.store import FAN, State, Store
 
 K1, B = 1.2, 0.75
 
@@ -48,7 +49,7 @@ def query_terms(query: str) -> list[str]:
 
 @dataclass
 class Index:
-    """postings: term, key, positions, tf, doc_len; docs: key, doc_len; ``keys`` name the key's columns."""
+    """postings: term, key, positions, tf, doc_len; docs: key, doc_len, digest (of the text); ``keys`` name the key's columns."""
 
     postings: DataFrame
     docs: DataFrame
@@ -56,17 +57,17 @@ class Index:
 
 
 def _index(rows: DataFrame, keys: list[str]) -> Index:
-    """``rows``: key, doc_len, term, positions; a document without words has one of no term."""
+    """``rows``: key, doc_len, digest, term, positions; a document without words has one of no term."""
     postings = rows.filter(F.col("term").isNotNull()).withColumn("tf", F.size("positions").cast("long"))
     first = F.col("term").isNull() | (F.try_element_at("positions", F.lit(1)) == 0)  # one row of each document
-    return Index(postings, rows.filter(first).select(*keys, "doc_len"), keys)
+    return Index(postings, rows.filter(first).select(*keys, "doc_len", "digest"), keys)
 
 
 def _rows(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
     # dealt by document first: its words are then gathered where they are, and only texts and postings are exchanged
-    tokens = docs.select(*keys, F.col(text).alias("text")).repartition(*keys).select(*keys, tokenize(F.coalesce("text", F.lit(""))).alias("tokens"))
-    places = tokens.select(*keys, F.size("tokens").cast("long").alias("doc_len"), F.posexplode_outer("tokens").alias("pos", "term"))
-    return places.groupBy(*keys, "doc_len", "term").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+    tokens = docs.select(*keys, F.col(text).alias("text")).repartition(*keys).select(*keys, F.xxhash64("text").alias("digest"), tokenize(F.coalesce("text", F.lit(""))).alias("tokens"))
+    places = tokens.select(*keys, "digest", F.size("tokens").cast("long").alias("doc_len"), F.posexplode_outer("tokens").alias("pos", "term"))
+    return places.groupBy(*keys, "doc_len", "digest", "term").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
 
 
 def build_index(docs: DataFrame, keys: list[str], text: str) -> Index:
@@ -74,50 +75,102 @@ def build_index(docs: DataFrame, keys: list[str], text: str) -> Index:
     return _index(_rows(docs, keys, text), keys)
 
 
-def write_index(index: Index, path: str, *, run: int = 0, part_tokens: int = 4_000_000) -> None:
+def write_index(index: Index, path: str, *, run: int = 0, part_tokens: int = 4_000_000, dead: DataFrame | None = None, notes: dict | None = None) -> None:
     """Store an index, or add a ``run`` of other documents to one (the same run again replaces itself).
 
-    The texts are tokenised once.  Terms go to so many parts as the first run's size asks for; rows are ranged by part, term and key,
-    so that a term of very many documents is shared by several tasks and files.
+    ``dead`` (key) are documents that stand in segments before and no longer count there.  ``notes`` are kept with the version.
+    The texts are tokenised once; rows are ranged by part, term and key, so that a term of very many documents is shared by several tasks and files.
     """
     spark, keys = index.postings.sparkSession, index.keys
-
-    def put(df: DataFrame, name: str, *by: str) -> None:
-        df.withColumn("index_run", F.lit(run)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("index_run", *by).parquet(f"{path}/{name}")
-
-    raw = f"{path}/raw-{run}"
+    store = Store(spark, path)
+    before = store.state()
+    store.sweep(before)
+    name = f"{run}-{before.number}"
     lengths = index.docs.withColumns({"term": F.lit(None).cast("string"), "positions": F.array().cast("array<int>")})
-    index.postings.select(*keys, "doc_len", "term", "positions").unionByName(lengths.filter("doc_len = 0")).write.mode("overwrite").parquet(raw)
-    stored = _index(spark.read.parquet(raw), keys)
-    n, total = stored.docs.agg(F.count("*"), F.coalesce(F.sum("doc_len"), F.lit(0))).first()
+    store.write(index.postings.select(*keys, "doc_len", "digest", "term", "positions").unionByName(lengths.filter("doc_len = 0")), f"raw/{name}")
+    stored = _index(spark.read.parquet(f"{path}/raw/{name}"), keys)
+    known = before.notes.get("segments", [])
+    gone = [f"segments/{x['name']}" for x in known if x["run"] == run]
+    if not gone and run <= before.batch:  # its first writing stands in a merged segment
+        dead = stored.docs.select(*keys) if dead is None else stored.docs.select(*keys).union(dead.select(*keys)).distinct()
+    own = _write_segment(store, stored, name, run, 0, part_tokens, dead)
+    store.drop(f"raw/{name}")
+    segments = [x for x in known if x["run"] != run] + [own]
+    level = 0
+    while len(same := [x for x in segments if x["size"] == level]) >= FAN:
+        merged = f"{name}-{level + 1}"
+        live = _live(spark, path, same, keys, None)  # smaller ones are newer, and there are none now
+        killed = _dead(spark, path, same, keys).select(*keys).distinct() if any(x["dead"] for x in same) else None
+        segments = [x for x in segments if x["size"] != level] + [_write_segment(store, live, merged, None, level + 1, part_tokens, killed)]
+        gone += [f"segments/{x['name']}" for x in same]
+        level += 1
+    new = State(before.number, max(run, before.batch), notes={**before.notes, **(notes or {}), "segments": segments})
+    store.retire(before, new, gone, [])
+    store.sweep(store.commit(new))
+
+
+def index_notes(spark, path: str) -> dict:
+    """What the last version of a stored index was written with."""
+    return Store(spark, path).state().notes
+
+
+def _write_segment(store: Store, index: Index, name: str, run: int | None, size: int, part_tokens: int, dead: DataFrame | None) -> dict:
+    """Parts by term, documents and dead documents of one segment; what the manifest says of it."""
+    keys = index.keys
+    total = index.docs.agg(F.coalesce(F.sum("doc_len"), F.lit(0))).first()[0]
     pieces = max(1, -(-total // part_tokens))
-    known = _stats(spark, path)
-    parts = known[0]["parts"] if known else min(pieces, 4096)
-    part = F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int")
-    put(stored.postings.withColumn("term_part", part).repartitionByRange(pieces, "term_part", "term", *keys).sortWithinPartitions("term_part", "term", *keys), "postings", "term_part")
-    put(stored.docs, "docs")
-    put(spark.range(1).select(F.lit(n).cast("long").alias("n_docs"), F.lit(total).cast("long").alias("n_tokens"), F.lit(parts).alias("parts")), "stats")
-    delete(spark, raw)
-
-
-def _stats(spark, path: str) -> list:
-    """One row a run."""
-    try:
-        return spark.read.parquet(f"{path}/stats").collect()
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return []
+    parts = min(pieces, 4096)
+    rows = index.postings.select(*keys, "doc_len", "term", "positions", "tf").withColumn("term_part", F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int"))
+    store.write(rows.repartitionByRange(pieces, "term_part", "term", *keys).sortWithinPartitions("term_part", "term", *keys), f"segments/{name}/postings", "term_part")
+    store.write(index.docs.coalesce(pieces), f"segments/{name}/docs")
+    n = 0
+    if dead is not None:
+        store.write(dead.select(*keys), f"segments/{name}/dead")
+        n = store.spark.read.schema(dead.select(*keys).schema).parquet(f"{store.root}/segments/{name}/dead").count()
+    return {"name": name, "run": run, "size": size, "parts": parts, "dead": n, "keys": {f.name: f.dataType.simpleString() for f in index.docs.schema if f.name in keys}}
+
+
+def _dead(spark, path: str, segments: list[dict], keys: list[str]) -> DataFrame:
+    """key, before: documents that don't count in segments older than ``before`` (a place in the list)."""
+    out = None
+    for i, x in enumerate(segments):
+        if x["dead"]:
+            one = spark.read.schema(", ".join(f"`{k}` {t}" for k, t in x["keys"].items())).parquet(f"{path}/segments/{x['name']}/dead").select(*keys, F.lit(i).alias("before"))
+            out = one if out is None else out.unionByName(one)
+    return out.groupBy(*keys).agg(F.max("before").alias("before"))
+
+
+def _live(spark, path: str, segments: list[dict], keys: list[str], terms: set[str] | None) -> Index:
+    """The live rows of some segments, in the order of their writing; with ``terms`` of their postings those parts that hold one."""
+    postings = docs = None
+    for i, x in enumerate(segments):
+        key = ", ".join(f"`{k}` {t}" for k, t in x["keys"].items())
+        p = spark.read.schema(f"{key}, doc_len bigint, term string, positions array<int>, tf bigint, term_part int").parquet(f"{path}/segments/{x['name']}/postings")
+        if terms is not None:
+            own = spark.createDataFrame([(t,) for t in terms or {""}], "term string").select(F.pmod(F.xxhash64("term"), F.lit(x["parts"])).cast("int")).collect()  # one row a query term
+            p = p.filter(F.col("term_part").isin(sorted({r[0] for r in own})))
+        d = spark.read.schema(f"{key}, doc_len bigint, digest bigint").parquet(f"{path}/segments/{x['name']}/docs")
+        p, d = p.drop("term_part").withColumn("segment", F.lit(i)), d.withColumn("segment", F.lit(i))
+        postings, docs = (p, d) if postings is None else (postings.unionByName(p), docs.unionByName(d))
+    if any(x["dead"] for x in segments):
+        dead = _dead(spark, path, segments, keys)
+        alive = [dead[k] == F.col(f"r.{k}") for k in keys]
+
+        def without(rows: DataFrame) -> DataFrame:
+            return rows.alias("r").join(dead, [*alive, F.col("r.segment") < dead["before"]], "left_anti")
+
+        postings, docs = without(postings), without(docs)
+    return Index(postings.drop("segment"), docs.drop("segment"), keys)
 
 
 def read_index(spark, path: str, keys: list[str], query: str | None = None) -> Index:
     """A stored index; with ``query`` of its postings only the parts of the query's terms."""
-    postings = spark.read.parquet(f"{path}/postings")
-    if query is not None:
-        parts = _stats(spark, path)[0]["parts"]
-        own = spark.createDataFrame([(t,) for t in set(query_terms(query)) or {""}], "term string").select(F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int")).collect()  # one row a query term
-        postings = postings.filter(F.col("term_part").isin(sorted({r[0] for r in own})))
-    return Index(postings.drop("term_part", "index_run"), spark.read.parquet(f"{path}/docs").drop("index_run"), keys)
+    segments = index_notes(spark, path).get("segments", [])
+    if not segments:
+        none = spark.createDataFrame([], ", ".join(f"`{k}` string" for k in keys))
+        extra = {"doc_len": F.lit(0).cast("long"), "digest": F.lit(0).cast("long")}
+        return Index(none.withColumns({"term": F.lit(""), "positions": F.array().cast("array<int>"), "tf": F.lit(0).cast("long"), "doc_len": extra["doc_len"]}), none.withColumns(extra), keys)
+    return _live(spark, path, segments, keys, None if query is None else set(query_terms(query)))
 
 
 def phrase_matches(index: Index, query: str) -> DataFrame:

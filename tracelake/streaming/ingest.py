@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.decompose import BASED, LINE, Tables, quarantine, stored_under
+from ..functions.columns import session_id_from_path
+from ..functions.store import BUCKETS, Keys, State, Store
+from ..operators import decompose, drift
+from ..operators.decompose import BASED, LINE, Tables, quarantine
 from ..operators.drift import observations
-from ..operators.search import build_index, read_index, write_index
+from ..operators.search import build_index, index_notes, read_index, write_index
 from ..sources.session_logs import SCHEMA, tail_session_logs
 
 EVENT = "batch_id bigint, type string, session_id string, path string, detail string, n bigint"
@@ -69,74 +72,255 @@ def artifact_events(batch: Tables, stored_files: DataFrame | None = None, stored
     return written.unionByName(edited).unionByName(_event(git, "git:commit", F.col("session_id"), detail=F.col("commit_message")))
 
 
-@dataclass
+#: Silver tables by the column that leads to their session: of it, of their message, of their attachment.
+OF_SESSION = ("sessions", "messages", "attachments", "system_events", "summaries", "file_operations", "git_operations", "files")
+OF_MESSAGE = {"message_content": "message_uuid", "plan_blocks": "message_uuid", "token_usage": "message_uuid", "tool_executions": "message_uuid"}
+OF_ATTACHMENT = {"hook_executions": "attachment_uuid"}
+SILVER = (*OF_SESSION, *OF_MESSAGE, *OF_ATTACHMENT)
+RECORD = f"{SCHEMA}, {LINE}"
+#: Tables of parts that merge over all batches: schema, parts of some records, merging.
+MERGED = {
+    "projects": (decompose.PROJECT_PARTS, decompose.project_parts, decompose.merge_projects),
+    "agents": (decompose.AGENT_PARTS, decompose.agent_parts, decompose.merge_agents),
+    "schema_drift": (drift.DRIFT_PARTS, drift.drift_parts, drift.merge_drift),
+    "record_type_drift": (drift.TYPE_PARTS, drift.type_parts, drift.merge_types),
+}
+
+
+def together(jobs: list[Callable[[], None]], at_once: int = 4) -> None:
+    """Run independent Spark jobs side by side; the first error is raised when all have ended."""
+    with ThreadPoolExecutor(at_once) as pool:
+        found = [pool.submit(j) for j in jobs]
+    for f in found:
+        f.result()
+
+
+class Stored:
+    """The tables of a lake as its last version has them: what ``Tables`` has, read and not made."""
+
+    def __init__(self, lake: "Lake", state: State):
+        self._lake, self._state = lake, state
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in SILVER:
+            raise AttributeError(name)
+        return self._lake.store.bucketed(self._state, name, self._state.notes["schemas"][name])
+
+    def _parts(self, name: str) -> DataFrame:
+        schema, _, merge = MERGED[name]
+        return merge(self._lake.store.run(self._state, name, schema))
+
+    @property
+    def bronze(self) -> DataFrame:
+        return self._lake.bronze.select("path", "off", "line")
+
+    @property
+    def records(self) -> DataFrame:
+        return self._lake.store.bucketed(self._state, "records", RECORD)
+
+    @property
+    def searchable(self) -> DataFrame:
+        return self.message_content.unionByName(self.plan_blocks, allowMissingColumns=True)
+
+    @property
+    def projects(self) -> DataFrame:
+        return decompose.projects_of(self._parts("projects"), self.sessions)
+
+    @property
+    def agents(self) -> DataFrame:
+        return decompose.agents_of(self._parts("agents"))
+
+    @property
+    def schema_drift(self) -> DataFrame:
+        return drift.drift_of(self._parts("schema_drift"))
+
+    @property
+    def record_type_drift(self) -> DataFrame:
+        return drift.types_of(self._parts("record_type_drift"))
+
+
 class Lake:
-    """Where a stream keeps its tables, each by batch, so that a batch that is run again replaces itself.
+    """Where a stream keeps its tables.
 
-    A batch is parsed once: its records, rejected lines, new files, artifact keys and sessions are appended, and later batches read
-    no older lines, only the keys.  ``tables`` puts all records together, so a result finds a call of any batch.
-    """
+    A batch is parsed once.  Its lines and events are appended under its number; the buckets of its sessions are read, joined with its records
+    and written anew as silver tables; projects, agents and drift are added as parts that merge; files, artifacts, messages and
+    tool calls as keys.  One version (``store``) then makes all of it visible: a batch that stopped anywhere before shows nothing, and is
+    done again when it comes again.  A batch that is committed is not done twice.
 
-    spark: SparkSession
-    root: str
+    A batch opens the buckets of its sessions, the parts of key runs that may hold one of its keys, and O(log n) runs of parts.
 
-    def stored(self, name: str, schema: str) -> DataFrame:
-        try:
-            return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return self.spark.createDataFrame([], schema)
+    A message or a tool call is of one session.  Where a batch finds one in the records of two buckets (a session taken up again under another name
+    copies records), the lake notes that, and ``tables`` settles all records together, as batch decomposition does.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+        self.store = Store(spark, self.root)
+        self.keys = Keys(self.store)
 
     def _write(self, df: DataFrame, name: str, batch_id: int) -> None:
-        df.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{self.root}/{name}")
+        self.store.write(df, f"{name}/batch_id={batch_id}")
+
+    def _appended(self, name: str, schema: str) -> DataFrame:
+        """The rows of all batches that are committed."""
+        return self.store.read(name, f"{schema}, batch_id bigint").filter(F.col("batch_id") <= self.store.state().batch)
 
     @property
     def bronze(self) -> DataFrame:
-        return self.stored("bronze", SCHEMA + ", batch_id bigint")
+        return self._appended("bronze", SCHEMA)
 
     @property
     def events(self) -> DataFrame:
-        return self.stored("events", "type string, session_id string, path string, detail string, n bigint, batch_id bigint")
+        return self._appended("events", "type string, session_id string, path string, detail string, n bigint")
 
     @property
     def records(self) -> DataFrame:
-        return self.stored("records", f"{SCHEMA}, {LINE}, batch_id bigint")
+        return self.store.bucketed(self.store.state(), "records", RECORD)
 
-    def tables(self, keep=None) -> Tables:
-        return Tables(self.bronze.select("path", "off", "line"), keep, self.records.drop("batch_id"))
+    def tables(self, keep=None) -> Stored | Tables:
+        """The silver tables of the last version."""
+        state = self.store.state()
+        if state.batch < 0 or state.notes.get("shared"):
+            return Tables(self.bronze.select("path", "off", "line"), keep, self.records)
+        return Stored(self, state)
+
+    def bucket(self, session: Column) -> Column:
+        return F.pmod(F.xxhash64(session), F.lit(self.buckets)).cast("int")
+
+    def _home(self) -> Column:
+        """The bucket of a record: that of its session."""
+        from_path = session_id_from_path(F.col("path"))
+        return self.bucket(F.when(F.col("type") == "summary", from_path).otherwise(F.coalesce("sessionId", from_path)))
+
+    # ------------------------------------------------------------ one batch
 
     def ingest_batch(self, df: DataFrame, batch_id: int) -> None:
-        """Bronze, records, events and keys of one micro-batch."""
-        self._write(df, "bronze", batch_id)
-        good, _ = quarantine(self.bronze.filter(F.col("batch_id") == batch_id).select("path", "off", "line"))
-        self._write(good, "records", batch_id)
-        batch = Tables(None, stored_under(f"{self.root}/batch/{batch_id}"), self.records.filter(F.col("batch_id") == batch_id).drop("batch_id"))
-        before = F.col("batch_id") < batch_id
-        files = self.stored("files", "path string, batch_id bigint").filter(before)
-        keys = self.stored("artifact_keys", "tool_use_id string, operation_type string, batch_id bigint").filter(before)
-        sessions = self.stored("sessions", "session_id string, version string, first_seen_at string, batch_id bigint").filter(before)
-        last = sessions.filter("version is not null").agg(F.max_by("version", F.struct("first_seen_at", "session_id"))).first()[0]
-        events = record_added(batch).unionByName(session_started(batch, files)).unionByName(schema_drifted(batch)).unionByName(version_changed(batch, last)).unionByName(artifact_events(batch, keys, keys))
-        self._write(events, "events", batch_id)
-        self._write(batch.records.select("path").distinct().join(files, "path", "left_anti"), "files", batch_id)
+        """All of one micro-batch, or nothing that can be seen."""
+        before = self.store.state()
+        if batch_id <= before.batch:
+            return
+        self.store.sweep(before)
+        work = f"work/{batch_id}"
+        self.store.drop(work)
+        self._write(df.select("path", "off", "line"), "bronze", batch_id)
+        good, _ = quarantine(self.store.read(f"bronze/batch_id={batch_id}", SCHEMA))
+        self.store.write(good.withColumn("bucket", self._home()), f"{work}/records")
+        fresh = self.store.read(f"{work}/records", f"{RECORD}, bucket int")
+        new = State(before.number, batch_id, dict(before.buckets), {k: list(v) for k, v in before.runs.items()}, dict(before.notes))
+        touched = sorted(r[0] for r in fresh.select("bucket").distinct().collect())  # the buckets at most
+        new.buckets.update({str(b): batch_id for b in touched})
+        silver, new.notes["schemas"] = self._write_silver(before, fresh, touched, batch_id, work)
+        gone = self._write_events_and_keys(before, new, fresh, silver, batch_id, work)
+
+        def merged(name: str) -> Callable[[], None]:
+            schema, parts, merge = MERGED[name]
+
+            def run() -> None:
+                _, old = self.store.add_run(new, parts(fresh), name, schema, merge, batch_id)
+                gone.extend(f"runs/{name}/{r}" for r in old)
+
+            return run
+
+        together([merged(name) for name in MERGED])
+        self.store.retire(before, new, gone, ["records", *SILVER])
+        self.store.sweep(self.store.commit(new))
+        self.store.drop(work)
+
+    def _kept(self, at: str) -> Callable[[str, DataFrame], DataFrame]:
+        def keep(name: str, df: DataFrame) -> DataFrame:
+            self.store.write(df, f"{at}/{name}")
+            return self.spark.read.schema(df.schema).parquet(f"{self.root}/{at}/{name}")
+
+        return keep
+
+    def _write_silver(self, before: State, fresh: DataFrame, touched: list[int], version: int, work: str) -> tuple[Tables, dict[str, str]]:
+        """The touched buckets of all silver tables, from their records, old and new; and the tables' schemas."""
+        old = self.store.bucketed(before, "records", RECORD, touched)
+        self.store.write_buckets(old.unionByName(fresh.drop("bucket")).withColumn("bucket", self._home()), "records", version)
+        records = self.store.read(f"silver/records/made={version}", f"{RECORD}, bucket int")
+        first = F.min_by("bucket", F.struct("path", "off")).alias("bucket")
+        homes = {"message": records.filter(F.col("type").isin("user", "assistant")).groupBy("uuid").agg(first), "attachment": records.filter("type = 'attachment'").groupBy("uuid").agg(first)}
+        aside, schemas = self._kept(f"{work}/silver"), {}
+
+        def keep(name: str, df: DataFrame) -> DataFrame:
+            if name not in SILVER:
+                return aside(name, df)  # only other tables are made of it
+            if name in OF_SESSION:
+                placed = df.withColumn("bucket", self.bucket(F.col("session_id")))
+            else:
+                column, kind = (OF_MESSAGE[name], "message") if name in OF_MESSAGE else (OF_ATTACHMENT[name], "attachment")
+                placed = df.join(homes[kind].withColumnRenamed("uuid", column), column).select(*df.columns, "bucket")
+            self.store.write_buckets(placed, name, version)
+            schemas[name] = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+            return self.store.read(f"silver/{name}/made={version}", f"{schemas[name]}, bucket int").drop("bucket")
+
+        t = Tables(None, keep, records.drop("bucket"))
+        t.__dict__["records"] = records.drop("bucket")  # written already
+        # what a step is made of was written by the steps before
+        for step in (
+            ("promoted", "assistant_extra", "message_content", "attachments", "sessions", "system_events", "summaries"),
+            ("messages", "plan_blocks", "token_usage", "tool_executions", "hook_executions"),
+            ("file_operations", "git_operations"),
+            ("files",),
+        ):
+            together([lambda name=name: getattr(t, name) for name in step])
+        return t, schemas
+
+    def _write_events_and_keys(self, before: State, new: State, fresh: DataFrame, silver: Tables, batch_id: int, work: str) -> list[str]:
+        """The batch's events, told apart from what was seen by the keys; its own new keys.  ``silver`` are the tables of the touched buckets:
+        the batch's part of them is what its messages gave."""
+        batch = Tables(None, None, fresh.drop("bucket"))
+        own_messages = fresh.filter(F.col("type").isin("user", "assistant")).select(F.col("uuid").alias("message_uuid")).distinct()
+        for name in ("message_content", "file_operations", "git_operations"):
+            batch.__dict__[name] = getattr(silver, name).join(own_messages, "message_uuid", "left_semi")
         mined = batch.file_operations.select("tool_use_id", "operation_type").unionByName(batch.git_operations.select("tool_use_id", "operation_type"))
-        self._write(mined.distinct(), "artifact_keys", batch_id)
-        self._write(batch.sessions.select("session_id", "version", "first_seen_at"), "sessions", batch_id)
+        owners = fresh.filter(F.col("uuid").isNotNull()).select("uuid", "bucket").distinct()
+        calls = batch.message_content.filter("tool_use_id is not null").join(owners, F.col("message_uuid") == F.col("uuid"))
+        none = F.lit(0)
+        kinds = [("file", fresh, F.col("path"), none), ("artifact", mined, F.concat_ws("\x1f", "tool_use_id", "operation_type"), none), ("record", owners, F.col("uuid"), F.col("bucket")), ("call", calls, F.col("tool_use_id"), F.col("bucket"))]
+        found = None
+        for kind, rows, key, home in kinds:
+            one = rows.select(F.lit(kind).alias("kind"), key.alias("key"), home.alias("home"))
+            found = one if found is None else found.unionByName(one)
+        schema = "kind string, key string, home int"
+        self.store.write(found.distinct(), f"{work}/keys")
+        own = self.store.read(f"{work}/keys", schema)
+        self.store.write(self.keys.seen(before, own), f"{work}/seen")
+        seen = self.store.read(f"{work}/seen", schema)
+        twice = own.unionByName(seen).filter("kind in ('record', 'call')").groupBy("kind", "key").agg(F.count_distinct("home").alias("n")).filter("n > 1")
+        new.notes["shared"] = bool(before.notes.get("shared")) or not twice.isEmpty()
+        files = seen.filter("kind = 'file'").select(F.col("key").alias("path"))
+        parts = F.split("key", "\x1f")
+        stored = seen.filter("kind = 'artifact'").select(parts[0].alias("tool_use_id"), parts[1].alias("operation_type"))
+        last = before.notes.get("last_version")
+        events = record_added(batch).unionByName(session_started(batch, files)).unionByName(schema_drifted(batch)).unionByName(version_changed(batch, last[2] if last else None)).unionByName(artifact_events(batch, stored, stored))
+        self._write(events, "events", batch_id)
+        latest = batch.sessions.filter("version is not null").agg(F.max(F.struct("first_seen_at", "session_id", "version"))).first()[0]
+        new.notes["last_version"] = max([x for x in (last, list(latest) if latest else None) if x], default=None)
+        return self.keys.add(new, own.join(seen.select("kind", "key"), ["kind", "key"], "left_anti"), batch_id)
+
+    # ------------------------------------------------------------ search
 
     def refresh_index(self, path: str | None = None) -> bool:
-        """Add what came since the last refresh to the search index; documents that it has stay as they are."""
-        seen = self.records.agg(F.max("batch_id")).first()[0]
-        at, keys = path or f"{self.root}/index", ["message_uuid", "block_index"]
-        done = self.stored("index_state", "built bigint").agg(F.max("built")).first()[0]
-        if seen is None or seen == done:
+        """Add what came since the last refresh to the search index, and what was read anew in place of what it was.
+
+        Only the buckets that were written since are looked at.  What is added is a segment of its own (``search.write_index``).
+        """
+        state, at, keys = self.store.state(), path or f"{self.root}/index", ["message_uuid", "block_index"]
+        built = index_notes(self.spark, at).get("built", -1)
+        if state.batch <= built:
             return False
-        new = self.records.filter(F.col("batch_id") > (-1 if done is None else done)).drop("batch_id")
-        docs = Tables(None, None, new).searchable.filter(F.col("text_content").isNotNull()).select(*keys, "text_content")
-        if done is not None:
-            docs = docs.join(read_index(self.spark, at, keys).docs.select(*keys), keys, "left_anti")
-        write_index(build_index(docs, keys, "text_content"), at, run=seen)
-        self.spark.range(1).select(F.lit(seen).cast("bigint").alias("built")).write.mode("overwrite").parquet(f"{self.root}/index_state")
+        since = State(state.number, state.batch, {b: v for b, v in state.buckets.items() if v > built}, notes=state.notes)
+        texts = self.tables().searchable if state.notes.get("shared") else Stored(self, since).searchable
+        docs = texts.filter(F.col("text_content").isNotNull()).select(*keys, "text_content").withColumn("digest", F.xxhash64("text_content"))
+        self.store.write(docs, f"work/index-{state.batch}")
+        docs = self.store.read(f"work/index-{state.batch}", "message_uuid string, block_index bigint, text_content string, digest bigint")
+        held = read_index(self.spark, at, keys).docs.select(*keys, F.col("digest").alias("old"))
+        met = docs.join(held, keys, "left")
+        changed = met.filter("old is not null and old != digest").select(*keys)
+        added = met.filter("old is null or old != digest").select(*keys, "text_content")
+        write_index(build_index(added, keys, "text_content"), at, run=state.batch, dead=changed, notes={"built": state.batch})
+        self.store.drop(f"work/index-{state.batch}")
         return True
 
     def follow(self, logs: str, *, once: bool = False, every: str = "2 seconds", suffix: str = ".jsonl", max_bytes_per_trigger: int = 0):
