@@ -392,6 +392,21 @@ def test_neighbours(spark):
     assert neighbours.search(vectors.limit(0), F.col("id") % 50 == 0).count() == 0
 
 
+def test_neighbours_of_extreme_doubles(spark):
+    """Cosines do not depend on lengths, whatever squares would overflow or vanish."""
+    r = np.random.default_rng(3)
+    base = r.normal(size=(40, 6))
+    scale = np.array([1.0, 1e200, 1e-200, 1e-310, 1e300] * 8)[:, None]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base * scale)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for x in neighbours.search(rows, F.col("id") % 4 == 0, k=5).orderBy("query_id", "rank").collect():
+        got[x.query_id].append((x.vec_id, round(x.score, 6)))
+    unit = base / np.linalg.norm(base, axis=1, keepdims=True)
+    for q in range(0, 40, 4):
+        near = sorted(((-(unit[q] @ unit[i]), i) for i in range(40) if i != q))[:5]
+        assert [i for i, _ in got[q]] == [i for _, i in near] and np.allclose([s for _, s in got[q]], [-s for s, _ in near], atol=1e-5)
+
+
 def test_leaves_are_split_in_rounds(spark):
     """A top fitted on a small sample: its leaves are split again until all are small; equal vectors stay together."""
     r = np.random.default_rng(2)
@@ -415,17 +430,17 @@ def test_leaves_are_split_in_rounds(spark):
 # ---------------------------------------------------------------- chat
 
 
-def cheapest(roles):
+def cheapest(roles, costs=chat.USUAL):
     """All choices tried."""
     best = 10**9
     for states in itertools.product(range(1, 4), repeat=len(roles)):
         cost, at = 0, 0
         for role, to in zip(roles, states):
-            if (at, to) not in chat.LINKS:
+            if (at, to) not in costs.links:
                 cost = 10**9
                 break
-            cost, at = cost + chat.LINKS[at, to][0] + chat.RELABEL * (role != chat.STATES[to]), to
-        best = min(best, cost + chat.ENDS[at][0])
+            cost, at = cost + costs.links[at, to][0] + costs.relabel * (role != chat.STATES[to]), to
+        best = min(best, cost + costs.ends[at][0])
     return best
 
 
@@ -445,14 +460,32 @@ def test_chat_repair_is_cheapest():
         assert text.count("<|end|>") == sum("merge" not in x[3] for x in rows) and all(f"t{i}" in text for i in range(len(roles)))
         # a stretch's matrix says the same as the whole
         m = chat.stretch_costs(roles)
-        assert min(m[0, s] + chat.ENDS[s][0] for s in range(1, 4)) == cheapest(roles)
-
-
-def test_costs_decide_between_merging_and_inserting():
+        assert min(m[0, s] + chat.USUAL.ends[s][0] for s in range(1, 4)) == cheapest(roles)
+
+
+def test_costs_decide_between_merging_and_inserting(spark):
+    r, dear = random.Random(6), chat.Costs(merge=9, insert=2, relabel=4)
+    for _ in range(200):
+        roles = [r.choice(["user", "assistant", "system", None]) for _ in range(r.randint(1, 6))]
+        rows = chat.repair_turns(roles, [""] * len(roles), costs=dear)
+        assert sum(x[4] for x in rows) == cheapest(roles, dear) and legal([x[2] for x in rows if "merge" not in x[3]])
+    two = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "user", "b"), (1, 2, "assistant", "c")], "conv_id long, turn long, role string, text string")
+    assert [r.action for r in chat.repair(two, merge=9).orderBy("place", "step").collect()] == ["keep", "insert", "keep", "keep"]
+    assert [r.action for r in chat.repair(two).orderBy("place", "step").collect()] == ["keep", "merge", "keep"]
     assert chat.links()[2, 2] == (chat.MERGE, (), True)
     assert chat.links(merge=5, insert=2)[2, 2] == (2, (3,), False) and chat.links(merge=5, insert=2)[3, 3] == (2, (2,), False)
 
 
+def test_a_row_for_each_short_conversation(spark):
+    """Over many partitions, and in stretches smaller than all conversations together: only what is larger than a stretch has parts."""
+    rows = [(f"c{c}", t, ["user", "assistant"][t % 2], f"text {c} {t}") for c in range(60) for t in range(1 + c % 7)] + [("big", t, "user", "x" * 50) for t in range(100)]
+    df = spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")
+    for at_once in (300, 4000, 16 << 20):
+        shown = chat.render(chat.repair(df.repartition(9), stretch_bytes=at_once))
+        parts = {r.conv_id: r["count"] for r in shown.groupBy("conv_id").count().collect()}
+        assert len(parts) == 61 and all(n == 1 for c, n in parts.items() if c != "big") and (parts["big"] > 1) == (at_once < 5000)
+
+
 def test_chat_over_partitions(spark):
     r = random.Random(5)
     rows = []

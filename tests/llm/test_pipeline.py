@@ -1,10 +1,12 @@
 """The pipeline's stages against brute force."""
 
+import os
 import random
 
 import pytest
 
 import corpus_pipeline
+from tracelake.functions.shared import shared_dir
 from tracelake.llm import queries
 
 from .data import ALNUM, LOWER, documents, sentence
@@ -60,7 +62,10 @@ def test_stages(spark, folder, tmp_path):
                 assert (i not in after) == (len(q & set(zip(*[w[j:] for j in range(5)]))) >= 0.8 * len(q))
         if k == 4:
             assert {r.doc_id for r in docs.collect()} == set(before)
+    there = set(os.listdir(shared_dir(spark)))
     assert corpus_pipeline.run(spark, sf).count() == seen["best-fit packing"]
+    left = set(os.listdir(shared_dir(spark))) - there
+    assert [x.rsplit("-", 1)[0] for x in left] == ["best-fit-packing"]  # what the result reads
 
 
 def test_columns_with_names_used_inside(spark, folder):
@@ -76,5 +81,5 @@ def test_columns_with_names_used_inside(spark, folder):
 
 def test_every_operator_has_one_query():
     names = list(queries.queries())
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14))
     assert set(queries.oracle_sql()) <= set(names)

@@ -118,6 +118,38 @@ def test_exchange_between_partitions(spark):
     assert packing.pack(hard, items_per_partition=100).select("sequence_id").distinct().count() == 1000
 
 
+def fewest_bins(lengths, size):
+    """All ways tried."""
+    best = [len(lengths)]
+
+    def place(i, bins):
+        if len(bins) >= best[0]:
+            return
+        if i == len(lengths):
+            best[0] = len(bins)
+            return
+        for b in {x: k for k, x in enumerate(bins)}.values():
+            if bins[b] >= lengths[i]:
+                place(i + 1, [*bins[:b], bins[b] - lengths[i], *bins[b + 1 :]])
+        place(i + 1, [*bins, size - lengths[i]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_bound_and_packing_about_the_optimum():
+    """Never above the fewest, and best-fit decreasing never below it; where both meet, the packing is certified."""
+    r, met = random.Random(7), 0
+    for _ in range(300):
+        size = r.choice([10, 13, 24])
+        lengths = sorted((r.randint(1, size) for _ in range(r.randint(1, 9))), reverse=True)
+        bound, fewest = packing.lower_bound(np.array(lengths), size), fewest_bins(lengths, size)
+        made = len(packing.best_fit_decreasing(np.array(lengths), size)[2])
+        assert bound <= fewest <= made <= -(-11 * fewest // 9) + 1
+        met += bound == made
+    assert met > 200
+
+
 def test_bound_is_a_bound():
     r = random.Random(5)
     for _ in range(200):
@@ -186,6 +218,19 @@ def test_fuzzy_notices_equal_a_search_without_seeds():
             assert hit == ((n.label, n.phrase) in found), (n, text)
 
 
+def test_long_texts_take_time_in_proportion():
+    """A text of nothing but seeds: what is searched about each is as long as a notice, not as the text."""
+    import time
+
+    took = []
+    for n in (1, 4):
+        text = pa.array(["the license of " * (n * 70_000)])
+        began = time.process_time()
+        licenses.scan_texts(text)
+        took.append(time.process_time() - began)
+    assert took[1] < 7 * took[0] + 1, took
+
+
 def test_places_in_the_result(spark, monkeypatch):
     docs = documents(spark, ["Under the Apache Licence, SPDX-License-Identifier: Apache-2.0", "GNU Lesser General Publik License"])
     monkeypatch.setattr(queries, "_read", lambda *a: docs)
@@ -320,6 +365,12 @@ def test_excerpts_cover_the_whole_text(spark):
     assert got[1].e == "short" and got[2].e is None and set(got[0].e) - {"\n"} == set(text) and got[0].e[0] == "a" and got[0].e[-1] == text[-1] and len(got[0].e) <= 6464
 
 
+def test_excerpts_of_many_byte_letters_stay_in_bounds(spark):
+    rows = [("中文字符" * 25_000,), ("abc" * 100_000,), ("short",)]
+    got = [r[0] for r in spark.createDataFrame(rows, "text string").select(quality.excerpt_of(F.col("text"), 64 << 10)).collect()]
+    assert [len(x.encode()) <= (64 << 10) + 64 for x in got] == [True] * 3 and got[2] == "short" and len(got[0].encode()) > 60_000
+
+
 def test_long_text_in_little_memory():
     import tracemalloc
 

@@ -5,6 +5,7 @@ The words of a text are held at once, at about 10 bytes of memory for a byte of
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import uuid
 from collections.abc import Callable, Iterator
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from ..functions.shared import delete, shared_dir
 
 _WRITTEN: dict[int, tuple[DataFrame, str]] = {}
+_OWNED: list[list[DataFrame]] = []
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -29,9 +31,32 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     _WRITTEN[id(back)] = (back, path)
+    if _OWNED:
+        _OWNED[-1].append(back)
     return back
 
 
+@contextlib.contextmanager
+def written_tables():
+    """What operators write inside goes at the end, but for what they have discarded themselves and for what ``keep`` (the value) is
+    given: that outlives the block, as its result."""
+    own: list[DataFrame] = []
+    _OWNED.append(own)
+
+    def keep(df: DataFrame, tag: str) -> DataFrame:
+        kept = materialize(df, tag)
+        own.remove(kept)
+        if len(_OWNED) > 1:
+            _OWNED[-2].append(kept)
+        return kept
+
+    try:
+        yield keep
+    finally:
+        _OWNED.pop()
+        discard(*[t for t in own if id(t) in _WRITTEN])
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete materialized tables that nothing is read from any more."""
     for t in tables:

@@ -14,6 +14,7 @@ scanned whole, however long.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -149,20 +150,23 @@ def scan_texts(texts: pa.Array, fuzzy: tuple[Notice, ...] = FUZZY) -> tuple[np.n
                 tried.add(guess)
                 if _whole_words(text, guess, exact):
                     continue  # unchanged wording of a base phrase is already a place; of another notice it is found below
-                # from the line end on: the library allows no insertion where its search begins
-                lo = max(guess - n.edits - 1, text.rfind(b"\n", 0, at))
-                hi = text.find(b"\n", at)
-                hi = min(len(text) if hi < 0 else hi, guess + len(exact) + n.edits + 1)
+                # from the line end on: the library allows no insertion where its search begins; no farther than a match may reach
+                lo, hi = max(guess - n.edits - 1, 0), min(guess + len(exact) + n.edits + 1, len(text))
+                lo = max(lo, text.rfind(b"\n", lo, at))
+                ends = text.find(b"\n", at, hi)
+                hi = ends if ends >= 0 else hi
                 for m in pattern.finditer(text, lo, hi):
                     if text[m.start() - 1] in b" \n" and text[m.end()] in b" \n":
                         found[m.span()] = min(found.get(m.span(), 99), sum(m.fuzzy_counts))
         for at in _everywhere(text, exact):
             if _whole_words(text, at, exact):
                 found[at, at + len(exact)] = 0
-        taken: list[tuple[int, int]] = []
+        begun, ended = [], []  # of the places taken, in order
         for (lo, hi), edits in sorted(found.items(), key=lambda x: (x[1], x[0])):
-            if all(hi <= a or lo >= b for a, b in taken):
-                taken.append((lo, hi))
+            i = bisect.bisect_right(begun, lo)
+            if (i == 0 or ended[i - 1] <= lo) and (i == len(begun) or begun[i] >= hi):
+                begun.insert(i, lo)
+                ended.insert(i, hi)
                 if edits or all(n.phrase != b.phrase for b in BASE):
                     put(n, lo, hi, edits, False)
     return np.diff(first), places

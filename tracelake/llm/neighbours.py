@@ -102,7 +102,10 @@ class Tree:
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype(np.float64) if len(column) else np.zeros((0, 1))
+    """Vectors as rows, each scaled by a power of two so that its largest component is below 1: squares of doubles of any size stay finite and
+    above 0, and no cosine changes."""
+    x = np.stack(column.to_numpy()).astype(np.float64) if len(column) else np.zeros((0, 1))
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1]) if len(x) else x
 
 
 def _unit(x: np.ndarray) -> np.ndarray:

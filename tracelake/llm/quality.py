@@ -182,10 +182,10 @@ def held_out(id_col: str = "doc_id"):
 
 
 def excerpt_of(text, most: int):
-    """The whole text, or of a longer one 64 pieces spread evenly from its beginning to its end."""
-    piece = most // 64
-    at = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: (i * (F.length(text) - piece) / 63).cast("int") + 1)
-    return F.when(F.octet_length(text) > most, F.array_join(F.transform(at, lambda x: F.substr(text, x, F.lit(piece))), "\n")).otherwise(text)
+    """The whole text, or of one of more bytes 64 pieces spread evenly from its beginning to its end: in all its share of ``most`` bytes."""
+    piece = F.floor(F.length(text).cast("long") * most / F.octet_length(text) / 64).cast("int")
+    at = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: (i * (F.length(text).cast("long") - piece) / 63).cast("int") + 1)
+    return F.when(F.octet_length(text) > most, F.array_join(F.transform(at, lambda x: F.substr(text, x, piece)), "\n")).otherwise(text)
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", sample: int = 1000, excerpt: int = 256 << 10, id_col: str = "doc_id", text_col: str = "text", **more) -> Network:
