@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions.shared import free_name
 from tracelake.llm import decontamination, jaccard, packing, quality, substrings
-from tracelake.llm.common import discard, materialize
+from tracelake.llm.common import discard, written_tables
 
 #: Documents whose probability of good quality is less are rejected.
 LEAST_QUALITY = 0.3
@@ -63,9 +63,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, written = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-        discard(*written)
-        written = [docs]
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """All stages over ``documents``.  Of what they write the returned rows alone stay."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    for name, stage in STAGES:
+        with written_tables() as keep:
+            docs = keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(*before)
+        before = [docs]
+    return docs
