@@ -117,6 +117,77 @@ def test_unchanged_files_are_not_opened(tmp_path, monkeypatch):
     assert got == ["more"] and not opened
 
 
+def drive(reader, start):
+    """One trigger: the new offset, and the lines by file."""
+    now, got = reader.latestOffset(), {}
+    for p in reader.partitions(start, now):
+        for b in reader.read(p):
+            for path, off, line in zip(*[c.to_pylist() for c in b.columns]):
+                got.setdefault(path.rsplit("/", 1)[1], []).append((off, line))
+    reader.commit(now)
+    return now, {k: sorted(v) for k, v in got.items()}
+
+
+def test_offsets_name_a_manifest(tmp_path):
+    """Ten thousand files, appended, replaced and shrunk, over restarts: the offset stays a number."""
+    from tracelake.sources.session_logs import ManifestReader
+
+    logs, options = tmp_path / "logs", {"path": str(tmp_path / "logs"), "state": str(tmp_path / "state"), "chunkBytes": "4096"}
+    logs.mkdir()
+    for i in range(10_000):
+        (logs / f"{i}.jsonl").write_text(f"line of {i}\nhalf")
+    at, got = drive(ManifestReader(options), {"version": 0})
+    assert at == {"version": 1} and len(got) == 10_000 and got["7.jsonl"] == [(0, "line of 7")]
+    assert drive(ManifestReader(options), at) == (at, {})  # nothing new, and nothing written
+    with (logs / "1.jsonl").open("a") as f:
+        f.write(" is whole\nagain half")
+    (logs / "2.jsonl").write_text("another file, and a longer one\n" * 3)
+    (logs / "3.jsonl").write_text("x\n")
+    (logs / "new.jsonl").write_text("new\n")
+    at, got = drive(ManifestReader(options), at)
+    assert got == {"1.jsonl": [(10, "half is whole")], "2.jsonl": [(31 * i, "another file, and a longer one") for i in range(3)], "3.jsonl": [(0, "x")], "new.jsonl": [(0, "new")]}
+    # a version that was planned and never read, as after a crash, is read with the one after it
+    with (logs / "new.jsonl").open("a") as f:
+        f.write("second\n")
+    assert ManifestReader(options).latestOffset() == {"version": 3}
+    with (logs / "9.jsonl").open("a") as f:
+        f.write("\n")
+    at, got = drive(ManifestReader(options), at)
+    assert at == {"version": 4} and got == {"new.jsonl": [(4, "second")], "9.jsonl": [(10, "half")]}
+    # the same batch again gives the same
+    again = ManifestReader(options)
+    assert sum(b.num_rows for p in again.partitions({"version": 3}, at) for b in again.read(p)) == 1
+    assert len(list((tmp_path / "state").glob("*.json"))) == 2
+
+
+def test_manifest_tails_large_files_in_ranges(tmp_path):
+    """Every split of appended bytes, ranges smaller than lines, a limit smaller than a line."""
+    import random
+
+    from tracelake.sources.session_logs import ManifestReader
+
+    r = random.Random(3)
+    for chunk, most in ((5, 0), (64, 0), (7, 9), (1000, 30)):
+        at = tmp_path / f"{chunk}-{most}"
+        (at / "logs").mkdir(parents=True)
+        body = "".join("w" * r.randint(1, 40) + "\n" for _ in range(30)).encode()
+        options = {"path": str(at / "logs"), "state": str(at / "state"), "chunkBytes": str(chunk), "maxBytesPerTrigger": str(most)}
+        now, found, put = {"version": 0}, [], 0
+        for _ in range(400):
+            if put < len(body):
+                step = r.randint(0, 70)
+                with (at / "logs" / "a.jsonl").open("ab") as f:
+                    f.write(body[put : put + step])
+                put += step
+            now, got = drive(ManifestReader(options), now)
+            found += got.get("a.jsonl", [])
+        want, off = [], 0
+        for line in body.decode().split("\n")[:-1]:
+            want.append((off, line))
+            off += len(line) + 1
+        assert found == want, (chunk, most)
+
+
 def test_stores_that_only_spark_opens(spark, tmp_path):
     (tmp_path / "deep").mkdir()
     body = "".join(f"line {i} é\r\n" for i in range(200)) + "\n  \nlast"

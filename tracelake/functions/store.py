@@ -25,8 +25,8 @@ from .shared import delete
 
 #: Runs of one size that become one.
 FAN = 8
-#: Buckets of sessions: a batch writes those of its sessions whole.
-BUCKETS = 256
+#: Buckets of sessions.  A batch writes those of its sessions whole: take so many that one has some hundred MB.
+BUCKETS = 64
 
 
 class Conflict(RuntimeError):

@@ -161,6 +161,13 @@ def rec(sql: str) -> str:
 TOK_SUM = """count(*) AS message_count, coalesce(sum(input_tokens), 0)::BIGINT AS input_tokens, coalesce(sum(output_tokens), 0)::BIGINT AS output_tokens,
   sum(cache_creation_input_tokens)::BIGINT AS cache_creation_tokens, sum(cache_read_input_tokens)::BIGINT AS cache_read_tokens"""
 
+#: The tool inputs of the rendered assistant records as their lines have them: an object's fields in order of their names.
+INPUT = r"""input AS (
+  SELECT *, '/src/f' || (k % 20) || '.py' AS f, CASE et WHEN 'purchase' THEN 'Write' WHEN 'click' THEN 'Edit' WHEN 'view' THEN 'Read' ELSE 'Bash' END AS tool_name,
+         CASE et WHEN 'purchase' THEN '{"content":"v' || i || ' x","file_path":"' || f || '"}' WHEN 'click' THEN '{"file_path":"' || f || '","new_string":"x' || i || '","old_string":"x"}'
+              WHEN 'view' THEN '{"file_path":"' || f || '"}' WHEN 'signup' THEN '{"command":"git add -A && git commit -m \"c' || i || '\""}' ELSE '{"command":"rm ' || f || '"}' END AS input
+  FROM ev)"""
+
 ORACLES = {
     "a1_read_session_logs": ev("SELECT sid AS session_id, count(*) AS n_lines, sum(i)::BIGINT AS uuid_sum FROM ev GROUP BY 1"),
     "a2_session_id_from_path": "SELECT page_id, 's' || page_id AS session_id FROM pages",
@@ -174,6 +181,13 @@ ORACLES = {
       (SELECT session_id, count(*) AS n, sum(CASE WHEN type = 'assistant' THEN 2 ELSE 1 END)::BIGINT AS b, arg_min(uuid, (timestamp, uuid)) AS first_uuid FROM msg GROUP BY 1) m USING (session_id)"""),
     "a9_export_csv": ev("""SELECT uuid, session_id, type, timestamp, model, coalesce(b.text_content, '') AS content_preview, input_tokens, output_tokens
       FROM msg LEFT JOIN usage ON usage.message_uuid = uuid LEFT JOIN blocks b ON b.message_uuid = uuid AND b.block_type = 'text'"""),
+    "a10_export_markdown": rec(INPUT + """, told AS (
+  SELECT sid AS session_id, iso, 'e' || i AS uuid, '---' || chr(10) || '## ' || CASE WHEN asst THEN 'Assistant' ELSE 'User' END || ' (' || iso || ')' || repeat(chr(10), 2)
+    || CASE WHEN asst THEN 'did ' || et || ' ' || i || repeat(chr(10), 2) || '### Tool Use: ' || tool_name || chr(10) || '**Input:** `' || substr(input, 1, 200) || '`' || repeat(chr(10), 2)
+            WHEN i % 10 = 3 THEN 'say ' || et || ' ' || i || repeat(chr(10), 2) ELSE 'res ' || i || repeat(chr(10), 2) END AS body
+  FROM input WHERE NOT odd_type)
+SELECT session_id, '# Session: ' || session_id || chr(10) || '**Project:** ' || any_value(project_path) || chr(10) || '**Date:** ' || min(iso) || repeat(chr(10), 2) || string_agg(body, '' ORDER BY iso, uuid) AS markdown
+FROM told JOIN sess USING (session_id) GROUP BY 1"""),
     "a11_read_bookmarks": "SELECT page_id AS id, '/Projects/p' || (page_id % 10) AS project_path, strftime(to_timestamp(page_id * 1000 + 978307200) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS created_at, 'tag' || (page_id % 3) || '+kept' AS tag_list FROM pages",
     "b1_dispatch": f"WITH {EV}, {PG} SELECT kind, count(*) AS n FROM pg WHERE kind <> 'broken' GROUP BY 1 UNION ALL SELECT 'events.' || CASE WHEN asst THEN 'assistant' WHEN odd_type THEN 'unknown' ELSE 'user' END AS kind, count(*) AS n FROM ev GROUP BY 1",
     "b2_sessions": ev("SELECT * FROM sess"),
@@ -302,6 +316,15 @@ SELECT doc_id, CASE WHEN lo > 0 THEN '...' ELSE gaps[1] END
   || CASE WHEN hi < len(spans) THEN '...' ELSE gaps[len(spans) + 1] END AS snippet FROM x""",
     "k1_sql_readonly": ev("SELECT model, sum(input_tokens)::BIGINT AS input_tokens FROM msg JOIN usage ON message_uuid = uuid WHERE session_id <> 's1' GROUP BY 1"),
     "k2_run_canned": ev("SELECT tool_name, count(*) AS invocations, count(*) FILTER (is_error) AS errors FROM tool WHERE session_id = 's3' GROUP BY 1"),
+    "l1_tail_session_logs": rec(INPUT + """, written AS (
+  SELECT sid AS session_id, i, '{"type":"' || CASE WHEN asst THEN 'assistant' WHEN odd_type THEN 'mystery' ELSE 'user' END || '","uuid":"e' || i || '","timestamp":"' || iso || '","sessionId":"' || sid || '","version":"' || ver || '","cwd":"' || cwd
+    || coalesce('","parentUuid":"e' || prev, '') || '","isSidechain":false,"userType":"external","gitBranch":"main"' || CASE WHEN i % 30 = 7 THEN ',"agentId":"g' || (u % 20) || '"' ELSE '' END
+    || CASE WHEN asst THEN ',"message":{"id":"msg' || i || '","role":"assistant","model":"m' || (i % 3) || '","content":[{"type":"text","text":"did ' || et || ' ' || i || '"},{"type":"tool_use","id":"t' || i || '","name":"' || tool_name || '","input":' || input
+         || '}],"stop_reason":"tool_use","usage":{"input_tokens":' || CAST(floor(value) AS BIGINT) || ',"output_tokens":' || k || CASE WHEN i % 4 = 0 THEN ',"cache_read_input_tokens":' || (k % 7) ELSE '' END || '}}}'
+       ELSE ',"message":{"role":"user","content":' || CASE WHEN i % 10 = 3 THEN '"say ' || et || ' ' || i || '"' ELSE '[{"content":"res ' || i || '","is_error":' || (et = 'error') || ',"tool_use_id":"t' || (i - 1) || '","type":"tool_result"}]' END || '}'
+         || CASE WHEN i % 97 = 1 THEN ',"isCompactSummary":true' ELSE '' END || CASE WHEN i % 89 = 1 THEN ',"planContent":"plan ' || et || ' ' || i || '"' ELSE '' END || CASE WHEN i % 50 = 1 THEN ',"brandNew":{"n":' || i || '}' ELSE '' END || '}' END AS line
+  FROM input)
+SELECT session_id, count(*) AS n_lines, CAST(sum(strlen(line) + 1) - arg_max(strlen(line) + 1, i) AS BIGINT) AS last_off FROM written GROUP BY 1"""),
     "l2_ingest_batch": ev("SELECT session_id, count(*) AS message_count FROM msg GROUP BY 1"),
     "l3_record_added": ev("SELECT 'record:added' AS type, max(sid) AS session_id, path, CAST(NULL AS VARCHAR) AS detail, count(*) AS n FROM ev GROUP BY path"),
     "l4_session_started": ev("SELECT 'session:started' AS type, max(sid) AS session_id, path FROM ev WHERE u % 10 >= 5 GROUP BY path"),

@@ -4,7 +4,9 @@ Rows are (path, off, line): ``off`` is the line's byte offset.  A task reads byt
 each the lines that begin in it: a huge file is read by many tasks, many small files by one.  The
 stream's offset is, for each file, where its last complete line ends and a fingerprint of its
 first bytes: a file that shrank or was replaced is read from the start again; files whose size
-and time are what they were are not opened.  A line that is not finished yet is left for later;
+and time are what they were are not opened.  With a folder for its ``state`` the offset is the number of a
+manifest there, whatever the number of files: the driver lists the tree and compares sizes and times, and executors look
+at heads and newlines, and tell how far they came (``ManifestReader``).  A line that is not finished yet is left for later;
 in batch mode a last line without a newline counts.  A file that can't be opened gives one row
 of offset -1 without a line, and the others are read.  Trees in stores that only Spark opens
 are read by its own text source in batch mode, with offsets that keep the order of lines.
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -231,6 +234,147 @@ class TailReader(DataSourceStreamReader):
         pass
 
 
+def _read_json(path: str) -> list | None:
+    system, at = _open(path)
+    if system.get_file_info(at).type != fs.FileType.File:
+        return None
+    with system.open_input_stream(at, compression="gzip") as f:
+        return json.loads(f.read())
+
+
+def _write_json(path: str, what: list) -> None:
+    """In one step: a reader sees the file whole or not at all."""
+    system, at = _open(path)
+    system.create_dir(at.rpartition("/")[0], recursive=True)
+    beside = f"{at}.{uuid.uuid4().hex}"
+    with system.open_output_stream(beside, compression="gzip") as f:
+        f.write(json.dumps(what).encode())
+    system.move(beside, at)
+
+
+@dataclass
+class Tail:
+    """A file from where its complete lines ended to where it ended when it was listed; ``head`` is of its first ``head_of`` bytes."""
+
+    path: str
+    start: int
+    stop: int
+    head: str
+    head_of: int
+
+
+class Tails(InputPartition):
+    def __init__(self, parts: list[tuple[Tail, int, int]], told: str):
+        super().__init__(None)
+        self.parts, self.told = parts, told
+
+
+def look(tail: Tail, begin: int) -> tuple[int, int, list]:
+    """From where to where the complete lines of a range are that begins at ``begin``; the first range of a file that was replaced begins at 0.
+    Also what is told: path, where the file's complete lines end, its head, the head's bytes."""
+    system, at = _open(tail.path)
+    with system.open_input_file(at) as f:
+        replaced = tail.head_of > 0 and hashlib.sha1(f.read(tail.head_of)).hexdigest() != tail.head
+    if replaced and begin == tail.start:
+        begin = 0
+    done = _complete(tail.path, begin, tail.stop)  # what is behind the last newline waits
+    head_of = min(_HEAD, done)
+    return begin, done, [tail.path, done if done > begin else 0 if replaced else tail.start, _head(tail.path, head_of) if done else "", head_of]
+
+
+class ManifestReader(DataSourceStreamReader):
+    """Offsets are {"version": n}.  ``state/<n>.json`` lists the files as version n saw them; ``state/told-<n>/`` is what the executors that read
+    version n found: where each file's complete lines end, and its head."""
+
+    def __init__(self, options):
+        self.o, self.state = _Options(options), options["state"].rstrip("/")
+
+    def initialOffset(self):
+        return {"version": 0}
+
+    def _versions(self) -> list[int]:
+        system, at = _open(self.state)
+        found = system.get_file_info(fs.FileSelector(at, allow_not_found=True))
+        return sorted(int(f.base_name[:-5]) for f in found if f.type == fs.FileType.File and f.base_name.endswith(".json") and f.base_name[:-5].isdigit())
+
+    def _files(self, version: int) -> dict[str, list]:
+        """path: size, time, where it was begun, up to where it was planned, head, bytes of head."""
+        return {r[0]: r[1:] for r in (_read_json(f"{self.state}/{version}.json") or [])} if version else {}
+
+    def _ended(self, version: int) -> dict[str, list]:
+        """path: where its lines end, head, bytes of head, after version ``version`` was read."""
+        told: dict[str, list] = {}
+        system, at = _open(f"{self.state}/told-{version}")
+        for f in system.get_file_info(fs.FileSelector(at, allow_not_found=True)):
+            if f.base_name.endswith(".json"):
+                for path, *found in _read_json(f"{self.state}/told-{version}/{f.base_name}"):
+                    told[path] = max(told.get(path, found), found)  # of several ranges the farthest
+        return {p: [begin, head, head_of] for p, (_, _, begin, _, head, head_of) in self._files(version).items()} | told
+
+    def latestOffset(self):
+        last = max(self._versions(), default=0)
+        before, ended, left, now, news = self._files(last), self._ended(last), self.o.most or None, {}, False
+        for path, (size, time) in _listed(self.o.roots, self.o.suffix).items():
+            end, head, head_of = ended.get(path, [0, "", 0])
+            old = before.get(path)
+            if old and old[:2] == [size, time] and (old[3] >= size or end == old[2] and old[3] < size and left == 0):
+                now[path] = [size, time, end, max(end, old[3]), head, head_of]
+                continue
+            if size < end:
+                end, head, head_of = 0, "", 0
+            stop = size
+            if left is not None:
+                # a line longer than the limit: twice as far as last time
+                step = max(left, 2 * (old[3] - old[2]) if old and old[2] == end else 0) if left else 0
+                stop = min(size, end + step)
+                left = max(0, left - (stop - end))
+            now[path] = [size, time, end, stop, head, head_of]
+            news = news or stop > end
+        if not news:
+            return {"version": last}
+        _write_json(f"{self.state}/{last + 1}.json", [[p, *x] for p, x in now.items()])
+        return {"version": last + 1}
+
+    def partitions(self, start, end):
+        if start["version"] == end["version"]:
+            return []
+        # compared with what was read last: versions between may never have been
+        version, before, parts, held, out = end["version"], self._files(start["version"]), [], 0, []
+        for path, (size, time, begin, stop, head, head_of) in self._files(version).items():
+            old = before.get(path)
+            if stop <= begin or old and old[:2] == [size, time] and old[3] >= stop:
+                continue
+            for a in range(begin, stop, self.o.chunk):
+                if parts and held + min(stop, a + self.o.chunk) - a > self.o.chunk:
+                    out, parts, held = [*out, parts], [], 0
+                parts.append((Tail(path, begin, stop, head, head_of), a, min(stop, a + self.o.chunk)))
+                held += parts[-1][2] - a
+        out = [*out, parts] if parts else out
+        return [Tails(p, f"{self.state}/told-{version}/{i}.json") for i, p in enumerate(out)]
+
+    def read(self, partition):
+        told = []
+        for tail, begin, end in partition.parts:
+            try:
+                begin, done, found = look(tail, begin)
+            except OSError:
+                yield from read_range(Range(tail.path, 0, 1))  # a row that says so
+                continue
+            if done > begin:
+                yield from read_range(Range(tail.path, begin, min(end, done), open_end=end < done))
+            told.append(found)
+        _write_json(partition.told, told)
+
+    def commit(self, end):
+        """Versions before the last two are not asked for any more."""
+        for v in self._versions():
+            if v < end["version"] - 1:
+                system, at = _open(f"{self.state}/{v}.json")
+                system.delete_file(at)
+                if system.get_file_info(f"{at[:-5].rpartition('/')[0]}/told-{v}").type == fs.FileType.Directory:
+                    system.delete_dir(f"{at[:-5].rpartition('/')[0]}/told-{v}")
+
+
 class SessionLogs(DataSource):
     @classmethod
     def name(cls):
@@ -243,7 +387,7 @@ class SessionLogs(DataSource):
         return BatchReader(self.options)
 
     def streamReader(self, schema):
-        return TailReader(self.options)
+        return ManifestReader(self.options) if "state" in self.options else TailReader(self.options)
 
 
 def _by_spark(spark: SparkSession, paths: list[str], suffix: str) -> DataFrame:
@@ -265,11 +409,16 @@ def read_session_logs(spark: SparkSession, path: str | list[str], *, suffix: str
     return spark.read.format("session_logs").option("roots", json.dumps(paths)).option("suffix", suffix).option("chunkBytes", chunk_bytes).load()
 
 
-def tail_session_logs(spark: SparkSession, path: str, *, suffix: str = ".jsonl", chunk_bytes: int = 64 << 20, max_bytes_per_trigger: int = 0) -> DataFrame:
-    """A stream of the lines appended to the files below ``path``."""
+def tail_session_logs(spark: SparkSession, path: str, *, suffix: str = ".jsonl", chunk_bytes: int = 64 << 20, max_bytes_per_trigger: int = 0, state: str | None = None) -> DataFrame:
+    """A stream of the lines appended to the files below ``path``.
+
+    ``state`` is a folder of the stream's own that driver and executors share, kept as long as its checkpoint: with it offsets stay small however many
+    files there are, and executors look into the files.
+    """
     ship(spark)
     spark.dataSource.register(SessionLogs)
-    return spark.readStream.format("session_logs").option("path", path).option("suffix", suffix).option("chunkBytes", chunk_bytes).option("maxBytesPerTrigger", max_bytes_per_trigger).load()
+    r = spark.readStream.format("session_logs").option("path", path).option("suffix", suffix).option("chunkBytes", chunk_bytes).option("maxBytesPerTrigger", max_bytes_per_trigger)
+    return (r if state is None else r.option("state", state)).load()
 
 
 def sync_report(listed: DataFrame, bronze: DataFrame, rejected: DataFrame, observations: DataFrame) -> DataFrame:

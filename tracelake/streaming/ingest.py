@@ -200,6 +200,7 @@ class Lake:
         if batch_id <= before.batch:
             return
         self.store.sweep(before)
+        self.buckets = before.notes.get("of_buckets", self.buckets)  # as the lake began
         work = f"work/{batch_id}"
         self.store.drop(work)
         self._write(df.select("path", "off", "line"), "bronze", batch_id)
@@ -209,6 +210,7 @@ class Lake:
         new = State(before.number, batch_id, dict(before.buckets), {k: list(v) for k, v in before.runs.items()}, dict(before.notes))
         touched = sorted(r[0] for r in fresh.select("bucket").distinct().collect())  # the buckets at most
         new.buckets.update({str(b): batch_id for b in touched})
+        new.notes["of_buckets"] = self.buckets
         silver, new.notes["schemas"] = self._write_silver(before, fresh, touched, batch_id, work)
         gone = self._write_events_and_keys(before, new, fresh, silver, batch_id, work)
 
@@ -325,5 +327,5 @@ class Lake:
 
     def follow(self, logs: str, *, once: bool = False, every: str = "2 seconds", suffix: str = ".jsonl", max_bytes_per_trigger: int = 0):
         """Start tailing; ``once`` takes all that is there, in one batch, and stops."""
-        w = tail_session_logs(self.spark, logs, suffix=suffix, max_bytes_per_trigger=0 if once else max_bytes_per_trigger).writeStream.foreachBatch(self.ingest_batch).option("checkpointLocation", f"{self.root}/checkpoint")
+        w = tail_session_logs(self.spark, logs, suffix=suffix, max_bytes_per_trigger=0 if once else max_bytes_per_trigger, state=f"{self.root}/tail").writeStream.foreachBatch(self.ingest_batch).option("checkpointLocation", f"{self.root}/checkpoint")
         return (w.trigger(availableNow=True) if once else w.trigger(processingTime=every)).start()
