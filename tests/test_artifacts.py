@@ -119,3 +119,27 @@ def test_glob():
     assert re.match(glob_regex("*/f?.p[xy]"), "/src/deep/f1.py")
     assert not re.match(glob_regex("*/f?.p[!y]"), "/src/f1.py")
     assert not re.match(glob_regex("src.py"), "srcxpy")
+
+
+def test_long_stretches_of_edits(spark):
+    """Thousands of edits after one write: versions as plain folding has them, in batches no larger than what a task may hold."""
+    rows, content, want = [("s", "/long", "write", 0, "x" * 200, None)], "x" * 200, ["x" * 200]
+    for i in range(1, 3000):
+        old, new = ("x", "xy") if i == 1 else (f"{i - 1}|", f"{i}|") if i % 3 == 0 and i > 3 else ("y", f"y{i}|") if i < 3 else ("absent", "z") if i % 3 == 1 else (f"{i - 2}|", f"{i}|")
+        rows.append(("s", "/long", "edit", i, new, old))
+        content = content.replace(old, new)
+        want.append(content)
+    rows += [("s", "/other", "edit", 1, "a", "b"), ("s", "/other", "write", 2, "b", None), ("s", "/other", "edit", 3, "c", "b"), ("s", "/other", "edit", 4, "d", "")]
+    ops = spark.createDataFrame([(s, p, k, f"2031-01-01T{i:06d}", f"t{i}", c, o) for s, p, k, i, c, o in rows], "session_id string, file_path string, operation_type string, timestamp string, tool_use_id string, content string, old_content string").repartition(5)
+    got = replay.file_versions(ops)
+    assert [r.content for r in got.filter("file_path = '/long'").orderBy("version").collect()] == want
+    assert [(r.version, r.content) for r in got.filter("file_path = '/other'").orderBy("version").collect()] == [(1, "b"), (2, "c"), (3, "c")]
+    assert {r.file_path: (r.content, r.applied) for r in replay.reconstruct(ops).collect()} == {"/long": (want[-1], 3000), "/other": ("c", 3)}
+    # versions leave as they are made
+    import pyarrow as pa
+
+    big = [("s", "/f", 1, i, "t", "t", "edit" if i else "write", "z" * 100_000 if i == 0 else f"{i}", None if i == 0 else f"{i - 1}") for i in range(300)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*big[lo : lo + 50])], names=replay._STEP) for lo in range(0, 300, 50)]
+    given = list(replay._folding(True)(iter(batches)))
+    assert sum(b.num_rows for b in given) == 300 and max(b.nbytes for b in given) < 2 * replay._HELD
+    assert [b.num_rows for b in replay._folding(False)(iter(batches))] == [1]

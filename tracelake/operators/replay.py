@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -15,9 +17,58 @@ from ..functions.ship import ship
 KEYS = ["session_id", "file_path"]
 
 
-def _apply(content: Column, op: Column) -> Column:
-    """A write replaces all; an edit replaces every place of its old text, once there is a content."""
-    return F.when(op["operation_type"] == "write", op["content"]).otherwise(F.when(content.isNotNull(), F.replace(content, op["old_content"], op["content"])))
+_STEP = [*KEYS, "stretch", "version", "timestamp", "tool_use_id", "operation_type", "content", "old_content"]
+_VERSION = "session_id string, file_path string, version bigint, timestamp string, tool_use_id string, content string"
+#: Bytes of versions that a task holds before it gives them away.
+_HELD = 8 << 20
+
+
+def applied(content: str | None, kind: str, new: str, old: str | None) -> str | None:
+    """A write replaces all; an edit replaces every place of its old text, once there is a content.  An empty old text stands nowhere."""
+    if kind == "write":
+        return new
+    return content if content is None or not old else content.replace(old, new)
+
+
+def _folding(every: bool):
+    """Steps in order become versions, each given away as it is made (``every``), or the last of each stretch alone: a task holds one content."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in _VERSION.split(", ")]
+        out, held, key, content, last = [], 0, None, None, None
+
+        def given() -> pa.RecordBatch:
+            rows = out.copy()
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64() if n == "version" else pa.string()) for i, n in enumerate(names)], names=names)
+
+        for batch in batches:
+            for session, path, stretch, version, at, tool, kind, new, old in zip(*[batch.column(i).to_pylist() for i in range(len(_STEP))]):
+                if (session, path, stretch) != key:
+                    if last and not every:
+                        out.append((*last, content))
+                        held += len(content or "")
+                    key, content = (session, path, stretch), None
+                content, last = applied(content, kind, new, old), (session, path, version, at, tool)
+                if every:
+                    out.append((*last, content))
+                    held += len(content or "")
+                if held > _HELD:
+                    yield given()
+                    held = 0
+        if last and not every:
+            out.append((*last, content))
+        if out:
+            yield given()
+
+    return fold
+
+
+def replayed(steps: DataFrame, every: bool) -> DataFrame:
+    """``steps`` (of stretches that begin with a write) folded in order, a stretch in a task."""
+    ship(steps.sparkSession)
+    rows = steps.select(*_STEP).repartition(*KEYS, "stretch").sortWithinPartitions(*KEYS, "stretch", "version")
+    return rows.mapInArrow(_folding(every), _VERSION)
 
 
 def _mutations(ops: DataFrame, cutoffs: DataFrame | None) -> DataFrame:
@@ -42,26 +93,19 @@ def reconstruct(ops: DataFrame, cutoffs: DataFrame | None = None) -> DataFrame:
     # nothing before the last write matters
     last = m.filter(F.col("operation_type") == "write").groupBy(*KEYS).agg(F.max(F.struct("timestamp", "tool_use_id")).alias("w"))
     m = m.join(last, KEYS).filter(F.struct("timestamp", "tool_use_id") >= F.col("w")).drop("w")
-    steps = F.array_sort(F.collect_list(F.struct("timestamp", "tool_use_id", "operation_type", "content", "old_content")))
-    done = m.groupBy(*KEYS).agg(F.aggregate(steps, F.lit(None).cast("string"), _apply).alias("content"), F.count("*").alias("applied"))
-    return files.join(done, KEYS, "left").withColumn("applied", F.coalesce("applied", F.lit(0)).cast("long"))
+    counts = m.groupBy(*KEYS).agg(F.count("*").alias("applied"))
+    done = replayed(m.withColumns({"stretch": F.lit(1).cast("long"), "version": F.row_number().over(Window.partitionBy(*KEYS).orderBy("timestamp", "tool_use_id")).cast("long")}), every=False)
+    found = done.select(*KEYS, "content").join(counts, KEYS)
+    return files.join(found, KEYS, "left").withColumn("applied", F.coalesce("applied", F.lit(0)).cast("long"))
 
 
 def file_versions(ops: DataFrame) -> DataFrame:
     """The content after each write and edit: session, path, version, timestamp, tool_use_id, content.
 
-    A write begins a stretch that needs nothing before it: stretches are replayed each by itself."""
-    steps = F.array_sort(F.collect_list(F.struct("version", "timestamp", "tool_use_id", "operation_type", "content", "old_content")))
-    kind = "array<struct<version:bigint,timestamp:string,tool_use_id:string,content:string>>"
-
-    def add(done: Column, op: Column) -> Column:
-        now = _apply(F.try_element_at(done, F.lit(-1))["content"], op).alias("content")
-        return F.concat(done, F.array(F.struct(op["version"].alias("version"), op["timestamp"].alias("timestamp"), op["tool_use_id"].alias("tool_use_id"), now)))
-
+    A write begins a stretch that needs nothing before it: stretches are replayed each by itself, and versions leave a task as they are made."""
     order = Window.partitionBy(*KEYS).orderBy("timestamp", "tool_use_id")
     m = _mutations(ops, None).withColumn("version", (F.row_number().over(order) - 1).cast("long")).withColumn("stretch", F.count_if(F.col("operation_type") == "write").over(order))
-    done = m.filter("stretch > 0").groupBy(*KEYS, "stretch").agg(F.aggregate(steps, F.array().cast(kind), add).alias("v"))
-    return done.select(*KEYS, F.explode("v").alias("v")).select(*KEYS, "v.version", "v.timestamp", "v.tool_use_id", "v.content")
+    return replayed(m.filter("stretch > 0"), every=True)
 
 
 _LINE = re.compile(r"[^\r\n]*(?:\r\n|\n|\r)|[^\r\n]+")
