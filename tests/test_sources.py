@@ -383,6 +383,21 @@ def test_a_session_under_another_name(spark, tmp_path):
     same_tables(lake.tables(), Tables(spark.createDataFrame(rows, "path string, off bigint, line string")), ["messages", "message_content", "sessions", "schema_drift"])
 
 
+def test_a_batch_counts_itself(spark, tmp_path):
+    from tracelake.operators.drift import observations
+    from tracelake.sources.session_logs import sync_report, sync_totals
+
+    lake, offsets = Lake(spark, str(tmp_path), buckets=2), {}
+    rows, df = lines_of(spark, five_batches()[0], offsets)
+    df = df.unionByName(spark.createDataFrame([("/logs/s1.jsonl", 900_000, "[broken"), ("/logs/none.jsonl", -1, None)], df.schema))
+    lake.ingest_batch(df, 0)
+    t = Tables(df)
+    want = sync_totals(sync_report(df.select("path").distinct(), df, t.rejected, observations(t.records))).first().asDict()
+    assert lake.sync_totals(last=True) == {k: v for k, v in want.items() if k not in ("files_discovered", "files_skipped")} and want["total_warnings"] == 1
+    lake.ingest_batch(df.limit(0), 1)
+    assert set(lake.sync_totals(last=True).values()) == {0} and lake.sync_totals() == {k: v for k, v in want.items() if k not in ("files_discovered", "files_skipped")}
+
+
 def test_keys_open_what_may_hold_them(spark, tmp_path, monkeypatch):
     from tracelake.functions import store
 

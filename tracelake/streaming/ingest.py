@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import session_id_from_path
@@ -184,6 +184,11 @@ class Lake:
             return Tables(self.bronze.select("path", "off", "line"), keep, self.records)
         return Stored(self, state)
 
+    def sync_totals(self, last: bool = False) -> dict[str, int]:
+        """What ``sync_totals`` counts, of all batches or the ``last``, as their own jobs counted it.  A file is synced where it gave records; one
+        that several batches read counts for each."""
+        return self.store.state().notes.get("last_sync" if last else "all_syncs", {})
+
     def bucket(self, session: Column) -> Column:
         return F.pmod(F.xxhash64(session), F.lit(self.buckets)).cast("int")
 
@@ -203,16 +208,22 @@ class Lake:
         self.buckets = before.notes.get("of_buckets", self.buckets)  # as the lake began
         work = f"work/{batch_id}"
         self.store.drop(work)
-        self._write(df.select("path", "off", "line"), "bronze", batch_id)
+        # counted by the jobs that write, not by jobs of their own
+        lines, parsed, told = Observation(), Observation(), Observation()
+        self._write(df.select("path", "off", "line").observe(lines, F.count_if(F.col("off") >= 0).alias("lines"), F.count_if(F.col("off") < 0).alias("errored")), "bronze", batch_id)
         good, _ = quarantine(self.store.read(f"bronze/batch_id={batch_id}", SCHEMA))
-        self.store.write(good.withColumn("bucket", self._home()), f"{work}/records")
+        self.store.write(good.withColumn("bucket", self._home()).observe(parsed, F.count("*").alias("records")), f"{work}/records")
         fresh = self.store.read(f"{work}/records", f"{RECORD}, bucket int")
         new = State(before.number, batch_id, dict(before.buckets), {k: list(v) for k, v in before.runs.items()}, dict(before.notes))
         touched = sorted(r[0] for r in fresh.select("bucket").distinct().collect())  # the buckets at most
         new.buckets.update({str(b): batch_id for b in touched})
         new.notes["of_buckets"] = self.buckets
         silver, new.notes["schemas"] = self._write_silver(before, fresh, touched, batch_id, work)
-        gone = self._write_events_and_keys(before, new, fresh, silver, batch_id, work)
+        gone = self._write_events_and_keys(before, new, fresh, silver, batch_id, work, told)
+        seen = {**lines.get, **parsed.get, **told.get}
+        report = {"files_synced": seen["synced"], "files_errored": seen["errored"], "total_records": seen["records"], "total_warnings": seen["lines"] - seen["records"], "total_overflow_fields": seen["overflow"] or 0}
+        new.notes["last_sync"] = report
+        new.notes["all_syncs"] = {k: before.notes.get("all_syncs", {}).get(k, 0) + v for k, v in report.items()}
 
         def merged(name: str) -> Callable[[], None]:
             schema, parts, merge = MERGED[name]
@@ -268,7 +279,7 @@ class Lake:
             together([lambda name=name: getattr(t, name) for name in step])
         return t, schemas
 
-    def _write_events_and_keys(self, before: State, new: State, fresh: DataFrame, silver: Tables, batch_id: int, work: str) -> list[str]:
+    def _write_events_and_keys(self, before: State, new: State, fresh: DataFrame, silver: Tables, batch_id: int, work: str, told: Observation) -> list[str]:
         """The batch's events, told apart from what was seen by the keys; its own new keys.  ``silver`` are the tables of the touched buckets:
         the batch's part of them is what its messages gave."""
         batch = Tables(None, None, fresh.drop("bucket"))
@@ -296,7 +307,8 @@ class Lake:
         stored = seen.filter("kind = 'artifact'").select(parts[0].alias("tool_use_id"), parts[1].alias("operation_type"))
         last = before.notes.get("last_version")
         events = record_added(batch).unionByName(session_started(batch, files)).unionByName(schema_drifted(batch)).unionByName(version_changed(batch, last[2] if last else None)).unionByName(artifact_events(batch, stored, stored))
-        self._write(events, "events", batch_id)
+        kind = F.col("type")
+        self._write(events.observe(told, F.count_if(kind == "record:added").alias("synced"), F.sum(F.when(kind == "schema:drift", F.col("n"))).alias("overflow")), "events", batch_id)
         latest = batch.sessions.filter("version is not null").agg(F.max(F.struct("first_seen_at", "session_id", "version"))).first()[0]
         new.notes["last_version"] = max([x for x in (last, list(latest) if latest else None) if x], default=None)
         return self.keys.add(new, own.join(seen.select("kind", "key"), ["kind", "key"], "left_anti"), batch_id)
