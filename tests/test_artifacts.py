@@ -143,3 +143,11 @@ def test_long_stretches_of_edits(spark):
     given = list(replay._folding(True)(iter(batches)))
     assert sum(b.num_rows for b in given) == 300 and max(b.nbytes for b in given) < 2 * replay._HELD
     assert [b.num_rows for b in replay._folding(False)(iter(batches))] == [1]
+
+
+def test_upserts_keep_columns_of_any_name(spark):
+    from tracelake.functions.columns import upsert_first, upsert_last
+
+    df = spark.createDataFrame([("a", 2, 7, 1), ("a", 1, 8, 2), (None, 5, 9, 3), (None, 6, 0, 4)], "k string, at int, n int, __n int")
+    assert sorted(map(tuple, upsert_first(df, ["k"], ["at"]).collect()), key=str) == [("a", 1, 8, 2), (None, 5, 9, 3)]
+    assert sorted(map(tuple, upsert_last(df, ["k"], ["at"]).collect()), key=str) == [("a", 2, 7, 1), (None, 6, 0, 4)]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import free_name
+
 
 def session_id_from_path(path: Column) -> Column:
     """The directory before the first ``subagents`` component, else the file's stem."""
@@ -34,16 +36,19 @@ def json_type(variant: Column, path: str) -> Column:
     return F.schema_of_variant(F.try_variant_get(variant, path, "variant"))
 
 
+def _one(df: DataFrame, keys: list[str], order: list) -> DataFrame:
+    n = free_name(df.columns, "n")
+    return df.withColumn(n, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(n) == 1).drop(n)
+
+
 def upsert_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row for each key: the first in ``order`` wins."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+    return _one(df, keys, order)
 
 
 def upsert_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row for each key: the last in ``order`` wins."""
-    w = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
-    return df.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+    return _one(df, keys, [F.desc(c) for c in order])
 
 
 def beside(df: DataFrame, figures: DataFrame) -> DataFrame:
