@@ -394,6 +394,7 @@ def test_a_batch_counts_itself(spark, tmp_path):
     t = Tables(df)
     want = sync_totals(sync_report(df.select("path").distinct(), df, t.rejected, observations(t.records))).first().asDict()
     assert lake.sync_totals(last=True) == {k: v for k, v in want.items() if k not in ("files_discovered", "files_skipped")} and want["total_warnings"] == 1
+    assert [r.preview for r in lake.tables().rejected.collect()] == ["[broken"]
     lake.ingest_batch(df.limit(0), 1)
     assert set(lake.sync_totals(last=True).values()) == {0} and lake.sync_totals() == {k: v for k, v in want.items() if k not in ("files_discovered", "files_skipped")}
 

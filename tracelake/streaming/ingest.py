@@ -118,6 +118,11 @@ class Stored:
     def records(self) -> DataFrame:
         return self._lake.store.bucketed(self._state, "records", RECORD)
 
+    @property
+    def rejected(self) -> DataFrame:
+        """Rejected lines are not stored: they are looked for in bronze."""
+        return decompose.numbered(quarantine(self.bronze)[1], self.bronze)
+
     @property
     def searchable(self) -> DataFrame:
         return self.message_content.unionByName(self.plan_blocks, allowMissingColumns=True)
