@@ -342,7 +342,8 @@ class Lake:
         self.store.drop(f"work/index-{state.batch}")
         return True
 
-    def follow(self, logs: str, *, once: bool = False, every: str = "2 seconds", suffix: str = ".jsonl", max_bytes_per_trigger: int = 0):
-        """Start tailing; ``once`` takes all that is there, in one batch, and stops."""
-        w = tail_session_logs(self.spark, logs, suffix=suffix, max_bytes_per_trigger=0 if once else max_bytes_per_trigger, state=f"{self.root}/tail").writeStream.foreachBatch(self.ingest_batch).option("checkpointLocation", f"{self.root}/checkpoint")
+    def follow(self, logs: str, *, once: bool = False, every: str = "2 seconds", suffix: str = ".jsonl", max_bytes_per_trigger: int = 0, state: str | None = None):
+        """Start tailing; ``once`` takes all that is there, in one batch, and stops.  ``state`` is where the tail keeps its manifest, in the lake by
+        default: a folder that pyarrow opens on driver and executors."""
+        w = tail_session_logs(self.spark, logs, suffix=suffix, max_bytes_per_trigger=0 if once else max_bytes_per_trigger, state=state or f"{self.root}/tail").writeStream.foreachBatch(self.ingest_batch).option("checkpointLocation", f"{self.root}/checkpoint")
         return (w.trigger(availableNow=True) if once else w.trigger(processingTime=every)).start()
