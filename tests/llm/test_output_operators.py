@@ -138,6 +138,7 @@ def plain_search(docs, items, k):
 @pytest.mark.parametrize("block_bytes", [1 << 20, 300])
 def test_lexical_search(spark, monkeypatch, block_bytes):
     monkeypatch.setattr(lexical, "AT_ONCE", 16)
+    monkeypatch.setattr(lexical, "ROWS", 50)  # items run over several sums
     r = random.Random(4)
     found = texts(4)
     found += ["MIT-x_y the THE2 é", "x" * 3000 + " the", found[5], found[5]]
@@ -161,6 +162,26 @@ def test_lexical_edges(spark):
     assert got == [("a", 1, 4), ("a", 2, None), ("a", 3, None)]
 
 
+def test_few_cells_give_the_same(monkeypatch):
+    """Tables cut down to single documents and terms."""
+    r = random.Random(9)
+    found, items = [t or "" for t in texts(9, 40)], [sentence(r, 40) for _ in range(9)]
+    b, raw = lexical.block_of(items), pa.array(found)
+    import ahocorasick
+
+    a = ahocorasick.Automaton()
+    for i, t in enumerate(b.terms):
+        a.add_word(f" {t} ", i)
+    a.make_automaton()
+    counts = lexical.counted(raw, a)
+    assert counts[0].tolist() == [len(terms(t)) for t in found]
+    gain, ids = (np.arange(len(b.of)) % 7 * b.times)[:, None], np.arange(len(found))
+    whole = lexical.scored(b, counts, 0, len(found), gain, 30, 4000, ids)[0]
+    monkeypatch.setattr(lexical, "ROWS", 3)
+    for lo in range(len(found)):
+        assert (lexical.scored(b, counts, lo, 1, gain, 30, 4000, ids)[0][:, 0] == whole[:, lo]).all()
+
+
 def test_best_keeps_equal_scores_of_smaller_ids():
     best = lexical.Best(1, 2)
     for docs in ([9, 8], [7, 6], [3, 5]):

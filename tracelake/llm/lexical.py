@@ -15,7 +15,7 @@ repeats included, add w * (10**9 tf div (1000 tf + 8 m)).
 Nulls: a null text has no terms, and such documents count for nothing; rows without an id are documents, behind all others of their score.
 Items without an id are ignored, an item without terms finds nothing; of rows that repeat an item's id that of the smallest text counts.
 Documents that repeat an id are ranked each by itself.  Equal scores go by id.  Empty tables give no rows.  Extra columns are ignored.
-An item's terms and a document are held whole by a task.
+An item's terms and a document are held whole by a task; its tables of scores have ``CELLS`` numbers at most, or those of one document.
 """
 
 from __future__ import annotations
@@ -40,31 +40,35 @@ SEPARATORS = bytes([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61),
 GUARDED = bytes(32 if v == 0 else (v - 1) & 255 for v in byte_classes(SEPARATORS, lower=True).tolist())
 #: Bytes of items for a block: bounds what is broadcast.
 BLOCK_BYTES = 4 << 20
-#: Documents scored at once.
-AT_ONCE = 256
+#: Documents scored at once, at most; and numbers in a table of them by items or by terms.
+AT_ONCE, CELLS = 256, 4_000_000
+#: Terms of items that are summed at once.
+ROWS = 8192
 #: What documents without an id are ranked by.
 _LAST = np.iinfo(np.int64).max
 
 
 @dataclass
 class Block:
-    """Some items: ``terms``; for each item (in order) the numbers of its different terms and how often it holds each."""
+    """Some items: ``terms``; for each item (in order) the numbers of its different terms and how often it holds each; each of these
+    has the ``item`` beside it."""
 
     terms: list[str]
     of: np.ndarray
     times: np.ndarray
-    first: np.ndarray
+    item: np.ndarray
+    items: int
 
 
 def block_of(texts: list[str]) -> Block:
     number: dict[str, int] = {}
-    of, times, first = [], [], []
-    for t in texts:
+    of, times, item = [], [], []
+    for i, t in enumerate(texts):
         held = Counter(guarded(t).split())
-        first.append(len(of))
+        item += [i] * len(held)
         of += [number.setdefault(x, len(number)) for x in held]
         times += held.values()
-    return Block(list(number), np.array(of, np.int64), np.array(times, np.int64), np.array(first, np.int64))
+    return Block(list(number), np.array(of, np.int64), np.array(times, np.int64), np.array(item, np.int64), len(texts))
 
 
 def guarded(text: str) -> str:
@@ -154,15 +158,16 @@ def weights(df: np.ndarray, n_docs: int) -> np.ndarray:
 
 def _scores(key: int, block, df, n_docs: int, n_terms: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b, best = block.value, Best(len(block.value.first), k)
+        b, best = block.value, Best(block.value.items, k)
         w = weights(df.value, n_docs)
         gain = (w[b.of] * b.times)[:, None]
         for batch in batches:
             for part in slices(batch):
                 found = counted(part.column("text"), automaton(key, b.terms))
                 ids = part.column("id").fill_null(_LAST).to_numpy(zero_copy_only=False)
-                for lo in range(0, len(ids), AT_ONCE):
-                    best.add(*scored(b, found, lo, min(AT_ONCE, len(ids) - lo), gain, n_docs, n_terms, ids))
+                step = max(1, min(AT_ONCE, CELLS // b.items, CELLS // max(1, len(np.unique(found[2])))))
+                for lo in range(0, len(ids), step):
+                    best.add(*scored(b, found, lo, min(step, len(ids) - lo), gain, n_docs, n_terms, ids))
         item, score, doc = best.sort()
         yield pa.RecordBatch.from_arrays([pa.array(item), pa.array(score), pa.array(doc)], names=["item", "score", "doc"])
 
@@ -174,18 +179,18 @@ def scored(b: Block, found, lo: int, many: int, gain: np.ndarray, n_docs: int, n
     n, doc, term, tf = found
     i, j = np.searchsorted(doc, [lo, lo + many])
     m = 25 + 75 * n[lo : lo + many] * n_docs // max(1, n_terms)
-    one = np.zeros((len(b.terms), many), np.int64)
-    d = doc[i:j] - lo
-    one[term[i:j], d] = 10**9 * tf[i:j] // (1000 * tf[i:j] + 8 * m[d])
-    out = np.zeros((len(b.first), many), np.int64)
-    ends = np.append(b.first[1:], len(b.of))
-    some = np.flatnonzero(ends > b.first)
-    a = 0
-    while a < len(some):  # items whose terms together are not too many rows
-        z = a + max(1, int(np.searchsorted(ends[some[a:]], b.first[some[a]] + 8192, side="right")))
-        lo_term, hi_term = b.first[some[a]], ends[some[z - 1]]
-        out[some[a:z]] = np.add.reduceat(one[b.of[lo_term:hi_term]] * gain[lo_term:hi_term], b.first[some[a:z]] - lo_term, axis=0)
-        a = z
+    d, (own, at) = doc[i:j] - lo, np.unique(term[i:j], return_inverse=True)
+    one = np.zeros((len(own), many), np.int64)  # of the terms that these documents hold
+    one[at, d] = 10**9 * tf[i:j] // (1000 * tf[i:j] + 8 * m[d])
+    out, place = np.zeros((b.items, many), np.int64), np.full(len(b.terms), -1, np.int64)
+    place[own] = np.arange(len(own))
+    rows = place[b.of]
+    some = np.flatnonzero(rows >= 0)
+    for lo_row in range(0, len(some), ROWS):
+        part = some[lo_row : lo_row + ROWS]
+        item = b.item[part]
+        first = np.flatnonzero(np.append(True, item[1:] != item[:-1]))
+        out[item[first]] += np.add.reduceat(one[rows[part]] * gain[part], first, axis=0)
     return out, ids[lo : lo + many]
 
 
