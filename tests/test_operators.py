@@ -2,6 +2,7 @@
 
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,3 +196,31 @@ def test_bookmarks(spark):
     assert listing.search_bookmarks(r, "LAB", project="-Projects-p").count() == 1
     with pytest.raises(ValueError):
         listing.get_bookmark(r)
+
+
+def test_index_gathers_words_without_an_exchange(spark, monkeypatch):
+    """Words are grouped where a document is read: no row a word is exchanged, sorted or spilled."""
+    texts = {"a": "b a B c a", "none": None, "odd": "...", "long": " ".join(f"w{i % 7}" for i in range(50)), "z": "é e É"}
+    index = search.build_index(spark.createDataFrame(list(texts.items()), "id string, text string"), ["id"], "text")
+    plan = index.postings._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan
+    got = {(r["id"], r["term"]): list(r["positions"]) for r in index.postings.collect()}
+    want: dict = {}
+    for key, text in texts.items():
+        for i, t in enumerate(search.query_terms(text or "")):
+            want.setdefault((key, t), []).append(i)
+    assert got == want
+    assert {r["id"]: r["doc_len"] for r in index.docs.collect()} == {"a": 5, "none": 0, "odd": 0, "long": 50, "z": 3}
+    # and in whatever shares a batch is taken
+    docs = pa.RecordBatch.from_pydict({"id": list(texts), "digest": list(range(5)), "tokens": [search.query_terms(t or "") for t in texts.values()]}, schema=pa.schema([("id", pa.string()), ("digest", pa.int64()), ("tokens", pa.list_(pa.string()))]))
+    for words in (1, 4, 1000):
+        monkeypatch.setattr(search, "WORDS_AT_ONCE", words)
+        rows = [r for b in search._gathered(iter([docs.slice(0, 2), docs.slice(2), docs.slice(0, 0)])) for r in b.to_pylist()]
+        assert {(r["id"], r["term"]): r["positions"] for r in rows if r["term"] is not None} == want
+        assert sorted(r["id"] for r in rows if r["term"] is None) == ["none", "odd"]
+
+
+def test_snippet_takes_a_text_apart_once(spark):
+    df = spark.createDataFrame([("one two three four",)], "text string").select(search.snippet(F.col("text"), F.lit(1), 1, around=2).alias("s"))
+    assert df.first()["s"] == "...>>>two<<< three..."
+    assert df._jdf.queryExecution().analyzed().toString().count("regexp_extract_all") == 1

@@ -10,12 +10,17 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.columns import beside
+from ..functions.ship import ship
 from ..functions.store import FAN, State, Store
 
 K1, B = 1.2, 0.75
@@ -39,7 +44,10 @@ MARKED_WORD = r"[\p{L}\p{N}](?:[\x{300}-\x{36F}]*[\p{L}\p{N}])*"
 
 def tokenize(text: Column) -> Column:
     """Runs of letters and digits, in lower case, without marks."""
-    return F.regexp_extract_all(F.translate(F.lower(text), MARKED, PLAIN), F.lit(WORD), F.lit(0))
+    low = F.lower(text)
+    # only a text with letters beyond ASCII can have marks, and to look each letter up takes most of the time
+    plain = F.when(F.length(low) == F.octet_length(low), low).otherwise(F.translate(low, MARKED, PLAIN))
+    return F.regexp_extract_all(plain, F.lit(WORD), F.lit(0))
 
 
 def query_terms(query: str) -> list[str]:
@@ -49,25 +57,67 @@ def query_terms(query: str) -> list[str]:
 
 @dataclass
 class Index:
-    """postings: term, key, positions, tf, doc_len; docs: key, doc_len, digest (of the text); ``keys`` name the key's columns."""
+    """postings: term, key, positions, tf, doc_len; docs: key, doc_len, digest (of the text); ``keys`` name the key's columns.
+    ``rows`` are those that both are made of, where they were not stored yet."""
 
     postings: DataFrame
     docs: DataFrame
     keys: list[str]
+    rows: DataFrame | None = None
 
 
 def _index(rows: DataFrame, keys: list[str]) -> Index:
     """``rows``: key, doc_len, digest, term, positions; a document without words has one of no term."""
     postings = rows.filter(F.col("term").isNotNull()).withColumn("tf", F.size("positions").cast("long"))
     first = F.col("term").isNull() | (F.try_element_at("positions", F.lit(1)) == 0)  # one row of each document
-    return Index(postings, rows.filter(first).select(*keys, "doc_len", "digest"), keys)
+    return Index(postings, rows.filter(first).select(*keys, "doc_len", "digest"), keys, rows)
+
+
+#: Words that are gathered at once, and postings of a batch that leaves.
+WORDS_AT_ONCE, POSTINGS_AT_ONCE = 1 << 20, 1 << 16
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From key, digest, tokens of documents to key, doc_len, digest, term, positions."""
+    for whole in batches:
+        ends, begin = np.cumsum(whole.column("tokens").value_lengths().to_numpy(zero_copy_only=False)), 0
+        while begin < len(ends):
+            end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + WORDS_AT_ONCE, "right")))
+            yield from _places(whole.slice(begin, end - begin))
+            begin = end
+
+
+def _places(docs: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    tokens = docs.column("tokens")
+    n = tokens.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    of = np.repeat(np.arange(len(n)), n)
+    places = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    coded = tokens.flatten().dictionary_encode()
+    code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    name = of * max(1, len(coded.dictionary)) + code
+    order = np.argsort(name, kind="stable")  # places stay in order
+    name = name[order]
+    head = np.flatnonzero(np.diff(name, prepend=-1))
+    silent = np.flatnonzero(n == 0)
+    row = np.concatenate([of[order[head]], silent])
+    term = coded.dictionary.take(pa.array(np.concatenate([code[order[head]], np.zeros(len(silent), np.int64)]), mask=np.arange(len(row)) >= len(head)))
+    begins = np.concatenate([head, np.full(len(silent) + 1, len(of))]).astype(np.int32)
+    positions = pa.ListArray.from_arrays(pa.array(begins), pa.array(places[order].astype(np.int32)))
+    keys = docs.select([c for c in docs.schema.names if c not in ("digest", "tokens")])
+    for a in range(0, len(row), POSTINGS_AT_ONCE):
+        some = pa.array(row[a : a + POSTINGS_AT_ONCE])
+        own = keys.take(some)
+        yield pa.RecordBatch.from_arrays(
+            [*own.columns, pa.array(n[row[a : a + POSTINGS_AT_ONCE]]), docs.column("digest").take(some), term[a : a + POSTINGS_AT_ONCE], positions[a : a + POSTINGS_AT_ONCE]], names=[*own.schema.names, "doc_len", "digest", "term", "positions"]
+        )
 
 
 def _rows(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
-    # dealt by document first: its words are then gathered where they are, and only texts and postings are exchanged
-    tokens = docs.select(*keys, F.col(text).alias("text")).repartition(*keys).select(*keys, F.xxhash64("text").alias("digest"), tokenize(F.coalesce("text", F.lit(""))).alias("tokens"))
-    places = tokens.select(*keys, "digest", F.size("tokens").cast("long").alias("doc_len"), F.posexplode_outer("tokens").alias("pos", "term"))
-    return places.groupBy(*keys, "doc_len", "digest", "term").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+    """key, doc_len, digest, term, positions: a document's words are gathered where it is read, and nothing is exchanged for it."""
+    ship(docs.sparkSession)
+    tokens = docs.select(*keys, F.xxhash64(text).alias("digest"), tokenize(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
+    extra = StructType.fromDDL("doc_len bigint, digest bigint, term string, positions array<int>")
+    return tokens.mapInArrow(_gathered, StructType([*docs.select(*keys).schema.fields, *extra.fields]))
 
 
 def build_index(docs: DataFrame, keys: list[str], text: str) -> Index:
@@ -86,8 +136,11 @@ def write_index(index: Index, path: str, *, run: int = 0, part_tokens: int = 4_0
     before = store.state()
     store.sweep(before)
     name = f"{run}-{before.number}"
-    lengths = index.docs.withColumns({"term": F.lit(None).cast("string"), "positions": F.array().cast("array<int>")})
-    store.write(index.postings.select(*keys, "doc_len", "digest", "term", "positions").unionByName(lengths.filter("doc_len = 0")), f"raw/{name}")
+    rows = index.rows
+    if rows is None:
+        lengths = index.docs.withColumns({"term": F.lit(None).cast("string"), "positions": F.array().cast("array<int>")})
+        rows = index.postings.select(*keys, "doc_len", "digest", "term", "positions").unionByName(lengths.filter("doc_len = 0"))
+    store.write(rows, f"raw/{name}")
     stored = _index(spark.read.parquet(f"{path}/raw/{name}"), keys)
     known = before.notes.get("segments", [])
     gone = [f"segments/{x['name']}" for x in known if x["run"] == run]
@@ -120,8 +173,10 @@ def _write_segment(store: Store, index: Index, name: str, run: int | None, size:
     total = index.docs.agg(F.coalesce(F.sum("doc_len"), F.lit(0))).first()[0]
     pieces = max(1, -(-total // part_tokens))
     parts = min(pieces, 4096)
-    rows = index.postings.select(*keys, "doc_len", "term", "positions", "tf").withColumn("term_part", F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int"))
-    store.write(rows.repartitionByRange(pieces, "term_part", "term", *keys).sortWithinPartitions("term_part", "term", *keys), f"segments/{name}/postings", "term_part")
+    part = F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int")
+    rows = index.postings.select(*keys, "doc_len", "term", "positions").repartitionByRange(pieces, part, "term", *keys)
+    rows = rows.withColumns({"tf": F.size("positions").cast("long"), "term_part": part})  # not exchanged
+    store.write(rows.sortWithinPartitions("term_part", "term", *keys), f"segments/{name}/postings", "term_part")
     store.write(index.docs.coalesce(pieces), f"segments/{name}/docs")
     n = 0
     if dead is not None:
@@ -180,13 +235,16 @@ def phrase_matches(index: Index, query: str) -> DataFrame:
     if not terms:
         return p.limit(0).select(*index.keys, "doc_len", "tf", F.lit(0).alias("first"))
     # the documents of each different term, then the places where all of them agree
-    need = sorted(set(terms))
-    own = p.filter(F.col("term").isin(need)).groupBy(*index.keys, "doc_len").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("by"), F.count("*").alias("n")).filter(F.col("n") == len(need))
+    need = {t: F.array_distinct(F.flatten(F.collect_list(F.when(F.col("term") == t, F.col("positions"))))).alias(f"of_{i}") for i, t in enumerate(sorted(set(terms)))}
+    place = {t: F.col(f"by.of_{i}") for i, t in enumerate(need)}
+    own = p.filter(F.col("term").isin(list(need))).groupBy(*index.keys, "doc_len").agg(F.struct(*need.values()).alias("by"))
+    for x in place.values():
+        own = own.filter(F.size(x) > 0)
 
     def shifted(term: str, by: int) -> Column:
-        return F.transform(F.col("by")[term], lambda x: x - by)
+        return F.transform(place[term], lambda x: x - by)
 
-    starts = F.col("by")[terms[0]]
+    starts = place[terms[0]]
     for i, t in enumerate(terms[1:], 1):
         starts = F.array_intersect(starts, shifted(t, i))
     found = own.withColumn("starts", starts).filter(F.size("starts") > 0)
@@ -212,19 +270,24 @@ def phrase_search(index: Index, query: str, limit: int | None = 20, offset: int
 
 def snippet(text: Column, first: Column, words: int, pre: str = ">>>", post: str = "<<<", around: int = 30) -> Column:
     """The source text about a phrase that begins at word ``first``, the phrase in marks, ``...`` where text is left out."""
-    # the text is what stands between its words and the words by turns
-    spans, gaps = F.regexp_extract_all(text, F.lit(MARKED_WORD), F.lit(0)), F.split(text, MARKED_WORD, -1)
     lo = F.greatest(first - F.lit((around - words) // 2), F.lit(0))
-    hi = F.least(lo + around, F.size(spans))
     last = first + words - 1
 
-    def piece(i: Column) -> Column:
-        word = F.concat(F.when(i == first, pre).otherwise(""), spans[i], F.when(i == last, post).otherwise(""))
-        return F.concat(word, F.when(i < hi - 1, gaps[i + 1]).otherwise(""))
+    def shown(both: Column) -> Column:
+        spans, gaps = both["spans"], both["gaps"]
+        hi = F.least(lo + around, F.size(spans))
 
-    body = F.array_join(F.transform(F.sequence(lo, hi - 1), piece), "")
-    before, after = F.when(lo > 0, "...").otherwise(gaps[0]), F.when(hi < F.size(spans), "...").otherwise(gaps[F.size(spans)])
-    return F.concat(before, body, after)
+        def piece(i: Column) -> Column:
+            word = F.concat(F.when(i == first, pre).otherwise(""), spans[i], F.when(i == last, post).otherwise(""))
+            return F.concat(word, F.when(i < hi - 1, gaps[i + 1]).otherwise(""))
+
+        body = F.array_join(F.transform(F.sequence(lo, hi - 1), piece), "")
+        before, after = F.when(lo > 0, "...").otherwise(gaps[0]), F.when(hi < F.size(spans), "...").otherwise(gaps[F.size(spans)])
+        return F.concat(before, body, after)
+
+    # the text is what stands between its words and the words by turns: it is taken apart once, not for each word that is shown
+    both = F.struct(F.regexp_extract_all(text, F.lit(MARKED_WORD), F.lit(0)).alias("spans"), F.split(text, MARKED_WORD, -1).alias("gaps"))
+    return F.transform(F.array(both), shown)[0]
 
 
 def _shown(top: DataFrame, docs: DataFrame, keys: list[str], text: str, query: str, pre: str = ">>>", post: str = "<<<", around: int = 30) -> DataFrame:
