@@ -4,6 +4,7 @@ import json
 
 import pytest
 
+from tracelake.operators import decompose
 from tracelake.operators.decompose import Tables, quarantine
 from tracelake.operators.drift import drift_fields, version_diff, version_history
 
@@ -114,3 +115,30 @@ def test_what_became_of_a_field(spark):
     rows = [("plan_content", "user", "promoted"), ("weather", "assistant", "extra_json"), ("weather", "queue-operation", "unhandled"), ("weather", "attachment", "unhandled")]
     d = spark.createDataFrame([(f, r, "1", 1, "a", "b", "x") for f, r, _ in rows], "field_name string, record_type string, version string, occurrence_count long, first_seen_at string, last_seen_at string, sample_value string")
     assert {(r.field_name, r.record_type, r.promotion_status) for r in drift_fields(d).collect()} == set(rows)
+
+
+def test_a_line_is_parsed_once(spark):
+    """A filter on parsed fields does not parse the line again for each of them, and good lines don't go through Python."""
+    bronze = spark.createDataFrame([("/l/s1.jsonl", 0, json.dumps(user("u0", "hi")))], "path string, off long, line string")
+    plan = quarantine(bronze)[0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_json") == 1 and "ArrowEvalPython" not in plan
+
+
+def test_stored_rows_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
+    """However well rows compress, a part holds a bounded number of them, and lines are not exchanged."""
+    lines = [user(f"u{i}", "hi", odd=i) if i % 2 else assistant(f"a{i}", [{"type": "text", "text": "x"}, {"type": "tool_use", "id": f"t{i}", "name": "Write", "input": {"file_path": "/f", "content": "c"}}]) for i in range(60)]
+    bronze = spark.createDataFrame([("/l/s1.jsonl", i, json.dumps(x)) for i, x in enumerate(lines)], "path string, off long, line string")
+    monkeypatch.setattr(decompose, "RECORDS_IN_PART", 2)
+    t = Tables(bronze, decompose.stored_under(str(tmp_path)))
+    assert t.parts == 30
+    made = {}
+    t.keep = lambda name, df: made.setdefault(name, df)
+    for name in ("promoted", "assistant_extra", "messages", "message_content", "token_usage", "tool_executions", "file_operations"):
+        df, plan = getattr(t, name), made[name]._jdf.queryExecution().executedPlan().toString()
+        assert ", 30)" in plan
+        for part in plan.split("Exchange")[1:]:
+            assert "line#" not in part.split("\n")[0]
+    assert t.messages.count() == 60 and t.file_operations.count() == 30
+    plain = Tables(bronze)
+    for name in ("messages", "message_content", "file_operations"):
+        assert sorted(map(str, getattr(plain, name).collect())) == sorted(map(str, getattr(t, name).collect()))

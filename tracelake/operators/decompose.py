@@ -95,10 +95,10 @@ def numbered(rejected: DataFrame, bronze: DataFrame, chunk: int = 64 << 20) -> D
 
 
 def parse(bronze: DataFrame) -> DataFrame:
-    """Each line with its fields, its type and ``error``: null if the line is a good record."""
-    ship(bronze.sparkSession)
+    """Each line with its fields, its type and ``error``: null if the line is a good record, ``malformed line`` if it is no JSON."""
     r = F.from_json("line", LINE + ", _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
-    df = bronze.filter(F.length(F.trim("line")) > 0).withColumn("r", r).select(*bronze.columns, "r.*")
+    # made as rows, for a filter on fields that are columns would parse the line again for each field that it looks at
+    df = bronze.filter(F.length(F.trim("line")) > 0).select(*bronze.columns, F.inline(F.array(r)))
     missing = F.lit(None).cast("string")
     for kind, fields in REQUIRED.items():
         first = F.coalesce(*[F.when(F.col(f).isNull(), F.lit(f"missing field {f}")) for f in fields])
@@ -106,15 +106,22 @@ def parse(bronze: DataFrame) -> DataFrame:
     kinds = {"isSidechain": "BOOLEAN", "isMeta": "BOOLEAN", "durationMs": "BIGINT", "hookCount": "BIGINT"}
     v = F.try_parse_json("line")
     wrong = F.coalesce(*[F.when(~json_type(v, f"$.{f}").isin(k, "VOID"), F.lit(f"field {f} is not {k}")) for f, k in kinds.items()], F.lit("a field is of another kind"))
-    # only lines that are no JSON go through Python, for its parser's message
-    error = F.when(F.col("_corrupt").isNotNull() & v.isNull(), F.concat(F.lit("malformed line: "), _json_error("line"))).when(F.col("_corrupt").isNotNull(), wrong).when(F.col("type").isNull(), F.lit("missing type")).otherwise(missing)
+    bad = F.when(F.col("_corrupt").isNotNull(), F.when(v.isNull(), F.lit(MALFORMED)).otherwise(wrong))
+    error = F.when(F.col("_corrupt").isNotNull(), bad).when(F.col("type").isNull(), F.lit("missing type")).otherwise(missing)
     return df.withColumn("error", error).drop("_corrupt")
 
 
+MALFORMED = "malformed line"
+
+
 def quarantine(bronze: DataFrame, preview: int = 500) -> tuple[DataFrame, DataFrame]:
     """The good records, and (path, off, error, preview) of the lines that are not: the parser's own message, or the field that is missing or wrong."""
+    ship(bronze.sparkSession)
     parsed = parse(bronze)
-    bad = parsed.filter(F.col("error").isNotNull()).select("path", "off", "error", F.substring("line", 1, preview).alias("preview"))
+    bad = parsed.filter(F.col("error").isNotNull())
+    # only rejected lines go through Python, for its parser's message: in ``parse`` the call would see every line, whatever branch it is in
+    error = F.when(F.col("error") == MALFORMED, F.concat("error", F.lit(": "), _json_error("line"))).otherwise(F.col("error"))
+    bad = bad.select("path", "off", error.alias("error"), F.substring("line", 1, preview).alias("preview"))
     return parsed.filter(F.col("error").isNull()).drop("error"), bad
 
 
@@ -138,6 +145,18 @@ def quoted(text: Column) -> Column:
     return F.substring(j, F.lit(2), F.length(j) - 2)
 
 
+def unmodelled(json: Column, known: list[str]) -> Column:
+    """The keys of ``json`` that are not modelled, with their values as JSON: (field, value) in an array; null if it is no object."""
+    pairs = F.filter(F.map_entries(F.from_json(json, "map<string,variant>")), lambda p: ~p["key"].isin(*known))
+    return F.transform(pairs, lambda p: F.struct(p["key"].alias("field"), F.to_json(p["value"]).alias("value")))
+
+
+def object_of(parts: Column) -> Column:
+    """(field, value) of an array as one JSON object, fields in order; null if there is none."""
+    text = F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(parts), lambda p: F.concat(quoted(p["field"]), F.lit(":"), p["value"])), ","), F.lit("}"))
+    return F.when(F.size(parts) > 0, text)
+
+
 def as_object(df: DataFrame, keys: list[str]) -> DataFrame:
     """Fields and values put together as one JSON object in ``extra_json``, fields in order."""
     parts = F.array_sort(F.collect_list(F.struct("field", "value")))
@@ -200,6 +219,10 @@ def stored_under(root: str) -> Callable[[str, DataFrame], DataFrame]:
     return keep
 
 
+#: Records whose rows one task sorts.
+RECORDS_IN_PART = 50_000
+
+
 @dataclass
 class Tables:
     """All tables made from one bronze DataFrame; each is built when it is first asked for.
@@ -212,6 +235,18 @@ class Tables:
     keep: Callable[[str, DataFrame], DataFrame] | None = None
     parsed: DataFrame | None = None  # records that were parsed before, instead of bronze
 
+    @cached_property
+    def parts(self) -> int | None:
+        """Into how many parts rows are dealt by a key: by the number of records, where they are stored, for records compress so well that parts of so
+        many bytes of shuffle are too large to be sorted in memory."""
+        if self.keep is None:
+            return None
+        spark = self.records.sparkSession
+        return max(spark.sparkContext.defaultParallelism, -(-self.records.count() // RECORDS_IN_PART))
+
+    def dealt(self, rows: DataFrame, *keys: str) -> DataFrame:
+        return rows if self.parts is None else rows.repartition(self.parts, *keys)
+
     @table
     def records(self) -> DataFrame:
         return quarantine(self.bronze)[0] if self.parsed is None else self.parsed
@@ -273,46 +308,53 @@ class Tables:
             "path",
             "off",
         )
-        first = upsert_first(rows, ["uuid"], ["path", "off"])
+        first = upsert_first(self.dealt(rows, "uuid"), ["uuid"], ["path", "off"])
         extra = self.promoted.unionByName(self.assistant_extra, allowMissingColumns=True)
-        return first.join(extra, "uuid", "left").withColumn("is_compact_summary", F.coalesce("is_compact_summary", F.lit(False)))
+        return first.join(self.dealt(extra, "uuid"), "uuid", "left").withColumn("is_compact_summary", F.coalesce("is_compact_summary", F.lit(False)))
 
     @table
     def promoted(self) -> DataFrame:
         """uuid, is_compact_summary, source_tool_use_id, plan_content, extra_json of user records; the last record wins."""
-        v = F.try_parse_json("line")
-        found = upsert_last(self.of("user").select("uuid", "path", "off", "line"), ["uuid"], ["path", "off"]).withColumn("v", v)
+        # taken out of the lines where they are read: lines are neither exchanged nor sorted
+        found = self.of("user").select("uuid", "path", "off", F.try_parse_json("line").alias("v"), unmodelled(F.col("line"), KEYS["user"]).alias("rest"))
         plan = F.when(json_type(F.col("v"), "$.planContent") == "STRING", F.try_variant_get("v", "$.planContent", "string"))
-        own = found.select(
+        found = found.select(
             "uuid",
+            "path",
+            "off",
             F.when(json_type(F.col("v"), "$.isCompactSummary") == "BOOLEAN", F.try_variant_get("v", "$.isCompactSummary", "boolean")).alias("is_compact_summary"),
             F.try_variant_get("v", "$.sourceToolUseID", "string").alias("source_tool_use_id"),
             plan.alias("plan_content"),
+            "rest",
         )
-        rest = overflow(found.select("uuid", "line", plan.isNotNull().alias("planned")), F.col("line"), KEYS["user"])
-        rest = rest.filter(~F.col("field").isin("isCompactSummary", "sourceToolUseID") & ~((F.col("field") == "planContent") & F.col("planned")))
-        return own.join(as_object(rest, ["uuid"]), "uuid", "left")
+        kept = F.filter("rest", lambda p: ~p["field"].isin("isCompactSummary", "sourceToolUseID") & ~((p["field"] == "planContent") & F.col("plan_content").isNotNull()))
+        found = found.withColumn("rest", kept).withColumn("extra_json", object_of(F.col("rest"))).drop("rest")
+        return upsert_last(self.dealt(found, "uuid"), ["uuid"], ["path", "off"]).drop("path", "off")
 
     @table
     def assistant_extra(self) -> DataFrame:
         """uuid, extra_json of assistant records: record-level overflow with message-level overflow over it."""
-        r = upsert_last(self.of("assistant").select("uuid", "line", "message", "path", "off"), ["uuid"], ["path", "off"])
-        a = overflow(r.select("uuid", "line"), F.col("line"), KEYS["assistant"]).select("uuid", "field", "value", F.lit(0).alias("level"))
-        b = overflow(r.select("uuid", "message"), F.col("message"), KEYS["assistant.message"]).select("uuid", "field", "value", F.lit(1).alias("level"))
-        return as_object(a.unionByName(b).groupBy("uuid", "field").agg(F.max_by("value", "level").alias("value")), ["uuid"])
+        r = self.of("assistant").select("uuid", "path", "off", unmodelled(F.col("line"), KEYS["assistant"]).alias("a"), unmodelled(F.col("message"), KEYS["assistant.message"]).alias("b"))
+        own, over = F.coalesce("a", F.array().cast(r.schema["a"].dataType)), F.coalesce("b", F.array().cast(r.schema["b"].dataType))
+        r = r.select("uuid", "path", "off", own.alias("a"), over.alias("b"), F.transform(over, lambda p: p["field"]).alias("names"))
+        r = r.select("uuid", "path", "off", F.concat(F.filter("a", lambda p: ~F.array_contains("names", p["field"])), "b").alias("parts"))
+        r = r.select("uuid", "path", "off", object_of(F.col("parts")).alias("extra_json"))
+        return upsert_last(self.dealt(r, "uuid"), ["uuid"], ["path", "off"]).select("uuid", "extra_json").filter("extra_json is not null")
 
     @table
     def message_content(self) -> DataFrame:
         """One row a block; text content is one block, and what a plan says is block -1."""
-        r = self.spoken.select("uuid", "type", "path", "off", F.col("m.content").alias("c"), json_type(F.try_parse_json("message"), "$.content").alias("kind"))
-        r = upsert_first(r, ["uuid"], ["path", "off"])
-        text = r.filter(F.col("kind") == "STRING").select(F.col("uuid").alias("message_uuid"), F.lit(0).cast("long").alias("block_index"), F.lit("text").alias("block_type"), F.col("c").alias("text_content"))
-        b = r.filter(F.col("kind").startswith("ARRAY")).select("uuid", F.posexplode(F.from_json("c", BLOCKS)).alias("i", "b"))
+        r = self.spoken.select("uuid", "path", "off", F.col("m.content").alias("c"), json_type(F.try_parse_json("message"), "$.content").alias("kind"))
+        r = upsert_first(self.dealt(r, "uuid"), ["uuid"], ["path", "off"])
+        # text is one block of an array, so that records are dealt once
+        text = F.to_json(F.array(F.struct(F.lit("text").alias("type"), F.col("c").alias("text"))))
+        r = r.filter((F.col("kind") == "STRING") | F.col("kind").startswith("ARRAY"))
+        b = r.select("uuid", F.posexplode(F.from_json(F.when(F.col("kind") == "STRING", text).otherwise(F.col("c")), BLOCKS)).alias("i", "b"))
         kind, of = F.col("b.type"), {"text": "b.text", "thinking": "b.thinking", "tool_result": "b.content"}
         held = F.lit(None).cast("string")
         for k, c in of.items():
             held = F.when(kind == k, F.col(c)).otherwise(held)
-        blocks = b.select(
+        return b.select(
             F.col("uuid").alias("message_uuid"),
             F.col("i").cast("long").alias("block_index"),
             kind.alias("block_type"),
@@ -323,7 +365,6 @@ class Tables:
             F.when(kind == "tool_result", F.coalesce("b.is_error", F.lit(False))).alias("is_error"),
             F.when(kind == "thinking", F.col("b.signature")).alias("thinking_signature"),
         )
-        return blocks.unionByName(text, allowMissingColumns=True)
 
     @table
     def plan_blocks(self) -> DataFrame:
@@ -338,28 +379,30 @@ class Tables:
 
     @table
     def token_usage(self) -> DataFrame:
-        r = upsert_first(self.spoken.filter((F.col("type") == "assistant") & F.col("m.usage").isNotNull()).select("uuid", F.col("m.usage").alias("usage"), "path", "off"), ["uuid"], ["path", "off"])
-        rows = r.withColumn("t", F.from_json("usage", USAGE)).select(
-            F.col("uuid").alias("message_uuid"), "t.input_tokens", "t.output_tokens", "t.cache_creation_input_tokens", "t.cache_read_input_tokens", "t.service_tier", F.col("t.cache_creation").alias("cache_creation_json")
+        r = self.dealt(self.spoken.filter((F.col("type") == "assistant") & F.col("m.usage").isNotNull()).select("uuid", F.col("m.usage").alias("usage"), "path", "off"), "uuid")
+        r = upsert_first(r, ["uuid"], ["path", "off"]).select("uuid", F.from_json("usage", USAGE).alias("t"), object_of(unmodelled(F.col("usage"), KEYS["assistant.message.usage"])).alias("extra_json"))
+        return r.select(
+            F.col("uuid").alias("message_uuid"), "t.input_tokens", "t.output_tokens", "t.cache_creation_input_tokens", "t.cache_read_input_tokens", "t.service_tier", F.col("t.cache_creation").alias("cache_creation_json"), "extra_json"
         )
-        rest = overflow(r.select(F.col("uuid").alias("message_uuid"), "usage"), F.col("usage"), KEYS["assistant.message.usage"])
-        return rows.join(as_object(rest, ["message_uuid"]), "message_uuid", "left")
 
     @table
     def tool_executions(self) -> DataFrame:
         """Tool uses with the last result of their id, whichever order they came in."""
         b = self.message_content
-        order = self.spoken.select(F.col("uuid").alias("message_uuid"), F.struct("path", "off").alias("at"))
+        order = self.of("user", "assistant").select(F.col("uuid").alias("message_uuid"), F.struct("path", "off").alias("at"))
         results = (
-            b.filter((F.col("block_type") == "tool_result") & F.col("tool_use_id").isNotNull())
-            .select("message_uuid", "block_index", "tool_use_id", "text_content", "is_error")
-            .join(order, "message_uuid")
+            self.dealt(
+                self.dealt(b.filter((F.col("block_type") == "tool_result") & F.col("tool_use_id").isNotNull()).select("message_uuid", "block_index", "tool_use_id", "text_content", "is_error"), "message_uuid").join(
+                    self.dealt(order, "message_uuid"), "message_uuid"
+                ),
+                "tool_use_id",
+            )
             .groupBy("tool_use_id")
             .agg(F.max_by(F.struct(F.col("text_content").alias("result_content"), "is_error"), F.struct("at", "block_index")).alias("r"))
             .select("tool_use_id", "r.result_content", "r.is_error")
         )
         uses = b.filter(F.col("block_type") == "tool_use").select("message_uuid", "tool_use_id", "tool_name", F.col("tool_input").alias("input_json"), "block_index")
-        uses = upsert_first(uses, ["message_uuid", "tool_use_id"], ["block_index"]).drop("block_index")
+        uses = upsert_first(self.dealt(uses, "tool_use_id"), ["message_uuid", "tool_use_id"], ["block_index"]).drop("block_index")
         return uses.join(results, "tool_use_id", "left").select("message_uuid", "tool_use_id", "tool_name", "input_json", "result_content", "is_error")
 
     @table
@@ -422,13 +465,13 @@ class Tables:
     def file_operations(self) -> DataFrame:
         from .artifacts import enrich, file_operations
 
-        return enrich(file_operations(self.tool_executions, self.messages), self.tool_executions)
+        return enrich(file_operations(self.tool_executions, self.messages, self.parts), self.tool_executions, self.parts)
 
     @table
     def git_operations(self) -> DataFrame:
         from .artifacts import enrich, git_operations
 
-        return enrich(git_operations(self.tool_executions, self.messages), self.tool_executions)
+        return enrich(git_operations(self.tool_executions, self.messages, self.parts), self.tool_executions, self.parts)
 
     @table
     def files(self) -> DataFrame:
