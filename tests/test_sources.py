@@ -467,3 +467,28 @@ def test_segments_of_an_index(spark, tmp_path, monkeypatch):
     same("the tale")
     put(11, {"e1": "the tale of e"})
     same("the tale")
+
+
+def test_written_logs_are_one_file_a_path_and_nothing_beside(spark, tmp_path):
+    from tracelake.sources.session_logs import write_session_logs
+
+    lines = spark.createDataFrame([(f"session=s{i % 40}/lines.txt", i, f"line {i} é") for i in range(400)], "path string, off long, line string").repartition(3)
+    write_session_logs(lines, str(tmp_path / "logs"))
+    found = {p.relative_to(tmp_path / "logs").as_posix(): p.read_text() for p in (tmp_path / "logs").rglob("*") if p.is_file()}
+    assert found == {f"session=s{s}/lines.txt": "".join(f"line {i} é\n" for i in range(s, 400, 40)) for s in range(40)}
+    back = read_session_logs(spark, str(tmp_path / "logs"), suffix=".txt")
+    assert sorted(r.line for r in back.collect()) == sorted(r.line for r in lines.collect())
+
+
+def test_rendered_logs_have_a_file_a_session(spark, tmp_path):
+    import datetime
+    import pathlib
+
+    from tracelake.queries import _written_logs
+
+    events = [(i, datetime.datetime(2024, 1, 1), None if i == 9 else i % 3, "click", 1.5, '{"k": 5}') for i in range(12)]
+    spark.createDataFrame(events, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    at = _written_logs(spark, str(tmp_path))
+    files = [p for p in pathlib.Path(at).rglob("*") if p.is_file()]
+    assert sorted(p.parent.name for p in files) == ["session=__HIVE_DEFAULT_PARTITION__", "session=s0", "session=s1", "session=s2"]  # and no checksums
+    assert sum(len(p.read_text().splitlines()) for p in files) == 12

@@ -21,10 +21,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.compute
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition, WriterCommitMessage
 
 from ..functions.ship import ship
 
@@ -375,6 +376,38 @@ class ManifestReader(DataSourceStreamReader):
                     system.delete_dir(f"{at[:-5].rpartition('/')[0]}/told-{v}")
 
 
+class LogsWriter(DataSourceArrowWriter):
+    """Rows (path, line), those of a path one after another, as files below ``path``.  A file has its name when it is whole: a task that is run
+    again puts the same file in the same place."""
+
+    def __init__(self, options):
+        self.root = options["path"].rstrip("/")
+
+    def write(self, iterator):
+        system, root = _open(self.root)
+        own, at, out = f".{uuid.uuid4().hex}", None, None
+        for batch in iterator:
+            paths, lines = batch.column("path"), batch.column("line")
+            ends = pa.compute.run_end_encode(paths).run_ends.to_pylist() if len(paths) else []
+            for begin, end in zip([0, *ends], ends):
+                if paths[begin].as_py() != at:
+                    self._close(system, out, at, own, root)
+                    at = paths[begin].as_py()
+                    folder = f"{root}/{at}".rpartition("/")[0]
+                    system.create_dir(folder, recursive=True)
+                    out = system.open_output_stream(f"{folder}/{own}")
+                out.write("".join(f"{x or ''}\n" for x in lines[begin:end].to_pylist()).encode())
+        self._close(system, out, at, own, root)
+        return WriterCommitMessage()
+
+    @staticmethod
+    def _close(system, out, at, own, root):
+        if out is not None:
+            out.close()
+            to = f"{root}/{at}"
+            system.move(f"{to.rpartition('/')[0]}/{own}", to)
+
+
 class SessionLogs(DataSource):
     @classmethod
     def name(cls):
@@ -389,6 +422,9 @@ class SessionLogs(DataSource):
     def streamReader(self, schema):
         return ManifestReader(self.options) if "state" in self.options else TailReader(self.options)
 
+    def writer(self, schema, overwrite):
+        return LogsWriter(self.options)
+
 
 def _by_spark(spark: SparkSession, paths: list[str], suffix: str) -> DataFrame:
     """The same lines by Spark's own reader.  An offset is where the line's block begins and how many bytes of lines stand before it there."""
@@ -409,6 +445,17 @@ def read_session_logs(spark: SparkSession, path: str | list[str], *, suffix: str
     return spark.read.format("session_logs").option("roots", json.dumps(paths)).option("suffix", suffix).option("chunkBytes", chunk_bytes).load()
 
 
+def write_session_logs(lines: DataFrame, path: str) -> None:
+    """``lines`` (path, off, line) as files below the new folder ``path``, one for each path, each with its lines by their offset.
+
+    Tasks write side by side with pyarrow, a file at a time: Spark's own writer asks for a folder, a checksum and rights of each file, which costs more
+    than its lines where files are many and small.
+    """
+    ship(lines.sparkSession)
+    lines.sparkSession.dataSource.register(SessionLogs)
+    lines.repartition("path").sortWithinPartitions("path", "off").select("path", "line").write.format("session_logs").mode("append").option("path", path).save()
+
+
 def tail_session_logs(spark: SparkSession, path: str, *, suffix: str = ".jsonl", chunk_bytes: int = 64 << 20, max_bytes_per_trigger: int = 0, state: str | None = None) -> DataFrame:
     """A stream of the lines appended to the files below ``path``.
 
