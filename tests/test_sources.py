@@ -492,3 +492,13 @@ def test_rendered_logs_have_a_file_a_session(spark, tmp_path):
     files = [p for p in pathlib.Path(at).rglob("*") if p.is_file()]
     assert sorted(p.parent.name for p in files) == ["session=__HIVE_DEFAULT_PARTITION__", "session=s0", "session=s1", "session=s2"]  # and no checksums
     assert sum(len(p.read_text().splitlines()) for p in files) == 12
+
+
+def test_bronze_has_a_file_a_bucket_whatever_the_tasks(spark, tmp_path, monkeypatch):
+    from tracelake.sources import session_logs
+
+    monkeypatch.setattr(session_logs, "BUCKETS", 3)
+    lines = spark.range(600).selectExpr("concat('f', id % 50) path", "id off", "concat('line ', id) line").repartition(4)
+    write_bronze(lines, str(tmp_path / "bronze"))
+    assert len(list((tmp_path / "bronze").rglob("*.parquet"))) == 3  # not one for each bucket and task
+    assert spark.read.parquet(str(tmp_path / "bronze")).drop("bucket").exceptAll(lines).isEmpty()

@@ -494,7 +494,8 @@ def _bucketed(bronze: DataFrame) -> DataFrame:
 
 def write_bronze(bronze: DataFrame, path: str) -> None:
     """Store lines in parts by a hash of their file; parts that ``bronze`` has no file of stay as they are."""
-    _bucketed(bronze).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    # a file a bucket, and not one for each bucket and task
+    _bucketed(bronze).repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
 def reingest(spark: SparkSession, files: list[str], bronze_path: str, *, suffix: str = ".jsonl") -> None:
