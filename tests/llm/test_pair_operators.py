@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -518,3 +519,24 @@ def test_chat_over_partitions(spark):
     both = spark.createDataFrame([(None, 1, "user", "a"), ("", 1, "user", "b"), ("=", 1, "user", "c")], "conv_id string, turn long, role string, text string")
     shown = {x.conv_id: (x.turns, x.inserted, x.merged, x.cost, x.text) for x in chat.render(chat.repair(both)).collect()}
     assert shown == {c: (2, 1, 0, 2, f"<|user|>\n{t}<|end|>\n<|assistant|>\n<|end|>\n") for c, t in ((None, "a"), ("", "b"), ("=", "c"))}
+
+
+def test_a_region_gives_a_query_its_best_once_however_many_leaves(monkeypatch):
+    monkeypatch.setattr(neighbours, "FOUND_AT_ONCE", 40)
+    r = np.random.default_rng(5)
+    x = r.normal(size=(300, 6))
+    piece = [f"{i % 20:02d}/0" for i in range(300)]  # 20 leaves
+    asked = {0: sorted(set(piece)), 7: sorted(set(piece))[:3], 300: ["05/0"], 301: ["none/0"]}
+    qv = {q: x[q] if q < 300 else r.normal(size=6) for q in asked}
+    block = {"region": 2, "ask": 1}
+    rows = [{**block, "piece": None, "id": q, "vec": qv[q], "asked": asked[q]} for q in asked]
+    rows += [{**block, "piece": piece[i], "id": i, "vec": x[i], "asked": None} for i in sorted(range(300), key=lambda i: piece[i])]
+    rows += [{**block, "region": 3, "piece": piece[i], "id": i, "vec": x[i], "asked": None} for i in range(20)]  # nobody asks there
+    table = pd.DataFrame(rows)
+    for size in (7, 1000):  # batches are cut anywhere
+        got = pd.concat(neighbours._in_regions((table.iloc[i : i + size].reset_index(drop=True) for i in range(0, len(table), size)), 4))
+        want = []
+        for q, leaves in asked.items():
+            near = [(-float(x[i] @ qv[q] / np.linalg.norm(x[i]) / np.linalg.norm(qv[q])), i) for i in range(300) if i != q and piece[i] in leaves]
+            want += [(q, i) for _, i in sorted(near)[:4]]
+        assert sorted(zip(got["query_id"], got["vec_id"])) == sorted(want)  # four a query, and not four a leaf

@@ -9,8 +9,11 @@ first: it goes through the top, and through each small tree that it opens, by a
 of nodes by the nearness of their centres; of all that it has met the best ``most`` stay, and
 those that are split are opened in the next round.  How many leaves are visited is widened by a
 quarter at a time until the recall over ``calibration`` queries, measured against brute force
-over all vectors, reaches ``recall``.  Candidates of a leaf meet the queries that visit it in
-blocks of bounded size, so that neither a large leaf nor a popular one falls to one task.
+over all vectors, reaches ``recall``.  Leaves are dealt in pieces to a fixed number of regions, so
+that neither a large leaf nor a popular one falls to one task.  A query goes to a region once, and
+comes back with the best of all leaves that it visits there: what leaves a region is in proportion
+to the queries, however many leaves are visited.  A task holds a bounded number of queries and
+goes through the candidates as a stream.
 
 Nulls: vectors that are null, zero, of another dimension than the sample's most frequent
 one, or hold null or non-finite components take no part, nor do rows with a null id.  Equal
@@ -35,6 +38,8 @@ from ..functions.ship import ship
 from .common import discard, materialize
 
 CANDIDATES_IN_BLOCK, QUERIES_IN_BLOCK = 4096, 1024
+#: Leaves are dealt to so many regions, in pieces of about so many vectors; a task holds so many queries, and so many rows that it has found for them.
+REGIONS, VECTORS_IN_PIECE, QUERIES_AT_ONCE, FOUND_AT_ONCE = 32, 256, 8192, 200_000
 #: A leaf is split by a tree of its own, fitted on about so many of its vectors.
 SPLIT_SAMPLE = 4096
 
@@ -113,8 +118,12 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _best(q: pd.DataFrame, x: pd.DataFrame, k: int) -> pd.DataFrame:
+    return _best_of(_matrix(q["vec"]), q["id"].to_numpy(), x, k)
+
+
+def _best_of(Q: np.ndarray, qids: np.ndarray, x: pd.DataFrame, k: int) -> pd.DataFrame:
     """Each query's k nearest of x, by exact cosines; ties to the smaller id."""
-    Q, X, qids, ids = _matrix(q["vec"]), _matrix(x["vec"]), q["id"].to_numpy(), x["id"].to_numpy()
+    X, ids = _matrix(x["vec"]), x["id"].to_numpy()
     norms, qnorms = np.sqrt((X * X).sum(axis=1)), np.sqrt((Q * Q).sum(axis=1))
     out = []
     for i in range(0, len(Q), 256):
@@ -135,6 +144,42 @@ def _best(q: pd.DataFrame, x: pd.DataFrame, k: int) -> pd.DataFrame:
     return (pd.concat(out) if out else none).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
 
+def _merged(found: list[pd.DataFrame], k: int) -> pd.DataFrame:
+    rows = pd.concat(found, ignore_index=True).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
+    return rows[rows.groupby("query_id").cumcount() < k]
+
+
+def _in_regions(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
+    """The k best of each query in each block (region, ask).  Rows are sorted by block, the queries (without a piece) before the candidates."""
+    at, queries, visits, found, held = None, [], None, [], 0
+    for b in batches:
+        for block, rows in b.groupby(["region", "ask"]):
+            if block != at:
+                if found:
+                    yield _merged(found, k)
+                at, queries, visits, found, held = block, [], None, [], 0
+            candidates = rows["piece"].notna()
+            if not candidates.all():
+                queries.append(rows[~candidates])
+            if not candidates.any() or not queries:
+                continue
+            if visits is None:
+                asked = pd.concat(queries, ignore_index=True)
+                Q, qids = _matrix(asked["vec"]), asked["id"].to_numpy()
+                by_piece = asked["asked"].explode()
+                visits = by_piece.groupby(by_piece).groups
+            for piece, x in rows[candidates].groupby("piece"):
+                if piece in visits:
+                    mine = visits[piece].to_numpy()
+                    found.append(_best_of(Q[mine], qids[mine], x, k))
+                    held += len(found[-1])
+                if held > FOUND_AT_ONCE:
+                    found = [_merged(found, k)]
+                    held = 0
+    if found:
+        yield _merged(found, k)
+
+
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -289,16 +334,22 @@ def search(vectors: DataFrame, is_query: Column, *, k: int = 5, recall: float =
         most += -(-most // 4)
     most, reached = min(most, index.leaves), float((met < most).mean()) if len(met) else 1.0
 
+    # a query goes to a region once, with the pieces of leaves that it visits there
     probes = visit(index, queries, most)
-    held = index.vectors.groupBy("cell").agg(F.ceil(F.count("*") / CANDIDATES_IN_BLOCK).cast("int").alias("held"))
-    asked = probes.groupBy("cell").agg(F.ceil(F.count("*") / QUERIES_IN_BLOCK).cast("int").alias("asked"))
-    blocks = materialize(held.join(asked, "cell"), "blocks")
-
-    def upto(n: str) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-
-    xs = index.vectors.join(blocks, "cell").select("cell", F.pmod(F.xxhash64("id"), F.col("held")).cast("int").alias("hold"), upto("asked").alias("ask"), "id", "vec")
-    qs = probes.join(blocks, "cell").select("cell", upto("held").alias("hold"), F.pmod(F.xxhash64("id"), F.col("asked")).cast("int").alias("ask"), "id").join(queries, "id")
-    by = ["cell", "hold", "ask"]
-    found = qs.select(*by, "id", "vec").groupBy(*by).cogroup(xs.groupBy(*by)).applyInPandas(lambda q, x: _best(q, x, k), FOUND)
+    visited = index.vectors.join(probes.select("cell").distinct(), "cell", "left_semi")
+    pieces = materialize(visited.groupBy("cell").agg(F.ceil(F.count("*") / VECTORS_IN_PIECE).cast("int").alias("pieces")), "pieces")
+    asks = -(-queries.count() // QUERIES_AT_ONCE)
+    piece, region = F.concat_ws("/", "cell", "n"), F.pmod(F.xxhash64("piece"), F.lit(REGIONS)).cast("int").alias("region")
+
+    def upto(n: Column) -> Column:
+        return F.explode(F.sequence(F.lit(0), n - 1))
+
+    xs = visited.join(pieces, "cell").select("id", "vec", "cell", F.pmod(F.xxhash64("id"), "pieces").alias("n")).select("id", "vec", piece.alias("piece"))
+    xs = xs.select(region, upto(F.lit(asks)).alias("ask"), "piece", "id", "vec", F.lit(None).cast("array<string>").alias("asked"))
+    met = probes.join(pieces, "cell").select("id", "cell", upto(F.col("pieces")).alias("n")).select("id", piece.alias("piece"))
+    met = met.groupBy("id", region).agg(F.collect_list("piece").alias("asked")).join(queries, "id")
+    qs = met.select("region", F.pmod(F.xxhash64("id"), F.lit(asks)).cast("int").alias("ask"), F.lit(None).cast("string").alias("piece"), "id", "vec", "asked")
+    # a block's queries stand before its candidates, and these piece by piece
+    dealt = qs.unionByName(xs).repartition("region", "ask").sortWithinPartitions("region", "ask", F.col("piece").asc_nulls_first())
+    found = dealt.mapInPandas(lambda batches: _in_regions(batches, k), FOUND)
     return _nearest(found, k).select("*", F.lit(most).alias("leaves"), F.lit(index.leaves).cast("long").alias("of_leaves"), F.lit(reached).alias("recall"))
