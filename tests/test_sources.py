@@ -1,12 +1,14 @@
 """Reading and tailing trees of JSONL files."""
 
 import json
+import os
 
 import pytest
 
 from tracelake.operators.decompose import Tables
 from tracelake.operators.search import phrase_matches, read_index
-from tracelake.sources.session_logs import _by_spark, read_session_logs, reingest, write_bronze
+from tracelake.queries import QUERIES
+from tracelake.sources.session_logs import _by_spark, follow_session_logs, followed_lines, read_session_logs, reingest, write_bronze
 from tracelake.streaming.ingest import Lake
 
 from .test_decompose import assistant, user
@@ -502,3 +504,27 @@ def test_bronze_has_a_file_a_bucket_whatever_the_tasks(spark, tmp_path, monkeypa
     write_bronze(lines, str(tmp_path / "bronze"))
     assert len(list((tmp_path / "bronze").rglob("*.parquet"))) == 3  # not one for each bucket and task
     assert spark.read.parquet(str(tmp_path / "bronze")).drop("bucket").exceptAll(lines).isEmpty()
+
+
+def test_followed_lines_are_appended_once(spark, tmp_path):
+    logs, to = tmp_path / "logs", str(tmp_path / "to")
+    logs.mkdir()
+    assert followed_lines(spark, to).count() == 0
+    f = logs / "s1.jsonl"
+    f.write_text("one\ntwo\nthr")
+    for _ in range(2):  # the second run finds nothing new
+        follow_session_logs(spark, str(logs), to, once=True).awaitTermination()
+        assert lines(followed_lines(spark, to)) == [("s1.jsonl", 0, "one"), ("s1.jsonl", 4, "two")]
+    f.write_text("one\ntwo\nthree\n")
+    (logs / "s2.jsonl").write_text("other\n")
+    follow_session_logs(spark, str(logs), to, once=True).awaitTermination()
+    assert lines(followed_lines(spark, to)) == [("s1.jsonl", 0, "one"), ("s1.jsonl", 4, "two"), ("s1.jsonl", 8, "three"), ("s2.jsonl", 0, "other")]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no driver tables")
+@pytest.mark.parametrize("name", ["l1_tail_session_logs"])
+def test_lines_alone_make_no_silver_tables(spark, name, monkeypatch):
+    """A query that only asks for the tailed lines doesn't decompose them."""
+    monkeypatch.setattr(Lake, "ingest_batch", lambda *a: pytest.fail("decomposed"))
+    rows = QUERIES[name](spark, "/root/testdata/sf0.001").collect()
+    assert sum(r.n_lines for r in rows) == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count() > 0

@@ -23,9 +23,11 @@ from dataclasses import dataclass
 import pyarrow as pa
 import pyarrow.compute
 from pyarrow import fs
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition, WriterCommitMessage
+from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.ship import ship
 
@@ -468,6 +470,27 @@ def tail_session_logs(spark: SparkSession, path: str, *, suffix: str = ".jsonl",
     return (r if state is None else r.option("state", state)).load()
 
 
+def follow_session_logs(spark: SparkSession, logs: str, to: str, *, once: bool = False, every: str = "2 seconds", suffix: str = ".jsonl", max_bytes_per_trigger: int = 0, state: str | None = None) -> StreamingQuery:
+    """Start appending the tail's lines, and nothing made of them, to a Parquet table below ``to`` (``followed_lines``).
+
+    Spark's file sink commits a batch's rows and its offset together: a batch that stopped is run again and its rows show once, and a start of later goes
+    on where the last one ended.  ``once`` takes all that is there, in one batch, and stops.  A ``Lake`` makes tables of the lines too.
+    """
+    tail = tail_session_logs(spark, logs, suffix=suffix, max_bytes_per_trigger=0 if once else max_bytes_per_trigger, state=state or f"{to}/tail")
+    w = tail.writeStream.format("parquet").option("checkpointLocation", f"{to}/checkpoint")
+    return (w.trigger(availableNow=True) if once else w.trigger(processingTime=every)).start(f"{to}/lines")
+
+
+def followed_lines(spark: SparkSession, to: str) -> DataFrame:
+    """The lines of all batches that are committed below ``to``; none if none was."""
+    try:
+        return spark.read.schema(SCHEMA).parquet(f"{to}/lines")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], SCHEMA)
+
+
 def sync_report(listed: DataFrame, bronze: DataFrame, rejected: DataFrame, observations: DataFrame) -> DataFrame:
     """For each file of ``listed`` (path): its state (synced, skipped: nothing new, errored: can't be opened), records, warnings, overflow fields."""
     lines = bronze.groupBy("path").agg(F.count_if(F.col("off") >= 0).alias("lines"), F.count_if(F.col("off") < 0).alias("unopened"))
