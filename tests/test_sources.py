@@ -528,3 +528,27 @@ def test_lines_alone_make_no_silver_tables(spark, name, monkeypatch):
     monkeypatch.setattr(Lake, "ingest_batch", lambda *a: pytest.fail("decomposed"))
     rows = QUERIES[name](spark, "/root/testdata/sf0.001").collect()
     assert sum(r.n_lines for r in rows) == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count() > 0
+
+
+def test_one_batch_settles_what_sessions_share(spark, tmp_path):
+    """Where one batch wrote all buckets its tables are read as they are, also if sessions share messages or calls; uuids of several records are settled."""
+    call = [{"type": "tool_use", "id": "t1", "name": "Write", "input": {"file_path": "/barn/1", "content": "hay"}}]
+    step = [
+        ("a", assistant("a1", call, sessionId="sa", odd=1)),
+        ("a", user("u1", "[first]", sessionId="sa", planContent="sow", isCompactSummary=True)),
+        ("a", user("u1", "again", sessionId="sa", planContent="reap", sourceToolUseID="t1", odd={"n": 2})),
+        ("b", user("u2", [{"type": "tool_result", "tool_use_id": "t1", "content": "stacked"}], sessionId="sb")),
+        ("b", assistant("a1", [{"type": "text", "text": "copied"}], sessionId="sb", odd=3)),
+        ("b", assistant("u2", "of two kinds", sessionId="sb", strange=4)),
+        ("c", user("u3", {"neither": "text nor blocks"}, sessionId="sc", planContent=5)),
+        ("c", assistant("a3", "alone", {"input_tokens": 1, "unit": "u"}, sessionId="sc", more=[1])),
+    ]
+    lake = Lake(spark, str(tmp_path), buckets=64)
+    rows, df = lines_of(spark, step, {})
+    lake.ingest_batch(df, 0)
+    assert lake.store.state().notes["shared"] and type(lake.tables()).__name__ == "Stored"
+    same_tables(lake.tables(), Tables(df))
+    assert lake.tables().messages.count() > 4
+    _, df = lines_of(spark, [("d", user("u9", "later", sessionId="sd"))], {})
+    lake.ingest_batch(df, 1)  # buckets of two batches again
+    assert type(lake.tables()).__name__ == "Tables"

@@ -117,9 +117,9 @@ class Store:
         # both are folders: what is not live is not opened
         return self.read(f"silver/{name}", f"{schema}, made bigint, bucket int").filter(live).drop("made", "bucket")
 
-    def write_buckets(self, df: DataFrame, name: str, version: int) -> None:
-        """``df`` with its ``bucket`` as what a batch makes of the buckets it touches."""
-        self.write(df.repartition("bucket"), f"silver/{name}/made={version}", "bucket")
+    def write_buckets(self, df: DataFrame, name: str, version: int, together: bool = False) -> None:
+        """``df`` with its ``bucket`` as what a batch makes of the buckets it touches; ``together``: its tasks hold rows of few buckets already."""
+        self.write(df if together else df.repartition("bucket"), f"silver/{name}/made={version}", "bucket")
 
     def retire(self, before: State, new: State, paths: list[str], tables: list[str]) -> None:
         """Note in ``new`` what it no longer names: it goes when the version after it is there, for until then somebody may read ``before``."""

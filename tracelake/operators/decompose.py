@@ -132,11 +132,16 @@ def dispatch(records: DataFrame) -> dict[str, DataFrame]:
     return out
 
 
+def _all_known(json: Column, keys: Column) -> Column:
+    """True if ``json`` is an object of ``keys`` alone: most are, and to look at its keys costs far less than to take it apart."""
+    return F.coalesce(F.size(F.array_except(F.json_object_keys(json), keys)) == 0, F.lit(False))
+
+
 def overflow(df: DataFrame, json: Column, known: Column | list[str]) -> DataFrame:
     """``df`` with one row for each key of ``json`` that is not modelled: field, value (as JSON)."""
     pairs = F.map_entries(F.from_json(json, "map<string,variant>"))
     keys = F.array(*[F.lit(k) for k in known]) if isinstance(known, list) else known
-    return df.withColumn("__p", F.explode(pairs)).select(*df.columns, F.col("__p.key").alias("field"), F.to_json(F.col("__p.value")).alias("value")).filter(~F.array_contains(keys, F.col("field")))
+    return df.filter(~_all_known(json, keys)).withColumn("__p", F.explode(pairs)).select(*df.columns, F.col("__p.key").alias("field"), F.to_json(F.col("__p.value")).alias("value")).filter(~F.array_contains(keys, F.col("field")))
 
 
 def quoted(text: Column) -> Column:
@@ -148,7 +153,8 @@ def quoted(text: Column) -> Column:
 def unmodelled(json: Column, known: list[str]) -> Column:
     """The keys of ``json`` that are not modelled, with their values as JSON: (field, value) in an array; null if it is no object."""
     pairs = F.filter(F.map_entries(F.from_json(json, "map<string,variant>")), lambda p: ~p["key"].isin(*known))
-    return F.transform(pairs, lambda p: F.struct(p["key"].alias("field"), F.to_json(p["value"]).alias("value")))
+    none = F.array().cast("array<struct<field:string,value:string>>")
+    return F.when(_all_known(json, F.array(*[F.lit(k) for k in known])), none).otherwise(F.transform(pairs, lambda p: F.struct(p["key"].alias("field"), F.to_json(p["value"]).alias("value"))))
 
 
 def object_of(parts: Column) -> Column:
@@ -219,6 +225,59 @@ def stored_under(root: str) -> Callable[[str, DataFrame], DataFrame]:
     return keep
 
 
+def _said(spoken: DataFrame, *along: str) -> DataFrame:
+    """What a message has of its record, each with its place."""
+    assistant = F.col("type") == "assistant"
+    return spoken.select(
+        "uuid",
+        F.col("sessionId").alias("session_id"),
+        "type",
+        "timestamp",
+        F.col("parentUuid").alias("parent_uuid"),
+        F.coalesce("isSidechain", F.lit(False)).alias("is_sidechain"),
+        F.col("userType").alias("user_type"),
+        "cwd",
+        F.col("gitBranch").alias("git_branch"),
+        "version",
+        "slug",
+        F.col("agentId").alias("agent_id"),
+        F.col("isMeta").alias("is_meta"),
+        F.when(assistant, F.col("m.model")).alias("model"),
+        F.when(assistant, F.col("m.stop_reason")).alias("stop_reason"),
+        F.when(assistant, F.col("requestId")).alias("request_id"),
+        "path",
+        "off",
+        *along,
+    )
+
+
+def _promoted(users: DataFrame, *along: str) -> DataFrame:
+    """uuid, path, off, ``along`` and the promoted fields of each user record."""
+    found = users.select("uuid", "path", "off", *along, F.try_parse_json("line").alias("v"), unmodelled(F.col("line"), KEYS["user"]).alias("rest"))
+    plan = F.when(json_type(F.col("v"), "$.planContent") == "STRING", F.try_variant_get("v", "$.planContent", "string"))
+    found = found.select(
+        "uuid",
+        "path",
+        "off",
+        *along,
+        F.when(json_type(F.col("v"), "$.isCompactSummary") == "BOOLEAN", F.try_variant_get("v", "$.isCompactSummary", "boolean")).alias("is_compact_summary"),
+        F.try_variant_get("v", "$.sourceToolUseID", "string").alias("source_tool_use_id"),
+        plan.alias("plan_content"),
+        "rest",
+    )
+    kept = F.filter("rest", lambda p: ~p["field"].isin("isCompactSummary", "sourceToolUseID") & ~((p["field"] == "planContent") & F.col("plan_content").isNotNull()))
+    return found.withColumn("rest", kept).withColumn("extra_json", object_of(F.col("rest"))).drop("rest")
+
+
+def _assistant_extra(assistants: DataFrame, *along: str) -> DataFrame:
+    """uuid, path, off, ``along`` and extra_json of each assistant record."""
+    r = assistants.select("uuid", "path", "off", *along, unmodelled(F.col("line"), KEYS["assistant"]).alias("a"), unmodelled(F.col("message"), KEYS["assistant.message"]).alias("b"))
+    own, over = F.coalesce("a", F.array().cast(r.schema["a"].dataType)), F.coalesce("b", F.array().cast(r.schema["b"].dataType))
+    r = r.select("uuid", "path", "off", *along, own.alias("a"), over.alias("b"), F.transform(over, lambda p: p["field"]).alias("names"))
+    r = r.select("uuid", "path", "off", *along, F.concat(F.filter("a", lambda p: ~F.array_contains("names", p["field"])), "b").alias("parts"))
+    return r.select("uuid", "path", "off", *along, object_of(F.col("parts")).alias("extra_json"))
+
+
 #: Records whose rows one task sorts.
 RECORDS_IN_PART = 50_000
 
@@ -229,11 +288,17 @@ class Tables:
 
     With ``keep`` (name, DataFrame) -> DataFrame each is stored then and read by those made from it, so that every line is
     parsed once and every table is one job; without it they are plans.
+
+    With ``again``, the uuids (uuid) of more than one user or assistant record, only the records of these are dealt by their uuid; of the others each is
+    the first and the last, and what is made of it stays where it is read.  ``carried`` are columns of the records that go along into the tables of
+    messages and their blocks.
     """
 
     bronze: DataFrame | None
     keep: Callable[[str, DataFrame], DataFrame] | None = None
     parsed: DataFrame | None = None  # records that were parsed before, instead of bronze
+    again: DataFrame | None = None
+    carried: tuple[str, ...] = ()
 
     @cached_property
     def parts(self) -> int | None:
@@ -279,77 +344,66 @@ class Tables:
     def agents(self) -> DataFrame:
         return agents_of(agent_parts(self.records))
 
+    def _back(self, rows: DataFrame) -> DataFrame:
+        """Rows that were dealt by their uuid, together as those are that were not."""
+        return rows.repartition(*self.carried) if self.carried else rows
+
     @cached_property
     def spoken(self) -> DataFrame:
-        """User and assistant records with their message's fields."""
-        return self.of("user", "assistant").withColumn("m", F.from_json("message", MESSAGE))
+        """User and assistant records with their message's fields; the first of each uuid, if it is known which have several."""
+        r = self.of("user", "assistant")
+        if self.again is not None:
+            several = upsert_first(r.join(self.again, "uuid", "left_semi").repartition("uuid"), ["uuid"], ["path", "off"])
+            r = r.join(self.again, "uuid", "left_anti").unionByName(self._back(several))
+        return r.withColumn("m", F.from_json("message", MESSAGE))
+
+    def _first(self, rows: DataFrame) -> DataFrame:
+        """Of rows of ``spoken`` the first of each uuid."""
+        return rows if self.again is not None else upsert_first(self.dealt(rows, "uuid"), ["uuid"], ["path", "off"])
 
     @table
     def messages(self) -> DataFrame:
         """First record of a uuid wins; the fields that the last one promotes are joined to it."""
-        assistant = F.col("type") == "assistant"
-        rows = self.spoken.select(
-            "uuid",
-            F.col("sessionId").alias("session_id"),
-            "type",
-            "timestamp",
-            F.col("parentUuid").alias("parent_uuid"),
-            F.coalesce("isSidechain", F.lit(False)).alias("is_sidechain"),
-            F.col("userType").alias("user_type"),
-            "cwd",
-            F.col("gitBranch").alias("git_branch"),
-            "version",
-            "slug",
-            F.col("agentId").alias("agent_id"),
-            F.col("isMeta").alias("is_meta"),
-            F.when(assistant, F.col("m.model")).alias("model"),
-            F.when(assistant, F.col("m.stop_reason")).alias("stop_reason"),
-            F.when(assistant, F.col("requestId")).alias("request_id"),
-            "path",
-            "off",
-        )
-        first = upsert_first(self.dealt(rows, "uuid"), ["uuid"], ["path", "off"])
-        extra = self.promoted.unionByName(self.assistant_extra, allowMissingColumns=True)
-        return first.join(self.dealt(extra, "uuid"), "uuid", "left").withColumn("is_compact_summary", F.coalesce("is_compact_summary", F.lit(False)))
+        if self.again is None:
+            first = upsert_first(self.dealt(_said(self.spoken), "uuid"), ["uuid"], ["path", "off"])
+            extra = self.promoted.unionByName(self.assistant_extra, allowMissingColumns=True)
+            rows = first.join(self.dealt(extra, "uuid"), "uuid", "left")
+        else:
+            r = self.of("user", "assistant").withColumn("m", F.from_json("message", MESSAGE))
+            alone, several = (r.join(self.again, "uuid", how) for how in ("left_anti", "left_semi"))
+            own = _said(alone, "line", "message", *self.carried)
+            names = [c for c in own.columns if c not in ("uuid", "path", "off", "line", "message")]
+            of = {k: own.filter(F.col("type") == k) for k in ("user", "assistant")}
+            alone = _promoted(of["user"], *names).unionByName(_assistant_extra(of["assistant"], *names), allowMissingColumns=True)
+            first = upsert_first(_said(several, *self.carried).repartition("uuid"), ["uuid"], ["path", "off"])
+            of = {k: several.filter(F.col("type") == k).drop("m") for k in ("user", "assistant")}
+            user, assistant = (upsert_last(f(of[k]).repartition("uuid"), ["uuid"], ["path", "off"]).drop("path", "off") for k, f in (("user", _promoted), ("assistant", _assistant_extra)))
+            extra = user.unionByName(assistant.filter("extra_json is not null"), allowMissingColumns=True)
+            rows = self._back(first.join(extra, "uuid", "left")).unionByName(alone)
+        return rows.withColumn("is_compact_summary", F.coalesce("is_compact_summary", F.lit(False)))
 
     @table
     def promoted(self) -> DataFrame:
         """uuid, is_compact_summary, source_tool_use_id, plan_content, extra_json of user records; the last record wins."""
         # taken out of the lines where they are read: lines are neither exchanged nor sorted
-        found = self.of("user").select("uuid", "path", "off", F.try_parse_json("line").alias("v"), unmodelled(F.col("line"), KEYS["user"]).alias("rest"))
-        plan = F.when(json_type(F.col("v"), "$.planContent") == "STRING", F.try_variant_get("v", "$.planContent", "string"))
-        found = found.select(
-            "uuid",
-            "path",
-            "off",
-            F.when(json_type(F.col("v"), "$.isCompactSummary") == "BOOLEAN", F.try_variant_get("v", "$.isCompactSummary", "boolean")).alias("is_compact_summary"),
-            F.try_variant_get("v", "$.sourceToolUseID", "string").alias("source_tool_use_id"),
-            plan.alias("plan_content"),
-            "rest",
-        )
-        kept = F.filter("rest", lambda p: ~p["field"].isin("isCompactSummary", "sourceToolUseID") & ~((p["field"] == "planContent") & F.col("plan_content").isNotNull()))
-        found = found.withColumn("rest", kept).withColumn("extra_json", object_of(F.col("rest"))).drop("rest")
-        return upsert_last(self.dealt(found, "uuid"), ["uuid"], ["path", "off"]).drop("path", "off")
+        return upsert_last(self.dealt(_promoted(self.of("user")), "uuid"), ["uuid"], ["path", "off"]).drop("path", "off")
 
     @table
     def assistant_extra(self) -> DataFrame:
         """uuid, extra_json of assistant records: record-level overflow with message-level overflow over it."""
-        r = self.of("assistant").select("uuid", "path", "off", unmodelled(F.col("line"), KEYS["assistant"]).alias("a"), unmodelled(F.col("message"), KEYS["assistant.message"]).alias("b"))
-        own, over = F.coalesce("a", F.array().cast(r.schema["a"].dataType)), F.coalesce("b", F.array().cast(r.schema["b"].dataType))
-        r = r.select("uuid", "path", "off", own.alias("a"), over.alias("b"), F.transform(over, lambda p: p["field"]).alias("names"))
-        r = r.select("uuid", "path", "off", F.concat(F.filter("a", lambda p: ~F.array_contains("names", p["field"])), "b").alias("parts"))
-        r = r.select("uuid", "path", "off", object_of(F.col("parts")).alias("extra_json"))
+        r = _assistant_extra(self.of("assistant"))
         return upsert_last(self.dealt(r, "uuid"), ["uuid"], ["path", "off"]).select("uuid", "extra_json").filter("extra_json is not null")
 
     @table
     def message_content(self) -> DataFrame:
         """One row a block; text content is one block, and what a plan says is block -1."""
-        r = self.spoken.select("uuid", "path", "off", F.col("m.content").alias("c"), json_type(F.try_parse_json("message"), "$.content").alias("kind"))
-        r = upsert_first(self.dealt(r, "uuid"), ["uuid"], ["path", "off"])
+        # made as rows, so that a filter on its kind doesn't parse the message again
+        said = F.struct(F.col("m.content").alias("c"), json_type(F.try_parse_json("message"), "$.content").alias("kind"))
+        r = self._first(self.spoken.select("uuid", "path", "off", *self.carried, F.inline(F.array(said))))
         # text is one block of an array, so that records are dealt once
         text = F.to_json(F.array(F.struct(F.lit("text").alias("type"), F.col("c").alias("text"))))
         r = r.filter((F.col("kind") == "STRING") | F.col("kind").startswith("ARRAY"))
-        b = r.select("uuid", F.posexplode(F.from_json(F.when(F.col("kind") == "STRING", text).otherwise(F.col("c")), BLOCKS)).alias("i", "b"))
+        b = r.select("uuid", *self.carried, F.posexplode(F.from_json(F.when(F.col("kind") == "STRING", text).otherwise(F.col("c")), BLOCKS)).alias("i", "b"))
         kind, of = F.col("b.type"), {"text": "b.text", "thinking": "b.thinking", "tool_result": "b.content"}
         held = F.lit(None).cast("string")
         for k, c in of.items():
@@ -364,12 +418,14 @@ class Tables:
             F.when(kind == "tool_use", F.col("b.input")).alias("tool_input"),
             F.when(kind == "tool_result", F.coalesce("b.is_error", F.lit(False))).alias("is_error"),
             F.when(kind == "thinking", F.col("b.signature")).alias("thinking_signature"),
+            *self.carried,
         )
 
     @table
     def plan_blocks(self) -> DataFrame:
-        return self.promoted.filter(F.col("plan_content").isNotNull()).select(
-            F.col("uuid").alias("message_uuid"), F.lit(-1).cast("long").alias("block_index"), F.lit("plan_content").alias("block_type"), F.col("plan_content").alias("text_content")
+        r = self.promoted if self.again is None else self.messages  # which hold the promoted fields
+        return r.filter(F.col("plan_content").isNotNull()).select(
+            F.col("uuid").alias("message_uuid"), F.lit(-1).cast("long").alias("block_index"), F.lit("plan_content").alias("block_type"), F.col("plan_content").alias("text_content"), *self.carried
         )
 
     @table
@@ -379,10 +435,19 @@ class Tables:
 
     @table
     def token_usage(self) -> DataFrame:
-        r = self.dealt(self.spoken.filter((F.col("type") == "assistant") & F.col("m.usage").isNotNull()).select("uuid", F.col("m.usage").alias("usage"), "path", "off"), "uuid")
-        r = upsert_first(r, ["uuid"], ["path", "off"]).select("uuid", F.from_json("usage", USAGE).alias("t"), object_of(unmodelled(F.col("usage"), KEYS["assistant.message.usage"])).alias("extra_json"))
+        def used(records: DataFrame) -> DataFrame:
+            usage = F.struct(F.from_json("message", MESSAGE)["usage"].alias("usage"))
+            return records.select("uuid", "path", "off", *self.carried, F.inline(F.array(usage))).filter("usage is not null")
+
+        r = self.of("assistant")
+        if self.again is None:
+            r = upsert_first(self.dealt(used(r), "uuid"), ["uuid"], ["path", "off"])
+        else:
+            several = upsert_first(used(r.join(self.again, "uuid", "left_semi")).repartition("uuid"), ["uuid"], ["path", "off"])
+            r = self._back(several).unionByName(used(r.join(self.again, "uuid", "left_anti")))
+        r = r.select("uuid", *self.carried, F.from_json("usage", USAGE).alias("t"), object_of(unmodelled(F.col("usage"), KEYS["assistant.message.usage"])).alias("extra_json"))
         return r.select(
-            F.col("uuid").alias("message_uuid"), "t.input_tokens", "t.output_tokens", "t.cache_creation_input_tokens", "t.cache_read_input_tokens", "t.service_tier", F.col("t.cache_creation").alias("cache_creation_json"), "extra_json"
+            F.col("uuid").alias("message_uuid"), "t.input_tokens", "t.output_tokens", "t.cache_creation_input_tokens", "t.cache_read_input_tokens", "t.service_tier", F.col("t.cache_creation").alias("cache_creation_json"), "extra_json", *self.carried
         )
 
     @table
@@ -401,9 +466,9 @@ class Tables:
             .agg(F.max_by(F.struct(F.col("text_content").alias("result_content"), "is_error"), F.struct("at", "block_index")).alias("r"))
             .select("tool_use_id", "r.result_content", "r.is_error")
         )
-        uses = b.filter(F.col("block_type") == "tool_use").select("message_uuid", "tool_use_id", "tool_name", F.col("tool_input").alias("input_json"), "block_index")
+        uses = b.filter(F.col("block_type") == "tool_use").select("message_uuid", "tool_use_id", "tool_name", F.col("tool_input").alias("input_json"), "block_index", *self.carried)
         uses = upsert_first(self.dealt(uses, "tool_use_id"), ["message_uuid", "tool_use_id"], ["block_index"]).drop("block_index")
-        return uses.join(results, "tool_use_id", "left").select("message_uuid", "tool_use_id", "tool_name", "input_json", "result_content", "is_error")
+        return uses.join(results, "tool_use_id", "left").select("message_uuid", "tool_use_id", "tool_name", "input_json", "result_content", "is_error", *self.carried)
 
     @table
     def system_events(self) -> DataFrame:

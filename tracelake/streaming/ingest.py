@@ -155,7 +155,8 @@ class Lake:
     A batch opens the buckets of its sessions, the parts of key runs that may hold one of its keys, and O(log n) runs of parts.
 
     A message or a tool call is of one session.  Where a batch finds one in the records of two buckets (a session taken up again under another name
-    copies records), the lake notes that, and ``tables`` settles all records together, as batch decomposition does.
+    copies records), the lake notes that, and ``tables`` settles all records together, as batch decomposition does, unless the last batch wrote
+    all buckets and so did it.
     """
 
     def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
@@ -185,10 +186,15 @@ class Lake:
     def tables(self, keep=None) -> Stored | Tables:
         """The silver tables of the last version."""
         state = self.store.state()
-        if state.batch < 0 or state.notes.get("shared"):
+        if state.batch < 0 or state.notes.get("shared") and not self._settled(state):
             return Tables(self.bronze.select("path", "off", "line"), keep, self.records)
         return Stored(self, state)
 
+    @staticmethod
+    def _settled(state: State) -> bool:
+        """One batch wrote all buckets, and so settled all their records together."""
+        return len(set(state.buckets.values())) < 2
+
     def sync_totals(self, last: bool = False) -> dict[str, int]:
         """What ``sync_totals`` counts, of all batches or the ``last``, as their own jobs counted it.  A file is synced where it gave records; one
         that several batches read counts for each."""
@@ -217,8 +223,13 @@ class Lake:
         lines, parsed, told = Observation(), Observation(), Observation()
         self._write(df.select("path", "off", "line").observe(lines, F.count_if(F.col("off") >= 0).alias("lines"), F.count_if(F.col("off") < 0).alias("errored")), "bronze", batch_id)
         good, _ = quarantine(self.store.read(f"bronze/batch_id={batch_id}", SCHEMA))
-        self.store.write(good.withColumn("bucket", self._home()).observe(parsed, F.count("*").alias("records")), f"{work}/records")
-        fresh = self.store.read(f"{work}/records", f"{RECORD}, bucket int")
+        good, stored = good.withColumn("bucket", self._home()).observe(parsed, F.count("*").alias("records")), f"{RECORD}, bucket int"
+        if before.buckets:
+            self.store.write(good, f"{work}/records")
+            fresh = self.store.read(f"{work}/records", stored)
+        else:  # there is nothing to put them to
+            self.store.write_buckets(good, "records", batch_id)
+            fresh = self.store.read(f"silver/records/made={batch_id}", stored)
         new = State(before.number, batch_id, dict(before.buckets), {k: list(v) for k, v in before.runs.items()}, dict(before.notes))
         touched = sorted(r[0] for r in fresh.select("bucket").distinct().collect())  # the buckets at most
         new.buckets.update({str(b): batch_id for b in touched})
@@ -253,31 +264,37 @@ class Lake:
 
     def _write_silver(self, before: State, fresh: DataFrame, touched: list[int], version: int, work: str) -> tuple[Tables, dict[str, str]]:
         """The touched buckets of all silver tables, from their records, old and new; and the tables' schemas."""
-        old = self.store.bucketed(before, "records", RECORD, touched)
-        self.store.write_buckets(old.unionByName(fresh.drop("bucket")).withColumn("bucket", self._home()), "records", version)
+        if before.buckets:
+            old = self.store.bucketed(before, "records", RECORD, touched)
+            self.store.write_buckets(old.unionByName(fresh.drop("bucket")).withColumn("bucket", self._home()), "records", version)
         records = self.store.read(f"silver/records/made={version}", f"{RECORD}, bucket int")
-        first = F.min_by("bucket", F.struct("path", "off")).alias("bucket")
-        homes = {"message": records.filter(F.col("type").isin("user", "assistant")).groupBy("uuid").agg(first), "attachment": records.filter("type = 'attachment'").groupBy("uuid").agg(first)}
+        said = records.filter(F.col("type").isin("user", "assistant"))
+        self.store.write(said.groupBy("uuid").count().filter("count > 1").select("uuid"), f"{work}/again")
+        again = self.store.read(f"{work}/again", "uuid string")
+        homes = records.filter("type = 'attachment'").groupBy("uuid").agg(F.min_by("bucket", F.struct("path", "off")).alias("bucket"))
         aside, schemas = self._kept(f"{work}/silver"), {}
 
         def keep(name: str, df: DataFrame) -> DataFrame:
             if name not in SILVER:
                 return aside(name, df)  # only other tables are made of it
-            if name in OF_SESSION:
-                placed = df.withColumn("bucket", self.bucket(F.col("session_id")))
-            else:
-                column, kind = (OF_MESSAGE[name], "message") if name in OF_MESSAGE else (OF_ATTACHMENT[name], "attachment")
-                placed = df.join(homes[kind].withColumnRenamed("uuid", column), column).select(*df.columns, "bucket")
-            self.store.write_buckets(placed, name, version)
-            schemas[name] = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-            return self.store.read(f"silver/{name}/made={version}", f"{schemas[name]}, bucket int").drop("bucket")
-
-        t = Tables(None, keep, records.drop("bucket"))
-        t.__dict__["records"] = records.drop("bucket")  # written already
+            carried = "bucket" in df.columns
+            plain = df.drop("bucket")
+            if not carried:
+                of_session = name in OF_SESSION
+                df = df.withColumn("bucket", self.bucket(F.col("session_id"))) if of_session else df.join(homes.withColumnRenamed("uuid", OF_ATTACHMENT[name]), OF_ATTACHMENT[name])
+            placed = df.select(*plain.columns, "bucket")
+            # rows that are made where the records are read lie by their buckets
+            self.store.write_buckets(placed, name, version, together=name in ("messages", "message_content", "plan_blocks", "token_usage"))
+            schemas[name] = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema)
+            stored = self.store.read(f"silver/{name}/made={version}", f"{schemas[name]}, bucket int")
+            return stored if carried else stored.drop("bucket")
+
+        t = Tables(None, keep, records, again, ("bucket",))
+        t.__dict__["records"] = records  # written already
         # what a step is made of was written by the steps before
         for step in (
-            ("promoted", "assistant_extra", "message_content", "attachments", "sessions", "system_events", "summaries"),
-            ("messages", "plan_blocks", "token_usage", "tool_executions", "hook_executions"),
+            ("messages", "message_content", "token_usage", "attachments", "sessions", "system_events", "summaries"),
+            ("plan_blocks", "tool_executions", "hook_executions"),
             ("file_operations", "git_operations"),
             ("files",),
         ):
@@ -290,10 +307,11 @@ class Lake:
         batch = Tables(None, None, fresh.drop("bucket"))
         own_messages = fresh.filter(F.col("type").isin("user", "assistant")).select(F.col("uuid").alias("message_uuid")).distinct()
         for name in ("message_content", "file_operations", "git_operations"):
-            batch.__dict__[name] = getattr(silver, name).join(own_messages, "message_uuid", "left_semi")
+            made = getattr(silver, name)
+            batch.__dict__[name] = made.join(own_messages, "message_uuid", "left_semi") if before.buckets else made  # else all is the batch's
         mined = batch.file_operations.select("tool_use_id", "operation_type").unionByName(batch.git_operations.select("tool_use_id", "operation_type"))
         owners = fresh.filter(F.col("uuid").isNotNull()).select("uuid", "bucket").distinct()
-        calls = batch.message_content.filter("tool_use_id is not null").join(owners, F.col("message_uuid") == F.col("uuid"))
+        calls = batch.message_content.filter("tool_use_id is not null")
         none = F.lit(0)
         kinds = [("file", fresh, F.col("path"), none), ("artifact", mined, F.concat_ws("\x1f", "tool_use_id", "operation_type"), none), ("record", owners, F.col("uuid"), F.col("bucket")), ("call", calls, F.col("tool_use_id"), F.col("bucket"))]
         found = None
