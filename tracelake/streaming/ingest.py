@@ -348,7 +348,7 @@ class Lake:
         if state.batch <= built:
             return False
         since = State(state.number, state.batch, {b: v for b, v in state.buckets.items() if v > built}, notes=state.notes)
-        texts = self.tables().searchable if state.notes.get("shared") else Stored(self, since).searchable
+        texts = self.tables().searchable if state.notes.get("shared") and not self._settled(state) else Stored(self, since).searchable
         docs = texts.filter(F.col("text_content").isNotNull()).select(*keys, "text_content").withColumn("digest", F.xxhash64("text_content"))
         self.store.write(docs, f"work/index-{state.batch}")
         docs = self.store.read(f"work/index-{state.batch}", "message_uuid string, block_index bigint, text_content string, digest bigint")
