@@ -9,7 +9,7 @@ from tracelake.operators.decompose import Tables
 from tracelake.operators.search import phrase_matches, read_index
 from tracelake.queries import QUERIES
 from tracelake.sources.session_logs import _by_spark, follow_session_logs, followed_lines, read_session_logs, reingest, write_bronze
-from tracelake.streaming.ingest import Lake
+from tracelake.streaming.ingest import Lake, sync_session_logs
 
 from .test_decompose import assistant, user
 
@@ -552,3 +552,46 @@ def test_one_batch_settles_what_sessions_share(spark, tmp_path):
     _, df = lines_of(spark, [("d", user("u9", "later", sessionId="sd"))], {})
     lake.ingest_batch(df, 1)  # buckets of two batches again
     assert type(lake.tables()).__name__ == "Tables"
+
+
+def test_a_sync_takes_what_came_since_the_one_before(spark, tmp_path):
+    from tracelake.sources.session_logs import sync_totals
+
+    logs, to = tmp_path / "logs", str(tmp_path / "synced")
+    (logs / "deep").mkdir(parents=True)
+
+    def run():
+        got = sync_session_logs(spark, str(logs), to)
+        assert got.totals == sync_totals(got.report).first().asDict()
+        return {r.path.rsplit("/", 1)[1][:2]: tuple(r)[1:] for r in got.report.collect()}, got.totals["files_skipped"]
+
+    assert run() == ({}, 0)
+    (logs / "s1.jsonl").write_text(text(user("u1"), user("u2", "hi", odd=1, odder=2)) + "[broken\n\n")
+    (logs / "deep" / "s2.jsonl").write_text(text(user("u3")) + '{"type": "us')
+    assert run() == ({"s1": ("synced", 2, 1, 2), "s2": ("synced", 1, 0, 0)}, 0)
+    assert run() == ({"s1": ("skipped", 0, 0, 0), "s2": ("skipped", 0, 0, 0)}, 2)
+    with (logs / "s1.jsonl").open("a") as f:
+        f.write(text(user("u4", "hi", odd=3)))
+    (logs / "s3.jsonl").write_text("[broken\n")
+    assert run() == ({"s1": ("synced", 1, 0, 1), "s2": ("skipped", 0, 0, 0), "s3": ("synced", 0, 1, 0)}, 1)
+
+
+def test_a_sync_that_stopped_is_done_again(spark, tmp_path, monkeypatch):
+    from tracelake.functions.store import Store
+
+    logs, to, write = tmp_path / "logs", str(tmp_path / "synced"), Store.write
+    logs.mkdir()
+    (logs / "s1.jsonl").write_text(text(user("u1"), user("u2")))
+
+    def stops(self, df, path, *by):
+        write(self, df, path, *by)
+        raise RuntimeError("stopped")
+
+    monkeypatch.setattr(Store, "write", stops)
+    with pytest.raises(Exception, match="stopped"):
+        sync_session_logs(spark, str(logs), to)
+    monkeypatch.setattr(Store, "write", write)
+    with (logs / "s1.jsonl").open("a") as f:
+        f.write(text(user("u3")))
+    assert [(r.state, r.records) for r in sync_session_logs(spark, str(logs), to).report.collect()] == [("synced", 3)]
+    assert spark.read.parquet(f"{to}/bronze").count() == 3

@@ -116,8 +116,12 @@ MALFORMED = "malformed line"
 
 def quarantine(bronze: DataFrame, preview: int = 500) -> tuple[DataFrame, DataFrame]:
     """The good records, and (path, off, error, preview) of the lines that are not: the parser's own message, or the field that is missing or wrong."""
-    ship(bronze.sparkSession)
-    parsed = parse(bronze)
+    return sorted_out(parse(bronze), preview)
+
+
+def sorted_out(parsed: DataFrame, preview: int = 500) -> tuple[DataFrame, DataFrame]:
+    """``quarantine`` of lines that were parsed before."""
+    ship(parsed.sparkSession)
     bad = parsed.filter(F.col("error").isNotNull())
     # only rejected lines go through Python, for its parser's message: in ``parse`` the call would see every line, whatever branch it is in
     error = F.when(F.col("error") == MALFORMED, F.concat("error", F.lit(": "), _json_error("line"))).otherwise(F.col("error"))

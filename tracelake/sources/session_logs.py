@@ -24,7 +24,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyarrow import fs
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition, WriterCommitMessage
 from pyspark.sql.streaming import StreamingQuery
@@ -255,6 +255,17 @@ def _write_json(path: str, what: list) -> None:
     system.move(beside, at)
 
 
+def _versions(state: str) -> list[int]:
+    system, at = _open(state)
+    found = system.get_file_info(fs.FileSelector(at, allow_not_found=True))
+    return sorted(int(f.base_name[:-5]) for f in found if f.type == fs.FileType.File and f.base_name.endswith(".json") and f.base_name[:-5].isdigit())
+
+
+def tail_version(state: str) -> int:
+    """The version of the files that a tail with this ``state`` planned to read last."""
+    return max(_versions(state), default=0)
+
+
 @dataclass
 class Tail:
     """A file from where its complete lines ended to where it ended when it was listed; ``head`` is of its first ``head_of`` bytes."""
@@ -296,9 +307,7 @@ class ManifestReader(DataSourceStreamReader):
         return {"version": 0}
 
     def _versions(self) -> list[int]:
-        system, at = _open(self.state)
-        found = system.get_file_info(fs.FileSelector(at, allow_not_found=True))
-        return sorted(int(f.base_name[:-5]) for f in found if f.type == fs.FileType.File and f.base_name.endswith(".json") and f.base_name[:-5].isdigit())
+        return _versions(self.state)
 
     def _files(self, version: int) -> dict[str, list]:
         """path: size, time, where it was begun, up to where it was planned, head, bytes of head."""
@@ -501,10 +510,15 @@ def sync_report(listed: DataFrame, bronze: DataFrame, rejected: DataFrame, obser
     return out.select("path", state.alias("state"), (F.col("lines") - F.col("warnings")).alias("records"), "warnings", "overflow_fields")
 
 
+def counted() -> list[Column]:
+    """The aggregates of ``sync_totals``, also for an ``Observation`` of the job that makes the report."""
+    files = [F.count("*").alias("files_discovered"), *[F.count_if(F.col("state") == s).alias(f"files_{s}") for s in ("synced", "skipped", "errored")]]
+    return files + [F.coalesce(F.sum(c), F.lit(0)).alias(f"total_{c}") for c in ("records", "warnings", "overflow_fields")]
+
+
 def sync_totals(report: DataFrame) -> DataFrame:
     """One row: files discovered, synced, skipped and errored, and the sums of what they gave."""
-    files = [F.count("*").alias("files_discovered"), *[F.count_if(F.col("state") == s).alias(f"files_{s}") for s in ("synced", "skipped", "errored")]]
-    return report.agg(*files, *[F.coalesce(F.sum(c), F.lit(0)).alias(f"total_{c}") for c in ("records", "warnings", "overflow_fields")])
+    return report.agg(*counted())
 
 
 #: Parts of the stored bronze table, whatever the number of files.

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,10 +13,10 @@ from pyspark.sql import functions as F
 from ..functions.columns import session_id_from_path
 from ..functions.store import BUCKETS, Keys, State, Store
 from ..operators import decompose, drift
-from ..operators.decompose import BASED, LINE, Tables, quarantine
+from ..operators.decompose import BASED, LINE, Tables, parse, quarantine, sorted_out
 from ..operators.drift import observations
 from ..operators.search import build_index, index_notes, read_index, write_index
-from ..sources.session_logs import SCHEMA, tail_session_logs
+from ..sources.session_logs import SCHEMA, counted, list_logs, sync_report, tail_session_logs, tail_version
 
 EVENT = "batch_id bigint, type string, session_id string, path string, detail string, n bigint"
 
@@ -365,3 +367,41 @@ class Lake:
         default: a folder that pyarrow opens on driver and executors."""
         w = tail_session_logs(self.spark, logs, suffix=suffix, max_bytes_per_trigger=0 if once else max_bytes_per_trigger, state=state or f"{self.root}/tail").writeStream.foreachBatch(self.ingest_batch).option("checkpointLocation", f"{self.root}/checkpoint")
         return (w.trigger(availableNow=True) if once else w.trigger(processingTime=every)).start()
+
+
+@dataclass
+class Synced:
+    """One run's ``report``, a row a file, and its ``totals`` (``sync_totals``), as the job that wrote the report counted them."""
+
+    report: DataFrame
+    totals: dict[str, int]
+
+
+def sync_session_logs(spark: SparkSession, logs: str, to: str, *, suffix: str = ".jsonl", state: str | None = None) -> Synced:
+    """One run over the files below ``logs``: the tail goes on from where the run before with this ``to`` left each, and the run reports on what it brought.
+
+    Lines are stored below ``to``, a batch a folder, before the tail's offset moves on: a batch that stopped is done again, in the same folder, and is
+    part of the run that ended it.  A file of which the run read nothing is skipped.
+    """
+    store, done = Store(spark, to), []
+    state = state or f"{store.root}/tail"
+
+    def take(df: DataFrame, batch_id: int) -> None:
+        store.write(df.select("path", "off", "line"), f"bronze/batch_id={batch_id}")
+        done.append(batch_id)
+
+    found = spark.createDataFrame([(p,) for p in list_logs([logs], suffix)], "path string")  # as the tail lists them
+    tail, again = tail_session_logs(spark, logs, suffix=suffix, state=state), True
+    while again:
+        planned, before = tail_version(state), len(done)
+        tail.writeStream.foreachBatch(take).option("checkpointLocation", f"{store.root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        again = len(done) > before and tail_version(state) == planned  # a batch that stopped is done again alone: what came since is left
+    lines = store.read("bronze", f"{SCHEMA}, batch_id bigint").filter(F.col("batch_id").isin(done)).drop("batch_id")
+    store.write(parse(lines), "work/parsed")  # once, for good and rejected lines
+    records, rejected = sorted_out(store.read("work/parsed", f"{RECORD}, error string"))
+    listed = found.unionByName(lines.select("path")).distinct()  # also what came after the list was made
+    told, at = Observation(), f"reports/{uuid.uuid4().hex}"
+    report = sync_report(listed, lines, rejected, observations(records))
+    store.write(report.observe(told, *counted()), at)
+    store.drop("work")
+    return Synced(spark.read.schema(report.schema).parquet(f"{store.root}/{at}"), told.get)
